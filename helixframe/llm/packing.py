@@ -184,7 +184,7 @@ def plan(counts: dict[int, int], size: int, *, fill: float = 0.999) -> pd.DataFr
     return pd.DataFrame(rows, columns=["length", "first", "last", "sequence", "per", "offset"]).astype("int64").sort_values(["length", "first"]).reset_index(drop=True)
 
 
-def ranked(rows: DataFrame, n: int, *, rows_per_bucket: int = 20_000) -> DataFrame:
+def ranked(rows: DataFrame, n: int, *, rows_per_bucket: int = 2_000) -> DataFrame:
     """Adds ``rank``: 0, 1, ... among the rows of each length, counted over hashed buckets so that no length meets in one task."""
     buckets = max(1, min(1 << 20, n // rows_per_bucket))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))

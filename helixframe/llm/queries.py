@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, packing, simhash, url_filter
+from . import fingerprints, langid, lines, packing, pieces, simhash, substrings, toxicity, url_filter
 from .common import table
 
 def tokenizer_path(name: str) -> str:
@@ -37,18 +37,52 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.dedup(docs).withColumn("spans", substrings.spans_text(F.col("spans")))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The character counts are of all documents; labels are learned only from rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels")
+    out = langid.held_out("doc_id", 4, 2)
+    model = toxicity.fit(docs, labels.filter(~out), toxicity.count_letters(docs))
+    return toxicity.score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = langid.held_out("doc_id", 5, 0)
+    model = langid.fit(docs.filter(~out))
+    return langid.identify(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score", "spans")
+
+
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.removed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_url_filter": op2_url_filter,
+        "op4_pieces": op4_pieces,
+        "op5_substrings": op5_substrings,
         "op6_simhash": op6_simhash,
         "op7_fingerprints": op7_fingerprints,
+        "op8_toxicity": op8_toxicity,
+        "op9_langid": op9_langid,
+        "op10_lines": op10_lines,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_substrings": substrings.oracle()}
