@@ -188,6 +188,23 @@ def identify(docs: DataFrame, model: Model, *, id: str = "doc_id", text: str = "
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
 
 
+def keep(docs: DataFrame, model: Model, *, text: str = "text", least_share: float = 0.5) -> DataFrame:
+    """The rows of docs, as they are, that have a letter and whose main language has at least ``least_share`` of their words."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            mask: list[bool] = []
+            for texts in chunks(t.as_py() or "" for t in b.column(at)):
+                docs = [[w for w in WORD.findall(t) if w[0].isalpha() or any(map(str.isalpha, w))] for t in texts]
+                mask.extend(bool(words) and (not m.langs or np.bincount(path).max() >= least_share * len(words)) for words, path in zip(docs, m.label(docs) if m.langs else docs))
+            yield b.filter(pa.array(mask, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _spans(text: str, words: list[str], cuts: np.ndarray, path: np.ndarray, langs: list[str]) -> Iterator[dict]:
     if not len(cuts):
         yield {"start": text.find(words[0]), "end": text.rfind(words[-1]) + len(words[-1]), "lang": langs[path[0]]}

@@ -146,10 +146,10 @@ def repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", edits: i
     return found.distinct()
 
 
-def dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", edits: int = 2, min_chars: int = 10) -> DataFrame:
-    """docs without the lines that repeat an earlier one, with a column ``removed``: array of (line, first_id, first_line).
+def dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", edits: int = 2, min_chars: int = 10, out: str = "removed") -> DataFrame:
+    """docs without the lines that repeat an earlier one, with a column ``out``: array of (line, first_id, first_line).
 
-    All rows and other columns stay; a text of which every line goes is empty. Null and empty texts stay as they are, and
+    All rows and other columns (but one named as ``out``) stay; a text of which every line goes is empty. Null and empty texts stay as they are, and
     null ids count as the smallest id. Lines shorter than ``min_chars`` when normalised stay.
     """
     gone = _gone(docs, id, text, edits, min_chars)
@@ -160,8 +160,8 @@ def dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", edits: int
         return F.array_join(F.transform(kept, lambda k: F.get(lines, k)), "\n")
 
     new = F.when(F.col("__removed").isNull(), F.col(text)).otherwise(F.element_at(F.transform(F.array(F.split(text, "\n")), without), 1))
-    out = [new.alias(text) if c == text else F.col(c) for c in docs.columns if c != "removed"]
-    return got.select(*out, F.coalesce("__removed", F.array().cast("array<struct<line:int,first_id:bigint,first_line:int>>")).alias("removed"))
+    columns = [new.alias(text) if c == text else F.col(c) for c in docs.columns if c != out]
+    return got.select(*columns, F.coalesce("__removed", F.array().cast("array<struct<line:int,first_id:bigint,first_line:int>>")).alias(out))
 
 
 def removed(docs: DataFrame, *, id: str = "doc_id", text: str = "text", edits: int = 2, min_chars: int = 10) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, lines, packing, pieces, simhash, substrings, toxicity, url_filter
+from . import embeddings, fingerprints, langid, lines, packing, pieces, simhash, substrings, toxicity, url_filter
 from .common import table
 
 def tokenizer_path(name: str) -> str:
@@ -37,6 +37,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -74,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_url_filter": op2_url_filter,
+        "op3_embeddings": op3_embeddings,
         "op4_pieces": op4_pieces,
         "op5_substrings": op5_substrings,
         "op6_simhash": op6_simhash,

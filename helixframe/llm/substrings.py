@@ -59,18 +59,18 @@ def _size(us: Column) -> Column:
     return F.aggregate(us, F.lit(0), lambda s, u: s + F.length(u))
 
 
-def dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", min_words: int = 25) -> DataFrame:
-    """docs with repeated runs removed from ``text``, and a column ``spans``: array of (start, end) removed, in code points of
+def dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", min_words: int = 25, out: str = "spans") -> DataFrame:
+    """docs with repeated runs removed from ``text``, and a column ``out``: array of (start, end) removed, in code points of
     the original text.
 
-    All rows and other columns stay. Null texts stay null, and null ids count as the smallest id.
+    All rows and other columns (but one named as ``out``) stay. Null texts stay null, and null ids count as the smallest id.
     """
     runs = repeats(docs, id=id, text=text, min_words=min_words).groupBy("__id", "__h").agg(F.collect_list(F.struct("first", "last")).alias("__runs"))
     keyed = docs.withColumn("__id", F.coalesce(F.col(id).cast("long"), F.lit(LOW))).withColumn("__h", F.xxhash64(id, text))
     got = keyed.join(runs, ["__id", "__h"], "left").withColumn("__cut", F.when(F.col("__runs").isNotNull(), _without(F.col(text), F.col("__runs"))))
     none = F.array().cast("array<struct<start:int,end:int>>")
-    out = [F.coalesce("__cut.text", F.col(text)).alias(text) if c == text else F.col(c) for c in docs.columns if c != "spans"]
-    return got.select(*out, F.coalesce("__cut.spans", none).alias("spans"))
+    columns = [F.coalesce("__cut.text", F.col(text)).alias(text) if c == text else F.col(c) for c in docs.columns if c != out]
+    return got.select(*columns, F.coalesce("__cut.spans", none).alias(out))
 
 
 def spans_text(spans: Column) -> Column:
