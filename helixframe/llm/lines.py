@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut
+from .common import connected_components, cut, dealt
 
 #: Letters whose counts are compared before a pair is verified; one edit changes two of the counts by one at most.
 LETTERS = "etaniors"
@@ -142,6 +142,7 @@ def repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", edits: i
     all_ = all_.select("__id", "__h", "k", F.coalesce("c1", "h1").alias("c1"), F.coalesce("c2", "h2").alias("c2"))
     place = F.struct("__id", "__h", "k")
     firsts = all_.groupBy("c1", "c2").agg(F.min(place).alias("f"), F.max(place).alias("l")).filter("f <> l").select("c1", "c2", "f")
+    firsts = dealt(firsts)
     found = all_.join(firsts, ["c1", "c2"]).filter(place != F.col("f")).select("__id", "__h", "k", F.col("f.__id").alias("first_id"), F.col("f.k").alias("first_line"))
     return found.distinct()
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut
+from .common import connected_components, cut, dealt
 
 #: Fixed value: generator polynomial of the binary Golay code, degree 11.
 GOLAY = 0b101011100011
@@ -147,7 +147,7 @@ def links(fps: DataFrame, threshold: int = 2, *, crowd: int = 64) -> DataFrame:
     dense = met.filter("f is null").select("g").distinct()
     steps = F.array(F.lit(0).cast("long"), *[F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(64)])
     points = dense.select("g", F.explode(F.transform(steps, lambda s: F.col("g").bitwiseXOR(s))).alias("point"))
-    least = points.groupBy("point").agg(F.min("g").alias("m"), F.max("g").alias("top")).filter("m < top").select("point", "m")
+    least = dealt(points.groupBy("point").agg(F.min("g").alias("m"), F.max("g").alias("top")).filter("m < top").select("point", "m"))
     stars = points.join(least, "point").filter("g <> m").select(F.col("m").alias("a"), F.col("g").alias("b")).distinct()
     return pairs.unionByName(stars).distinct()
 
@@ -157,7 +157,7 @@ def classes(rows: DataFrame, threshold: int = 2) -> DataFrame:
     nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = connected_components(links(nodes, threshold))
     named = nodes.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("node"))
-    least = named.groupBy("node").agg(F.min("least").alias("component_id"))
+    least = dealt(named.groupBy("node").agg(F.min("least").alias("component_id")))
     return named.select("fp", "node").join(least, "node")
 
 
