@@ -1,19 +1,451 @@
-"""Registered queries of the engine's own operators."""
+"""Registered queries of the engine's own operators, with their SQL where SQL can say them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import alphabet
+from .operators import encode, engine, hmm, rate_relations
+from .plans import bridge
+from .plans.bridge import chains, composition, sequences, sites, table
+from .plans.models import JointModel
+
+ETA, TRACT_P, LENGTH = 0.05, 0.3, 0.8
+KAPPA, OMEGA, TAU = 2.5, 0.4, 1.5
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+#: Common parts of the SQL.
+SEQ = "seq as (select doc_id, lang, source, substr(upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')), 1, 60) seq from documents)"
+TOK = SEQ + ", tok as (select doc_id, lang, source, cast(p.pos as int) pos, cast(strpos('ACGT', substr(seq, cast(p.pos as int) + 1, 1)) - 1 as int) st from seq, range(60) p(pos) where p.pos < length(seq))"
+COMP = TOK + ", comp as (select substr('ACGT', st + 1, 1) nt, st, count(*) n, count(*) * 1.0 / sum(count(*)) over () freq from tok group by st)"
+HKY = COMP + f""", raw as (select a.st x, b.st y, a.freq px, b.freq * case when abs(a.st - b.st) = 2 then {KAPPA} else 1.0 end r from comp a, comp b where a.st <> b.st),
+ hky as (select x, y, r / (select sum(px * r) from raw) q from raw)"""
+CHAIN = f"""c0 as (select user_id, event_type, row_number() over (partition by user_id order by ts, event_id) - 1 site from events),
+ c1 as (select user_id, site, site + site // 5 nt_index, -1.0 - strpos('sepvc', substr(event_type, 1, 1)) * 0.25 lnl, strpos('sepvc', substr(event_type, 1, 1)) k from c0),
+ c2 as (select user_id, site, lnl, lnl - 0.02 * k * k lnl_no, coalesce(nt_index - lag(nt_index) over (partition by user_id order by site), 1) gap from c1),
+ c3 as (select *, lnl_no + {2 * ETA / TRACT_P * LENGTH} e0, lnl + ln(1 - exp(lnl_no - lnl)) - ln(1 - exp({-2 * ETA / TRACT_P * LENGTH})) e1,
+  exp({-2 * LENGTH * ETA / TRACT_P} * (1 - pow({1 - TRACT_P}, gap))) eel, exp({-2 * LENGTH * ETA / TRACT_P}) etl from c2),
+ c as (select user_id, site, lnl, e0, e1, ln(eel) p00, ln(1 - eel) p01, ln(etl * (1 - eel) / (1 - etl)) p10, ln(1 - etl * (1 - eel) / (1 - etl)) p11 from c3)"""
+LSE = "(greatest({a}, {b}) + ln(exp({a} - greatest({a}, {b})) + exp({b} - greatest({a}, {b}))))"
+FORWARD = f"""f as (select user_id, site, e0 + {-2 * ETA / TRACT_P * LENGTH} a, e1 + ln(1 - exp({-2 * ETA / TRACT_P * LENGTH})) b from c where site = 0
+ union all select c.user_id, c.site, c.e0 + {LSE.format(a='(f.a + c.p00)', b='(f.b + c.p10)')}, c.e1 + {LSE.format(a='(f.a + c.p01)', b='(f.b + c.p11)')}
+ from f join c on c.user_id = f.user_id and c.site = f.site + 1)"""
+
+_registered: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _registered[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+def _r(c, digits: int = 6):
+    return F.round(c, digits)
+
+
+@query(f"with {TOK} select doc_id, pos, st from tok")
+def q01_seq_tokens(spark, d):
+    return sites(spark, d).select("doc_id", "pos", "st")
+
+
+@query(f"with {COMP} select nt, n, round(freq, 6) freq, round(ln(freq), 6) log_freq from comp")
+def q02_base_composition(spark, d):
+    return composition(spark, d).select("nt", "n", _r(F.col("freq")).alias("freq"), _r(F.log("freq")).alias("log_freq"))
+
+
+@query(f"with {SEQ} select doc_id, cast(k.k as int) codon_no, substr(seq, cast(k.k as int) * 3 + 1, 3) codon from seq, range(20) k(k) where length(seq) % 3 = 0 and k.k < length(seq) / 3")
+def q03_codon_tokens(spark, d):
+    rows = sequences(spark, d).select("doc_id", F.posexplode(alphabet.codons(F.col("seq"))).alias("codon_no", "codon"))
+    return rows.select("doc_id", "codon_no", "codon")
+
+
+@query(f"with {SEQ}, k as (select substr(seq, cast(k.k as int) * 3 + 1, 3) codon from seq, range(20) k(k) where length(seq) % 3 = 0 and k.k < length(seq) / 3) select aa, count(*) n from k join (select unnest({list(alphabet.AMINO_ACID)!r}) codon, unnest({list(alphabet.AMINO_ACID.values())!r}) aa) using (codon) group by aa")
+def q04_translate_codons(spark, d):
+    rows = sequences(spark, d).select(F.explode(alphabet.codons(F.col("seq"))).alias("codon"))
+    return rows.select(alphabet.amino_acid(F.col("codon")).alias("aa")).groupBy("aa").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {TOK} select pos % 3 + 1 cs, st, count(*) n from tok group by all")
+def q05_codon_position_counts(spark, d):
+    return sites(spark, d).groupBy((F.col("pos") % 3 + 1).alias("cs"), "st").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {TOK} select 4 * a.st + b.st code, a.st a, b.st b, count(*) n from tok a join tok b on a.doc_id = b.doc_id and b.pos = a.pos + 1 where a.pos % 2 = 0 group by all")
+def q06_pair_encode_decode(spark, d):
+    pair = sites(spark, d).groupBy("doc_id", F.floor(F.col("pos") / 2).alias("k")).agg(F.max(F.when(F.col("pos") % 2 == 0, F.col("st"))).alias("x"), F.max(F.when(F.col("pos") % 2 == 1, F.col("st"))).alias("y")).filter("x is not null and y is not null")
+    code = pair.select(alphabet.pair_code(F.col("x"), F.col("y")).alias("code"))
+    a, b = alphabet.pair_decode(F.col("code"))
+    return code.select("code", a.alias("a"), b.alias("b")).groupBy("code", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {SEQ} select source, count(distinct length(seq)) lengths, max(length(seq)) longest from seq group by source")
+def q07_equal_length_check(spark, d):
+    return sequences(spark, d).groupBy("source").agg(F.countDistinct(F.length("seq")).alias("lengths"), F.max(F.length("seq")).alias("longest"))
+
+
+@query(f"with {TOK} select lang, pos, count(*) n, sum(st) total from tok where pos < 12 group by all")
+def q08_site_limit(spark, d):
+    return sites(spark, d).filter("pos < 12").groupBy("lang", "pos").agg(F.count(F.lit(1)).alias("n"), F.sum("st").alias("total"))
+
+
+@query("select lang, cast(strpos('ACGT', upper(substr(text, 1, 1))) - 1 as int) st, count(*) n from documents where length(text) > 0 group by all")
+def q09_missing_encoding(spark, d):
+    first = table(spark, d, "documents").filter(F.length("text") > 0).select("lang", alphabet.nucleotide_state(F.substring("text", 1, 1)).alias("st"))
+    return first.groupBy("lang", "st").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""with n as (select substr('DLNX', cast(p_partkey % 4 as int) + 1, 1) || (p_partkey % 10) || case when p_partkey % 3 = 0 then 'x' else '' end as name from part)
+ select case when regexp_full_match(name, 'D[0-9]+') then 'duplication' when regexp_full_match(name, 'L[0-9]+') then 'loss' when regexp_full_match(name, 'N[0-9]+') then 'speciation' else 'tip' end kind, count(*) n from n group by all""")
+def q10_node_kind_predicates(spark, d):
+    k = F.col("p_partkey")
+    name = F.concat(F.substring(F.lit("DLNX"), (k % 4 + 1).cast("int"), F.lit(1)), (k % 10).cast("string"), F.when(k % 3 == 0, "x").otherwise(""))
+    n = table(spark, d, "part").select(name.alias("name"))
+    kind = F.when(F.col("name").rlike("^D[0-9]+$"), "duplication").when(F.col("name").rlike("^L[0-9]+$"), "loss").when(F.col("name").rlike("^N[0-9]+$"), "speciation").otherwise("tip")
+    return n.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {TOK}, w as (select lang, pos // 3 k, doc_id, string_agg(cast(st as varchar), ',' order by pos) pattern, count(*) c from tok group by all) select lang, pattern, count(*) n from w where c = 3 group by all")
+def q11_site_pattern_compression(spark, d):
+    w = sites(spark, d).groupBy("lang", "doc_id", F.floor(F.col("pos") / 3).alias("k")).agg(F.array_sort(F.collect_list(F.struct("pos", "st"))).alias("a")).filter(F.size("a") == 3)
+    return w.select("lang", F.array_join(F.transform("a", lambda x: x["st"].cast("string")), ",").alias("pattern")).groupBy("lang", "pattern").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select lang, quality, toxic, count(*) n, sum(n_chars) chars from documents join labels using (doc_id) group by all")
+def q12_gene_to_orlg_join(spark, d):
+    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").groupBy("lang", "quality", "toxic").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("select c_nationkey, count(*) n from customer where exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT') group by all")
+def q13_species_semi_join(spark, d):
+    urgent = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'")
+    c = table(spark, d, "customer")
+    return c.join(urgent, c["c_custkey"] == urgent["o_custkey"], "left_semi").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select source, count(*) n from documents where not exists (select 1 from labels l where l.doc_id = documents.doc_id) group by all")
+def q14_changed_groups_anti(spark, d):
+    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left_anti").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select doc_id, coalesce(quality, -1) quality, coalesce(toxic, quality, -1) toxic from documents left join labels using (doc_id)")
+def q15_outgroup_coalesce(spark, d):
+    rows = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left")
+    return rows.select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", "quality", F.lit(-1)).alias("toxic"))
+
+
+def _pairs(spark, d, spaces):
+    """Pairs of sites of one document that are these distances apart, by an equi-join on the place looked for."""
+    s = sites(spark, d).select("doc_id", "pos", "st")
+    a = s.select("doc_id", F.col("pos").alias("i"), F.col("st").alias("sa"), F.explode(F.array(*map(F.lit, spaces))).alias("space")).withColumn("j", F.col("i") + F.col("space"))
+    return a.join(s.select("doc_id", F.col("pos").alias("j"), F.col("st").alias("sb")), ["doc_id", "j"])
+
+
+@query(f"with {TOK} select a.pos % 3 + 1 cs_i, b.pos % 3 + 1 cs_j, b.pos - a.pos as space, count(*) n from tok a join tok b on a.doc_id = b.doc_id and a.pos < b.pos and a.pos // 3 <> b.pos // 3 and b.pos - a.pos <= 6 group by all")
+def q16_site_pairs_theta(spark, d):
+    p = _pairs(spark, d, range(1, 7)).filter(F.floor(F.col("i") / 3) != F.floor(F.col("j") / 3))
+    return p.groupBy((F.col("i") % 3 + 1).alias("cs_i"), (F.col("j") % 3 + 1).alias("cs_j"), "space").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("with x as (select range pos from range(60)) select b.pos - a.pos as space, count(distinct (a.pos % 3) * 3 + b.pos % 3) codon_pairs, count(*) n from x a join x b on a.pos < b.pos group by all")
+def q17_spaces_distinct(spark, d):
+    from .sources.tables import make_index
+
+    return encode.available_pairs(encode.site_pairs(make_index(spark, bridge.SITES))).select(F.col("space").cast("long").alias("space"), F.size("codon_pairs").cast("long").alias("codon_pairs"), "n")
+
+
+@query(f"with {TOK} select b.pos - a.pos as space, 4 * a.st + b.st code, count(*) n from tok a join tok b on a.doc_id = b.doc_id and b.pos - a.pos between 1 and 4 group by all")
+def q18_pair_state_counts(spark, d):
+    return _pairs(spark, d, range(1, 5)).groupBy("space", alphabet.pair_code(F.col("sa"), F.col("sb")).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("with c as (select distinct l_returnflag, l_linestatus from lineitem) select l_returnflag, l_linestatus, cast(row_number() over (order by l_returnflag, l_linestatus) as int) process from c")
+def q19_process_dedup(spark, d):
+    c = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus").distinct()
+    return c.withColumn("process", F.row_number().over(Window.orderBy("l_returnflag", "l_linestatus")))  # a row for each configuration
+
+
+@query("with g as (select distinct user_id, event_type from events) select a.event_type a, b.event_type b, count(*) n from g a join g b on a.user_id = b.user_id and a.event_type < b.event_type group by all")
+def q20_accessible_pairs(spark, d):
+    g = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("g"))
+    p = g.select(F.explode("g").alias("a"), "g").select("a", F.explode("g").alias("b")).filter("a < b")
+    return p.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""with recursive e as (select 'root' p, 'r' || r_regionkey c from region union all select 'r' || n_regionkey, 'n' || n_nationkey from nation union all select 'n' || c_nationkey, 'c' || c_custkey from customer),
+ w as (select c node, 1 depth, p || '/' || c path from e where p = 'root' union all select e.c, w.depth + 1, w.path || '/' || e.c from w join e on e.p = w.node)
+ select node, depth, path from w where depth = 3""")
+def q21_root_to_tip_paths(spark, d):
+    r = table(spark, d, "region").select(F.lit("root").alias("p"), F.concat(F.lit("r"), "r_regionkey").alias("c"))
+    n = table(spark, d, "nation").select(F.concat(F.lit("r"), "n_regionkey").alias("p"), F.concat(F.lit("n"), "n_nationkey").alias("c"))
+    t = table(spark, d, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("p"), F.concat(F.lit("c"), "c_custkey").alias("c"))
+    paths = r.select(F.col("c").alias("node"), F.concat_ws("/", "p", "c").alias("path"))
+    for level in (n, t):
+        paths = level.join(paths, level["p"] == paths["node"]).select(F.col("c").alias("node"), F.concat_ws("/", "path", "c").alias("path"))
+    return paths.select("node", F.lit(3).alias("depth"), "path")
+
+
+@query("with k as (select r_regionkey, cast(dense_rank() over (order by r_name) as int) process from region) select n_nationkey, n_name, process from nation join k on n_regionkey = r_regionkey")
+def q22_edge_process_assign(spark, d):
+    k = table(spark, d, "region").select("r_regionkey", F.dense_rank().over(Window.orderBy("r_name")).alias("process"))  # a row a configuration
+    n = table(spark, d, "nation")
+    return n.join(k, n["n_regionkey"] == k["r_regionkey"]).select("n_nationkey", "n_name", "process")
+
+
+@query(f"with {TOK} select pos site, count(*) n, sum(st) total from tok group by all")
+def q23_union_interleave(spark, d):
+    s = sites(spark, d).withColumn("codon", F.floor(F.col("pos") / 3).cast("int"))
+    three = [s.filter(F.col("pos") % 3 == k).groupBy("codon").agg(F.count(F.lit(1)).alias("n"), F.sum("st").alias("total")).select((F.col("codon") * 3 + k).alias("site"), "n", "total") for k in range(3)]
+    return three[0].unionByName(three[1]).unionByName(three[2])
+
+
+@query(f"with {TOK} select pos, st, count(*) n from tok where pos in (1, 4, 9, 16, 25, 36, 49) group by all")
+def q24_membership_subset(spark, d):
+    return sites(spark, d).filter(F.col("pos").isin(1, 4, 9, 16, 25, 36, 49)).groupBy("pos", "st").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select c_nationkey, arg_min(c_custkey, (c_acctbal, c_custkey)) c_custkey from customer group by all")
+def q25_argmin_config(spark, d):
+    return table(spark, d, "customer").groupBy("c_nationkey").agg(F.min_by("c_custkey", F.struct("c_acctbal", "c_custkey")).alias("c_custkey"))
+
+
+@query(f"with {TOK} select a.doc_id, count(*) sites, sum(case when a.st <> b.st then 1 else 0 end) differences, sum(case when abs(a.st - b.st) = 2 then 1 else 0 end) transitions from tok a join tok b on b.doc_id = a.doc_id + 1 and a.pos = b.pos group by all")
+def q26_hamming_transitions(spark, d):
+    s = sequences(spark, d).select("doc_id", "seq")
+    p = s.join(s.select((F.col("doc_id") - 1).alias("doc_id"), F.col("seq").alias("other")), "doc_id")
+    n = F.least(F.length("seq"), F.length("other"))
+    at = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.struct(F.substring("seq", k, F.lit(1)).alias("x"), F.substring("other", k, F.lit(1)).alias("y")))
+    p = p.filter(n > 0).withColumn("at", at)
+    count = lambda f: F.size(F.filter("at", f)).cast("long")
+    ts = lambda z: F.concat(z["x"], z["y"]).isin("AG", "GA", "CT", "TC")
+    return p.select("doc_id", F.size("at").cast("long").alias("sites"), count(lambda z: z["x"] != z["y"]).alias("differences"), count(ts).alias("transitions"))
+
+
+@query(f"with {CHAIN.split(' c2 as')[0].rstrip().rstrip(',')}, g as (select user_id, nt_index - lag(nt_index) over (partition by user_id order by site) gap from c1) select user_id, count(gap) steps, sum(gap) span, min(case when gap >= 0 then 1 else 0 end) monotonic from g where gap is not null group by all")
+def q27_lag_distance(spark, d):
+    w = Window.partitionBy("user_id").orderBy("site")
+    g = chains(spark, d).select("user_id", (F.col("nt_index") - F.lag("nt_index").over(w)).alias("gap")).filter("gap is not null")
+    return g.groupBy("user_id").agg(F.count("gap").alias("steps"), F.sum("gap").alias("span"), F.min(F.when(F.col("gap") >= 0, 1).otherwise(0)).alias("monotonic"))
+
+
+@query("""with h as (select distinct user_id, cast(floor(epoch(ts) / 86400) as bigint) as day from events),
+ i as (select user_id, day, day - row_number() over (partition by user_id order by day) isl from h) select user_id, min(day) start, count(*) n from i group by user_id, isl""")
+def q28_gaps_islands(spark, d):
+    h = table(spark, d, "events").select("user_id", F.datediff("ts", F.lit("1970-01-01")).cast("long").alias("day")).distinct()
+    i = h.withColumn("isl", F.col("day") - F.row_number().over(Window.partitionBy("user_id").orderBy("day")))
+    return i.groupBy("user_id", "isl").agg(F.min("day").alias("start"), F.count(F.lit(1)).alias("n")).select("user_id", "start", "n")
+
+
+@query("""with h as (select user_id, cast(floor(epoch(ts) / 86400) as bigint) as day, count(*) n from events group by all),
+ s as (select user_id, unnest(range(min(day), max(day) + 1)) as day from h group by user_id) select s.user_id, s.day, coalesce(n, -1) n from s left join h using (user_id, day)""")
+def q29_gap_fill(spark, d):
+    h = table(spark, d, "events").groupBy("user_id", F.datediff("ts", F.lit("1970-01-01")).cast("long").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    s = h.groupBy("user_id").agg(F.min("day").alias("a"), F.max("day").alias("b")).select("user_id", F.explode(F.sequence("a", "b")).alias("day"))
+    return s.join(h, ["user_id", "day"], "left").select("user_id", "day", F.coalesce("n", F.lit(-1)).alias("n"))
+
+
+@query(f"with {COMP}, cum as (select st, sum(freq) over (order by st) hi, sum(freq) over (order by st) - freq lo from comp) select c_custkey, st from customer join cum on (c_custkey * 37 % 1000 + 0.5) / 1000 >= lo and (c_custkey * 37 % 1000 + 0.5) / 1000 < hi")
+def q30_inverse_cdf(spark, d):
+    c = composition(spark, d).agg(F.map_from_entries(F.collect_list(F.struct("nt", "freq"))).alias("f")).select(F.array(*[F.element_at("f", k) for k in "ACGT"]).alias("f"))
+    u = table(spark, d, "customer").select("c_custkey", ((F.col("c_custkey") * 37 % 1000 + 0.5) / 1000).alias("u")).crossJoin(F.broadcast(c))  # one row
+    run = F.aggregate("f", F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("st")), lambda s, x: F.struct((s["sum"] + x).alias("sum"), (s["st"] + F.when(s["sum"] + x <= F.col("u"), 1).otherwise(0)).alias("st")), lambda s: s["st"])
+    return u.select("c_custkey", F.least(run, F.lit(3)).alias("st"))
+
+
+def _lattice(spark, d):
+    return hmm.lattice(chains(spark, d), eta=ETA, p=TRACT_P, length=LENGTH, group="user_id")
+
+
+@query(f"with recursive {CHAIN}, {FORWARD} select user_id, round({LSE.format(a='a', b='b')}, 6) lnl from f where (user_id, site) in (select user_id, max(site) from c group by 1)")
+def q31_hmm_forward(spark, d):
+    return hmm.forward(_lattice(spark, d), eta=ETA, p=TRACT_P, length=LENGTH, group="user_id").select("user_id", _r(F.col("lnl")).alias("lnl"))
+
+
+@query(f"""with recursive {CHAIN}, {FORWARD}, last as (select user_id, max(site) site from c group by 1),
+ b as (select user_id, site, cast(0.0 as double) a, cast(0.0 as double) b from last
+  union all select c.user_id, c.site - 1, {LSE.format(a='(c.p00 + c.e0 + b.a)', b='(c.p01 + c.e1 + b.b)')}, {LSE.format(a='(c.p10 + c.e0 + b.a)', b='(c.p11 + c.e1 + b.b)')}
+  from b join c on c.user_id = b.user_id and c.site = b.site where c.site > 0),
+ t as (select user_id, {LSE.format(a='a', b='b')} lnl from f join last using (user_id, site))
+ select f.user_id, f.site, round(exp(f.b + b.b - t.lnl), 6) posterior from f join b on f.user_id = b.user_id and f.site = b.site join t on t.user_id = f.user_id""")
+def q32_hmm_backward_posterior(spark, d):
+    got = hmm.decode(_lattice(spark, d), eta=ETA, p=TRACT_P, length=LENGTH, group="user_id")
+    return got.select("user_id", "site", _r(F.col("posterior")).alias("posterior"))
+
+
+@query(f"""with recursive {CHAIN}, v as (select user_id, site, e0 + {-2 * ETA / TRACT_P * LENGTH} a, e1 + ln(1 - exp({-2 * ETA / TRACT_P * LENGTH})) b from c where site = 0
+ union all select c.user_id, c.site, c.e0 + greatest(v.a + c.p00, v.b + c.p10), c.e1 + greatest(v.a + c.p01, v.b + c.p11) from v join c on c.user_id = v.user_id and c.site = v.site + 1)
+ select user_id, round(greatest(a, b), 6) score, case when b > a then 1 else 0 end last_state from v where (user_id, site) in (select user_id, max(site) from c group by 1)""")
+def q33_hmm_viterbi(spark, d):
+    got = hmm.decode(_lattice(spark, d), eta=ETA, p=TRACT_P, length=LENGTH, group="user_id")
+    return got.groupBy("user_id").agg(_r(F.max("score")).alias("score"), F.max_by("state", "site").alias("last_state"))
+
+
+@query("select o_custkey, o_orderkey, round(sum(ln(1 - o_orderkey % 9 * 0.05)) over (partition by o_custkey order by o_orderdate, o_orderkey), 6) log_height from orders")
+def q34_clock_cumprod(spark, d):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
+    return table(spark, d, "orders").select("o_custkey", "o_orderkey", _r(F.sum(F.log(1 - F.col("o_orderkey") % 9 * 0.05)).over(w)).alias("log_height"))
+
+
+@query(f"with {HKY} select x, y, round(q, 6) q from hky")
+def q35_hky_rates(spark, d):
+    return rate_relations.hky(composition(spark, d), KAPPA).select("x", "y", _r(F.col("q")).alias("q"))
+
+
+@query(f"""with {HKY}, z as (select cast(range as int) z from range(4)), o as (select *, case when y = z then {TAU} else 0.0 end c from hky, z)
+ select x * 4 + z s, y * 4 + z t, round(q + c, 6) rate, round(c / (q + c), 6) share from o union all select z * 4 + x, z * 4 + y, round(q + c, 6), round(c / (q + c), 6) from o""")
+def q36_two_paralog_hky_igc(spark, d):
+    return rate_relations.two_paralogs(composition(spark, d), KAPPA, TAU).select("s", "t", _r(F.col("rate")).alias("rate"), _r(F.col("share")).alias("share"))
+
+
+MG94 = COMP + f""", aa as (select unnest({alphabet.SENSE_CODONS!r}) codon, unnest({[alphabet.AMINO_ACID[c] for c in alphabet.SENSE_CODONS]!r}) aa),
+ w as (select codon, aa, (select freq from comp where nt = substr(codon, 1, 1)) * (select freq from comp where nt = substr(codon, 2, 1)) * (select freq from comp where nt = substr(codon, 3, 1)) w from aa),
+ cp as (select a.codon a, b.codon b, a.w / (select sum(w) from w) pa, a.aa aa_a, b.aa aa_b,
+  case when substr(a.codon, 1, 1) <> substr(b.codon, 1, 1) then 1 when substr(a.codon, 2, 1) <> substr(b.codon, 2, 1) then 2 else 3 end k
+  from w a, w b where (substr(a.codon, 1, 1) <> substr(b.codon, 1, 1))::int + (substr(a.codon, 2, 1) <> substr(b.codon, 2, 1))::int + (substr(a.codon, 3, 1) <> substr(b.codon, 3, 1))::int = 1),
+ r as (select a, b, pa, freq * case when substr(a, k, 1) || substr(b, k, 1) in ('AG', 'GA', 'CT', 'TC') then {KAPPA} else 1.0 end * case when aa_a <> aa_b then {OMEGA} else 1.0 end r from cp join comp on nt = substr(b, k, 1)),
+ mg as (select a, b, r / (select sum(pa * r) from r) q from r)"""
+
+
+@query(f"with {MG94} select a, b, round(q, 6) q from mg")
+def q37_mg94_rates(spark, d):
+    return rate_relations.mg94(composition(spark, d), KAPPA, OMEGA).select("a", "b", _r(F.col("q")).alias("q"))
+
+
+TAUS = {(0, 1): 0.5, (1, 0): 1.0, (0, 2): 1.5, (2, 0): 2.0, (1, 2): 2.5, (2, 1): 3.0}
+TAU_SQL = " + ".join(f"case when o = {r} and d{g} = y then {v} else 0.0 end" for (g, r), v in TAUS.items())
+
+
+@query(f"""with {HKY}, st as (select cast(range as int) s, cast(range // 16 as int) d0, cast(range // 4 % 4 as int) d1, cast(range % 4 as int) d2 from range(64)), o as (select cast(range as int) o from range(3)),
+ j as (select st.*, o, y, x, q from st, o join hky on x = case o when 0 then d0 when 1 then d1 else d2 end)
+ select s, s + (y - x) * case o when 0 then 16 when 1 then 4 else 1 end t, round(q + {TAU_SQL}, 6) rate, round({TAU_SQL}, 6) copies from j""")
+def q38_joint_state_rates(spark, d):
+    return rate_relations.three_paralogs(composition(spark, d), KAPPA, TAUS).select("s", "t", _r(F.col("rate")).alias("rate"), _r(F.col("copies")).alias("copies"))
+
+
+SPACE, INIT, PAIR_P = 3, 0.4, 0.2
+ONE, BOTH = INIT / PAIR_P * (1 - (1 - PAIR_P) ** SPACE), INIT / PAIR_P * (1 - PAIR_P) ** SPACE
+PAIR = f"""st as (select cast(range as int) s, [cast(range // 64 as int), cast(range // 16 % 4 as int), cast(range // 4 % 4 as int), cast(range % 4 as int)] d from range(256)), k as (select cast(range as int) k from range(4)),
+ j as (select s, d, k, x, y, q from st, k join hky on x = d[k + 1]),
+ pr as (select s, s + (y - x) * [64, 16, 4, 1][k + 1] t, q + case when d[(k + 2) % 4 + 1] = y then {ONE} + case when d[xor(k, 1) + 1] = d[(xor(k, 1) + 2) % 4 + 1] then {BOTH} else 0.0 end else 0.0 end rate from j
+  union all select s, d[3] * 64 + d[4] * 16 + d[3] * 4 + d[4], {BOTH} from st where d[1] <> d[3] and d[2] <> d[4] union all select s, d[1] * 64 + d[2] * 16 + d[1] * 4 + d[2], {BOTH} from st where d[1] <> d[3] and d[2] <> d[4])"""
+
+
+@query(f"with {HKY}, {PAIR} select s, t, round(rate, 6) rate from pr")
+def q39_pair_site_rates(spark, d):
+    return rate_relations.pair_site(composition(spark, d), KAPPA, SPACE, INIT, PAIR_P).select("s", "t", _r(F.col("rate")).alias("rate"))
+
+
+@query(f"with {HKY}, {PAIR} select s, round(sum(rate), 6) total, count(*) n from pr group by s")
+def q40_rate_row_sums(spark, d):
+    rates = rate_relations.pair_site(composition(spark, d), KAPPA, SPACE, INIT, PAIR_P)
+    return rates.groupBy("s").agg(_r(F.sum("rate")).alias("total"), F.count(F.lit(1)).alias("n"))
+
+
+def _same(t):
+    return f"(0.2 + 0.8 * exp(-({t})))", f"(0.2 - 0.2 * exp(-({t})))"
+
+
+@query(f"""with k as (select cast(range as int) s from range(5)),
+ u as (select c_nationkey nk, s, sum(ln(case when list_position({SEGMENTS!r}, c_mktsegment) - 1 = s then {_same('0.1 + c_custkey % 7 * 0.05')[0]} else {_same('0.1 + c_custkey % 7 * 0.05')[1]} end)) m from customer, k group by all),
+ v as (select n_regionkey rk, n_nationkey nk, k.s, max(u.m) over (partition by n_nationkey, k.s) top, u.m, case when k.s = u.s then {_same('0.3 + n_nationkey % 3 * 0.1')[0]} else {_same('0.3 + n_nationkey % 3 * 0.1')[1]} end p from u join nation on n_nationkey = u.nk, k),
+ n as (select rk, nk, s, max(top) + ln(sum(p * exp(m - top))) m from v group by all), g as (select rk, s, sum(m) m from n group by all)
+ select rk region, round(max(m) + ln(sum(0.2 * exp(m - (select max(m) from g h where h.rk = g.rk)))), 6) lnl from g group by rk""")
+def q41_tree_pruning(spark, d):
+    c, n = table(spark, d, "customer"), table(spark, d, "nation")
+    tip = F.transform(F.array(*[F.lit(k) for k in range(5)]), lambda s: F.when(F.array_position(F.array(*map(F.lit, SEGMENTS)), F.col("c_mktsegment")) - 1 == s, F.lit(0.0)).otherwise(F.lit(float("-inf"))))
+    tips = c.select("c_nationkey", (0.1 + F.col("c_custkey") % 7 * 0.05).alias("t"), tip.alias("m"))
+    nations = rate_relations.prune_level(tips, 5, parent="c_nationkey", length="t")
+    nations = nations.join(n, nations["c_nationkey"] == n["n_nationkey"]).select("n_regionkey", (0.3 + F.col("n_nationkey") % 3 * 0.1).alias("t"), "m")
+    regions = rate_relations.prune_level(nations, 5, parent="n_regionkey", length="t")
+    return regions.select(F.col("n_regionkey").alias("region"), _r(alphabet.log_sum_exp([F.get("m", F.lit(k)) for k in range(5)]) + float(np.log(0.2))).alias("lnl"))
+
+
+def _model(spark, d, **kw):
+    tree, axes, patterns = bridge.family_patterns(spark, d)
+    model = JointModel(tree, axes, event_group={"D1": 0}, **kw)
+    x = model.start(np.array([0.3, 0.2, 0.2, 0.3]), length=0.1)
+    return patterns, model, x
+
+
+@query()
+def q42_igc_pruning_kernel(spark, d):
+    patterns, model, x = _model(spark, d)
+    return engine.pattern_values(patterns, {0: model.scenes(x)}).select(F.array_join("pattern", ",").alias("pattern"), "n", _r(F.col("value")).alias("lnl"))
+
+
+def _by_edge(rows, model, name):
+    names = F.create_map(*[v for k, (a, b) in enumerate(model.edges) for v in (F.lit(k), F.lit(f"{a}__{b}"))])
+    return rows.select(F.element_at(names, F.col("edge")).alias("edge"), _r(F.col("value")).alias(name))
+
+
+@query()
+def q43_expected_counts(spark, d):
+    patterns, model, x = _model(spark, d)
+    out = None
+    for w in ("copies", "mutations"):
+        one = _by_edge(engine.totals(engine.pattern_values(patterns, {0: model.scenes(x)}, want="events", weights=w)), model, "expected").withColumn("event", F.lit(w))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query()
+def q44_dwell_fraction(spark, d):
+    patterns, model, x = _model(spark, d)
+    return _by_edge(engine.totals(engine.pattern_values(patterns, {0: model.scenes(x)}, want="dwell", weights="unlike")), model, "dwell")
+
+
+@query(f"""with {TOK}, g as (select cast(range as int) eval_id, 0.1 * (range + 1) t from range(8)), p as (select a.lang, sum(case when a.st = b.st then 1 else 0 end) same, sum(case when a.st <> b.st then 1 else 0 end) other from tok a join tok b on a.doc_id = b.doc_id and b.pos = a.pos + 1 group by all)
+ select eval_id, lang, round(same * ln(0.25 + 0.75 * exp(-t)) + other * ln(0.25 - 0.25 * exp(-t)), 4) lnl from p, g""")
+def q45_perturbation_grid(spark, d):
+    p = _pairs(spark, d, [1]).groupBy("doc_id", (F.col("sa") == F.col("sb")).alias("eq")).agg(F.count(F.lit(1)).alias("n"))
+    p = p.join(sequences(spark, d).select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.sum(F.when(F.col("eq"), F.col("n")).otherwise(0)).alias("same"), F.sum(F.when(F.col("eq"), 0).otherwise(F.col("n"))).alias("other"))
+    g = p.select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("eval_id")).withColumn("t", 0.1 * (F.col("eval_id") + 1))
+    same, other = rate_relations.equal_rates(4, F.col("t"))
+    return g.select("eval_id", "lang", _r(F.col("same") * F.log(same) + F.col("other") * F.log(other), 4).alias("lnl"))
+
+
+@query(f"""with {TOK}, f as (select doc_id, lang, avg((st = 0)::int) - 0.25 g0, avg((st = 1)::int) - 0.25 g1, avg((st = 2)::int) - 0.25 g2 from tok group by all), l as (select lang, unnest([0, 1, 2]) i, unnest([g0, g1, g2]) v, doc_id from f)
+ select a.lang, a.i, b.i j, round(avg(a.v * b.v), 6) moment from l a join l b using (doc_id) group by all""")
+def q46_godambe_moments(spark, d):
+    f = sites(spark, d).groupBy("doc_id", "lang").agg(*[(F.avg((F.col("st") == k).cast("int")) - 0.25).alias(f"g{k}") for k in range(3)])
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), (F.col(f"g{i}") * F.col(f"g{j}")).alias("v")) for i in range(3) for j in range(3)])
+    return f.select("lang", F.explode(cells).alias("c")).groupBy("lang", "c.i", "c.j").agg(_r(F.avg("c.v")).alias("moment"))
+
+
+@query("""with l as (select lang run, unnest(['documents', 'chars', 'sources']) label, unnest([count(*), sum(n_chars), count(distinct source)]) v from documents group by lang)
+ select label, max(v) filter (run = 'de') de, max(v) filter (run = 'en') en, max(v) filter (run = 'es') es, max(v) filter (run = 'fr') fr from l group by label""")
+def q47_summary_pivot(spark, d):
+    from .sources.tables import pivot_summaries
+
+    s = table(spark, d, "documents").groupBy(F.col("lang").alias("run")).agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("chars"), F.countDistinct("source").alias("sources"))
+    return pivot_summaries(s.unpivot("run", ["documents", "chars", "sources"], "label", "value"), ["de", "en", "es", "fr"])
+
+
+@query()
+def q48_simulate_branch(spark, d):
+    from .operators import rates, simulate
+    from .operators.histories import configurations
+
+    tree, _, _ = bridge.family_patterns(spark, d)
+    pi = np.array([0.3, 0.2, 0.2, 0.3])
+    setting = simulate.Setting(tree, configurations(tree, {"D1": 0}), {e: 0.2 for e in tree.edges}, rates.hky(pi, KAPPA), pi, bridge.SITES, init=0.05, p=0.1, seed=7)
+    return simulate.simulate(spark, setting, 40)[0]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Likelihood of every site pattern of the first documents of each source and language under substitution and copying."""
+    return q42_igc_pruning_kernel(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for name, (f, _) in _registered.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _registered.items() if sql}
