@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from .common import connected_components, cut, dealt
 
 #: Letters whose counts are compared before a pair is verified; one edit changes two of the counts by one at most.
-LETTERS = "etaniors"
+LETTERS = "etanhiords"
+WIDTH = 6  # bits of a count
 LOW = -(1 << 63)
 BITMAP = 1 << 20
 
@@ -32,41 +33,43 @@ def _hashes(norm: Column) -> tuple[Column, Column]:
 
 
 def _letter_counts(norm: Column) -> Column:
-    size = F.octet_length(norm)
-    counts = [F.least(size - F.octet_length(F.replace(norm, F.lit(c), F.lit(""))), F.lit(255)).cast("long") for c in LETTERS]
-    return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(c, 8 * k) for k, c in enumerate(counts[:7])])
+    size, most = F.octet_length(norm), (1 << WIDTH) - 1
+    counts = [F.least(size - F.octet_length(F.replace(norm, F.lit(c), F.lit(""))), F.lit(most)).cast("long") for c in LETTERS]
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(c, WIDTH * k) for k, c in enumerate(counts)])
 
 
 def _near_counts(a: Column, b: Column, edits: int) -> Column:
-    at = lambda c, k: F.shiftright(c, 8 * k).bitwiseAND(F.lit(255))
-    return reduce(lambda x, y: x + y, [F.abs(at(a, k) - at(b, k)) for k in range(7)]) <= 2 * edits
+    at = lambda c, k: F.shiftright(c, WIDTH * k).bitwiseAND(F.lit((1 << WIDTH) - 1))
+    return reduce(lambda x, y: x + y, [F.abs(at(a, k) - at(b, k)) for k in range(len(LETTERS))]) <= 2 * edits
 
 
-def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 1) and size of segment i (from 1) of a line of that length: the last ones are longer by one."""
-    base, more = F.floor(length / parts).cast("int"), F.pmod(length, F.lit(parts))
-    longer = F.greatest(F.lit(i - 1) - (F.lit(parts) - more), F.lit(0))
-    return (F.lit(1 + (i - 1)) * 0 + (i - 1) * base + longer + 1).cast("int"), (base + F.when(F.lit(i) > F.lit(parts) - more, 1).otherwise(0)).cast("int")
+def _keys(rows: DataFrame, combinations: list[tuple[int, int, int]], parts: int) -> DataFrame:
+    """rows once for each (less, i, shift): key is that of segment i of a line shorter by less, read shift places on.
+
+    The combinations are exploded, so that one small expression serves all of them. The last of the parts are longer by one.
+    """
+    c = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(t).alias("t")) for d, i, t in combinations])).alias("c")
+    rows = rows.select("*", c).withColumn("len", F.col("n") - F.col("c.d"))
+    rows = rows.withColumn("more", F.pmod("len", F.lit(parts))).withColumn("base", ((F.col("len") - F.col("more")) / parts).cast("int"))
+    start = (F.col("c.i") - 1) * F.col("base") + F.greatest(F.col("c.i") - 1 - (parts - F.col("more")), F.lit(0)) + 1 + F.col("c.t")
+    size = F.col("base") + F.when(F.col("c.i") > parts - F.col("more"), 1).otherwise(0)
+    rows = rows.withColumn("start", start).withColumn("size", size).filter("start >= 1 and start + size - 1 <= n")
+    return rows.withColumn("key", F.xxhash64("len", "c.i", F.substring("norm", F.col("start"), F.col("size"))))
 
 
 def candidates(lines: DataFrame, edits: int = 2) -> DataFrame:
-    """a, b: h1 of distinct lines (column norm) that share a segment as lines within ``edits`` edits must."""
+    """a, b: h1 of distinct lines (column norm) that share a segment as lines within ``edits`` edits must, and nearly the same letters."""
     parts = edits + 1
-    rows = lines.select("norm", F.length("norm").alias("n"), _hashes(F.col("norm"))[0], _letter_counts(F.col("norm")).alias("counts"))
-    own, probes = [], []
+    rows = lines.select("norm", _letter_counts(F.col("norm")).alias("counts")).distinct().select("norm", "counts", F.length("norm").alias("n"), _hashes(F.col("norm"))[0])
+    own = [(0, i, 0) for i in range(1, parts + 1)]
+    probes = []
     for less in range(edits + 1):
-        length = F.col("n") - less
         for i in range(1, parts + 1):
-            start, size = _segment(length, i, parts)
+            # at most i - 1 edits to the left of the segment, and parts - i to its right
             lo, hi = max(-(i - 1), less - (parts - i)), min(i - 1, less + (parts - i))
-            for shift in range(lo, hi + 1):
-                key = F.xxhash64(length, F.lit(i), F.substring(F.col("norm"), start + shift, size))
-                inside = (start + shift >= 1) & (start + shift + size - 1 <= F.col("n"))
-                probes.append(F.when(inside, F.struct(key.alias("key"), F.lit(less == 0).alias("even"))))
-                if less == 0 and shift == 0:
-                    own.append(key)
-    index = rows.select(F.explode(F.array(*own)).alias("key"), F.col("h1").alias("a"), F.col("counts").alias("ca"))
-    probe = rows.select(F.explode(F.array_distinct(F.array_compact(F.array(*probes)))).alias("p"), F.col("h1").alias("b"), F.col("counts").alias("cb")).select("p.key", "p.even", "b", "cb")
+            probes += [(less, i, shift) for shift in range(lo, hi + 1)]
+    index = _keys(rows, own, parts).select("key", F.col("h1").alias("a"), F.col("counts").alias("ca"))
+    probe = _keys(rows, probes, parts).select("key", F.col("h1").alias("b"), F.col("counts").alias("cb"), (F.col("c.d") == 0).alias("even"))
     meet = (index["key"] == probe["key"]) & (F.col("a") != F.col("b")) & (~F.col("even") | (F.col("a") < F.col("b"))) & _near_counts(F.col("ca"), F.col("cb"), edits)
     return index.join(probe, meet).select("a", "b").distinct()
 
@@ -109,18 +112,33 @@ def _bit(word: Column, at: Column) -> Column:
     return F.call_function("shiftright", word, F.greatest(at, F.lit(0))).bitwiseAND(F.lit(1))
 
 
-def links(docs: DataFrame, *, id: str = "doc_id", text: str = "text", edits: int = 2, min_chars: int = 10) -> DataFrame:
-    """a1, a2, b1, b2: hashes of every two distinct normalised lines within ``edits`` edits."""
-    found = occurrences(docs, id, text, min_chars)
-    pairs = cut(candidates(found.select("norm").distinct(), edits))
-    # the texts of candidates are read again, past a bitmap of their hashes: BITMAP bits, whatever the number of candidates
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("h")).select(F.pmod("h", F.lit(BITMAP)).alias("bit"))
-    words = ends.groupBy(F.floor(F.col("bit") / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("bit", F.lit(64)).cast("int"))).alias("v"))
-    bits = dict(words.collect())
-    field = F.from_json(F.lit("[" + ",".join(str(bits.get(k, 0)) for k in range(BITMAP // 64)) + "]"), "array<bigint>")
-    bit = F.pmod(F.xxhash64("norm"), F.lit(BITMAP))
-    may = F.call_function("shiftright", F.get(field, F.floor(bit / 64).cast("int")), F.pmod(bit, F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
-    texts = found.select("norm").filter(may).distinct().select("norm", *_hashes(F.col("norm")))
+def places(docs: DataFrame, *, id: str = "doc_id", text: str = "text", min_chars: int = 10) -> DataFrame:
+    """__id, __h, k, h1, h2 of every line of at least min_chars: which row, which line, and the digest of its normal form."""
+    return occurrences(docs, id, text, min_chars).select("__id", "__h", "k", *_hashes(F.col("norm")))
+
+
+def bitmap(hashes: DataFrame, column: str):
+    """A test for hashes that lets all of ``column`` pass, and others by chance: BITMAP bits, whatever the number of rows."""
+    bits = hashes.select(F.pmod(column, F.lit(BITMAP)).alias("bit"))
+    words = bits.groupBy(F.floor(F.col("bit") / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("bit", F.lit(64)).cast("int"))).alias("v"))
+    known = dict(words.collect())
+    field = F.from_json(F.lit("[" + ",".join(str(known.get(k, 0)) for k in range(BITMAP // 64)) + "]"), "array<bigint>")
+
+    def test(h: Column) -> Column:
+        bit = F.pmod(h, F.lit(BITMAP))
+        return F.call_function("shiftright", F.get(field, F.floor(bit / 64).cast("int")), F.pmod(bit, F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+
+    return test
+
+
+def links(docs: DataFrame, at: DataFrame, *, id: str = "doc_id", text: str = "text", edits: int = 2, min_chars: int = 10) -> DataFrame:
+    """a1, a2, b1, b2: digests of every two distinct normalised lines within ``edits`` edits. ``at``: the places of docs."""
+    pairs = cut(candidates(occurrences(docs, id, text, min_chars).select("norm"), edits))
+    # the texts of candidates are read again from one document for each, past bitmaps of the documents and of the lines
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
+    ends = cut(at.groupBy("h1", "h2").agg(F.min("__h").alias("__h")).join(dealt(ends), "h1"))
+    some = docs.filter(bitmap(ends, "__h")(F.xxhash64(id, text)))
+    texts = occurrences(some, id, text, min_chars).filter(bitmap(ends, "h1")(F.xxhash64("norm"))).select("norm").distinct().select("norm", *_hashes(F.col("norm")))
     a, b = texts.select(F.col("norm").alias("na"), F.col("h1").alias("a"), F.col("h2").alias("a2")), texts.select(F.col("norm").alias("nb"), F.col("h1").alias("b"), F.col("h2").alias("b2"))
     near = pairs.join(a, "a").join(b, "b").filter(within(F.col("na"), F.col("nb"), edits))
     return near.select(F.col("a").alias("a1"), "a2", F.col("b").alias("b1"), "b2")
@@ -133,16 +151,15 @@ def repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", edits: i
     earliest stays: by document id (rows of one id: by a hash of the text), then by place. Rows equal in id and text count as
     one and are treated alike.
     """
-    near = cut(links(docs, id=id, text=text, edits=edits, min_chars=min_chars))
+    at = cut(places(docs, id=id, text=text, min_chars=min_chars))
+    near = cut(links(docs, at, id=id, text=text, edits=edits, min_chars=min_chars))
     name = lambda x, y: F.concat(F.lpad(F.hex(x), 16, "0"), F.lpad(F.hex(y), 16, "0"))
     classes = connected_components(near.select(name("a1", "a2").alias("a"), name("b1", "b2").alias("b")))
     low = lambda c, k: F.conv(F.substring(c, k, 16), 16, -10).cast("long")
     classes = classes.select(low("node", 1).alias("h1"), low("node", 17).alias("h2"), low("component", 1).alias("c1"), low("component", 17).alias("c2"))
-    all_ = occurrences(docs, id, text, min_chars).select("__id", "__h", "k", *_hashes(F.col("norm"))).join(classes, ["h1", "h2"], "left")
-    all_ = all_.select("__id", "__h", "k", F.coalesce("c1", "h1").alias("c1"), F.coalesce("c2", "h2").alias("c2"))
+    all_ = at.join(cut(classes), ["h1", "h2"], "left").select("__id", "__h", "k", F.coalesce("c1", "h1").alias("c1"), F.coalesce("c2", "h2").alias("c2"))
     place = F.struct("__id", "__h", "k")
-    firsts = all_.groupBy("c1", "c2").agg(F.min(place).alias("f"), F.max(place).alias("l")).filter("f <> l").select("c1", "c2", "f")
-    firsts = dealt(firsts)
+    firsts = dealt(all_.groupBy("c1", "c2").agg(F.min(place).alias("f"), F.max(place).alias("l")).filter("f <> l").select("c1", "c2", "f"))
     found = all_.join(firsts, ["c1", "c2"]).filter(place != F.col("f")).select("__id", "__h", "k", F.col("f.__id").alias("first_id"), F.col("f.k").alias("first_line"))
     return found.distinct()
 
