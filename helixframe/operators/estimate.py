@@ -87,10 +87,12 @@ def minimise(fun: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarra
                 break
             step /= 3
         else:
-            break
+            if not pairs:
+                break
+            pairs = []  # try once more, straight down
+            continue
         s, y = new - x, gn - g
-        if s @ y > 1e-12:
-            pairs = [*pairs[-memory + 1 :], (s, y)]
+        pairs = [*pairs[-memory + 1 :], (s, y)] if s @ y > 1e-12 else []  # no curvature to learn from: start over
         done = f - fn <= tolerance * max(1.0, abs(f))
         x, f, g = new, fn, gn
         if done:
