@@ -43,7 +43,7 @@ def pattern_values(patterns: DataFrame, evals: dict[int, Scenes], *, keys: tuple
                     v = (scene.log_likelihoods(x) if isinstance(scene, kernel.CodonPairScene) else kernel.log_likelihoods(scene, x))[:, None]
                     edges = np.array([-1])
                 else:
-                    v = kernel.edge_derivatives(scene, x) if want == "derivative" else kernel.expected_events(scene, x, scene.rewards[weights]) if want == "events" else kernel.dwell_fractions(scene, x, scene.dwell[weights])
+                    v = scene.expected_events(x, weights) if isinstance(scene, kernel.CodonPairScene) else kernel.edge_derivatives(scene, x) if want == "derivative" else kernel.expected_events(scene, x, scene.rewards[weights]) if want == "events" else kernel.dwell_fractions(scene, x, scene.dwell[weights])
                     edges = np.arange(v.shape[1])
                 out = rows.loc[rows.index.repeat(len(edges))].copy()
                 out["edge"] = np.tile(edges, len(rows))
@@ -74,6 +74,26 @@ def sitewise(obs: DataFrame, patterns: DataFrame, scenes: Scenes) -> DataFrame:
     return at.join(values, ["codon_position", "pattern"]).select("site", "lnl")
 
 
+def sitewise_edges(obs: DataFrame, patterns: DataFrame, scenes: Scenes, want: str, weights: str | None = None) -> DataFrame:
+    """site, edge, value: expected events or dwell of each site and edge."""
+    values = pattern_values(patterns, {0: scenes}, want=want, weights=weights).select("codon_position", "pattern", "edge", "value")
+    at = obs.select("site", "pattern", ((F.pmod("site", F.lit(3)) + 1) if len(scenes) > 1 else F.lit(1)).cast("int").alias("codon_position"))
+    return at.join(values, ["codon_position", "pattern"]).select("site", "edge", "value")
+
+
+def posterior_matrix(rows: DataFrame, sites: list[int] | None = None) -> DataFrame:
+    """A row an edge and a column a site; the long form is the one for many sites."""
+    return rows.groupBy("edge").pivot("site", sites).agg(F.first("value"))
+
+
+def distance_grid(pairs: DataFrame, evals: dict[float, Scenes]) -> DataFrame:
+    """log_p, space, lnl: lnL of the pairs of each distance at each point of a grid, in one job."""
+    number = dict(enumerate(sorted(evals)))
+    values = pattern_values(pairs, {k: evals[p] for k, p in number.items()}, keys=("space", "cs_i", "cs_j"))
+    names = F.create_map(*[c for k, p in number.items() for c in (F.lit(k), F.lit(float(p)))])
+    return values.groupBy(F.element_at(names, F.col("eval_id")).alias("log_p"), "space").agg(F.sum(F.col("n") * F.col("value")).alias("lnl"))
+
+
 def per_edge(patterns: DataFrame, scenes: Scenes, want: str, weights: str | None = None) -> dict[int, float]:
     return {r["edge"]: r["value"] for r in totals(pattern_values(patterns, {0: scenes}, want=want, weights=weights)).collect()}  # a row an edge
 

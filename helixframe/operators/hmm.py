@@ -29,6 +29,17 @@ def emissions(lnl: Column, lnl_no: Column, eta: float, p: float, length: float)
     return lnl_no - ln0, F.when(lnl_no <= lnl, lnl + F.log1p(-F.exp(lnl_no - lnl)) - ln1)
 
 
+def tract_sites(with_copies: DataFrame, without: DataFrame, index: DataFrame, *, codon: bool = False) -> DataFrame:
+    """site, nt_index, lnl, lnl_no: the two likelihoods of each site beside its place; a codon lies where its first symbol does."""
+    at = index.filter("codon_site = 1").select(F.floor(F.col("site") / 3).cast("int").alias("site"), "nt_index") if codon else index.select("site", "nt_index")
+    return with_copies.select("site", "lnl").join(without.select("site", F.col("lnl").alias("lnl_no")), "site").join(at, "site")
+
+
+def impossible(sites: DataFrame) -> DataFrame:
+    """The sites whose likelihood without copies is the larger: the model gives them none."""
+    return sites.filter("lnl_no > lnl")
+
+
 def lattice(sites: DataFrame, *, eta: float, p: float, length: float, group: str = "gene", codon: bool = False) -> DataFrame:
     """One row a group: steps in order of site, each with emissions and the transition from the site before.
 

@@ -169,33 +169,50 @@ class CodonPairScene:
     def root(self) -> str:
         return next(p for p, _ in self.edges if p not in {c for _, c in self.edges})
 
-    def along(self, k: int, m: np.ndarray) -> np.ndarray:
-        """exp of edge k's generator applied to messages m[pattern, copy 1, copy 2]."""
+    def along(self, k: int, m: np.ndarray, points: float = 1.0, into: tuple[float, float] = (1.0, 1.0)) -> np.ndarray:
+        """exp of edge k's generator applied to messages m[pattern, copy 1, copy 2]; the weights as in codon_pair_action."""
         from .rates import codon_pair_action
 
         t = float(self.lengths[k])
         if not self.paired[k]:  # only equal copies are reached, and these stay equal
             d = np.diagonal(m, axis1=1, axis2=2)
-            q = self.q.copy()
-            np.fill_diagonal(q, -q.sum(axis=1))
+            q = points * self.single
+            np.fill_diagonal(q, -self.single.sum(axis=1))
             out = np.zeros_like(m)
             i = np.arange(len(q))
             out[:, i, i] = d @ expm(q * t).T
             return out
-        rate = 2 * float(self.q.sum(axis=1).max() + self.t.max())
+        rate = 2 * float(self.q.sum(axis=-1).max() + self.t.max())
         steps = max(1, int(np.ceil(t * rate / 2.0)))
         h = t / steps
         for _ in range(steps):
             term, out = m, m
             for j in range(1, 60):
-                term = codon_pair_action(self.q, self.t, term) * (h / j)
+                term = codon_pair_action(self.q, self.t, term, points=points, into=into) * (h / j)
                 out = out + term
                 if np.abs(term).max() <= 1e-15 * np.abs(out).max():
                     break
             m = out
         return m
 
-    def log_likelihoods(self, patterns: np.ndarray) -> np.ndarray:
+    @property
+    def single(self) -> np.ndarray:
+        """The rates of one copy alone; a selection by the other copy's amino acid does not act on it."""
+        return self.q if self.q.ndim == 2 else np.stack([self.q[a, a] for a in range(len(self.q))])
+
+    def expected_events(self, patterns: np.ndarray, which: str, step: float = 1e-4) -> np.ndarray:
+        """Posterior expected number of events of each pattern and edge: ``mutations``, ``copies``, ``copies_2_1`` (into
+        copy 1) or ``copies_1_2``. The derivative of lnL by a weight on the jumps of one edge is the number of them."""
+        out = []
+        for k in range(len(self.edges)):
+            f = []
+            for w in (1 + step, 1 - step):
+                boost = {"mutations": dict(points=w), "copies": dict(into=(w, w)), "copies_2_1": dict(into=(w, 1.0)), "copies_1_2": dict(into=(1.0, w))}[which]
+                f.append(self.log_likelihoods(patterns, {k: boost}))
+            out.append((f[0] - f[1]) / (2 * step))
+        return np.stack(out, axis=1)
+
+    def log_likelihoods(self, patterns: np.ndarray, boost: dict[int, dict] | None = None) -> np.ndarray:
         n, s = len(patterns), len(self.pi)
         scale = np.zeros(n)
         order = [self.root]
@@ -211,7 +228,7 @@ class CodonPairScene:
                     m = m * (ok[:, :, None] if pos == 0 else ok[:, None, :])
             for k, (p, c) in enumerate(self.edges):
                 if p == node:
-                    m = m * self.along(k, below.pop(c))
+                    m = m * self.along(k, below.pop(c), **(boost or {}).get(k, {}))
             top = m.max(axis=(1, 2))
             top[top == 0] = 1.0
             below[node] = m / top[:, None, None]

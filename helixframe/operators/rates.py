@@ -213,13 +213,21 @@ def codon_pair(q: np.ndarray, tau_synonymous: float, tau_other: float) -> tuple[
     return q, t
 
 
-def codon_pair_action(q: np.ndarray, t: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """The generator of two codon copies applied to messages m[..., copy 1, copy 2], without its 3721 x 3721 matrix."""
-    r = q.sum(axis=1)
+def codon_pair_action(q: np.ndarray, t: np.ndarray, m: np.ndarray, *, points: float = 1.0, into: tuple[float, float] = (1.0, 1.0)) -> np.ndarray:
+    """The generator of two codon copies applied to messages m[..., copy 1, copy 2], without its 3721 x 3721 matrix.
+
+    ``q`` is 61 x 61, or [codon of the other copy, from, to]. ``points`` and ``into`` weigh the jumps by point changes and by
+    copies into copy 1 and copy 2, and leave the rates of staying as they are: what counts of events are derived by.
+    """
     d = np.diagonal(m, axis1=-2, axis2=-1)
-    out = q @ m + m @ q.T - (r[:, None] + r[None, :]) * m
-    out += t * (d[..., None, :] - m)  # copy 1 takes on what copy 2 holds
-    out += t.T * (d[..., :, None] - m)  # copy 2 takes on what copy 1 holds
+    if q.ndim == 2:
+        r = q.sum(axis=1)
+        out = points * (q @ m + m @ q.T) - (r[:, None] + r[None, :]) * m
+    else:
+        r = q.sum(axis=2)  # [other, own]
+        out = points * (np.einsum("bac,...cb->...ab", q, m) + np.einsum("abc,...ac->...ab", q, m)) - (r.T + r) * m
+    out += t * (into[0] * d[..., None, :] - m)  # copy 1 takes on what copy 2 holds
+    out += t.T * (into[1] * d[..., :, None] - m)  # copy 2 takes on what copy 1 holds
     return out
 
 

@@ -140,7 +140,8 @@ class CodonModel(Model):
     """Two paralogs of codons under Muse-Gaut with copies; both are there on edges into or below ``duplicated``.
 
     ``selection``: how a copy that changes the amino acid counts: ``none`` tau, ``omega`` omega * tau, ``own`` by a
-    parameter of its own, ``joint`` one parameter for the product.
+    parameter of its own, ``joint`` one parameter for the product, ``homo`` by the parameter that also selects the
+    mutations towards the other copy's amino acid.
     """
 
     duplicated: str = "N1"
@@ -152,13 +153,15 @@ class CodonModel(Model):
         return self.edge_order or self.tree.sorted_edges()
 
     def process_names(self) -> list[str]:
-        return ["%AG", "%A", "%C", "kappa", "omega", *{"own": ["omega_copy"], "joint": ["tau_omega"]}.get(self.selection, []), "tau"]
+        return ["%AG", "%A", "%C", "kappa", "omega", *{"own": ["omega_copy"], "joint": ["tau_omega"], "homo": ["omega_homo"]}.get(self.selection, []), "tau"]
 
     def scenes(self, x: np.ndarray) -> dict[object, object]:
         v = self.named(x)
         pi = rates.base_frequencies(v["%AG"], v["%A"], v["%C"])
-        other = {"none": v["tau"], "omega": v["omega"] * v["tau"], "own": v.get("omega_copy", 1.0) * v["tau"], "joint": v.get("tau_omega")}[self.selection]
+        other = {"none": v["tau"], "omega": v["omega"] * v["tau"], "own": v.get("omega_copy", 1.0) * v["tau"], "joint": v.get("tau_omega"), "homo": v.get("omega_homo", 1.0) * v["tau"]}[self.selection]
         q, t = rates.codon_pair(rates.mg94(pi, v["kappa"], v["omega"]), v["tau"], other)
+        if self.selection == "homo":
+            q = rates.homogenising(pi, v["kappa"], v["omega"], v["omega_homo"])
         post = post_duplication_edges(self.tree, self.duplicated)
         lengths = np.array([v[f"{a}__{b}"] for a, b in self.edges])
         return {1: CodonPairScene(self.edges, lengths, [e in post for e in self.edges], q, t, rates.codon_frequencies(pi), self.axes)}
@@ -219,6 +222,22 @@ def lengths_from_clock(tree: Tree, spine: list[str], height: float, ratios: list
     return {(a, b): at[a] - at.get(b, 0.0) for a, b in tree.edges}
 
 
+def clock_gradient(by_length: dict[tuple[str, str], float], tree: Tree, spine: list[str], height: float, ratios: list[float]) -> np.ndarray:
+    """Derivatives by ln(height) and by the logs of the ratios, from those by the logs of the lengths."""
+    at = [height]
+    for r in ratios:
+        at.append(at[-1] * r)
+    place = dict(zip(spine, at))
+    length = lengths_from_clock(tree, spine, height, ratios)
+    out = np.zeros(1 + len(ratios))
+    for (a, b), g in by_length.items():
+        slope = g / length[a, b]  # by the length itself
+        for k in range(len(out)):
+            ka, kb = spine.index(a), spine.index(b) if b in place else -1
+            out[k] += slope * ((place[a] if k <= ka else 0.0) - (place[b] if 0 <= kb and k <= kb else 0.0))
+    return out
+
+
 def no_copy_lnl(lnl_without: float | np.ndarray, tau: float, length: float):
     """lnL that no copy happens in ``length`` after the duplication: that at tau = 0, less 2 tau length."""
     return lnl_without - 2 * tau * length

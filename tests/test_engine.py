@@ -289,3 +289,78 @@ def test_forward_as_a_stream(spark, tmp_path):
     assert got["seen"] == 12 and got["lnl"] == pytest.approx(np.logaddexp(*f))
     append_events(spark.readStream.schema("key string, e0 double").parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 12
+
+
+def test_tracts_of_a_family(spark, family):
+    from helixframe.plans import tracts
+
+    tree, at, _, obs, patterns = family
+    m = JointModel(tree, at, event_group={"D1": 0})
+    x = dict(zip(m.names, m.start(PI, length=0.15))) | {"tau": np.log(1.6)}
+    x = np.array([x[n] for n in m.names])
+    sites = tracts.site_likelihoods(obs, patterns, m, x, tables.make_index(spark, 300))
+    assert hmm.impossible(sites).count() == 0
+    length = tracts.length_below(m, x)
+    total = engine.log_likelihood(patterns, {0: m.scenes(x)})[0]
+    grid = {r["log_p"]: r["lnl"] for r in hmm.surface(sites, tau=1.6, length=length, log_p=[0.0, -1.0]).collect()}
+    assert grid[0.0] == pytest.approx(total, rel=1e-9)  # copies of single sites
+    log_p, best = tracts.fit_tract(sites, 1.6, length, rounds=2, points=5)
+    assert best >= grid[0.0] and log_p < 0  # the alignment was made with tracts of four
+
+
+def test_codon_counts_are_the_score(spark):
+    tree = newick.parse("((A,B)N1,Out)N0")
+    axes = [("A", 0), ("A", 1), ("B", 0), ("B", 1), ("Out", 0), ("Out", 1)]
+    x = np.random.default_rng(1).integers(0, 61, (3, 6))
+    x[:, 1] = x[:, 0]
+    x[:, 5] = x[:, 4]
+    for selection in ("omega", "homo"):
+        m = CodonModel(tree, axes, selection=selection)
+        v = dict(zip(m.names, m.start(PI, length=0.2)))
+        y = np.array([v[n] for n in m.names])
+        s = m.scenes(y)[1]
+        parts = {w: s.expected_events(x, w) for w in ("mutations", "copies", "copies_1_2", "copies_2_1")}
+        assert np.allclose(parts["copies"], parts["copies_1_2"] + parts["copies_2_1"], atol=1e-6)
+        # the score of tau on a log scale is copies made less copies to be expected while the copies differ
+        step, k = 1e-5, m.names.index("tau")
+        up, down = y.copy(), y.copy()
+        up[k] += step
+        down[k] -= step
+        score = (m.scenes(up)[1].log_likelihoods(x) - m.scenes(down)[1].log_likelihoods(x)) / (2 * step)
+        assert np.all(score <= parts["copies"].sum(axis=1) + 1e-6) and np.all(parts["mutations"] >= -1e-6)
+    rows = spark.createDataFrame([(1, r.tolist(), 2) for r in x], "codon_position int, pattern array<int>, n long")
+    by_edge = engine.per_edge(rows, {1: s}, "events", "copies")
+    assert np.allclose([by_edge[k] for k in range(len(m.edges))], 2 * parts["copies"].sum(axis=0))
+
+
+def test_sites_by_edges_and_distance_grid(spark, family):
+    tree, at, _, obs, patterns = family
+    m = JointModel(tree, at, event_group={"D1": 0})
+    s = m.scenes(m.start(PI, length=0.1))
+    long = engine.sitewise_edges(obs, patterns, s, "events", "copies")
+    assert long.groupBy("edge").agg(F.sum("value")).count() == len(m.edges)
+    total = engine.per_edge(patterns, s, "events", "copies")
+    assert {r["edge"]: pytest.approx(r["v"], abs=1e-9) for r in long.groupBy("edge").agg(F.sum("value").alias("v")).collect()} == total
+    assert len(engine.posterior_matrix(long, [0, 1, 2]).columns) == 4
+    pairs = encode.pair_patterns(obs, encode.site_pairs(tables.make_index(spark, 300).filter("site < 12"), spaces=[1, 2]))
+    groups = [tuple(r) for r in pairs.select("space", "cs_i", "cs_j").distinct().collect()]
+    p = PairSiteModel(tree, [(n, k) for n, q in at for k in (2 * q, 2 * q + 1)], groups=groups)
+    points = {}
+    for lp in (0.0, -1.0):
+        v = dict(zip(p.names, p.start(PI, length=0.1))) | {"init_rate": np.log(0.2), "tract_p": lp}
+        points[lp] = p.scenes(np.array([v[n] for n in p.names]))
+    grid = engine.distance_grid(pairs, points).collect()
+    assert len(grid) == 4 and all(np.isfinite(r["lnl"]) for r in grid)
+
+
+def test_clock_gradient():
+    from helixframe.plans.models import clock_gradient
+
+    t = newick.parse("((a,b)N1,c)N0")
+    f = lambda l: sum((k + 1) * np.log(v) ** 2 for k, v in enumerate(l.values()))
+    at = lengths_from_clock(t, ["N0", "N1"], 2.0, [0.25])
+    by = {e: 2 * (k + 1) * np.log(v) for k, (e, v) in enumerate(at.items())}
+    got = clock_gradient(by, t, ["N0", "N1"], 2.0, [0.25])
+    h = 1e-6
+    want = [(f(lengths_from_clock(t, ["N0", "N1"], 2 * np.exp(h), [0.25])) - f(at)) / h, (f(lengths_from_clock(t, ["N0", "N1"], 2.0, [0.25 * np.exp(h)])) - f(at)) / h]
+    assert np.allclose(got, want, atol=1e-4)
