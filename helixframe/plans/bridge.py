@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.alphabet import nucleotide_state
 from ..sources.newick import parse, splice
 
-SITES = 60
 TREE = "(((en,de)N2,fr)N1,es)N0"
 
 
@@ -17,9 +16,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, seq: the first SITES letters A, C, G, T of each document."""
+    """doc_id, lang, source, seq: the letters A, C, G, T of each document."""
     letters = F.upper(F.regexp_replace("text", "[^ACGTacgt]", ""))
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.substring(letters, 1, SITES).alias("seq"))
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", letters.alias("seq"))
 
 
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,10 +44,13 @@ def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def family_patterns(spark: SparkSession, sf_dir: str):
-    """Tree, axes and patterns: of each source the first document in each language, as genes of one copy each."""
+    """Tree, axes and patterns: of each source the first document in each language, as genes of one copy each.
+
+    The genes of a source begin together; what one of them lacks at the end is missing.
+    """
     tree = splice(parse(TREE), [("N0_N1", ["D1"])])
     langs = ["de", "en", "es", "fr"]
-    first = sequences(spark, sf_dir).filter(F.length("seq") == SITES).groupBy("source", "lang").agg(F.min_by("seq", "doc_id").alias("seq"))
+    first = sequences(spark, sf_dir).groupBy("source", "lang").agg(F.min_by("seq", "doc_id").alias("seq"))
     states = first.select("source", "lang", F.posexplode(F.split("seq", "")).alias("pos", "symbol")).filter("symbol <> ''").select("source", "lang", "pos", nucleotide_state(F.col("symbol")).alias("st"))
     wide = states.groupBy("source", "pos").agg(*[F.coalesce(F.max(F.when(F.col("lang") == k, F.col("st"))), F.lit(-1)).alias(k) for k in langs])
     patterns = wide.select(F.lit(1).alias("codon_position"), F.array(*langs).alias("pattern")).groupBy("codon_position", "pattern").agg(F.count(F.lit(1)).alias("n"))

@@ -19,8 +19,8 @@ KAPPA, OMEGA, TAU = 2.5, 0.4, 1.5
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 #: Common parts of the SQL.
-SEQ = "seq as (select doc_id, lang, source, substr(upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')), 1, 60) seq from documents)"
-TOK = SEQ + ", tok as (select doc_id, lang, source, cast(p.pos as int) pos, cast(strpos('ACGT', substr(seq, cast(p.pos as int) + 1, 1)) - 1 as int) st from seq, range(60) p(pos) where p.pos < length(seq))"
+SEQ = "seq as (select doc_id, lang, source, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) seq from documents)"
+TOK = SEQ + ", sym as (select doc_id, lang, source, unnest(range(length(seq))) pos, unnest(string_split(seq, '')) sym from seq where seq <> ''), tok as (select doc_id, lang, source, cast(pos as int) pos, cast(strpos('ACGT', sym) - 1 as int) st from sym)"
 COMP = TOK + ", comp as (select substr('ACGT', st + 1, 1) nt, st, count(*) n, count(*) * 1.0 / sum(count(*)) over () freq from tok group by st)"
 HKY = COMP + f""", raw as (select a.st x, b.st y, a.freq px, b.freq * case when abs(a.st - b.st) = 2 then {KAPPA} else 1.0 end r from comp a, comp b where a.st <> b.st),
  hky as (select x, y, r / (select sum(px * r) from raw) q from raw)"""
@@ -60,13 +60,13 @@ def q02_base_composition(spark, d):
     return composition(spark, d).select("nt", "n", _r(F.col("freq")).alias("freq"), _r(F.log("freq")).alias("log_freq"))
 
 
-@query(f"with {SEQ} select doc_id, cast(k.k as int) codon_no, substr(seq, cast(k.k as int) * 3 + 1, 3) codon from seq, range(20) k(k) where length(seq) % 3 = 0 and k.k < length(seq) / 3")
+@query(f"with {SEQ} select doc_id, cast(k as int) codon_no, substr(seq, cast(k as int) * 3 + 1, 3) codon from (select doc_id, seq, unnest(range(length(seq) // 3)) k from seq where length(seq) % 3 = 0)")
 def q03_codon_tokens(spark, d):
     rows = sequences(spark, d).select("doc_id", F.posexplode(alphabet.codons(F.col("seq"))).alias("codon_no", "codon"))
     return rows.select("doc_id", "codon_no", "codon")
 
 
-@query(f"with {SEQ}, k as (select substr(seq, cast(k.k as int) * 3 + 1, 3) codon from seq, range(20) k(k) where length(seq) % 3 = 0 and k.k < length(seq) / 3) select aa, count(*) n from k join (select unnest({list(alphabet.AMINO_ACID)!r}) codon, unnest({list(alphabet.AMINO_ACID.values())!r}) aa) using (codon) group by aa")
+@query(f"with {SEQ}, k as (select substr(seq, cast(k as int) * 3 + 1, 3) codon from (select seq, unnest(range(length(seq) // 3)) k from seq where length(seq) % 3 = 0)) select aa, count(*) n from k join (select unnest({list(alphabet.AMINO_ACID)!r}) codon, unnest({list(alphabet.AMINO_ACID.values())!r}) aa) using (codon) group by aa")
 def q04_translate_codons(spark, d):
     rows = sequences(spark, d).select(F.explode(alphabet.codons(F.col("seq"))).alias("codon"))
     return rows.select(alphabet.amino_acid(F.col("codon")).alias("aa")).groupBy("aa").agg(F.count(F.lit(1)).alias("n"))
@@ -153,11 +153,11 @@ def q16_site_pairs_theta(spark, d):
     return p.groupBy((F.col("i") % 3 + 1).alias("cs_i"), (F.col("j") % 3 + 1).alias("cs_j"), "space").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("with x as (select range pos from range(60)) select b.pos - a.pos as space, count(distinct (a.pos % 3) * 3 + b.pos % 3) codon_pairs, count(*) n from x a join x b on a.pos < b.pos group by all")
+@query("select b.n_nationkey - a.n_nationkey as space, count(distinct a.n_regionkey * 10 + b.n_regionkey) codon_pairs, count(*) n from nation a join nation b on a.n_nationkey < b.n_nationkey group by all")
 def q17_spaces_distinct(spark, d):
-    from .sources.tables import make_index
-
-    return encode.available_pairs(encode.site_pairs(make_index(spark, bridge.SITES))).select(F.col("space").cast("long").alias("space"), F.size("codon_pairs").cast("long").alias("codon_pairs"), "n")
+    k = F.col("n_nationkey")
+    index = table(spark, d, "nation").select(k.alias("site"), k.alias("nt_index"), k.alias("codon"), F.col("n_regionkey").alias("codon_site"))
+    return encode.available_pairs(encode.site_pairs(index)).select("space", F.size("codon_pairs").cast("long").alias("codon_pairs"), "n")
 
 
 @query(f"with {TOK} select b.pos - a.pos as space, 4 * a.st + b.st code, count(*) n from tok a join tok b on a.doc_id = b.doc_id and b.pos - a.pos between 1 and 4 group by all")
@@ -219,9 +219,8 @@ def q25_argmin_config(spark, d):
 def q26_hamming_transitions(spark, d):
     s = sequences(spark, d).select("doc_id", "seq")
     p = s.join(s.select((F.col("doc_id") - 1).alias("doc_id"), F.col("seq").alias("other")), "doc_id")
-    n = F.least(F.length("seq"), F.length("other"))
-    at = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.struct(F.substring("seq", k, F.lit(1)).alias("x"), F.substring("other", k, F.lit(1)).alias("y")))
-    p = p.filter(n > 0).withColumn("at", at)
+    at = F.zip_with(F.split("seq", ""), F.split("other", ""), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    p = p.withColumn("at", F.filter(at, lambda z: (z["x"] != "") & (z["y"] != ""))).filter(F.size("at") > 0)
     count = lambda f: F.size(F.filter("at", f)).cast("long")
     ts = lambda z: F.concat(z["x"], z["y"]).isin("AG", "GA", "CT", "TC")
     return p.select("doc_id", F.size("at").cast("long").alias("sites"), count(lambda z: z["x"] != z["y"]).alias("differences"), count(ts).alias("transitions"))
@@ -434,7 +433,7 @@ def q48_simulate_branch(spark, d):
 
     tree, _, _ = bridge.family_patterns(spark, d)
     pi = np.array([0.3, 0.2, 0.2, 0.3])
-    setting = simulate.Setting(tree, configurations(tree, {"D1": 0}), {e: 0.2 for e in tree.edges}, rates.hky(pi, KAPPA), pi, bridge.SITES, init=0.05, p=0.1, seed=7)
+    setting = simulate.Setting(tree, configurations(tree, {"D1": 0}), {e: 0.2 for e in tree.edges}, rates.hky(pi, KAPPA), pi, 60, init=0.05, p=0.1, seed=7)
     return simulate.simulate(spark, setting, 40)[0]
 
 
