@@ -19,7 +19,7 @@ from .common import connected_components, cut, dealt
 LETTERS = "etanhiords"
 WIDTH = 6  # bits of a count
 LOW = -(1 << 63)
-BITMAP = 1 << 20
+BITMAP = 1 << 22
 
 
 def occurrences(docs: DataFrame, id: str, text: str, min_chars: int) -> DataFrame:
@@ -33,8 +33,11 @@ def _hashes(norm: Column) -> tuple[Column, Column]:
 
 
 def _letter_counts(norm: Column) -> Column:
-    size, most = F.octet_length(norm), (1 << WIDTH) - 1
-    counts = [F.least(size - F.octet_length(F.replace(norm, F.lit(c), F.lit(""))), F.lit(most)).cast("long") for c in LETTERS]
+    most, left, counts = (1 << WIDTH) - 1, norm, []
+    for c in LETTERS:  # each letter is taken out of what the ones before have left
+        rest = F.replace(left, F.lit(c), F.lit(""))
+        counts.append(F.least(F.octet_length(left) - F.octet_length(rest), F.lit(most)).cast("long"))
+        left = rest
     return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(c, WIDTH * k) for k, c in enumerate(counts)])
 
 
@@ -134,11 +137,12 @@ def bitmap(hashes: DataFrame, column: str):
 def links(docs: DataFrame, at: DataFrame, *, id: str = "doc_id", text: str = "text", edits: int = 2, min_chars: int = 10) -> DataFrame:
     """a1, a2, b1, b2: digests of every two distinct normalised lines within ``edits`` edits. ``at``: the places of docs."""
     pairs = cut(candidates(occurrences(docs, id, text, min_chars).select("norm"), edits))
-    # the texts of candidates are read again from one document for each, past bitmaps of the documents and of the lines
+    # the texts of candidates are read again from one document for each, past bitmaps of the lines and of the documents
     ends = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
-    ends = cut(at.groupBy("h1", "h2").agg(F.min("__h").alias("__h")).join(dealt(ends), "h1"))
+    known = bitmap(ends, "h1")
+    ends = cut(at.filter(known(F.col("h1"))).join(dealt(ends), "h1").groupBy("h1", "h2").agg(F.min("__h").alias("__h")))
     some = docs.filter(bitmap(ends, "__h")(F.xxhash64(id, text)))
-    texts = occurrences(some, id, text, min_chars).filter(bitmap(ends, "h1")(F.xxhash64("norm"))).select("norm").distinct().select("norm", *_hashes(F.col("norm")))
+    texts = occurrences(some, id, text, min_chars).filter(known(F.xxhash64("norm"))).select("norm").distinct().select("norm", *_hashes(F.col("norm")))
     a, b = texts.select(F.col("norm").alias("na"), F.col("h1").alias("a"), F.col("h2").alias("a2")), texts.select(F.col("norm").alias("nb"), F.col("h1").alias("b"), F.col("h2").alias("b2"))
     near = pairs.join(a, "a").join(b, "b").filter(within(F.col("na"), F.col("nb"), edits))
     return near.select(F.col("a").alias("a1"), "a2", F.col("b").alias("b1"), "b2")
@@ -157,11 +161,14 @@ def repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", edits: i
     classes = connected_components(near.select(name("a1", "a2").alias("a"), name("b1", "b2").alias("b")))
     low = lambda c, k: F.conv(F.substring(c, k, 16), 16, -10).cast("long")
     classes = classes.select(low("node", 1).alias("h1"), low("node", 17).alias("h2"), low("component", 1).alias("c1"), low("component", 17).alias("c2"))
-    all_ = at.join(cut(classes), ["h1", "h2"], "left").select("__id", "__h", "k", F.coalesce("c1", "h1").alias("c1"), F.coalesce("c2", "h2").alias("c2"))
     place = F.struct("__id", "__h", "k")
-    firsts = dealt(all_.groupBy("c1", "c2").agg(F.min(place).alias("f"), F.max(place).alias("l")).filter("f <> l").select("c1", "c2", "f"))
-    found = all_.join(firsts, ["c1", "c2"]).filter(place != F.col("f")).select("__id", "__h", "k", F.col("f.__id").alias("first_id"), F.col("f.k").alias("first_line"))
-    return found.distinct()
+    lines = at.groupBy("h1", "h2").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n")).join(dealt(classes), ["h1", "h2"], "left").filter("n > 1 or c1 is not null")
+    lines = cut(lines.select("h1", "h2", "f", F.coalesce("c1", "h1").alias("c1"), F.coalesce("c2", "h2").alias("c2")))
+    firsts = lines.groupBy("c1", "c2").agg(F.min("f").alias("first"))
+    lines = lines.join(firsts, ["c1", "c2"]).select("h1", "h2", "first")
+    # what is not repeated goes no further than a bitmap of what is
+    found = at.filter(bitmap(lines, "h1")(F.col("h1"))).join(dealt(lines), ["h1", "h2"]).filter(place != F.col("first"))
+    return found.select("__id", "__h", "k", F.col("first.__id").alias("first_id"), F.col("first.k").alias("first_line")).distinct()
 
 
 def dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", edits: int = 2, min_chars: int = 10, out: str = "removed") -> DataFrame:
