@@ -23,6 +23,15 @@ def is_transition(a: str, b: str) -> bool:
     return {a, b} in ({"A", "G"}, {"C", "T"})
 
 
+def is_nonsynonymous(a: str, b: str) -> bool:
+    return AMINO_ACID[a] != AMINO_ACID[b]
+
+
+def is_homogenising(a: str, b: str) -> bool:
+    """Whether two codons stand for one amino acid."""
+    return AMINO_ACID[a] == AMINO_ACID[b]
+
+
 def nucleotide_state(symbol: Column, *, any_case: bool = True) -> Column:
     """0 to 3 for A, C, G, T, -1 for all else and for null."""
     s = F.upper(symbol) if any_case else symbol

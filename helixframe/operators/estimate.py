@@ -100,8 +100,9 @@ def minimise(fun: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarra
     return x, f
 
 
-def fit(patterns: DataFrame, model: Model, x: np.ndarray | None = None, *, save: str | None = None, every: int = 2, **kw) -> tuple[np.ndarray, float]:
-    """Maximum likelihood: x and lnL. With ``save`` x is written every so many rounds, and a run that was cut short goes on there."""
+def fit(patterns: DataFrame, model: Model, x: np.ndarray | None = None, *, save: str | None = None, every: int = 2, history: str | None = None, **kw) -> tuple[np.ndarray, float]:
+    """Maximum likelihood: x and lnL. With ``save`` x is written every so many rounds, and a run that was cut short goes on
+    there; ``history`` is a text file that each round adds its lnL, x and gradient to."""
     from ..sources.tables import load_x, save_x
 
     held = load_x(save) if save else None
@@ -114,6 +115,9 @@ def fit(patterns: DataFrame, model: Model, x: np.ndarray | None = None, *, save:
     def log(k: int, f: float, v: np.ndarray, g: np.ndarray) -> None:
         if save and k % every == 0:
             save_x(v, save)
+        if history:
+            with open(history, "a") as h:
+                h.write("\t".join(f"{n:.12g}" for n in (-f, *v, *-g)) + "\n")
 
     bounds = [(v, v) if k in model.force else b for (k, b), v in zip(enumerate(model.bounds()), x)]
     x, f = minimise(fun, x, bounds, log=log, **kw)

@@ -205,6 +205,31 @@ def pair_site_single(q_a: np.ndarray, q_b: np.ndarray) -> np.ndarray:
     return out
 
 
+def pair_site_brute(q_a: np.ndarray, q_b: np.ndarray, n: int, init: float, p: float) -> np.ndarray:
+    """The rates of ``pair_site`` by trying every two states; for tests."""
+    one, both = init / p * (1 - (1 - p) ** n), init / p * (1 - p) ** n
+    all_ = states(4)
+    out = np.zeros((256, 256))
+    for (i, a), (j, b) in product(enumerate(all_), repeat=2):
+        at = np.flatnonzero(a != b)
+        copies = {tuple(at // 2)}
+        if len(at) == 1:
+            k = int(at[0])
+            q = (q_a, q_b)[k % 2]
+            out[i, j] = q[a[k], b[k]]
+            if a[(k + 2) % 4] == b[k]:
+                out[i, j] += one + (both if a[k ^ 1] == a[((k ^ 1) + 2) % 4] else 0.0)
+        elif len(at) == 2 and copies in ({(0, 0)}, {(1, 1)}) and all(b[k] == a[(k + 2) % 4] for k in at):
+            out[i, j] = both
+    return out
+
+
+def relation(process: Process) -> list[tuple[int, int, float, float]]:
+    """from, to, rate and share of copies of every rate that is not zero: the sparse form."""
+    share = process.copy_share()
+    return [(int(i), int(j), float(process.rates[i, j]), float(share[i, j])) for i, j in zip(*np.nonzero(process.rates))]
+
+
 def codon_pair(q: np.ndarray, tau_synonymous: float, tau_other: float) -> tuple[np.ndarray, np.ndarray]:
     """Point rates of 61 codons, and T[a, b]: the rate at which a copy holding a takes on b of the other copy."""
     aa = np.array([AMINO_ACID[c] for c in SENSE_CODONS])

@@ -49,7 +49,11 @@ class Model:
         if self.transformation == "Exp_Neg":  # shares stay as they are
             v[:3] = x[:3]
         for k, f in self.force.items():
+            if not 0 <= k < len(v):
+                raise ValueError(f"no parameter {k} to force")
             v[k] = f
+        if not (np.all((v[:3] > 0) & (v[:3] < 1)) and np.all(v[3:] >= 0)):
+            raise ValueError("shares lie between 0 and 1, and all else is not negative")
         return v
 
     def named(self, x: np.ndarray) -> dict[str, float]:

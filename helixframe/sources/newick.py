@@ -137,6 +137,24 @@ def post_duplication_edges(tree: Tree, node: str) -> set[tuple[str, str]]:
     return {(p, c) for p, c in tree.edges if c in inside}
 
 
+def with_duplicated_root(tree: Tree, node: str) -> Tree:
+    """The tree with a root ``dup`` above, where the duplication is at the root itself."""
+    return Tree([("dup", tree.root), *tree.edges], dict(tree.lengths)) if node == tree.root else tree
+
+
+def three_epochs(tree: Tree) -> Tree:
+    """The tree with its inner nodes numbered from N2, depth first, and two edges N0, N1, N2 above its root, on which the first
+    and the second duplication stand."""
+    inner = [n for n in tree.depth_first() if tree.children(n)]
+    new = {n: f"N{k + 2}" for k, n in enumerate(inner)}
+    return Tree([("N0", "N1"), ("N1", "N2"), *[(new[a], new.get(b, b)) for a, b in tree.edges]])
+
+
+def report(tree: Tree, confs: dict | None = None) -> str:
+    """A line for each node: its kind, its parent and its configuration."""
+    return "\n".join(f"{'  ' * (len(tree.path(n)) - 1)}{n} ({node_kind(n)})" + (f" {list(confs[n])}" if confs and n in confs else "") for n in tree.depth_first())
+
+
 def read_tree(spark: SparkSession, path: str) -> Tree:
     return parse(spark.read.text(path, wholetext=True).first()["value"])
 

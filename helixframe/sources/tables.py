@@ -85,6 +85,11 @@ def write_sitewise(rows: DataFrame, path: str) -> None:
     rows.select(F.col("site").alias("#Site"), F.col("lnl").alias("lnL")).sort("#Site").write.mode("overwrite").option("header", True).csv(path, sep="\t")
 
 
+def write_pairwise(rows: DataFrame, path: str) -> None:
+    """space, i, j and lnl of pairs of sites, in that order, under a header."""
+    rows.select("space", "i", "j", "lnl").sort("space", "i", "j").write.mode("overwrite").option("header", True).csv(path, sep="\t")
+
+
 def read_summary(spark: SparkSession, path: str) -> DataFrame:
     """label, value of a summary: one number a line, and a last line ``# labels``."""
     lines = [r["value"] for r in spark.read.text(path).collect()]  # some dozen numbers

@@ -99,7 +99,11 @@ def test_fit_finds_the_parameters(family, tmp_path):
     tree, at, _, _, patterns = family
     m = JointModel(tree, at, event_group={"D1": 0})
     save = str(tmp_path / "x.txt")
-    x, lnl = estimate.fit(patterns, m, m.start(PI, length=0.1), rounds=25, save=save)
+    x, lnl = estimate.fit(patterns, m, m.start(PI, length=0.1), rounds=25, save=save, history=str(tmp_path / "rounds.txt"))
+    rounds = np.loadtxt(tmp_path / "rounds.txt", ndmin=2)
+    assert rounds.shape[1] == 1 + 2 * len(m.names) and np.all(np.diff(rounds[:, 0]) > -1e-6)
+    with pytest.raises(ValueError):
+        JointModel(tree, at, event_group={"D1": 0}, force={0: 1.5}).scenes(x)
     assert lnl > engine.log_likelihood(patterns, {0: m.scenes(m.start(PI, length=0.1))})[0] + 5
     v = m.named(x)
     assert 1.5 < v["kappa"] < 6 and 0.3 < v["tau"] < 8
@@ -266,6 +270,9 @@ def test_files(spark, tmp_path):
     tables.write_sitewise(s.coalesce(1), str(tmp_path / "sw"))
     assert sorted(map(tuple, tables.read_sitewise(spark, str(tmp_path / "sw")).collect())) == [(0, -1.0), (1, -2.0)]
     assert tables.load_x(str(tmp_path / "none")) is None
+    pairs = spark.createDataFrame([(1, 0, 1, -2.5)], "space int, i int, j int, lnl double")
+    tables.write_pairwise(pairs, str(tmp_path / "pw"))
+    assert spark.read.csv(str(tmp_path / "pw"), sep="\t", header=True).count() == 1
     tables.append_log(s, str(tmp_path / "log"))
     tables.append_log(s, str(tmp_path / "log"))
     assert spark.read.parquet(str(tmp_path / "log")).count() == 4

@@ -1,11 +1,11 @@
 import numpy as np
 import pytest
 
-from helixframe.functions.alphabet import AMINO_ACID, CODON_STATE, SENSE_CODONS
+from helixframe.functions.alphabet import AMINO_ACID, CODON_STATE, SENSE_CODONS, is_homogenising, is_nonsynonymous
 from helixframe.functions.matrix import expm, generator, integral
 from helixframe.operators import kernel, rate_relations, rates
 from helixframe.operators.histories import accessible_pairs, configurations, processes, runs, without_root
-from helixframe.sources.newick import node_kind, parse, post_duplication_edges, splice
+from helixframe.sources.newick import node_kind, parse, post_duplication_edges, report, splice, three_epochs, with_duplicated_root
 
 PI = rates.base_frequencies(0.55, 0.4, 0.6)
 PRIMATES = "((((Chimpanzee,Gorilla)N3,Orangutan)N2,Macaque)N1,Tamarin)N0"
@@ -31,6 +31,10 @@ def test_tree_and_histories():
     assert len(kinds) == 2 and of[("N0", "D1")] == 0 and of[("D1", "N1")] == 1
     assert ("D1", "N1") in post_duplication_edges(d, "D1") and ("N0", "Tamarin") not in post_duplication_edges(d, "D1")
     assert accessible_pairs(list(conf.values())) == [(1, 2)]
+    three = three_epochs(parse("((a,b)x,c)y"))
+    assert three.path("a") == ["N0", "N1", "N2", "N3", "a"] and with_duplicated_root(t, "N0").root == "dup" and with_duplicated_root(t, "N1").root == "N0"
+    assert "D1 (duplication) [(1, 1), (2, 1)]" in report(d, conf)
+    assert is_homogenising("CTT", "TTA") and is_nonsynonymous("ATG", "ATA")
     assert runs([5, 1, 2, 3, 7, 8]) == [(1, 3), (5, 5), (7, 8)]
 
 
@@ -77,6 +81,26 @@ def test_joint_equals_brute_force(conf):
     assert np.all((p.copy_share() + p.mutation_share() == 1) | (p.rates == 0))
 
 
+def test_pair_site_equals_brute_force():
+    q = rates.hky(PI, 2.0)
+    p = rates.pair_site(q, 1.5 * q, 3, 0.2, 0.3)
+    assert np.allclose(p.rates, rates.pair_site_brute(q, 1.5 * q, 3, 0.2, 0.3))
+    rows = rates.relation(p)
+    assert len(rows) == 3360 and all(0 <= s <= 1 for *_, s in rows)
+
+
+def test_three_copies_are_the_general_model():
+    """Three epochs: one copy, two and three; the last has each of its copies changed by the two others."""
+    q = rates.hky(PI, 2.0)
+    tau = {(a, b): 0.1 * (3 * a + b) for a in (2, 3, 4) for b in (2, 3, 4) if a != b}
+    last = rates.joint(((3, 1), (4, 1), (2, 1)), q, tau).rates
+    s = int("012", 4)
+    assert last[s, int("112", 4)] == pytest.approx(q[0, 1] + tau[4, 3]) and last[s, int("212", 4)] == pytest.approx(q[0, 2] + tau[2, 3])
+    assert last[s, int("312", 4)] == pytest.approx(q[0, 3])
+    two = rates.joint(((1, 1), (1, 1), (2, 1)), q, {(1, 2): 0.5, (2, 1): 0.7}).rates
+    assert two[int("001", 4), int("111", 4)] == pytest.approx(q[0, 1] + 0.7) and two[int("001", 4), int("101", 4)] == 0
+
+
 def test_copy_rates():
     pairs = [(1, 2), (1, 3), (2, 3)]
     assert set(rates.copy_rates("one", pairs, [2.0]).values()) == {2.0}
