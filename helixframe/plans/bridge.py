@@ -27,6 +27,12 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "lang", "source", "pos", nucleotide_state(F.col("symbol")).alias("st"))
 
 
+def state_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, lang, st: the states of each document's letters in one row, for what stays within a document."""
+    symbols = F.filter(F.split("seq", ""), lambda c: c != "")
+    return sequences(spark, sf_dir).select("doc_id", "lang", F.transform(symbols, lambda c: nucleotide_state(c)).alias("st"))
+
+
 def composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """nt, n, freq over all letters."""
     from ..operators.encode import base_composition

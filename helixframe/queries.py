@@ -79,8 +79,7 @@ def q05_codon_position_counts(spark, d):
 
 @query(f"with {TOK} select 4 * a.st + b.st code, a.st a, b.st b, count(*) n from tok a join tok b on a.doc_id = b.doc_id and b.pos = a.pos + 1 where a.pos % 2 = 0 group by all")
 def q06_pair_encode_decode(spark, d):
-    pair = sites(spark, d).groupBy("doc_id", F.floor(F.col("pos") / 2).alias("k")).agg(F.max(F.when(F.col("pos") % 2 == 0, F.col("st"))).alias("x"), F.max(F.when(F.col("pos") % 2 == 1, F.col("st"))).alias("y")).filter("x is not null and y is not null")
-    code = pair.select(alphabet.pair_code(F.col("x"), F.col("y")).alias("code"))
+    code = _pairs(spark, d, [1]).filter(F.col("i") % 2 == 0).select(alphabet.pair_code(F.col("sa"), F.col("sb")).alias("code"))
     a, b = alphabet.pair_decode(F.col("code"))
     return code.select("code", a.alias("a"), b.alias("b")).groupBy("code", "a", "b").agg(F.count(F.lit(1)).alias("n"))
 
@@ -113,8 +112,9 @@ def q10_node_kind_predicates(spark, d):
 
 @query(f"with {TOK}, w as (select lang, pos // 3 k, doc_id, string_agg(cast(st as varchar), ',' order by pos) pattern, count(*) c from tok group by all) select lang, pattern, count(*) n from w where c = 3 group by all")
 def q11_site_pattern_compression(spark, d):
-    w = sites(spark, d).groupBy("lang", "doc_id", F.floor(F.col("pos") / 3).alias("k")).agg(F.array_sort(F.collect_list(F.struct("pos", "st"))).alias("a")).filter(F.size("a") == 3)
-    return w.select("lang", F.array_join(F.transform("a", lambda x: x["st"].cast("string")), ",").alias("pattern")).groupBy("lang", "pattern").agg(F.count(F.lit(1)).alias("n"))
+    st = bridge.state_arrays(spark, d).withColumn("n", F.floor(F.size("st") / 3).cast("int")).filter("n > 0")
+    w = st.select("lang", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.slice("st", k * 3 + 1, F.lit(3)))).alias("a"))
+    return w.select("lang", F.array_join(F.transform("a", lambda x: x.cast("string")), ",").alias("pattern")).groupBy("lang", "pattern").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select lang, quality, toxic, count(*) n, sum(n_chars) chars from documents join labels using (doc_id) group by all")
@@ -141,10 +141,15 @@ def q15_outgroup_coalesce(spark, d):
 
 
 def _pairs(spark, d, spaces):
-    """Pairs of sites of one document that are these distances apart, by an equi-join on the place looked for."""
-    s = sites(spark, d).select("doc_id", "pos", "st")
-    a = s.select("doc_id", F.col("pos").alias("i"), F.col("st").alias("sa"), F.explode(F.array(*map(F.lit, spaces))).alias("space")).withColumn("j", F.col("i") + F.col("space"))
-    return a.join(s.select("doc_id", F.col("pos").alias("j"), F.col("st").alias("sb")), ["doc_id", "j"])
+    """doc_id, lang, space, i, j, sa, sb: pairs of sites of one document that are these distances apart.
+
+    Both sites lie in one row, so the pairs are made there, without a join or a shuffle.
+    """
+    rows = bridge.state_arrays(spark, d).select("doc_id", "lang", "st", F.explode(F.array(*map(F.lit, spaces))).alias("space"))
+    n = F.greatest(F.size("st") - F.col("space"), F.lit(0))
+    both = F.zip_with(F.slice("st", F.lit(1), n), F.slice("st", F.col("space") + 1, n), lambda x, y: F.struct(x.alias("sa"), y.alias("sb")))
+    rows = rows.select("doc_id", "lang", "space", F.posexplode(both).alias("i", "p"))
+    return rows.select("doc_id", "lang", "space", "i", (F.col("i") + F.col("space")).alias("j"), "p.sa", "p.sb")
 
 
 @query(f"with {TOK} select a.pos % 3 + 1 cs_i, b.pos % 3 + 1 cs_j, b.pos - a.pos as space, count(*) n from tok a join tok b on a.doc_id = b.doc_id and a.pos < b.pos and a.pos // 3 <> b.pos // 3 and b.pos - a.pos <= 6 group by all")
@@ -402,8 +407,8 @@ def q44_dwell_fraction(spark, d):
 @query(f"""with {TOK}, g as (select cast(range as int) eval_id, 0.1 * (range + 1) t from range(8)), p as (select a.lang, sum(case when a.st = b.st then 1 else 0 end) same, sum(case when a.st <> b.st then 1 else 0 end) other from tok a join tok b on a.doc_id = b.doc_id and b.pos = a.pos + 1 group by all)
  select eval_id, lang, round(same * ln(0.25 + 0.75 * exp(-t)) + other * ln(0.25 - 0.25 * exp(-t)), 4) lnl from p, g""")
 def q45_perturbation_grid(spark, d):
-    p = _pairs(spark, d, [1]).groupBy("doc_id", (F.col("sa") == F.col("sb")).alias("eq")).agg(F.count(F.lit(1)).alias("n"))
-    p = p.join(sequences(spark, d).select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.sum(F.when(F.col("eq"), F.col("n")).otherwise(0)).alias("same"), F.sum(F.when(F.col("eq"), 0).otherwise(F.col("n"))).alias("other"))
+    eq = F.col("sa") == F.col("sb")
+    p = _pairs(spark, d, [1]).groupBy("lang").agg(F.count_if(eq).alias("same"), F.count_if(~eq).alias("other"))
     g = p.select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("eval_id")).withColumn("t", 0.1 * (F.col("eval_id") + 1))
     same, other = rate_relations.equal_rates(4, F.col("t"))
     return g.select("eval_id", "lang", _r(F.col("same") * F.log(same) + F.col("other") * F.log(other), 4).alias("lnl"))
