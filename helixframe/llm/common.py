@@ -69,4 +69,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components are not settled after {max_rounds} rounds")
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(e.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())

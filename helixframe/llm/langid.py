@@ -64,9 +64,9 @@ class Model:
         e = e - top - np.log(np.exp(e - top).sum(axis=1, keepdims=True))
         return np.maximum(e, FLOOR).astype(np.float32)
 
-    def rows_of(self, words: list[str], most: int = 300_000) -> np.ndarray:
-        """Rows of self.scores for the words; what is remembered of earlier words is bounded."""
-        if len(self.rows) > most:
+    def rows_of(self, words: list[str], most: int = 1_200_000) -> np.ndarray:
+        """Rows of self.scores for the words; what is remembered of earlier words is bounded to ``most`` scores."""
+        if len(self.rows) * len(self.langs) > most:
             self.rows, self.scores = {}, None
         new = [w for w in set(words) if w not in self.rows]
         if new:
