@@ -43,3 +43,13 @@ def test_every_query_with_sql_is_registered():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_entry_has_rows(spark):
+    import pytest
+
+    import __spark_entry__ as e
+
+    if not os.path.isdir(SF):
+        pytest.skip("the tables are not here")
+    assert e.entry(spark).count() > 0
