@@ -26,7 +26,8 @@ def pattern_values(patterns: DataFrame, evals: dict[int, Scenes], *, keys: tuple
     ``want``: ``lnl`` (one value a pattern, edge -1), ``derivative`` (d lnL / d ln length of each edge), ``events`` or
     ``dwell`` (expected weighted jumps, or share of the edge, by the scene's rewards of that name). Scenes are broadcast: their
     size is that of the points times some small matrices. Patterns are dealt out with the points, so that a
-    gradient or a grid is one job.
+    gradient or a grid is one job; where points and groups are many, each goes to a task of its own, which then makes its
+    matrices once, and where they are few each is cut into slices by pattern.
     """
     shared = patterns.sparkSession.sparkContext.broadcast(evals)
     keys_ = list(keys)
@@ -53,6 +54,11 @@ def pattern_values(patterns: DataFrame, evals: dict[int, Scenes], *, keys: tuple
     dealt = patterns.select(F.explode(F.array(*[F.lit(int(k)) for k in sorted(evals)])).alias("eval_id"), *keys_, "pattern", "n")
     fields = ", ".join(f"{k} int" for k in keys_)
     dealt = dealt.select("eval_id", *[F.col(k).cast("int").alias(k) for k in keys_], F.col("pattern").cast("array<int>").alias("pattern"), F.col("n").cast("long").alias("n"))
+    groups = sum(map(len, evals.values()))
+    if groups > 3:  # more than one point: few patterns may lie in one partition
+        width = patterns.sparkSession.sparkContext.defaultParallelism
+        slices = max(1, width // groups)
+        dealt = dealt.repartition(max(width, min(groups * slices, 8 * width)), "eval_id", *keys_, F.pmod(F.xxhash64("pattern"), F.lit(slices)))
     return dealt.mapInPandas(run, f"eval_id int, {fields}, pattern array<int>, n long, edge int, value double")
 
 
