@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import dealt
+
 #: A unit runs through its end mark and line feeds, with the blanks behind; the units of a text make up the whole text.
 UNIT = r"[^.!?\n]*[.!?\n]+[ \t]*|[^.!?\n]+"
 LOW = -(1 << 63)
@@ -29,7 +31,7 @@ def repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", min_word
     one = docs.select(F.col(id), F.col(text)).filter(F.col(text).isNotNull())
     u = units(one, id, text).filter("words > 0")
     firsts = u.groupBy("d1", "d2").agg(F.min(F.struct("__id", "__h", "k")).alias("f"), F.max(F.struct("__id", "__h", "k")).alias("l")).filter("f <> l")
-    found = u.join(firsts.select("d1", "d2", "f"), ["d1", "d2"]).filter(F.struct("__id", "__h", "k") != F.col("f"))
+    found = u.join(dealt(firsts.select("d1", "d2", "f")), ["d1", "d2"]).filter(F.struct("__id", "__h", "k") != F.col("f"))
     found = found.select("__id", "__h", "k", "words").distinct()  # rows equal in id and text
     w = Window.partitionBy("__id", "__h").orderBy("k")
     found = found.withColumn("island", F.col("k") - F.row_number().over(w))
