@@ -56,7 +56,14 @@ def lead(reps: DataFrame, threshold: float, max_leaders: int) -> DataFrame:
     groups: dict[tuple, list] = {}
     for r in got:
         groups.setdefault((r["label"], len(r["v"])), []).append((r["rep"], r["v"]))
-    leaders = {k: (np.array([a for a, _ in v]), _unit(np.array([b for _, b in v], dtype=np.float64))) for k, v in groups.items()}
+    leaders = {}
+    for k, v in groups.items():
+        m = _unit(np.array([b for _, b in v], dtype=np.float64))
+        close, kept = m @ m.T >= tight, []
+        for i in range(len(m)):  # a leader beside an earlier one would only divide its crowd
+            if not close[i, kept].any():
+                kept.append(i)
+        leaders[k] = np.array([v[i][0] for i in kept]), m[kept]
     shared = reps.sparkSession.sparkContext.broadcast(leaders)  # max_leaders vectors at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,3 +178,13 @@ def near_duplicates(vectors: DataFrame, *, id: str = "vec_id", vector: str = "em
     out = rows.select("vec_id", "good", "k").join(named, "k", "left")
     component = F.when(F.col("good"), F.col("component_id")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.when(F.col("good"), F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+
+
+def oracle() -> str:
+    """DuckDB SQL for the query: every two vectors of a label, and what can be reached by links."""
+    return """
+    with recursive v as materialized (select vec_id, embedding::double[] e, label from embeddings where embedding is not null and label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ l as materialized (select a.vec_id a, b.vec_id b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.93),
+ r as (select a n, a m from l union select r.n, l.b from r join l on l.a = r.m),
+ c as (select n, min(m) m from r group by 1), k as (select a n, count(*) links from l group by 1)
+ select vec_id, coalesce(links, 0) n_links, coalesce(m, vec_id) component_id, vec_id = coalesce(m, vec_id) kept from embeddings left join c on c.n = vec_id left join k on k.n = vec_id"""
