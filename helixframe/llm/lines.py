@@ -18,6 +18,10 @@ from .common import connected_components, cut, dealt
 #: Letters whose counts are compared before a pair is verified; one edit changes two of the counts by one at most.
 LETTERS = "etanhiords"
 WIDTH = 6  # bits of a count
+#: More letters, whose counts are compared once the texts of a pair are at hand.
+MORE_LETTERS = "lcupmfgbwvykqz.,"
+#: Bits above the counts: the segment is the line's own; it is of the line's own length; never set.
+OWN, EVEN, NEVER = 1 << 60, 1 << 61, 1 << 62
 LOW = -(1 << 63)
 BITMAP = 1 << 22
 
@@ -32,13 +36,17 @@ def _hashes(norm: Column) -> tuple[Column, Column]:
     return F.xxhash64(norm).alias("h1"), F.xxhash64(F.lit(7), norm).alias("h2")
 
 
-def _letter_counts(norm: Column) -> Column:
-    most, left, counts = (1 << WIDTH) - 1, norm, []
-    for c in LETTERS:  # each letter is taken out of what the ones before have left
-        rest = F.replace(left, F.lit(c), F.lit(""))
-        counts.append(F.least(F.octet_length(left) - F.octet_length(rest), F.lit(most)).cast("long"))
-        left = rest
-    return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(c, WIDTH * k) for k, c in enumerate(counts)])
+def _letter_counts(rows: DataFrame) -> DataFrame:
+    """rows with ``counts`` of the letters in norm. Each letter is taken out of what the ones before have left, a column at a
+    time: as one expression the shorter strings would be made again for each that follows."""
+    left = "norm"
+    for k, c in enumerate(LETTERS):
+        rows = rows.withColumn(f"left{k}", F.replace(F.col(left), F.lit(c), F.lit("")))
+        left = f"left{k}"
+    sizes = [F.octet_length(c) for c in ("norm", *[f"left{k}" for k in range(len(LETTERS))])]
+    counts = [F.least(x - y, F.lit((1 << WIDTH) - 1)).cast("long") for x, y in zip(sizes, sizes[1:])]
+    packed = reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(c, WIDTH * k) for k, c in enumerate(counts)])
+    return rows.withColumn("counts", packed).drop(*[f"left{k}" for k in range(len(LETTERS))])
 
 
 def _near_counts(a: Column, b: Column, edits: int) -> Column:
@@ -46,6 +54,12 @@ def _near_counts(a: Column, b: Column, edits: int) -> Column:
     return reduce(lambda x, y: x + y, [F.abs(at(a, k) - at(b, k)) for k in range(len(LETTERS))]) <= 2 * edits
 
 
+def _near_letters(a: Column, b: Column, edits: int) -> Column:
+    """Whether the counts of all letters, taken together, are as near as edits can leave them."""
+    count = lambda s, c: F.octet_length(s) - F.octet_length(F.replace(s, F.lit(c), F.lit("")))
+    return reduce(lambda x, y: x + y, [F.abs(count(a, c) - count(b, c)) for c in LETTERS + MORE_LETTERS]) <= 2 * edits
+
+
 def _keys(rows: DataFrame, combinations: list[tuple[int, int, int]], parts: int) -> DataFrame:
     """rows once for each (less, i, shift): key is that of segment i of a line shorter by less, read shift places on.
 
@@ -63,18 +77,24 @@ def _keys(rows: DataFrame, combinations: list[tuple[int, int, int]], parts: int)
 def candidates(lines: DataFrame, edits: int = 2) -> DataFrame:
     """a, b: h1 of distinct lines (column norm) that share a segment as lines within ``edits`` edits must, and nearly the same letters."""
     parts = edits + 1
-    rows = lines.select("norm", _letter_counts(F.col("norm")).alias("counts")).distinct().select("norm", "counts", F.length("norm").alias("n"), _hashes(F.col("norm"))[0])
-    own = [(0, i, 0) for i in range(1, parts + 1)]
+    rows = _letter_counts(lines.select("norm").distinct()).select("norm", "counts", F.length("norm").alias("n"), _hashes(F.col("norm"))[0])
     probes = []
     for less in range(edits + 1):
         for i in range(1, parts + 1):
             # at most i - 1 edits to the left of the segment, and parts - i to its right
             lo, hi = max(-(i - 1), less - (parts - i)), min(i - 1, less + (parts - i))
             probes += [(less, i, shift) for shift in range(lo, hi + 1)]
-    index = _keys(rows, own, parts).select("key", F.col("h1").alias("a"), F.col("counts").alias("ca"))
-    probe = _keys(rows, probes, parts).select("key", F.col("h1").alias("b"), F.col("counts").alias("cb"), (F.col("c.d") == 0).alias("even"))
-    meet = (index["key"] == probe["key"]) & (F.col("a") != F.col("b")) & (~F.col("even") | (F.col("a") < F.col("b"))) & _near_counts(F.col("ca"), F.col("cb"), edits)
-    return index.join(probe, meet).select("a", "b").distinct()
+    # a line's own segments are among its probes, so one relation stands on both sides and is made and shuffled once; the
+    # condition names both sides, for a filter on one of them would make the two differ
+    even = F.col("c.d") == 0
+    flags = F.when(even & (F.col("c.t") == 0), F.lit(OWN)).otherwise(F.lit(0)).bitwiseOR(F.when(even, F.lit(EVEN)).otherwise(F.lit(0)))
+    keyed = _keys(rows, probes, parts).select("key", F.col("h1").alias("h"), F.col("counts").bitwiseOR(flags.cast("long")).alias("counts"))
+    x, y = keyed.alias("x"), keyed.alias("y")
+    ca, cb, a, b = F.col("x.counts"), F.col("y.counts"), F.col("x.h"), F.col("y.h")
+    owns = ca.bitwiseAND(F.lit(OWN)) > cb.bitwiseAND(F.lit(NEVER))
+    once = (cb.bitwiseAND(F.lit(EVEN)) == 0) | (a < b)
+    meet = (F.col("x.key") == F.col("y.key")) & (a != b) & owns & once & _near_counts(ca, cb, edits)
+    return x.join(y, meet).select(a.alias("a"), b.alias("b")).distinct()
 
 
 def within(a: Column, b: Column, edits: int) -> Column:
@@ -144,7 +164,7 @@ def links(docs: DataFrame, at: DataFrame, *, id: str = "doc_id", text: str = "te
     some = docs.filter(bitmap(ends, "__h")(F.xxhash64(id, text)))
     texts = occurrences(some, id, text, min_chars).filter(known(F.xxhash64("norm"))).select("norm").distinct().select("norm", *_hashes(F.col("norm")))
     a, b = texts.select(F.col("norm").alias("na"), F.col("h1").alias("a"), F.col("h2").alias("a2")), texts.select(F.col("norm").alias("nb"), F.col("h1").alias("b"), F.col("h2").alias("b2"))
-    near = pairs.join(a, "a").join(b, "b").filter(within(F.col("na"), F.col("nb"), edits))
+    near = pairs.join(a, "a").join(b, "b").filter(_near_letters(F.col("na"), F.col("nb"), edits)).filter(within(F.col("na"), F.col("nb"), edits))
     return near.select(F.col("a").alias("a1"), "a2", F.col("b").alias("b1"), "b2")
 
 
@@ -162,12 +182,12 @@ def repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", edits: i
     low = lambda c, k: F.conv(F.substring(c, k, 16), 16, -10).cast("long")
     classes = classes.select(low("node", 1).alias("h1"), low("node", 17).alias("h2"), low("component", 1).alias("c1"), low("component", 17).alias("c2"))
     place = F.struct("__id", "__h", "k")
-    lines = at.groupBy("h1", "h2").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n")).join(dealt(classes), ["h1", "h2"], "left").filter("n > 1 or c1 is not null")
-    lines = cut(lines.select("h1", "h2", "f", F.coalesce("c1", "h1").alias("c1"), F.coalesce("c2", "h2").alias("c2")))
-    firsts = lines.groupBy("c1", "c2").agg(F.min("f").alias("first"))
-    lines = lines.join(firsts, ["c1", "c2"]).select("h1", "h2", "first")
+    keys = at.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).join(dealt(classes), ["h1", "h2"], "left").filter("n > 1 or c1 is not null")
+    keys = cut(keys.select("h1", "h2", F.coalesce("c1", "h1").alias("c1"), F.coalesce("c2", "h2").alias("c2")))
     # what is not repeated goes no further than a bitmap of what is
-    found = at.filter(bitmap(lines, "h1")(F.col("h1"))).join(dealt(lines), ["h1", "h2"]).filter(place != F.col("first"))
+    some = cut(at.filter(bitmap(keys, "h1")(F.col("h1"))).join(dealt(keys), ["h1", "h2"]).select("__id", "__h", "k", "c1", "c2"))
+    firsts = dealt(some.groupBy("c1", "c2").agg(F.min(place).alias("first")))
+    found = some.join(firsts, ["c1", "c2"]).filter(place != F.col("first"))
     return found.select("__id", "__h", "k", F.col("first.__id").alias("first_id"), F.col("first.k").alias("first_line")).distinct()
 
 
@@ -204,3 +224,27 @@ def _keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
 def _gone(docs: DataFrame, id: str, text: str, edits: int, min_chars: int) -> DataFrame:
     found = repeats(docs, id=id, text=text, edits=edits, min_chars=min_chars)
     return found.groupBy("__id", "__h").agg(F.array_sort(F.collect_list(F.struct(F.col("k").alias("line"), "first_id", "first_line"))).alias("__removed"))
+
+
+def removed_text(removed: Column) -> Column:
+    return F.array_join(F.transform(removed, lambda r: F.concat(r["line"].cast("string"), F.lit(">"), r["first_id"].cast("string"), F.lit(":"), r["first_line"].cast("string"))), ",")
+
+
+def oracle() -> str:
+    """DuckDB SQL for doc_id, n_lines, n_removed, removed of the query. Its distance counts bytes, so accented letters are
+    first put into one byte each."""
+    accents = "áéíóúàèìòùâêîôûäëïöüçñß"
+    controls = "||".join(f"chr({k})" for k in [*range(1, 9), 11, 12, *range(14, 27)])
+    return f"""
+    with recursive occ as (select doc_id, k, lower(trim(line, ' ')) norm from (select doc_id, unnest(range(len(ls))) k, unnest(ls) line from (select doc_id, string_split(text, chr(10)) ls from documents where text is not null))
+  where length(trim(line, ' ')) >= 10),
+ d as materialized (select norm, translate(norm, '{accents}', {controls}) t, length(norm) n,
+   length(norm) - length(replace(norm, 'e', '')) ne, length(norm) - length(replace(norm, 'n', '')) nn, length(norm) - length(replace(norm, 't', '')) nt, length(norm) - length(replace(norm, 'a', '')) na, length(norm) - length(replace(norm, 'r', '')) nr from (select distinct norm from occ)),
+ l as materialized (select a.norm a, b.norm b from d a join (select *, unnest([n - 2, n - 1, n, n + 1, n + 2]) m from d) b on a.n = b.m and a.norm <> b.norm
+   and abs(a.ne - b.ne) + abs(a.nn - b.nn) + abs(a.nt - b.nt) + abs(a.na - b.na) + abs(a.nr - b.nr) <= 4 where levenshtein(a.t, b.t) <= 2),
+ r as (select a n, a m from l union select r.n, l.b from r join l on l.a = r.m),
+ cls as (select n norm, min(m) c from r group by 1),
+ o as (select doc_id, k, coalesce(c, norm) c from occ left join cls using (norm)),
+ f as (select c, arg_min((doc_id, k), (doc_id, k)) f, count(*) n from o group by c),
+ g as (select o.doc_id, string_agg(o.k || '>' || f.f[1] || ':' || f.f[2], ',' order by o.k) removed, count(*) n from o join f using (c) where (o.doc_id, o.k) <> f.f group by 1)
+ select doc_id, case when text is null then 0 else len(string_split(text, chr(10))) end n_lines, coalesce(g.n, 0) n_removed, coalesce(removed, '') removed from documents left join g using (doc_id)"""

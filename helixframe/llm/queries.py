@@ -71,7 +71,8 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.removed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    got = lines.removed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.withColumn("removed", lines.removed_text(F.col("removed")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -90,4 +91,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_substrings": substrings.oracle()}
+    return {"op3_embeddings": embeddings.oracle(), "op5_substrings": substrings.oracle(), "op10_lines": lines.oracle()}
