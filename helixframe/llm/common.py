@@ -31,7 +31,7 @@ def dealt(df: DataFrame) -> DataFrame:
 
     Adaptive execution splits a hot key only in a join of two shuffles; a side that stands grouped by the key has none.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.hint("rebalance")  # as many tasks as its size asks for
 
 
 def ascii_lower(c: Column) -> Column:

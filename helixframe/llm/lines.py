@@ -55,9 +55,9 @@ def _near_counts(a: Column, b: Column, edits: int) -> Column:
 
 
 def _near_letters(a: Column, b: Column, edits: int) -> Column:
-    """Whether the counts of all letters, taken together, are as near as edits can leave them."""
+    """Whether the counts of the other letters are as near as edits can leave them."""
     count = lambda s, c: F.octet_length(s) - F.octet_length(F.replace(s, F.lit(c), F.lit("")))
-    return reduce(lambda x, y: x + y, [F.abs(count(a, c) - count(b, c)) for c in LETTERS + MORE_LETTERS]) <= 2 * edits
+    return reduce(lambda x, y: x + y, [F.abs(count(a, c) - count(b, c)) for c in MORE_LETTERS]) <= 2 * edits
 
 
 def _keys(rows: DataFrame, combinations: list[tuple[int, int, int]], parts: int) -> DataFrame:
@@ -67,7 +67,7 @@ def _keys(rows: DataFrame, combinations: list[tuple[int, int, int]], parts: int)
     """
     c = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(t).alias("t")) for d, i, t in combinations])).alias("c")
     rows = rows.select("*", c).withColumn("len", F.col("n") - F.col("c.d"))
-    rows = rows.withColumn("more", F.pmod("len", F.lit(parts))).withColumn("base", ((F.col("len") - F.col("more")) / parts).cast("int"))
+    rows = rows.withColumn("more", F.pmod("len", F.lit(parts))).withColumn("base", F.expr(f"(len - more) div {parts}").cast("int"))
     start = (F.col("c.i") - 1) * F.col("base") + F.greatest(F.col("c.i") - 1 - (parts - F.col("more")), F.lit(0)) + 1 + F.col("c.t")
     size = F.col("base") + F.when(F.col("c.i") > parts - F.col("more"), 1).otherwise(0)
     rows = rows.withColumn("start", start).withColumn("size", size).filter("start >= 1 and start + size - 1 <= n")
@@ -182,10 +182,12 @@ def repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", edits: i
     low = lambda c, k: F.conv(F.substring(c, k, 16), 16, -10).cast("long")
     classes = classes.select(low("node", 1).alias("h1"), low("node", 17).alias("h2"), low("component", 1).alias("c1"), low("component", 17).alias("c2"))
     place = F.struct("__id", "__h", "k")
-    keys = at.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).join(dealt(classes), ["h1", "h2"], "left").filter("n > 1 or c1 is not null")
-    keys = cut(keys.select("h1", "h2", F.coalesce("c1", "h1").alias("c1"), F.coalesce("c2", "h2").alias("c2")))
+    classes = cut(classes)
+    keys = at.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1").unionByName(classes.select("h1")).distinct()
+    keys = cut(keys)
     # what is not repeated goes no further than a bitmap of what is
-    some = cut(at.filter(bitmap(keys, "h1")(F.col("h1"))).join(dealt(keys), ["h1", "h2"]).select("__id", "__h", "k", "c1", "c2"))
+    some = at.filter(bitmap(keys, "h1")(F.col("h1"))).join(dealt(keys), "h1").join(dealt(classes), ["h1", "h2"], "left")
+    some = cut(some.select("__id", "__h", "k", F.coalesce("c1", "h1").alias("c1"), F.coalesce("c2", "h2").alias("c2")))
     firsts = dealt(some.groupBy("c1", "c2").agg(F.min(place).alias("first")))
     found = some.join(firsts, ["c1", "c2"]).filter(place != F.col("first"))
     return found.select("__id", "__h", "k", F.col("first.__id").alias("first_id"), F.col("first.k").alias("first_line")).distinct()
