@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import langid, lines, packing, simhash, substrings
+from helixframe.llm import langid, lines, packing, shingles, substrings
 from helixframe.llm.common import cut, table
 from helixframe.llm.queries import tokenizer_path
 
@@ -25,8 +25,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each component of fingerprints."""
-    return simhash.keep_one(docs)
+    """Keeps the document of least id of each component of texts whose sets of 5-word shingles have similarity 0.8 or more."""
+    return shingles.keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -179,7 +179,11 @@ def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text", thresho
     ids are all null keeps one row of these.
     """
     rows = cut(fingerprints(docs, id=id, text=text))
-    found = classes(rows, threshold)
+    return least_of_each(docs, rows, classes(rows, threshold), id=id, text=text)
+
+
+def least_of_each(docs: DataFrame, rows: DataFrame, found: DataFrame, *, id: str, text: str) -> DataFrame:
+    """keep_one by rows (doc_id, fp, h) and the component (node) of each fp."""
     low = F.lit(-(1 << 63))
     # the least (id, hash) of each component, nulls last; both steps are combined before their shuffles
     by_print = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("k"))
