@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import langid, lines, packing, shingles, substrings
+from helixframe.llm import langid, lines, packing, passages, shingles, substrings
 from helixframe.llm.common import cut, table
 from helixframe.llm.queries import tokenizer_path
 
@@ -30,9 +30,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes passages that stand in an earlier document; documents of which nothing is left go."""
-    got = substrings.dedup(docs, out="__removed_spans")
-    return got.filter((F.size("__removed_spans") == 0) | F.col("text").rlike(r"\S")).select(*docs.columns)
+    """Removes passages that stand in an earlier document; documents of which nothing is left go.
+
+    Passages of 50 words go wherever they begin and end, then runs of whole sentences of 25 words.
+    """
+    got = cut(passages.dedup(docs, out="__removed_passages"))
+    got = substrings.dedup(got, out="__removed_spans")
+    return got.filter((F.size("__removed_passages") + F.size("__removed_spans") == 0) | F.col("text").rlike(r"\S")).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
