@@ -50,14 +50,18 @@ def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def family_patterns(spark: SparkSession, sf_dir: str):
-    """Tree, axes and patterns: of each source the first document in each language, as genes of one copy each.
+    """Tree, axes and patterns: the k-th documents (by doc_id) of a source in each language are a family, as genes of one copy.
 
-    The genes of a source begin together; what one of them lacks at the end is missing.
+    The genes of a family begin together; what one of them lacks at the end, or a language without a k-th document lacks
+    altogether, is missing. The tree has no tip for other languages.
     """
     tree = splice(parse(TREE), [("N0_N1", ["D1"])])
     langs = ["de", "en", "es", "fr"]
-    first = sequences(spark, sf_dir).groupBy("source", "lang").agg(F.min_by("seq", "doc_id").alias("seq"))
-    states = first.select("source", "lang", F.posexplode(F.split("seq", "")).alias("pos", "symbol")).filter("symbol <> ''").select("source", "lang", "pos", nucleotide_state(F.col("symbol")).alias("st"))
-    wide = states.groupBy("source", "pos").agg(*[F.coalesce(F.max(F.when(F.col("lang") == k, F.col("st"))), F.lit(-1)).alias(k) for k in langs])
-    patterns = wide.select(F.lit(1).alias("codon_position"), F.array(*langs).alias("pattern")).groupBy("codon_position", "pattern").agg(F.count(F.lit(1)).alias("n"))
+    nth = F.row_number().over(Window.partitionBy("source", "lang").orderBy("doc_id", "seq"))
+    genes = sequences(spark, sf_dir).filter(F.col("lang").isin(langs)).withColumn("k", nth)
+    wide = genes.groupBy("source", "k").agg(*[F.coalesce(F.max(F.when(F.col("lang") == x, F.col("seq"))), F.lit("")).alias(x) for x in langs])
+    # a family lies in one row, so its letters are put beside each other there; the shorter genes are filled with nulls
+    states = wide.select(*[F.filter(F.split(x, ""), lambda c: c != "").alias(x) for x in langs])
+    sites_ = F.transform(F.arrays_zip(*langs), lambda z: F.array(*[F.coalesce(nucleotide_state(z[x]), F.lit(-1)) for x in langs]))
+    patterns = states.select(F.lit(1).alias("codon_position"), F.explode(sites_).alias("pattern")).groupBy("codon_position", "pattern").agg(F.count(F.lit(1)).alias("n"))
     return tree, [(k, 0) for k in langs], patterns
