@@ -87,12 +87,16 @@ class Model:
         sizes = np.array([len(docs[i]) for i in full])
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         main = np.add.reduceat(e, starts, axis=0).argmax(axis=1)
-        # No path beats one language throughout if no stretch of words gains more than a switch costs in any other:
-        # each such stretch needs a switch of its own. Sums over stretches are differences of running sums.
+        # No path beats one language throughout if no stretch of words gains more than a switch costs in any other, and the
+        # first and the last stretch together do not: a path of s switches has s - 1 stretches between these two. Sums
+        # over stretches are differences of running sums.
         gain = e - np.take_along_axis(e, np.repeat(main, sizes)[:, None], axis=1)
         run = np.cumsum(gain, axis=0) - np.repeat(np.arange(len(full)) * (2 * -FLOOR * (sizes.max() + 1)), sizes)[:, None]
         best = np.maximum.reduceat(run - np.minimum.accumulate(run - gain, axis=0), starts, axis=0)
-        sure = (best <= self.switch).all(axis=1)
+        before, after = (run - gain)[starts], run[starts + sizes - 1]
+        head = (np.maximum.reduceat(run, starts, axis=0) - before).max(axis=1)
+        tail = (after - np.minimum.reduceat(run - gain, starts, axis=0)).max(axis=1)
+        sure = (best <= self.switch).all(axis=1) & (np.maximum(head, 0) + np.maximum(tail, 0) <= self.switch)
         for k, i in enumerate(full):
             out[i][:] = main[k] if sure[k] else self._viterbi(e[starts[k] : starts[k] + sizes[k]])
         return out

@@ -61,3 +61,19 @@ def test_keep_passes_rows_through(documents):
     docs = documents([(1, "the and ing", "en"), (2, None, "en"), (3, "12", "en"), (4, "schung ichpf", "de")], "lang_pred")
     kept = langid.keep(docs, langid.fit(documents(corpus())))
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 4]
+
+
+def test_two_stretches_with_one_switch():
+    """The main language of a text need not be in its best path."""
+    m = langid.Model(["a", "b", "c"], np.zeros((8, 3), np.float32), np.zeros((0, 3), bool))
+    m.switch = 12.0
+    m.scores = np.array([[-1.8, -0.2, -4.2], [-1.8, -4.2, -0.2]], np.float32)
+    m.rows_of = lambda words: np.array([int(w) for w in words])
+    words = ["0"] * 7 + ["1"] * 7
+    assert m.label([words, ["0"] * 3, [], words[::-1]])[0].tolist() == [1] * 7 + [2] * 7
+    rng = random.Random(3)
+    docs = [[str(rng.randrange(2)) for _ in range(rng.randint(1, 3)) for _ in range(1)] * rng.randint(1, 12) + ["0"] * rng.randint(0, 9) for _ in range(50)]
+    for words, path in zip(docs, m.label(docs)):
+        e = m.scores[m.rows_of(words)].astype(float)
+        worth = lambda p: e[np.arange(len(p)), p].sum() - m.switch * (np.diff(p) != 0).sum()  # noqa: E731, B023
+        assert abs(worth(path) - worth(m._viterbi(e))) < 1e-6
