@@ -74,9 +74,19 @@ def is_transition_column(a: Column, b: Column) -> Column:
     return (a != b) & (F.abs(a - b) == 2)
 
 
-def differences(a: Column, b: Column) -> Column:
-    """Number of places at which two strings of one length differ."""
-    return F.aggregate(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.when(x == y, 0).otherwise(1)), F.lit(0), lambda s, x: s + x)
+def compared(a: Column, b: Column) -> Column:
+    """struct(sites, differences, transitions) of two strings, over the places that both have.
+
+    Places are compared by translating: all that matters of a place is its pair of symbols.
+    """
+    at = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.when((x != "") & (y != ""), F.concat(x, y)))
+
+    def counts(z: Column) -> Column:
+        size = lambda f: F.size(F.filter(z, f)).cast("long")
+        both = size(lambda p: p.isNotNull())
+        return F.struct(both.alias("sites"), (both - size(lambda p: F.substring(p, 1, 1) == F.substring(p, 2, 1))).alias("differences"), size(lambda p: p.isin("AG", "GA", "CT", "TC")).alias("transitions"))
+
+    return F.element_at(F.transform(F.array(at), counts), 1)
 
 
 def log_sum_exp(values: list[Column]) -> Column:

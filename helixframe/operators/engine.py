@@ -3,16 +3,38 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import kernel
-
 #: Scenes of one parameter point, by group: the codon position, or (space, cs_i, cs_j) for pairs of sites.
-Scenes = dict[object, object]
+Scenes = dict
+
+
+@dataclass
+class Plan:
+    """The scenes of one parameter point as what makes them: a model and its parameters, some hundred numbers. A task makes the
+    scenes of its own groups only, so that what is broadcast does not grow with the number of groups."""
+
+    model: object
+    x: np.ndarray
+    groups: int = 1
+    made: dict = field(default_factory=dict, repr=False)
+
+    def __getstate__(self):
+        return self.__dict__ | {"made": {}}
+
+    def __len__(self) -> int:
+        return self.groups
+
+    def scene(self, group):
+        """The group's scene; a task remembers the last one, as its rows come by group."""
+        if group not in self.made:
+            self.made = {group: self.model.scene(self.x, group)}
+        return self.made[group]
 
 
 def _group(r, keys: list[str]):
@@ -20,12 +42,25 @@ def _group(r, keys: list[str]):
     return v[0] if len(v) == 1 else v
 
 
-def pattern_values(patterns: DataFrame, evals: dict[int, Scenes], *, keys: tuple[str, ...] = ("codon_position",), want: str = "lnl", weights: str | None = None) -> DataFrame:
+def _values(scene, x: np.ndarray, want: str, weights: str | None) -> np.ndarray:
+    """What is wanted of each pattern and edge; scenes of every kind answer to the same names."""
+    if want == "lnl":
+        return scene.log_likelihoods(x)[:, None]
+    if want == "derivative":
+        return scene.edge_derivatives(x)
+    if want == "events":
+        return scene.expected_events(x, weights)
+    if want == "dwell":
+        return scene.dwell_fractions(x, weights)
+    raise ValueError(f"lnl, derivative, events or dwell can be had, not {want}")
+
+
+def pattern_values(patterns: DataFrame, evals: dict[int, Scenes | Plan], *, keys: tuple[str, ...] = ("codon_position",), want: str = "lnl", weights: str | None = None) -> DataFrame:
     """eval_id, the keys, pattern, n, edge and value, for every parameter point.
 
     ``want``: ``lnl`` (one value a pattern, edge -1), ``derivative`` (d lnL / d ln length of each edge), ``events`` or
-    ``dwell`` (expected weighted jumps, or share of the edge, by the scene's rewards of that name). Scenes are broadcast: their
-    size is that of the points times some small matrices. Patterns are dealt out with the points, so that a
+    ``dwell`` (expected weighted jumps, or share of the edge, by the scene's weights of that name). What is sent to the tasks
+    are the scenes or, lighter, ``Plan``s that make a group's scene in the task that needs it. Patterns are dealt out with the points, so that a
     gradient or a grid is one job; where points and groups are many, each goes to a task of its own, which then makes its
     matrices once, and where they are few each is cut into slices by pattern.
     """
@@ -36,16 +71,14 @@ def pattern_values(patterns: DataFrame, evals: dict[int, Scenes], *, keys: tuple
         known = shared.value
         for b in batches:
             for group, rows in b.groupby(["eval_id", *keys_], sort=False):
-                scene = known[int(group[0])].get(_group(rows.iloc[0], keys_))
+                scenes = known[int(group[0])]
+                at = _group(rows.iloc[0], keys_)
+                scene = scenes.scene(at) if isinstance(scenes, Plan) else scenes.get(at)
                 if scene is None:
                     continue
                 x = np.stack(rows["pattern"].to_numpy()).astype(np.int64)
-                if want == "lnl":
-                    v = (scene.log_likelihoods(x) if isinstance(scene, kernel.CodonPairScene) else kernel.log_likelihoods(scene, x))[:, None]
-                    edges = np.array([-1])
-                else:
-                    v = scene.expected_events(x, weights) if isinstance(scene, kernel.CodonPairScene) else kernel.edge_derivatives(scene, x) if want == "derivative" else kernel.expected_events(scene, x, scene.rewards[weights]) if want == "events" else kernel.dwell_fractions(scene, x, scene.dwell[weights])
-                    edges = np.arange(v.shape[1])
+                v = _values(scene, x, want, weights)
+                edges = np.array([-1]) if want == "lnl" else np.arange(v.shape[1])
                 out = rows.loc[rows.index.repeat(len(edges))].copy()
                 out["edge"] = np.tile(edges, len(rows))
                 out["value"] = v.ravel()
@@ -72,7 +105,7 @@ def log_likelihood(patterns: DataFrame, evals: dict[int, Scenes], **kw) -> dict[
     return {r["eval_id"]: r["value"] for r in totals(pattern_values(patterns, evals, **kw)).collect()}  # a row a point
 
 
-def sitewise(obs: DataFrame, patterns: DataFrame, scenes: Scenes) -> DataFrame:
+def sitewise(obs: DataFrame, patterns: DataFrame, scenes: Scenes | Plan) -> DataFrame:
     """site, lnl: each pattern's value joined back to its sites."""
     values = pattern_values(patterns, {0: scenes}).select("codon_position", "pattern", F.col("value").alias("lnl"))
     several = len(scenes) > 1
@@ -100,8 +133,8 @@ def distance_grid(pairs: DataFrame, evals: dict[float, Scenes]) -> DataFrame:
     return values.groupBy(F.element_at(names, F.col("eval_id")).alias("log_p"), "space").agg(F.sum(F.col("n") * F.col("value")).alias("lnl"))
 
 
-def per_edge(patterns: DataFrame, scenes: Scenes, want: str, weights: str | None = None) -> dict[int, float]:
-    return {r["edge"]: r["value"] for r in totals(pattern_values(patterns, {0: scenes}, want=want, weights=weights)).collect()}  # a row an edge
+def per_edge(patterns: DataFrame, scenes: Scenes | Plan, want: str, weights: str | None = None, *, keys: tuple[str, ...] = ("codon_position",)) -> dict[int, float]:
+    return {r["edge"]: r["value"] for r in totals(pattern_values(patterns, {0: scenes}, keys=keys, want=want, weights=weights)).collect()}  # a row an edge
 
 
 def branch_tau(events: dict[int, float], dwell: dict[int, float], lengths: np.ndarray) -> dict[int, float]:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from ..sources.newick import Tree, node_kind
 
@@ -46,8 +49,8 @@ def configurations(tree: Tree, event_group: dict[str, int]) -> dict[str, Configu
     three, those are shared out in every way. Of several smallest results the first counts.
     """
     need = {n for n in tree.nodes if node_kind(n) in ("duplication", "loss")}
-    if not need <= set(event_group):
-        raise ValueError(f"no place for {sorted(need - set(event_group))}")
+    if need != set(event_group):
+        raise ValueError(f"no place for {sorted(need - set(event_group))}; not in the tree: {sorted(set(event_group) - need)}")
     if not any(node_kind(n) == "duplication" for n in need):
         raise ValueError("a history needs a duplication")
     found: list[dict[str, Configuration]] = []
@@ -108,3 +111,47 @@ def processes(tree: Tree, confs: dict[str, Configuration]) -> tuple[list[Configu
 def configuration_relation(spark: SparkSession, confs: dict[str, Configuration]) -> DataFrame:
     """node, pos, orlg, alive."""
     return spark.createDataFrame([(n, p, o, a) for n, c in sorted(confs.items()) for p, (o, a) in enumerate(c)], "node string, pos int, orlg int, alive int")
+
+
+def run_relation(rows: DataFrame, *by: str, place: str = "pos") -> DataFrame:
+    """``by``, start, n: the runs of consecutive places of each group. Places that occur twice count once."""
+    w = Window.partitionBy(*by).orderBy(place)
+    island = rows.select(*by, place).distinct().withColumn("island", F.col(place) - F.row_number().over(w))
+    return island.groupBy(*by, "island").agg(F.min(place).alias("start"), F.count(F.lit(1)).alias("n")).drop("island")
+
+
+def accessible_pair_relation(alive: DataFrame, *, within: str = "node", group: str = "orlg") -> DataFrame:
+    """a, b, n: pairs of groups a < b that are alive together, and in how many nodes. A node's groups fit a row."""
+    held = alive.groupBy(within).agg(F.array_sort(F.collect_set(group)).alias("held"))
+    pairs = held.select(F.explode("held").alias("a"), "held").select("a", F.explode("held").alias("b")).filter("a < b")
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+
+
+def numbered(rows: DataFrame, *columns: str) -> DataFrame:
+    """The distinct values of the columns with ``process``: 1, 2, ... in their order. As many rows as there are configurations."""
+    return rows.select(*columns).distinct().withColumn("process", F.row_number().over(Window.orderBy(*columns)))
+
+
+def edge_processes(edges: DataFrame, confs: DataFrame, *, parent: str = "parent", node: str = "node", conf: str = "conf") -> DataFrame:
+    """edges with ``process``: the number of the configuration of each edge's parent."""
+    of = confs.select(F.col(node).alias("__node"), conf).join(numbered(confs, conf), conf).drop(conf)
+    return edges.join(of, F.col(parent) == F.col("__node")).drop("__node")
+
+
+def changed(before: DataFrame, after: DataFrame, on: str | Sequence[str]) -> DataFrame:
+    """The rows of ``before`` that ``after`` lacks: groups that end on an edge or, the other way round, begin there."""
+    return before.join(after, on, "left_anti")
+
+
+def group_changes(spark: SparkSession, tree: Tree, confs: dict[str, Configuration]) -> DataFrame:
+    """parent, child, orlg, change: the groups that are ``gone`` or ``born`` on each edge."""
+    rows = [(p, c, side, o) for p, c in tree.sorted_edges() for side, n in ((0, p), (1, c)) for o in divide(confs[n])["loc"]]
+    held = spark.createDataFrame(rows, "parent string, child string, side int, orlg int")
+    before, after = held.filter("side = 0").drop("side"), held.filter("side = 1").drop("side")
+    on = ["parent", "child", "orlg"]
+    return changed(before, after, on).withColumn("change", F.lit("gone")).unionByName(changed(after, before, on).withColumn("change", F.lit("born")))
+
+
+def smallest(rows: DataFrame, by: str, value: str, *order: str) -> DataFrame:
+    """by, value: of each group the value that comes first in the given order."""
+    return rows.groupBy(by).agg(F.min_by(value, F.struct(*order)).alias(value))

@@ -10,7 +10,25 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from ..functions.matrix import expm, integral
+from ..functions.matrix import expm, generator, integral
+
+
+def _root(edges: list[tuple[str, str]]) -> str:
+    return next(p for p, _ in edges if p not in {c for _, c in edges})
+
+
+def _order(edges: list[tuple[str, str]]) -> list[str]:
+    """Nodes, parents first."""
+    out = [_root(edges)]
+    for n in out:
+        out.extend(c for p, c in edges if p == n)
+    return out
+
+
+def _named(of: dict, which: str):
+    if which not in of:
+        raise KeyError(f"the scene has no {which}, only {sorted(of)}")
+    return of[which]
 
 
 @dataclass
@@ -29,14 +47,24 @@ class Scene:
 
     @property
     def root(self) -> str:
-        return next(p for p, _ in self.edges if p not in {c for _, c in self.edges})
+        return _root(self.edges)
 
     def order(self) -> list[str]:
-        """Nodes, parents first."""
-        out = [self.root]
-        for n in out:
-            out.extend(c for p, c in self.edges if p == n)
-        return out
+        return _order(self.edges)
+
+    def log_likelihoods(self, patterns: np.ndarray) -> np.ndarray:
+        return log_likelihoods(self, patterns)
+
+    def edge_derivatives(self, patterns: np.ndarray) -> np.ndarray:
+        return edge_derivatives(self, patterns)
+
+    def expected_events(self, patterns: np.ndarray, which: str) -> np.ndarray:
+        """Of the jumps that ``rewards`` names; ``all`` needs no name there."""
+        return expected_events(self, patterns, [np.ones_like(q) for q in self.q] if which == "all" else _named(self.rewards, which))
+
+    def dwell_fractions(self, patterns: np.ndarray, which: str) -> np.ndarray:
+        """Of the weights that ``dwell`` names; ``exit``, the rates of leaving, need no name there."""
+        return dwell_fractions(self, patterns, [-np.diag(q) for q in self.q] if which == "exit" else _named(self.dwell, which))
 
     def transition(self) -> list[np.ndarray]:
         """exp(q t) of each edge; equal ones are made once."""
@@ -154,7 +182,8 @@ def dwell_fractions(scene: Scene, patterns: np.ndarray, weights: list[np.ndarray
 class CodonPairScene:
     """Two codon copies that change by point rates and by copies of each other; edges before the duplication move both.
 
-    Messages are 61 x 61 matrices and the pair generator is applied without being built.
+    Messages are 61 x 61 matrices and the pair generator is applied without being built: its exponential by Taylor steps, its
+    integrals by the same steps on a message beside what the jumps or states of interest have gathered of it.
     """
 
     edges: list[tuple[str, str]]
@@ -167,72 +196,149 @@ class CodonPairScene:
 
     @property
     def root(self) -> str:
-        return next(p for p, _ in self.edges if p not in {c for _, c in self.edges})
+        return _root(self.edges)
 
-    def along(self, k: int, m: np.ndarray, points: float = 1.0, into: tuple[float, float] = (1.0, 1.0)) -> np.ndarray:
-        """exp of edge k's generator applied to messages m[pattern, copy 1, copy 2]; the weights as in codon_pair_action."""
-        from .rates import codon_pair_action
+    @property
+    def single(self) -> np.ndarray:
+        """The rates of one copy alone; a selection by the other copy's amino acid does not act on it."""
+        return self.q if self.q.ndim == 2 else np.stack([self.q[a, a] for a in range(len(self.q))])
 
+    def _steps(self, k: int, m: np.ndarray, action, inner=None) -> tuple[np.ndarray, np.ndarray | None]:
+        """exp of the action over edge k on m, and with ``inner`` the integral of exp(over what is left) inner exp(so far) m."""
         t = float(self.lengths[k])
-        if not self.paired[k]:  # only equal copies are reached, and these stay equal
-            d = np.diagonal(m, axis1=1, axis2=2)
-            q = points * self.single
-            np.fill_diagonal(q, -self.single.sum(axis=1))
-            out = np.zeros_like(m)
-            i = np.arange(len(q))
-            out[:, i, i] = d @ expm(q * t).T
-            return out
         rate = 2 * float(self.q.sum(axis=-1).max() + self.t.max())
         steps = max(1, int(np.ceil(t * rate / 2.0)))
         h = t / steps
+        got = None if inner is None else np.zeros_like(m)
         for _ in range(steps):
-            term, out = m, m
+            x, y, out, sums = m, got, m, got
             for j in range(1, 60):
-                term = codon_pair_action(self.q, self.t, term, points=points, into=into) * (h / j)
-                out = out + term
-                if np.abs(term).max() <= 1e-15 * np.abs(out).max():
+                y = None if inner is None else (action(y) + inner(x)) * (h / j)
+                x = action(x) * (h / j)
+                out = out + x
+                sums = None if inner is None else sums + y
+                small = lambda a, b: np.abs(a).max() <= 1e-16 * np.abs(b).max()
+                if small(x, out) and (inner is None or small(y, sums)):
                     break
-            m = out
-        return m
+            m, got = out, sums
+        return m, got
+
+    def _alone(self, d: np.ndarray) -> np.ndarray:
+        """Messages of equal copies as messages of pairs."""
+        out = np.zeros((len(d), d.shape[1], d.shape[1]))
+        i = np.arange(d.shape[1])
+        out[:, i, i] = d
+        return out
 
-    @property
-    def single(self) -> np.ndarray:
-        """The rates of one copy alone; a selection by the other copy's amino acid does not act on it."""
-        return self.q if self.q.ndim == 2 else np.stack([self.q[a, a] for a in range(len(self.q))])
+    def up(self, k: int, m: np.ndarray) -> np.ndarray:
+        """exp of edge k's generator applied to messages m[pattern, copy 1, copy 2]."""
+        from .rates import codon_pair_action
 
-    def expected_events(self, patterns: np.ndarray, which: str, step: float = 1e-4) -> np.ndarray:
-        """Posterior expected number of events of each pattern and edge: ``mutations``, ``copies``, ``copies_2_1`` (into
-        copy 1) or ``copies_1_2``. The derivative of lnL by a weight on the jumps of one edge is the number of them."""
-        out = []
-        for k in range(len(self.edges)):
-            f = []
-            for w in (1 + step, 1 - step):
-                boost = {"mutations": dict(points=w), "copies": dict(into=(w, w)), "copies_2_1": dict(into=(w, 1.0)), "copies_1_2": dict(into=(1.0, w))}[which]
-                f.append(self.log_likelihoods(patterns, {k: boost}))
-            out.append((f[0] - f[1]) / (2 * step))
-        return np.stack(out, axis=1)
-
-    def log_likelihoods(self, patterns: np.ndarray, boost: dict[int, dict] | None = None) -> np.ndarray:
+        if self.paired[k]:
+            return self._steps(k, m, lambda x: codon_pair_action(self.q, self.t, x))[0]
+        # only equal copies are reached, and these stay equal
+        return self._alone(np.diagonal(m, axis1=1, axis2=2) @ expm(generator(self.single) * self.lengths[k]).T)
+
+    def down(self, k: int, v: np.ndarray) -> np.ndarray:
+        """Weights of the states above edge k carried to its lower end."""
+        from .rates import codon_pair_transposed
+
+        if self.paired[k]:
+            return self._steps(k, v, lambda x: codon_pair_transposed(self.q, self.t, x))[0]
+        return self._alone(np.diagonal(v, axis1=1, axis2=2) @ expm(generator(self.single) * self.lengths[k]))
+
+    def slope(self, k: int, m: np.ndarray) -> np.ndarray:
+        """Edge k's generator applied to m."""
+        from .rates import codon_pair_action
+
+        if self.paired[k]:
+            return codon_pair_action(self.q, self.t, m)
+        return self._alone(np.diagonal(m, axis1=1, axis2=2) @ generator(self.single).T)
+
+    def gathered(self, k: int, m: np.ndarray, *, jumps: str | None = None, weights: str | None = None) -> np.ndarray:
+        """What the jumps of a kind, or the time weighted by states, gather along edge k below which the messages are m."""
+        from .rates import codon_pair_action, codon_pair_exits, codon_pair_jumps
+
+        if not self.paired[k]:
+            q, one = generator(self.single), self.single
+            if jumps is not None:
+                inner = one if jumps in ("all", "mutations") else np.zeros_like(one)
+            else:
+                inner = np.diag({"exit": one.sum(axis=1), "unlike": np.zeros(len(q)), "alike": np.full(len(q), 2.0)}[weights])
+            return self._alone(np.diagonal(m, axis1=1, axis2=2) @ integral(q, inner, float(self.lengths[k])).T)
+        if jumps is not None:
+            inner = lambda x: codon_pair_jumps(self.q, self.t, x, jumps)
+        else:
+            same = np.eye(len(self.pi))
+            w = {"exit": lambda: codon_pair_exits(self.q, self.t), "unlike": lambda: 2 * (1 - same), "alike": lambda: 2 * same}[weights]()
+            inner = lambda x: w * x
+        return self._steps(k, m, lambda x: codon_pair_action(self.q, self.t, x), inner)[1]
+
+    def _messages(self, patterns: np.ndarray, *, down: bool = False) -> Messages:
         n, s = len(patterns), len(self.pi)
-        scale = np.zeros(n)
-        order = [self.root]
-        for node in order:
-            order.extend(c for p, c in self.edges if p == node)
-        below: dict[str, np.ndarray] = {}
+        data: dict[str, np.ndarray] = {}
+        for col, (name, pos) in enumerate(self.axes):
+            seen = patterns[:, col]
+            ok = np.where(seen[:, None] < 0, 1.0, np.arange(s)[None, :] == seen[:, None])
+            ok = ok[:, :, None] if pos == 0 else ok[:, None, :]
+            data[name] = data.get(name, np.ones((n, s, s))) * ok
+        at: dict[str, list[int]] = {}
+        for k, (a, _) in enumerate(self.edges):
+            at.setdefault(a, []).append(k)
+        scale, below, up = np.zeros(n), {}, [None] * len(self.edges)
+        order = _order(self.edges)
         for node in reversed(order):
-            m = np.ones((n, s, s))
-            for col, (name, pos) in enumerate(self.axes):
-                if name == node:
-                    seen = patterns[:, col]
-                    ok = np.where(seen[:, None] < 0, 1.0, np.arange(s)[None, :] == seen[:, None])
-                    m = m * (ok[:, :, None] if pos == 0 else ok[:, None, :])
-            for k, (p, c) in enumerate(self.edges):
-                if p == node:
-                    m = m * self.along(k, below.pop(c), **(boost or {}).get(k, {}))
+            m = data.get(node, np.ones((n, s, s)))
+            for k in at.get(node, ()):
+                up[k] = self.up(k, below[self.edges[k][1]])
+                m = m * up[k]
             top = m.max(axis=(1, 2))
             top[top == 0] = 1.0
             below[node] = m / top[:, None, None]
             scale += np.log(top)
-        d = np.diagonal(below[self.root], axis1=1, axis2=2)
         with np.errstate(divide="ignore"):
-            return np.log(d @ self.pi) + scale
+            lnl = np.log(np.diagonal(below[self.root], axis1=1, axis2=2) @ self.pi) + scale
+        above: list = [None] * len(self.edges)
+        if down:
+            outer = {self.root: np.broadcast_to(np.diag(self.pi), (n, s, s))}
+            for node in order:
+                for k in at.get(node, ()):
+                    a = outer[node] * data[node] if node in data else outer[node]
+                    for j in at[node]:
+                        if j != k:
+                            a = a * up[j]
+                    top = a.max(axis=(1, 2), keepdims=True)
+                    top[top == 0] = 1.0
+                    above[k] = a / top
+                    outer[self.edges[k][1]] = self.down(k, above[k])
+        return Messages(lnl, below, up, above, [])
+
+    def _by_edge(self, patterns: np.ndarray, inner, most: int = 64) -> np.ndarray:
+        """For each pattern and edge the posterior mean of inner(edge, message below, message above its lower end)."""
+        parts = []
+        for start in range(0, max(len(patterns), 1), most):  # messages of some patterns at a time
+            m = self._messages(patterns[start : start + most], down=True)
+            cols = []
+            for k, (_, c) in enumerate(self.edges):
+                cols.append(np.einsum("nab,nab->n", m.down[k], inner(k, m.below[c], m.up[k])) / np.einsum("nab,nab->n", m.down[k], m.up[k]))
+            parts.append(np.stack(cols, axis=1))
+        return np.concatenate(parts)
+
+    def edge_derivatives(self, patterns: np.ndarray) -> np.ndarray:
+        """d lnL / d ln(length) of each pattern and edge."""
+        return self._by_edge(patterns, lambda k, below, up: self.lengths[k] * self.slope(k, up))
+
+    def expected_events(self, patterns: np.ndarray, which: str) -> np.ndarray:
+        """Posterior expected number of events of each pattern and edge: ``all``, ``mutations``, ``copies``, ``copies_2_1`` (into
+        copy 1) or ``copies_1_2``. Before the duplication a mutation of both copies is one."""
+        return self._by_edge(patterns, lambda k, below, up: self.gathered(k, below, jumps=which))
+
+    def dwell_fractions(self, patterns: np.ndarray, which: str) -> np.ndarray:
+        """Posterior expected weighted share of each edge: ``unlike`` or ``alike`` copies (weight 2), or ``exit``, the rates of
+        leaving."""
+        if which not in ("unlike", "alike", "exit"):
+            raise KeyError(f"no weights of states are named {which}")
+        return self._by_edge(patterns, lambda k, below, up: self.gathered(k, below, weights=which) / max(float(self.lengths[k]), 1e-300))
+
+    def log_likelihoods(self, patterns: np.ndarray, most: int = 256) -> np.ndarray:
+        return np.concatenate([self._messages(patterns[k : k + most]).lnl for k in range(0, max(len(patterns), 1), most)])

@@ -14,7 +14,8 @@ from ..functions.alphabet import AMINO_ACID, NUCLEOTIDES, SENSE_CODONS
 
 
 def _letters(spark: SparkSession, name: str) -> DataFrame:
-    return spark.createDataFrame([(k, c) for k, c in enumerate(NUCLEOTIDES)], f"{name} int, n{name} string")
+    rows = F.array(*[F.struct(F.lit(k).alias(name), F.lit(c).alias(f"n{name}")) for k, c in enumerate(NUCLEOTIDES)])
+    return spark.range(0, 1, numPartitions=1).select(F.inline(rows))
 
 
 def _is_transition(a: Column, b: Column) -> Column:
@@ -35,7 +36,7 @@ def hky(pi: DataFrame, kappa: float) -> DataFrame:
 def two_paralogs(pi: DataFrame, kappa: float, tau: float) -> DataFrame:
     """s, t, rate, share: the 96 changes of a pair of copies, and what part of each is due to a copy."""
     q = hky(pi, kappa)
-    other = pi.sparkSession.range(4).select(F.col("id").cast("int").alias("z"))
+    other = pi.sparkSession.range(0, 4, numPartitions=1).select(F.col("id").cast("int").alias("z"))
     one = q.crossJoin(other)
     copied = F.when(F.col("y") == F.col("z"), F.lit(tau)).otherwise(0.0)
     rate = F.col("q") + copied
@@ -46,7 +47,7 @@ def two_paralogs(pi: DataFrame, kappa: float, tau: float) -> DataFrame:
 
 def codon_table(spark: SparkSession) -> DataFrame:
     """codon, state, aa of the 61 sense codons."""
-    return spark.createDataFrame([(c, k, AMINO_ACID[c]) for k, c in enumerate(SENSE_CODONS)], "codon string, state int, aa string")
+    return spark.createDataFrame([(c, k, AMINO_ACID[c]) for k, c in enumerate(SENSE_CODONS)], "codon string, state int, aa string").coalesce(1)
 
 
 def mg94(pi: DataFrame, kappa: float, omega: float) -> DataFrame:
@@ -54,7 +55,7 @@ def mg94(pi: DataFrame, kappa: float, omega: float) -> DataFrame:
     spark = pi.sparkSession
     f = F.broadcast(pi)
     c = codon_table(spark)
-    at = spark.range(3).select((F.col("id") + 1).cast("int").alias("k"))
+    at = spark.range(0, 3, numPartitions=1).select((F.col("id") + 1).cast("int").alias("k"))
     weight = c.crossJoin(at).withColumn("nt", F.substring("codon", F.col("k"), F.lit(1))).join(f, "nt").groupBy("codon").agg(F.product("freq").alias("w"))
     total = weight.agg(F.sum("w").alias("total"))
     weight = weight.crossJoin(F.broadcast(total)).select(F.col("codon").alias("a"), (F.col("w") / F.col("total")).alias("pa"))
@@ -73,8 +74,8 @@ def mg94(pi: DataFrame, kappa: float, omega: float) -> DataFrame:
 def three_paralogs(pi: DataFrame, kappa: float, tau: dict[tuple[int, int], float]) -> DataFrame:
     """s, t, rate, copies: changes of one of three copies, with a rate for every (donor, recipient)."""
     spark = pi.sparkSession
-    digits = spark.range(64).select(F.col("id").cast("int").alias("s")).withColumn("d", F.array(F.floor(F.col("s") / 16), F.floor(F.col("s") / 4) % 4, F.col("s") % 4).cast("array<int>"))
-    which = spark.range(3).select(F.col("id").cast("int").alias("o"))
+    digits = spark.range(0, 64, numPartitions=1).select(F.col("id").cast("int").alias("s")).withColumn("d", F.array(F.floor(F.col("s") / 16), F.floor(F.col("s") / 4) % 4, F.col("s") % 4).cast("array<int>"))
+    which = spark.range(0, 3, numPartitions=1).select(F.col("id").cast("int").alias("o"))
     rows = digits.crossJoin(which).withColumn("x", F.get("d", F.col("o"))).join(F.broadcast(hky(pi, kappa)), "x")
     weight = F.element_at(F.array(F.lit(16), F.lit(4), F.lit(1)), F.col("o") + 1)
     copies = reduce(lambda a, b: a + b, [F.when((F.col("o") == r) & (F.get("d", F.lit(g)) == F.col("y")), v).otherwise(0.0) for (g, r), v in tau.items()])
@@ -86,8 +87,8 @@ def pair_site(pi: DataFrame, kappa: float, n: int, init: float, p: float) -> Dat
     spark = pi.sparkSession
     one, both = init / p * (1 - (1 - p) ** n), init / p * (1 - p) ** n
     digit = lambda k: F.pmod(F.floor(F.col("s") / 4**k), F.lit(4)).cast("int")
-    states = spark.range(256).select(F.col("id").cast("int").alias("s")).withColumn("d", F.array(*[digit(k) for k in (3, 2, 1, 0)]))
-    place = spark.range(4).select(F.col("id").cast("int").alias("k"))
+    states = spark.range(0, 256, numPartitions=1).select(F.col("id").cast("int").alias("s")).withColumn("d", F.array(*[digit(k) for k in (3, 2, 1, 0)]))
+    place = spark.range(0, 4, numPartitions=1).select(F.col("id").cast("int").alias("k"))
     rows = states.crossJoin(place).withColumn("x", F.get("d", F.col("k"))).join(F.broadcast(hky(pi, kappa)), "x")
     other, beside, beside_other = (F.col("k") + 2) % 4, F.col("k").bitwiseXOR(F.lit(1)), (F.col("k").bitwiseXOR(F.lit(1)) + 2) % 4
     copied = F.when(F.get("d", other) == F.col("y"), one + F.when(F.get("d", beside) == F.get("d", beside_other), both).otherwise(0.0)).otherwise(0.0)
@@ -101,7 +102,8 @@ def pair_site(pi: DataFrame, kappa: float, n: int, init: float, p: float) -> Dat
 
 
 def row_sums(rates: DataFrame, state: str = "s", rate: str = "rate") -> DataFrame:
-    return rates.groupBy(state).agg(F.sum(rate).alias("out"))
+    """state, out (the rate of leaving it), n (how many states it can go to)."""
+    return rates.groupBy(state).agg(F.sum(rate).alias("out"), F.count(F.lit(1)).alias("n"))
 
 
 def equal_rates(k: int, t: Column) -> tuple[Column, Column]:

@@ -93,6 +93,39 @@ def is_state(state: np.ndarray, conf: Configuration) -> bool:
     return all(len({state[p] for p in ps}) == 1 for ps in divide(conf)["extent"].values())
 
 
+def is_configuration(conf: Configuration) -> bool:
+    """Whether each position has a group and is alive (1) or lost (0), and no group is both."""
+    ok = len(conf) > 0 and all(len(x) == 2 and x[1] in (0, 1) for x in conf)
+    return ok and all(len({a for o, a in conf if o == orlg}) == 1 for orlg in {o for o, _ in conf})
+
+
+def is_state_of(state: np.ndarray, conf: Configuration, base: int = 4) -> bool:
+    """Whether a joint state can stand in this configuration: a symbol at each position, the same throughout a group."""
+    return len(state) == len(conf) and all(0 <= x < base for x in state) and is_state(state, conf)
+
+
+def is_transition_of(a: np.ndarray, b: np.ndarray, conf: Configuration) -> bool:
+    """Whether one change leads from joint state a to b: of one group alive, at all its positions. Lost groups are frozen."""
+    if not (is_state_of(a, conf) and is_state_of(b, conf)):
+        return False
+    parts = divide(conf)
+    moved = [o for o, ps in parts["extent"].items() if any(a[p] != b[p] for p in ps)]
+    return len(moved) == 1 and all(a[p] == b[p] for p in parts["distinct"])
+
+
+def is_pair_transition(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether one change leads from state a to b of two copies at two positions: of one position, or of both positions of a
+    copy to what the other copy holds there."""
+    at = [k for k in range(4) if a[k] != b[k]]
+    return len(at) == 1 or (at in ([0, 1], [2, 3]) and all(b[k] == a[(k + 2) % 4] for k in at))
+
+
+def is_single_transition(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether one change leads from state a to b before the duplication: both copies alike, one position of both changes."""
+    alike = all(x[0] == x[2] and x[1] == x[3] for x in (a, b))
+    return alike and sum(a[k] != b[k] for k in (0, 1)) == 1
+
+
 def joint(conf: Configuration, q: np.ndarray, tau: dict[tuple[int, int], float]) -> Process:
     """The process below a node of this configuration: one group alive changes at a time, all its positions together.
 
@@ -130,11 +163,9 @@ def joint_brute(conf: Configuration, q: np.ndarray, tau: dict[tuple[int, int], f
     all_ = states(len(conf), base)
     out = np.zeros((len(all_), len(all_)))
     for (i, a), (j, b) in product(enumerate(all_), repeat=2):
-        moved = [o for o, ps in extent.items() if any(a[p] != b[p] for p in ps)]
-        lost = divide(conf)["distinct"]
-        if len(moved) != 1 or not is_state(a, conf) or not is_state(b, conf) or any(a[p] != b[p] for p in lost):
+        if not is_transition_of(a, b, conf):
             continue
-        o = moved[0]
+        o = next(o for o, ps in extent.items() if any(a[p] != b[p] for p in ps))
         y = b[extent[o][0]]
         out[i, j] = q[a[extent[o][0]], y] + sum(tau.get((d, o), 0.0) for d, ps in extent.items() if d != o and a[ps[0]] == y)
     return out
@@ -212,14 +243,15 @@ def pair_site_brute(q_a: np.ndarray, q_b: np.ndarray, n: int, init: float, p: fl
     out = np.zeros((256, 256))
     for (i, a), (j, b) in product(enumerate(all_), repeat=2):
         at = np.flatnonzero(a != b)
-        copies = {tuple(at // 2)}
+        if not is_pair_transition(a, b):
+            continue
         if len(at) == 1:
             k = int(at[0])
             q = (q_a, q_b)[k % 2]
             out[i, j] = q[a[k], b[k]]
             if a[(k + 2) % 4] == b[k]:
                 out[i, j] += one + (both if a[k ^ 1] == a[((k ^ 1) + 2) % 4] else 0.0)
-        elif len(at) == 2 and copies in ({(0, 0)}, {(1, 1)}) and all(b[k] == a[(k + 2) % 4] for k in at):
+        else:
             out[i, j] = both
     return out
 
@@ -238,21 +270,51 @@ def codon_pair(q: np.ndarray, tau_synonymous: float, tau_other: float) -> tuple[
     return q, t
 
 
-def codon_pair_action(q: np.ndarray, t: np.ndarray, m: np.ndarray, *, points: float = 1.0, into: tuple[float, float] = (1.0, 1.0)) -> np.ndarray:
+def _pair_points(q: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Jumps by point changes of either copy, applied to messages m[..., copy 1, copy 2]."""
+    if q.ndim == 2:
+        return q @ m + m @ q.T
+    return np.einsum("bac,...cb->...ab", q, m) + np.einsum("abc,...ac->...ab", q, m)
+
+
+def codon_pair_jumps(q: np.ndarray, t: np.ndarray, m: np.ndarray, which: str) -> np.ndarray:
+    """The jumps of one kind of two codon copies applied to messages m[..., copy 1, copy 2]: ``all``, ``mutations``, ``copies``,
+    ``copies_2_1`` (into copy 1) or ``copies_1_2``."""
+    d = np.diagonal(m, axis1=-2, axis2=-1)
+    if which == "all":
+        return _pair_points(q, m) + t * d[..., None, :] + t.T * d[..., :, None]
+    if which == "mutations":
+        return _pair_points(q, m)
+    if which == "copies":
+        return t * d[..., None, :] + t.T * d[..., :, None]
+    if which == "copies_2_1":
+        return t * d[..., None, :]  # copy 1 takes on what copy 2 holds
+    if which == "copies_1_2":
+        return t.T * d[..., :, None]
+    raise KeyError(f"no jumps are named {which}")
+
+
+def codon_pair_exits(q: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The rate at which each pair (copy 1, copy 2) is left."""
+    r = q.sum(axis=1)
+    own = r[:, None] + r[None, :] if q.ndim == 2 else q.sum(axis=2).T + q.sum(axis=2)
+    return own + t + t.T
+
+
+def codon_pair_action(q: np.ndarray, t: np.ndarray, m: np.ndarray) -> np.ndarray:
     """The generator of two codon copies applied to messages m[..., copy 1, copy 2], without its 3721 x 3721 matrix.
 
-    ``q`` is 61 x 61, or [codon of the other copy, from, to]. ``points`` and ``into`` weigh the jumps by point changes and by
-    copies into copy 1 and copy 2, and leave the rates of staying as they are: what counts of events are derived by.
+    ``q`` is 61 x 61, or [codon of the other copy, from, to].
     """
-    d = np.diagonal(m, axis1=-2, axis2=-1)
-    if q.ndim == 2:
-        r = q.sum(axis=1)
-        out = points * (q @ m + m @ q.T) - (r[:, None] + r[None, :]) * m
-    else:
-        r = q.sum(axis=2)  # [other, own]
-        out = points * (np.einsum("bac,...cb->...ab", q, m) + np.einsum("abc,...ac->...ab", q, m)) - (r.T + r) * m
-    out += t * (into[0] * d[..., None, :] - m)  # copy 1 takes on what copy 2 holds
-    out += t.T * (into[1] * d[..., :, None] - m)  # copy 2 takes on what copy 1 holds
+    return codon_pair_jumps(q, t, m, "all") - codon_pair_exits(q, t) * m
+
+
+def codon_pair_transposed(q: np.ndarray, t: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The transpose of codon_pair_action: what carries weights of states down an edge."""
+    out = q.T @ v + v @ q if q.ndim == 2 else np.einsum("...ab,bac->...cb", v, q) + np.einsum("...ab,abc->...ac", v, q)
+    out -= codon_pair_exits(q, t) * v
+    k = np.arange(v.shape[-1])
+    out[..., k, k] += (v * t).sum(axis=-2) + (v * t.T).sum(axis=-1)
     return out
 
 

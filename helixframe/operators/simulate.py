@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import NUCLEOTIDES, SENSE_CODONS
@@ -23,7 +22,9 @@ EVENTS = "replicate int, kind string, edge string, time double, orlg_from int, o
 @dataclass
 class Setting:
     """``q`` and ``pi``: rates and frequencies of the symbols (4 nucleotides, or 61 codons). ``index``: where each site
-    lies, so that tracts run over gaps. Copies start at a rate of ``init`` a site and have geometric length of parameter p."""
+    lies, so that tracts run over gaps. Copies start at a rate of ``init`` a site and have geometric length of parameter p; each
+    of these is one number, or one for every (donor, recipient), where those not named make no copies. ``unit`` is the number
+    of letters of a symbol, in which the logs count places and lengths."""
 
     tree: Tree
     confs: dict[str, Configuration]
@@ -31,12 +32,21 @@ class Setting:
     q: np.ndarray
     pi: np.ndarray
     n_sites: int
-    init: float
-    p: float
+    init: float | dict[tuple[int, int], float]
+    p: float | dict[tuple[int, int], float]
     rates: np.ndarray | None = None  # of each site
     index: list[int] = field(default_factory=list)
     seed: int = 0
 
+    @property
+    def unit(self) -> int:
+        return len(self.symbols[0])
+
+    def tracts(self, pair: tuple[int, int]) -> tuple[float, float]:
+        """Rate at which copies of this (donor, recipient) start at a site, and the parameter of their length."""
+        init, p = (v.get(pair, 0.0) if isinstance(v, dict) else v for v in (self.init, self.p))
+        return (init, p) if init > 0 and p > 0 else (0.0, 1.0)
+
     @property
     def symbols(self) -> list[str]:
         return list(NUCLEOTIDES) if len(self.pi) == 4 else SENSE_CODONS
@@ -48,6 +58,16 @@ def draw(rng: np.random.Generator, weights: np.ndarray) -> int:
     return int(min(np.searchsorted(c, rng.random() * c[-1], side="right"), len(c) - 1))
 
 
+def draw_column(u: Column, shares: list[Column]) -> Column:
+    """draw by a column: the first state whose running sum of shares passes u, a number from 0 to 1 (not included)."""
+    out = F.lit(len(shares) - 1)
+    top = None
+    tops = [top := x if top is None else top + x for x in shares]
+    for k in range(len(shares) - 2, -1, -1):
+        out = F.when(u < tops[k], k).otherwise(out)
+    return out
+
+
 def one(setting: Setting, replicate: int) -> tuple[list[tuple], list[tuple]]:
     """Sequences of all nodes and events of all branches of one replicate; its draws hang on the seed and number alone."""
     s = setting
@@ -65,7 +85,9 @@ def one(setting: Setting, replicate: int) -> tuple[list[tuple], list[tuple]]:
         t, edge = 0.0, f"{parent}_{child}"
         names = sorted(now)
         pairs = [(a, b) for a in names for b in names if a != b]
-        starts = s.init * (span - 1 + 1 / s.p) * len(pairs)
+        tract = [s.tracts(pair) for pair in pairs]
+        each = np.array([init * (span - 1 + 1 / p) for init, p in tract])
+        starts = float(each.sum())
         mutable = {o: exit_rate[x] * site_rate for o, x in now.items()}
         while True:
             mutations = np.array([mutable[o].sum() for o in names])
@@ -80,18 +102,19 @@ def one(setting: Setting, replicate: int) -> tuple[list[tuple], list[tuple]]:
                 new = draw(rng, s.q[old])
                 now[o][k] = new
                 mutable[o][k] = exit_rate[new] * site_rate[k]
-                events.append((replicate, "mutation", edge, t, None, o, None, None, None, None, None, None, int(index[k]), s.symbols[old], s.symbols[new]))
+                events.append((replicate, "mutation", edge, t, None, o, None, None, None, None, None, None, int(index[k]) * s.unit, s.symbols[old], s.symbols[new]))
                 continue
-            a, b = pairs[int(rng.integers(len(pairs)))]
+            k = draw(rng, each)
+            (a, b), p = pairs[k], tract[k][1]
             # a tract may have begun before the first site: its weight there is the mean length
-            start = 0 if rng.random() < (1 / s.p) / (span - 1 + 1 / s.p) else 1 + int(rng.integers(span - 1))
-            length = int(rng.geometric(s.p))
+            start = 0 if rng.random() < (1 / p) / (span - 1 + 1 / p) else 1 + int(rng.integers(span - 1))
+            length = int(rng.geometric(p))
             stop = min(start + length, span) - 1
             at = np.flatnonzero((index >= start) & (index <= stop))
             old = now[b][at].copy()
             now[b][at] = now[a][at]
             mutable[b][at] = exit_rate[now[b][at]] * site_rate[at]
-            events.append((replicate, "copy", edge, t, a, b, length, start, stop, int((old != now[b][at]).sum()), text(now[a][at]), text(old), None, None, None))
+            events.append((replicate, "copy", edge, t, a, b, length * s.unit, start * s.unit, (stop + 1) * s.unit - 1, int((old != now[b][at]).sum()), text(now[a][at]), text(old), None, None, None))
         after = divide(s.confs[child])["loc"]
         gone, born = sorted(set(now) - set(after)), sorted(set(after) - set(now))
         if born:  # a duplication: the group that ends is the one copied
@@ -103,20 +126,41 @@ def one(setting: Setting, replicate: int) -> tuple[list[tuple], list[tuple]]:
 
 
 def simulate(spark: SparkSession, setting: Setting, replicates: int) -> tuple[DataFrame, DataFrame]:
-    """Sequences of every node, and events, of every replicate."""
+    """Sequences of every node, and events, of every replicate.
+
+    Both come from one pass, whose rows are kept for whichever of the two is read first; what is lost is made again, alike.
+    """
     rows = spark.range(replicates).select(F.col("id").cast("int").alias("replicate"))
     shared = spark.sparkContext.broadcast(setting)
-
-    def part(which: int):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            names = [c.split()[0] for c in (SEQUENCES, EVENTS)[which].split(", ")]
-            for b in batches:
-                for r in b["replicate"]:
-                    yield pd.DataFrame(one(shared.value, int(r))[which], columns=names).astype({"tract_length": "Int32", "start_pos": "Int32", "stop_pos": "Int32", "num_diff": "Int32", "orlg_from": "Int32", "orlg_to": "Int32", "mut_pos": "Int32"} if which else {})
-
-        return run
-
-    return rows.mapInPandas(part(0), SEQUENCES), rows.mapInPandas(part(1), EVENTS)
+    names = [[c.split()[0] for c in x.split(", ")] for x in (SEQUENCES, EVENTS)]
+    fields = [*SEQUENCES.split(", "), *EVENTS.split(", ")[1:]]
+    kinds = {"int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.column(0).to_pylist():
+                for rows, columns in zip(one(shared.value, r), names):
+                    of = dict(zip(columns, zip(*rows))) if rows else {}
+                    if of:
+                        made = [pa.array(of.get(n) or [None] * len(rows), kinds[k]) for n, k in (f.split() for f in fields)]
+                        yield pa.RecordBatch.from_arrays(made, names=[f.split()[0] for f in fields])
+
+    kept = rows.mapInArrow(run, ", ".join(fields)).persist()
+    return kept.filter("kind is null").select(*names[0]), kept.filter("kind is not null").select(*names[1])
+
+
+def expected_events(setting: Setting, replicates: int) -> dict[tuple[str, str, str], float]:
+    """The mean number of events by (parent, child, kind) over all replicates: of ``copy`` exactly, of ``mutation`` where sites
+    are at stationarity and their rates have mean one."""
+    span = setting.n_sites if not setting.index else max(setting.index) - min(setting.index) + 1
+    unit = float(setting.pi @ setting.q.sum(axis=1)) / float(setting.pi.sum())
+    out = {}
+    for (a, b), t in setting.lengths.items():
+        names = divide(setting.confs[a])["loc"]
+        tracts = [setting.tracts((x, y)) for x in names for y in names if x != y]
+        out[a, b, "copy"] = replicates * t * sum(init * (span - 1 + 1 / p) for init, p in tracts)
+        out[a, b, "mutation"] = replicates * t * unit * setting.n_sites * len(names)
+    return out
 
 
 def as_alignment(sequences: DataFrame, genes: DataFrame, tips: list[str]) -> DataFrame:
@@ -126,5 +170,6 @@ def as_alignment(sequences: DataFrame, genes: DataFrame, tips: list[str]) -> Dat
 
 
 def fingerprint(sequences: DataFrame) -> int:
-    """A checksum of the sequences, whatever their order."""
-    return sum(zlib.crc32("|".join(map(str, r)).encode()) for r in sequences.collect()) & 0xFFFFFFFF
+    """A checksum of the sequences, whatever their order; added up where they are."""
+    row = F.concat_ws("|", *[F.col(c).cast("string") for c in sequences.columns])
+    return sequences.agg(F.coalesce(F.sum(F.crc32(row.cast("binary"))), F.lit(0))).first()[0]

@@ -6,11 +6,15 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 from ..operators import rates
 from ..operators.histories import Configuration, accessible_pairs, configurations, processes
+from ..operators.engine import Plan
 from ..operators.kernel import CodonPairScene, Scene
 from ..sources.newick import Tree, post_duplication_edges
+from ..sources.newick import report as tree_report
 
 
 @dataclass
@@ -40,14 +44,17 @@ class Model:
     def names(self) -> list[str]:
         return self.process_names() + self.length_names()
 
+    def _plain(self) -> int:
+        """How many parameters at the front stay as they are: under Exp_Neg the shares."""
+        return 3 if self.transformation == "Exp_Neg" else 0
+
     def real(self, x: np.ndarray) -> np.ndarray:
         """x on its real scale, with what is forced."""
         x = np.asarray(x, dtype=float)
         if len(x) != len(self.names):
             raise ValueError(f"{len(x)} parameters for {len(self.names)} names")
         v = np.exp(x) if self.transformation == "log" else -np.log(x) if self.transformation == "Exp_Neg" else x.copy()
-        if self.transformation == "Exp_Neg":  # shares stay as they are
-            v[:3] = x[:3]
+        v[: self._plain()] = x[: self._plain()]
         for k, f in self.force.items():
             if not 0 <= k < len(v):
                 raise ValueError(f"no parameter {k} to force")
@@ -56,22 +63,52 @@ class Model:
             raise ValueError("shares lie between 0 and 1, and all else is not negative")
         return v
 
+    def scaled(self, v: np.ndarray) -> np.ndarray:
+        """The x of real values: what real undoes."""
+        v = np.asarray(v, dtype=float)
+        with np.errstate(divide="ignore"):
+            x = np.log(v) if self.transformation == "log" else np.exp(-v) if self.transformation == "Exp_Neg" else v.copy()
+        x[: self._plain()] = v[: self._plain()]
+        return x
+
+    def slopes(self, x: np.ndarray) -> np.ndarray:
+        """Derivatives of the logarithms of the real values by x."""
+        x = np.asarray(x, dtype=float)
+        if self.transformation == "log":
+            return np.ones_like(x)
+        v = self.real(x)
+        out = 1 / v if self.transformation != "Exp_Neg" else -1 / (x * v)
+        out[: self._plain()] = 1 / v[: self._plain()]
+        return out
+
     def named(self, x: np.ndarray) -> dict[str, float]:
         return dict(zip(self.names, self.real(x).tolist()))
 
     def free(self) -> list[int]:
         return [k for k in range(len(self.names)) if k not in self.force]
 
+    def limits(self) -> list[tuple[float, float]]:
+        """Least and greatest real values: shares below 1, lengths and rates within what can be told from data, tract
+        parameters up to 1."""
+        return [(1e-3, 0.999) if n.startswith("%") else (1e-9, 20.0) if "__" in n else (1e-9, 1.0) if n == "tract_p" else (1e-6, 1e4) for n in self.names]
+
     def bounds(self) -> list[tuple[float, float]]:
-        """On the log scale: shares below 1, lengths and rates within what can be told from data."""
-        lo, hi = math.log(1e-9), math.log(1e4)
-        return [(math.log(1e-3), math.log(0.999)) if n.startswith("%") else (lo, math.log(20.0)) if "__" in n else (math.log(1e-6), hi) for n in self.names]
+        """The limits on the scale of x. Where they fall as values rise, they change places."""
+        lo, hi = (self.scaled(np.array(v)) for v in zip(*self.limits()))
+        return [(float(min(a, b)), float(max(a, b))) for a, b in zip(lo, hi)]
+
+    def at_bounds(self, x: np.ndarray, within: float = 1e-6) -> list[str]:
+        """The parameters that stand at one of their bounds: an optimum there is no stationary point."""
+        return [n for k, (n, v, (lo, hi)) in enumerate(zip(self.names, x, self.bounds())) if k not in self.force and (v <= lo + within or v >= hi - within)]
 
     def start(self, frequencies: np.ndarray | None = None, length: float = 0.01) -> np.ndarray:
         """Frequencies from data if given, ratios near one, short lengths."""
         pi = np.full(4, 0.25) if frequencies is None else np.asarray(frequencies)
         first = {"%AG": pi[0] + pi[2], "%A": pi[0] / (pi[0] + pi[2]), "%C": pi[1] / (pi[1] + pi[3]), "kappa": 1.1, "omega": 0.9}
-        return np.log([first.get(n, length if "__" in n else 1.4 if n.startswith("tau") else 0.5 if n == "tract_p" else 1.0) for n in self.names])
+        return self.scaled(np.array([first.get(n, length if "__" in n else 1.4 if n.startswith("tau") else 0.5 if n == "tract_p" else 1.0) for n in self.names]))
+
+    #: The columns that tell the groups of patterns apart.
+    keys = ("codon_position",)
 
     def positions(self) -> dict[int, float]:
         return {1: 1.0, 2: 1.0, 3: 1.0} if self.rate_variation else {1: 1.0}
@@ -79,9 +116,47 @@ class Model:
     def position_rates(self, v: dict[str, float]) -> dict[int, float]:
         return {1: 1.0, 2: v["r2"], 3: v["r3"]} if self.rate_variation else {1: 1.0}
 
-    def scenes(self, x: np.ndarray) -> dict[object, object]:
+    def group_names(self) -> list:
+        """The groups of patterns, each with a scene of its own."""
+        return list(self.positions())
+
+    def scene(self, x: np.ndarray, group):
+        """The scene of one group of patterns; none for a group that the model lacks."""
         raise NotImplementedError
 
+    def scenes(self, x: np.ndarray) -> dict:
+        return {g: self.scene(x, g) for g in self.group_names()}
+
+    def plan(self, x: np.ndarray) -> Plan:
+        """The scenes as what makes them."""
+        x = np.asarray(x, dtype=float)
+        self.real(x)  # what is wrong with x shows here and not in a task
+        return Plan(self, x, len(self.group_names()))
+
+    def edge_parameter(self) -> dict[int, int]:
+        """For each edge the place in x of its length."""
+        names = self.names
+        return {k: names.index(f"{a}__{b}") if f"{a}__{b}" in names else names.index("root__both") for k, (a, b) in enumerate(self.edges)}
+
+    def edge_share(self) -> dict[int, float]:
+        """For each edge its part of the parameter that stands for it: the edges at the root may have one together."""
+        names = self.names
+        return {k: 1.0 if f"{a}__{b}" in names else 0.1 if b.startswith("D") else 0.9 for k, (a, b) in enumerate(self.edges)}
+
+    def run_name(self, family: str = "") -> str:
+        """What results of this model are filed under: the model, the family and the switches that are not as usual."""
+        parts = [type(self).__name__.removesuffix("Model").lower(), family, "rv" if self.rate_variation else "", "" if self.transformation == "log" else self.transformation.lower()]
+        parts += [f"{self.names[k]}={v:g}" for k, v in sorted(self.force.items())]
+        return "_".join(p for p in [*parts, *self.switches()] if p)
+
+    def switches(self) -> list[str]:
+        return []
+
+    def report(self, x: np.ndarray) -> str:
+        """The model, its tree and its parameters as text."""
+        lines = [self.run_name(), tree_report(self.tree, getattr(self, "confs", None))]
+        return "\n".join([*lines, *(f"{n}\t{v:.6g}" + (" (forced)" if k in self.force else "") for k, (n, v) in enumerate(self.named(x).items()))])
+
 
 @dataclass
 class JointModel(Model):
@@ -121,22 +196,25 @@ class JointModel(Model):
             out.append(v["root__both"] * (0.1 if e[1].startswith("D") else 0.9) if e in at else v[f"{e[0]}__{e[1]}"])
         return np.array(out)
 
-    def scenes(self, x: np.ndarray) -> dict[object, object]:
+    def switches(self) -> list[str]:
+        return [] if self.copies == "one" else [self.copies]
+
+    def scene(self, x: np.ndarray, group) -> Scene | None:
         v = self.named(x)
+        rate = self.position_rates(v).get(group)
+        if rate is None:
+            return None
         pi = rates.base_frequencies(v["%AG"], v["%A"], v["%C"])
         q = rates.hky(pi, v["kappa"])
         tau = rates.copy_rates(self.copies, self.pairs, np.array([v[n] for n in self.copy_names()]))
+        ps = [rates.joint(c, q * rate, tau) for c in self.kinds]
+        shape = (4,) * len(self.kinds[0])
+        rewards = {"copies": [p.copy_share() for p in ps], "mutations": [p.mutation_share() for p in ps]}
+        rewards |= {f"copies_{a}_{b}": [p.copy_share([(a, b)]) for p in ps] for a, b in tau}
+        same = (rates.states(len(shape)) == rates.states(len(shape))[:, :1]).all(axis=1).astype(float)
+        dwell = {"unlike": [2 * (1 - same)] * len(ps), "alike": [2 * same] * len(ps)}
         prior = rates.root_prior(self.confs[self.tree.root], pi)
-        out: dict[object, object] = {}
-        for position, r in self.position_rates(v).items():
-            ps = [rates.joint(c, q * r, tau) for c in self.kinds]
-            shape = (4,) * len(self.kinds[0])
-            rewards = {"copies": [p.copy_share() for p in ps], "mutations": [p.mutation_share() for p in ps]}
-            rewards |= {f"copies_{a}_{b}": [p.copy_share([(a, b)]) for p in ps] for a, b in tau}
-            same = (rates.states(len(shape)) == rates.states(len(shape))[:, :1]).all(axis=1).astype(float)
-            dwell = {"unlike": [2 * (1 - same)] * len(ps), "alike": [2 * same] * len(ps)}
-            out[position] = Scene(self.edges, self.lengths(v), [self.of[e] for e in self.edges], [p.q for p in ps], prior, shape, self.axes, rewards, dwell)
-        return out
+        return Scene(self.edges, self.lengths(v), [self.of[e] for e in self.edges], [p.q for p in ps], prior, shape, self.axes, rewards, dwell)
 
 
 @dataclass
@@ -159,7 +237,12 @@ class CodonModel(Model):
     def process_names(self) -> list[str]:
         return ["%AG", "%A", "%C", "kappa", "omega", *{"own": ["omega_copy"], "joint": ["tau_omega"], "homo": ["omega_homo"]}.get(self.selection, []), "tau"]
 
-    def scenes(self, x: np.ndarray) -> dict[object, object]:
+    def switches(self) -> list[str]:
+        return [] if self.selection == "none" else [self.selection]
+
+    def scene(self, x: np.ndarray, group) -> CodonPairScene | None:
+        if group != 1:
+            return None
         v = self.named(x)
         pi = rates.base_frequencies(v["%AG"], v["%A"], v["%C"])
         other = {"none": v["tau"], "omega": v["omega"] * v["tau"], "own": v.get("omega_copy", 1.0) * v["tau"], "joint": v.get("tau_omega"), "homo": v.get("omega_homo", 1.0) * v["tau"]}[self.selection]
@@ -168,10 +251,10 @@ class CodonModel(Model):
             q = rates.homogenising(pi, v["kappa"], v["omega"], v["omega_homo"])
         post = post_duplication_edges(self.tree, self.duplicated)
         lengths = np.array([v[f"{a}__{b}"] for a, b in self.edges])
-        return {1: CodonPairScene(self.edges, lengths, [e in post for e in self.edges], q, t, rates.codon_frequencies(pi), self.axes)}
+        return CodonPairScene(self.edges, lengths, [e in post for e in self.edges], q, t, rates.codon_frequencies(pi), self.axes)
 
-    def length_names(self) -> list[str]:
-        return [f"{a}__{b}" for a, b in self.edges]
+    def positions(self) -> dict[int, float]:
+        return {1: 1.0}  # a codon is one site
 
 
 @dataclass
@@ -191,7 +274,15 @@ class PairSiteModel(Model):
         at = self._root_edges()
         return (["root__both"] if at else []) + [f"{a}__{b}" for a, b in self.edges if (a, b) not in at]
 
-    def scenes(self, x: np.ndarray) -> dict[object, object]:
+    keys = ("space", "cs_i", "cs_j")
+
+    def group_names(self) -> list:
+        return list(self.groups)
+
+    def scene(self, x: np.ndarray, group) -> Scene | None:
+        if self.groups and group not in self._known():
+            return None
+        space, a, b = group
         v = self.named(x)
         pi = rates.base_frequencies(v["%AG"], v["%A"], v["%C"])
         q = rates.hky(pi, v["kappa"])
@@ -200,16 +291,30 @@ class PairSiteModel(Model):
         lengths = np.array([v["root__both"] * (0.1 if e[1].startswith("D") else 0.9) if e in at else v[f"{e[0]}__{e[1]}"] for e in self.edges])
         below = post_duplication_edges(self.tree, next(c for _, c in self.tree.edges if c.startswith("D")))
         dup = next(e for e in self.edges if e[1].startswith("D"))
-        out: dict[object, object] = {}
-        for space, a, b in self.groups:
-            qa, qb = q * r.get(a, 1.0), q * r.get(b, 1.0)
-            paired = rates.pair_site(qa, qb, space, v["init_rate"], v["tract_p"])
-            single = rates.pair_site_single(qa, qb)
-            same = rates.states(4)
-            prior = np.where((same[:, 0] == same[:, 2]) & (same[:, 1] == same[:, 3]), pi[same[:, 0]] * pi[same[:, 1]], 0.0)
-            use = [int(e in below and e != dup) for e in self.edges]
-            out[space, a, b] = Scene(self.edges, lengths, use, [rates.generator(single), paired.q], prior, (4,) * 4, self.axes)
-        return out
+        qa, qb = q * r.get(a, 1.0), q * r.get(b, 1.0)
+        paired = rates.pair_site(qa, qb, space, v["init_rate"], v["tract_p"])
+        single = rates.pair_site_single(qa, qb)
+        same = rates.states(4)
+        prior = np.where((same[:, 0] == same[:, 2]) & (same[:, 1] == same[:, 3]), pi[same[:, 0]] * pi[same[:, 1]], 0.0)
+        use = [int(e in below and e != dup) for e in self.edges]
+        rewards = {"copies": [np.zeros_like(single), paired.copy_share()], "mutations": [np.ones_like(single), paired.mutation_share()]}
+        rewards |= {f"copies_{c}_{d}": [np.zeros_like(single), paired.copy_share([(c, d)])] for c, d in paired.copies}
+        return Scene(self.edges, lengths, use, [rates.generator(single), paired.q], prior, (4,) * 4, self.axes, rewards)
+
+    def _known(self) -> set:
+        return set(self.groups)
+
+
+def three_epoch_model(tree: Tree, axes: list[tuple[str, int]], **kw) -> JointModel:
+    """Three paralogs under HKY with a rate for every direction, below a tree made by ``three_epochs``: one gene above N1, two
+    from the first duplication on, three from the second. The second duplicates the second of the two copies.
+
+    The two copies before the second duplication have two directed rates of their own beside the six among the three.
+    """
+    from ..sources.newick import splice, three_epochs
+
+    whole = splice(three_epochs(tree), [("N0_N1", ["D1"]), ("N1_N2", ["D2"])])
+    return JointModel(whole, axes, event_group={"D1": 0, "D2": 1}, copies="general", root_split=False, **kw)
 
 
 def logit_tract(x: np.ndarray) -> np.ndarray:
@@ -226,6 +331,12 @@ def lengths_from_clock(tree: Tree, spine: list[str], height: float, ratios: list
     return {(a, b): at[a] - at.get(b, 0.0) for a, b in tree.edges}
 
 
+def clock_heights(rows: DataFrame, by: str, *order: str, ratio: Column) -> DataFrame:
+    """rows with ``log_height``: the logarithm of the product of the ratios so far, in the given order within each group."""
+    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("log_height", F.sum(F.log(ratio)).over(w))
+
+
 def clock_gradient(by_length: dict[tuple[str, str], float], tree: Tree, spine: list[str], height: float, ratios: list[float]) -> np.ndarray:
     """Derivatives by ln(height) and by the logs of the ratios, from those by the logs of the lengths."""
     at = [height]

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import alphabet
-from .operators import encode, engine, hmm, rate_relations
-from .plans import bridge
+from .operators import encode, engine, estimate, histories, hmm, rate_relations, rates, simulate
+from .operators.kernel import Scene
+from .plans import bridge, models
 from .plans.bridge import chains, composition, sequences, sites, table
 from .plans.models import JointModel
+from .sources import newick, tables
 
 ETA, TRACT_P, LENGTH = 0.05, 0.3, 0.8
 KAPPA, OMEGA, TAU = 2.5, 0.4, 1.5
@@ -74,30 +76,32 @@ def q04_translate_codons(spark, d):
 
 @query(f"with {TOK} select pos % 3 + 1 cs, st, count(*) n from tok group by all")
 def q05_codon_position_counts(spark, d):
-    return sites(spark, d).groupBy((F.col("pos") % 3 + 1).alias("cs"), "st").agg(F.count(F.lit(1)).alias("n"))
+    obs = sites(spark, d).select(F.col("pos").alias("site"), F.array("st").alias("pattern"))
+    return encode.compress(obs).select(F.col("codon_position").alias("cs"), F.get("pattern", F.lit(0)).alias("st"), "n")
 
 
-@query(f"with {TOK} select 4 * a.st + b.st code, a.st a, b.st b, count(*) n from tok a join tok b on a.doc_id = b.doc_id and b.pos = a.pos + 1 where a.pos % 2 = 0 group by all")
+@query(f"with {TOK} select 4 * a.st + b.st code, a.st a, b.st b, count(*) n from tok a join tok b on a.doc_id = b.doc_id and b.pos = a.pos + 1 group by all")
 def q06_pair_encode_decode(spark, d):
-    code = _pairs(spark, d, [1]).filter(F.col("i") % 2 == 0).select(alphabet.pair_code(F.col("sa"), F.col("sb")).alias("code"))
+    code = _pairs(spark, d, [1]).select(alphabet.pair_code(F.col("sa"), F.col("sb")).alias("code"))
     a, b = alphabet.pair_decode(F.col("code"))
     return code.select("code", a.alias("a"), b.alias("b")).groupBy("code", "a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"with {SEQ} select source, count(distinct length(seq)) lengths, max(length(seq)) longest from seq group by source")
 def q07_equal_length_check(spark, d):
-    return sequences(spark, d).groupBy("source").agg(F.countDistinct(F.length("seq")).alias("lengths"), F.max(F.length("seq")).alias("longest"))
+    return tables.alignment_lengths(sequences(spark, d), "source")
 
 
 @query(f"with {TOK} select lang, pos, count(*) n, sum(st) total from tok where pos < 12 group by all")
 def q08_site_limit(spark, d):
-    return sites(spark, d).filter("pos < 12").groupBy("lang", "pos").agg(F.count(F.lit(1)).alias("n"), F.sum("st").alias("total"))
+    named = sequences(spark, d).select(F.col("doc_id").alias("name"), F.col("lang").alias("species"), F.col("source").alias("gene"), "seq")
+    rows = encode.site_states(named, n_sites=12)
+    return rows.groupBy(F.col("species").alias("lang"), F.col("site").alias("pos")).agg(F.count(F.lit(1)).alias("n"), F.sum("state").alias("total"))
 
 
-@query("select lang, cast(strpos('ACGT', upper(substr(text, 1, 1))) - 1 as int) st, count(*) n from documents where length(text) > 0 group by all")
+@query("select lang, cast(case when c in ('A', 'C', 'G', 'T', 'a', 'c', 'g', 't') then strpos('ACGT', upper(c)) - 1 else -1 end as int) st, count(*) n from (select lang, unnest(string_split(text, '')) c from documents where length(text) > 0) group by all")
 def q09_missing_encoding(spark, d):
-    first = table(spark, d, "documents").filter(F.length("text") > 0).select("lang", alphabet.nucleotide_state(F.substring("text", 1, 1)).alias("st"))
-    return first.groupBy("lang", "st").agg(F.count(F.lit(1)).alias("n"))
+    return encode.symbol_states(table(spark, d, "documents"), "lang")
 
 
 @query("""with n as (select substr('DLNX', cast(p_partkey % 4 as int) + 1, 1) || (p_partkey % 10) || case when p_partkey % 3 = 0 then 'x' else '' end as name from part)
@@ -106,7 +110,7 @@ def q10_node_kind_predicates(spark, d):
     k = F.col("p_partkey")
     name = F.concat(F.substring(F.lit("DLNX"), (k % 4 + 1).cast("int"), F.lit(1)), (k % 10).cast("string"), F.when(k % 3 == 0, "x").otherwise(""))
     n = table(spark, d, "part").select(name.alias("name"))
-    kind = F.when(F.col("name").rlike("^D[0-9]+$"), "duplication").when(F.col("name").rlike("^L[0-9]+$"), "loss").when(F.col("name").rlike("^N[0-9]+$"), "speciation").otherwise("tip")
+    kind = newick.node_kind_column(F.col("name"))
     return n.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -114,30 +118,34 @@ def q10_node_kind_predicates(spark, d):
 def q11_site_pattern_compression(spark, d):
     st = bridge.state_arrays(spark, d).withColumn("n", F.floor(F.size("st") / 3).cast("int")).filter("n > 0")
     w = st.select("lang", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.slice("st", k * 3 + 1, F.lit(3)))).alias("a"))
-    return w.select("lang", F.array_join(F.transform("a", lambda x: x.cast("string")), ",").alias("pattern")).groupBy("lang", "pattern").agg(F.count(F.lit(1)).alias("n"))
+    obs = w.select("lang", F.array_join(F.transform("a", lambda x: x.cast("string")), ",").alias("pattern"))
+    return encode.compress(obs, "lang", codon_position=False).select("lang", "pattern", "n")
 
 
 @query("select lang, quality, toxic, count(*) n, sum(n_chars) chars from documents join labels using (doc_id) group by all")
 def q12_gene_to_orlg_join(spark, d):
-    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").groupBy("lang", "quality", "toxic").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+    return encode.with_groups(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id").groupBy("lang", "quality", "toxic").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
 @query("select c_nationkey, count(*) n from customer where exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT') group by all")
 def q13_species_semi_join(spark, d):
     urgent = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'")
-    c = table(spark, d, "customer")
-    return c.join(urgent, c["c_custkey"] == urgent["o_custkey"], "left_semi").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    kept = encode.in_tree(table(spark, d, "customer"), urgent, species="c_custkey", tip="o_custkey")
+    return kept.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select source, count(*) n from documents where not exists (select 1 from labels l where l.doc_id = documents.doc_id) group by all")
 def q14_changed_groups_anti(spark, d):
-    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left_anti").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return histories.changed(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select doc_id, coalesce(quality, -1) quality, coalesce(toxic, quality, -1) toxic from documents left join labels using (doc_id)")
 def q15_outgroup_coalesce(spark, d):
-    rows = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left")
-    return rows.select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", "quality", F.lit(-1)).alias("toxic"))
+    labels = table(spark, d, "labels").select(F.lit("tip").alias("species"), F.col("doc_id").alias("site"), F.explode(F.create_map(F.lit("quality"), "quality", F.lit("toxic"), "toxic")).alias("gene", "state"))
+    whole = encode.complete_outgroup(labels.withColumn("name", F.concat("species", "gene")), "tip", first="quality", second="toxic")
+    both = whole.groupBy("site").pivot("gene", ["quality", "toxic"]).agg(F.first("state", ignorenulls=True))
+    rows = table(spark, d, "documents").select("doc_id").join(both.withColumnRenamed("site", "doc_id"), "doc_id", "left")
+    return rows.select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"))
 
 
 def _pairs(spark, d, spaces):
@@ -152,10 +160,10 @@ def _pairs(spark, d, spaces):
     return rows.select("doc_id", "lang", "space", "i", (F.col("i") + F.col("space")).alias("j"), "p.sa", "p.sb")
 
 
-@query(f"with {TOK} select a.pos % 3 + 1 cs_i, b.pos % 3 + 1 cs_j, b.pos - a.pos as space, count(*) n from tok a join tok b on a.doc_id = b.doc_id and a.pos < b.pos and a.pos // 3 <> b.pos // 3 and b.pos - a.pos <= 6 group by all")
+@query(f"""with {SEQ}, l as (select length(seq) n, count(*) m from seq group by all), p as (select n, m, unnest(range(1, n)) s from l), c as (select *, unnest([0, 1, 2]) c from p)
+ select cast(c + 1 as int) cs_i, cast((c + s) % 3 + 1 as int) cs_j, cast(s as int) as space, cast(sum(m * len(range(c, n - s, 3))) as bigint) n from c where c + s >= 3 and c < n - s group by all""")
 def q16_site_pairs_theta(spark, d):
-    p = _pairs(spark, d, range(1, 7)).filter(F.floor(F.col("i") / 3) != F.floor(F.col("j") / 3))
-    return p.groupBy((F.col("i") % 3 + 1).alias("cs_i"), (F.col("j") % 3 + 1).alias("cs_j"), "space").agg(F.count(F.lit(1)).alias("n"))
+    return encode.codon_site_pairs(sequences(spark, d).select(F.length("seq").alias("n_sites")), same_codon=False)
 
 
 @query("select b.n_nationkey - a.n_nationkey as space, count(distinct a.n_regionkey * 10 + b.n_regionkey) codon_pairs, count(*) n from nation a join nation b on a.n_nationkey < b.n_nationkey group by all")
@@ -165,101 +173,87 @@ def q17_spaces_distinct(spark, d):
     return encode.available_pairs(encode.site_pairs(index)).select("space", F.size("codon_pairs").cast("long").alias("codon_pairs"), "n")
 
 
-@query(f"with {TOK} select b.pos - a.pos as space, 4 * a.st + b.st code, count(*) n from tok a join tok b on a.doc_id = b.doc_id and b.pos - a.pos between 1 and 4 group by all")
+@query()
 def q18_pair_state_counts(spark, d):
-    return _pairs(spark, d, range(1, 5)).groupBy("space", alphabet.pair_code(F.col("sa"), F.col("sb")).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    """Every distance; SQL has to make each pair, so the test compares with every pair of a small table instead."""
+    return encode.pair_state_counts(sequences(spark, d)).select("space", alphabet.pair_code(F.col("a"), F.col("b")).alias("code"), "n")
 
 
 @query("with c as (select distinct l_returnflag, l_linestatus from lineitem) select l_returnflag, l_linestatus, cast(row_number() over (order by l_returnflag, l_linestatus) as int) process from c")
 def q19_process_dedup(spark, d):
-    c = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus").distinct()
-    return c.withColumn("process", F.row_number().over(Window.orderBy("l_returnflag", "l_linestatus")))  # a row for each configuration
+    return histories.numbered(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus")
 
 
 @query("with g as (select distinct user_id, event_type from events) select a.event_type a, b.event_type b, count(*) n from g a join g b on a.user_id = b.user_id and a.event_type < b.event_type group by all")
 def q20_accessible_pairs(spark, d):
-    g = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("g"))
-    p = g.select(F.explode("g").alias("a"), "g").select("a", F.explode("g").alias("b")).filter("a < b")
-    return p.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return histories.accessible_pair_relation(table(spark, d, "events"), within="user_id", group="event_type")
 
 
 @query("""with recursive e as (select 'root' p, 'r' || r_regionkey c from region union all select 'r' || n_regionkey, 'n' || n_nationkey from nation union all select 'n' || c_nationkey, 'c' || c_custkey from customer),
  w as (select c node, 1 depth, p || '/' || c path from e where p = 'root' union all select e.c, w.depth + 1, w.path || '/' || e.c from w join e on e.p = w.node)
  select node, depth, path from w where depth = 3""")
 def q21_root_to_tip_paths(spark, d):
-    r = table(spark, d, "region").select(F.lit("root").alias("p"), F.concat(F.lit("r"), "r_regionkey").alias("c"))
-    n = table(spark, d, "nation").select(F.concat(F.lit("r"), "n_regionkey").alias("p"), F.concat(F.lit("n"), "n_nationkey").alias("c"))
-    t = table(spark, d, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("p"), F.concat(F.lit("c"), "c_custkey").alias("c"))
-    paths = r.select(F.col("c").alias("node"), F.concat_ws("/", "p", "c").alias("path"))
-    for level in (n, t):
-        paths = level.join(paths, level["p"] == paths["node"]).select(F.col("c").alias("node"), F.concat_ws("/", "path", "c").alias("path"))
-    return paths.select("node", F.lit(3).alias("depth"), "path")
+    r = table(spark, d, "region").select(F.lit("root").alias("parent"), F.concat(F.lit("r"), "r_regionkey").alias("child"))
+    n = table(spark, d, "nation").select(F.concat(F.lit("r"), "n_regionkey").alias("parent"), F.concat(F.lit("n"), "n_nationkey").alias("child"))
+    t = table(spark, d, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("parent"), F.concat(F.lit("c"), "c_custkey").alias("child"))
+    return newick.paths(r.unionByName(n).unionByName(t), "root").filter("depth = 3")
 
 
 @query("with k as (select r_regionkey, cast(dense_rank() over (order by r_name) as int) process from region) select n_nationkey, n_name, process from nation join k on n_regionkey = r_regionkey")
 def q22_edge_process_assign(spark, d):
-    k = table(spark, d, "region").select("r_regionkey", F.dense_rank().over(Window.orderBy("r_name")).alias("process"))  # a row a configuration
-    n = table(spark, d, "nation")
-    return n.join(k, n["n_regionkey"] == k["r_regionkey"]).select("n_nationkey", "n_name", "process")
+    got = histories.edge_processes(table(spark, d, "nation"), table(spark, d, "region"), parent="n_regionkey", node="r_regionkey", conf="r_name")
+    return got.select("n_nationkey", "n_name", "process")
 
 
 @query(f"with {TOK} select pos site, count(*) n, sum(st) total from tok group by all")
 def q23_union_interleave(spark, d):
     s = sites(spark, d).withColumn("codon", F.floor(F.col("pos") / 3).cast("int"))
-    three = [s.filter(F.col("pos") % 3 == k).groupBy("codon").agg(F.count(F.lit(1)).alias("n"), F.sum("st").alias("total")).select((F.col("codon") * 3 + k).alias("site"), "n", "total") for k in range(3)]
-    return three[0].unionByName(three[1]).unionByName(three[2])
+    three = [s.filter(F.col("pos") % 3 == k).groupBy("codon").agg(F.count(F.lit(1)).alias("n"), F.sum("st").alias("total")).withColumnRenamed("codon", "site") for k in range(3)]
+    return encode.interleave(three)
 
 
 @query(f"with {TOK} select pos, st, count(*) n from tok where pos in (1, 4, 9, 16, 25, 36, 49) group by all")
 def q24_membership_subset(spark, d):
-    return sites(spark, d).filter(F.col("pos").isin(1, 4, 9, 16, 25, 36, 49)).groupBy("pos", "st").agg(F.count(F.lit(1)).alias("n"))
+    return encode.at_sites(sites(spark, d), [1, 4, 9, 16, 25, 36, 49], "pos").groupBy("pos", "st").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select c_nationkey, arg_min(c_custkey, (c_acctbal, c_custkey)) c_custkey from customer group by all")
 def q25_argmin_config(spark, d):
-    return table(spark, d, "customer").groupBy("c_nationkey").agg(F.min_by("c_custkey", F.struct("c_acctbal", "c_custkey")).alias("c_custkey"))
+    return histories.smallest(table(spark, d, "customer"), "c_nationkey", "c_custkey", "c_acctbal", "c_custkey")
 
 
 @query(f"with {TOK} select a.doc_id, count(*) sites, sum(case when a.st <> b.st then 1 else 0 end) differences, sum(case when abs(a.st - b.st) = 2 then 1 else 0 end) transitions from tok a join tok b on b.doc_id = a.doc_id + 1 and a.pos = b.pos group by all")
 def q26_hamming_transitions(spark, d):
     s = sequences(spark, d).select("doc_id", "seq")
     p = s.join(s.select((F.col("doc_id") - 1).alias("doc_id"), F.col("seq").alias("other")), "doc_id")
-    at = F.zip_with(F.split("seq", ""), F.split("other", ""), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    p = p.withColumn("at", F.filter(at, lambda z: (z["x"] != "") & (z["y"] != ""))).filter(F.size("at") > 0)
-    count = lambda f: F.size(F.filter("at", f)).cast("long")
-    ts = lambda z: F.concat(z["x"], z["y"]).isin("AG", "GA", "CT", "TC")
-    return p.select("doc_id", F.size("at").cast("long").alias("sites"), count(lambda z: z["x"] != z["y"]).alias("differences"), count(ts).alias("transitions"))
+    return p.select("doc_id", alphabet.compared(F.col("seq"), F.col("other")).alias("c")).select("doc_id", "c.*").filter("sites > 0")
 
 
 @query(f"with {CHAIN.split(' c2 as')[0].rstrip().rstrip(',')}, g as (select user_id, nt_index - lag(nt_index) over (partition by user_id order by site) gap from c1) select user_id, count(gap) steps, sum(gap) span, min(case when gap >= 0 then 1 else 0 end) monotonic from g where gap is not null group by all")
 def q27_lag_distance(spark, d):
-    w = Window.partitionBy("user_id").orderBy("site")
-    g = chains(spark, d).select("user_id", (F.col("nt_index") - F.lag("nt_index").over(w)).alias("gap")).filter("gap is not null")
+    g = encode.gaps(chains(spark, d), "user_id").filter("gap is not null")
     return g.groupBy("user_id").agg(F.count("gap").alias("steps"), F.sum("gap").alias("span"), F.min(F.when(F.col("gap") >= 0, 1).otherwise(0)).alias("monotonic"))
 
 
 @query("""with h as (select distinct user_id, cast(floor(epoch(ts) / 86400) as bigint) as day from events),
  i as (select user_id, day, day - row_number() over (partition by user_id order by day) isl from h) select user_id, min(day) start, count(*) n from i group by user_id, isl""")
 def q28_gaps_islands(spark, d):
-    h = table(spark, d, "events").select("user_id", F.datediff("ts", F.lit("1970-01-01")).cast("long").alias("day")).distinct()
-    i = h.withColumn("isl", F.col("day") - F.row_number().over(Window.partitionBy("user_id").orderBy("day")))
-    return i.groupBy("user_id", "isl").agg(F.min("day").alias("start"), F.count(F.lit(1)).alias("n")).select("user_id", "start", "n")
+    h = table(spark, d, "events").select("user_id", F.datediff("ts", F.lit("1970-01-01")).cast("long").alias("day"))
+    return histories.run_relation(h, "user_id", place="day")
 
 
 @query("""with h as (select user_id, cast(floor(epoch(ts) / 86400) as bigint) as day, count(*) n from events group by all),
  s as (select user_id, unnest(range(min(day), max(day) + 1)) as day from h group by user_id) select s.user_id, s.day, coalesce(n, -1) n from s left join h using (user_id, day)""")
 def q29_gap_fill(spark, d):
     h = table(spark, d, "events").groupBy("user_id", F.datediff("ts", F.lit("1970-01-01")).cast("long").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    s = h.groupBy("user_id").agg(F.min("day").alias("a"), F.max("day").alias("b")).select("user_id", F.explode(F.sequence("a", "b")).alias("day"))
-    return s.join(h, ["user_id", "day"], "left").select("user_id", "day", F.coalesce("n", F.lit(-1)).alias("n"))
+    return tables.fill_index(h, "user_id", place="day")
 
 
 @query(f"with {COMP}, cum as (select st, sum(freq) over (order by st) hi, sum(freq) over (order by st) - freq lo from comp) select c_custkey, st from customer join cum on (c_custkey * 37 % 1000 + 0.5) / 1000 >= lo and (c_custkey * 37 % 1000 + 0.5) / 1000 < hi")
 def q30_inverse_cdf(spark, d):
     c = composition(spark, d).agg(F.map_from_entries(F.collect_list(F.struct("nt", "freq"))).alias("f")).select(F.array(*[F.element_at("f", k) for k in "ACGT"]).alias("f"))
     u = table(spark, d, "customer").select("c_custkey", ((F.col("c_custkey") * 37 % 1000 + 0.5) / 1000).alias("u")).crossJoin(F.broadcast(c))  # one row
-    run = F.aggregate("f", F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("st")), lambda s, x: F.struct((s["sum"] + x).alias("sum"), (s["st"] + F.when(s["sum"] + x <= F.col("u"), 1).otherwise(0)).alias("st")), lambda s: s["st"])
-    return u.select("c_custkey", F.least(run, F.lit(3)).alias("st"))
+    return u.select("c_custkey", simulate.draw_column(F.col("u"), [F.get("f", F.lit(k)) for k in range(4)]).alias("st"))
 
 
 def _lattice(spark, d):
@@ -268,7 +262,7 @@ def _lattice(spark, d):
 
 @query(f"with recursive {CHAIN}, {FORWARD} select user_id, round({LSE.format(a='a', b='b')}, 6) lnl from f where (user_id, site) in (select user_id, max(site) from c group by 1)")
 def q31_hmm_forward(spark, d):
-    return hmm.forward(_lattice(spark, d), eta=ETA, p=TRACT_P, length=LENGTH, group="user_id").select("user_id", _r(F.col("lnl")).alias("lnl"))
+    return hmm.forward(_lattice(spark, d)).select("user_id", _r(F.col("lnl")).alias("lnl"))
 
 
 @query(f"""with recursive {CHAIN}, {FORWARD}, last as (select user_id, max(site) site from c group by 1),
@@ -278,22 +272,20 @@ def q31_hmm_forward(spark, d):
  t as (select user_id, {LSE.format(a='a', b='b')} lnl from f join last using (user_id, site))
  select f.user_id, f.site, round(exp(f.b + b.b - t.lnl), 6) posterior from f join b on f.user_id = b.user_id and f.site = b.site join t on t.user_id = f.user_id""")
 def q32_hmm_backward_posterior(spark, d):
-    got = hmm.decode(_lattice(spark, d), eta=ETA, p=TRACT_P, length=LENGTH, group="user_id")
-    return got.select("user_id", "site", _r(F.col("posterior")).alias("posterior"))
+    return hmm.decode(_lattice(spark, d)).select("user_id", "site", _r(F.col("posterior")).alias("posterior"))
 
 
 @query(f"""with recursive {CHAIN}, v as (select user_id, site, e0 + {-2 * ETA / TRACT_P * LENGTH} a, e1 + ln(1 - exp({-2 * ETA / TRACT_P * LENGTH})) b from c where site = 0
  union all select c.user_id, c.site, c.e0 + greatest(v.a + c.p00, v.b + c.p10), c.e1 + greatest(v.a + c.p01, v.b + c.p11) from v join c on c.user_id = v.user_id and c.site = v.site + 1)
  select user_id, round(greatest(a, b), 6) score, case when b > a then 1 else 0 end last_state from v where (user_id, site) in (select user_id, max(site) from c group by 1)""")
 def q33_hmm_viterbi(spark, d):
-    got = hmm.decode(_lattice(spark, d), eta=ETA, p=TRACT_P, length=LENGTH, group="user_id")
-    return got.groupBy("user_id").agg(_r(F.max("score")).alias("score"), F.max_by("state", "site").alias("last_state"))
+    return hmm.viterbi(_lattice(spark, d)).select("user_id", _r(F.col("score")).alias("score"), "last_state")
 
 
 @query("select o_custkey, o_orderkey, round(sum(ln(1 - o_orderkey % 9 * 0.05)) over (partition by o_custkey order by o_orderdate, o_orderkey), 6) log_height from orders")
 def q34_clock_cumprod(spark, d):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "orders").select("o_custkey", "o_orderkey", _r(F.sum(F.log(1 - F.col("o_orderkey") % 9 * 0.05)).over(w)).alias("log_height"))
+    got = models.clock_heights(table(spark, d, "orders"), "o_custkey", "o_orderdate", "o_orderkey", ratio=1 - F.col("o_orderkey") % 9 * 0.05)
+    return got.select("o_custkey", "o_orderkey", _r(F.col("log_height")).alias("log_height"))
 
 
 @query(f"with {HKY} select x, y, round(q, 6) q from hky")
@@ -348,7 +340,7 @@ def q39_pair_site_rates(spark, d):
 @query(f"with {HKY}, {PAIR} select s, round(sum(rate), 6) total, count(*) n from pr group by s")
 def q40_rate_row_sums(spark, d):
     rates = rate_relations.pair_site(composition(spark, d), KAPPA, SPACE, INIT, PAIR_P)
-    return rates.groupBy("s").agg(_r(F.sum("rate")).alias("total"), F.count(F.lit(1)).alias("n"))
+    return rate_relations.row_sums(rates).select("s", _r(F.col("out")).alias("total"), "n")
 
 
 def _same(t):
@@ -409,7 +401,7 @@ def q44_dwell_fraction(spark, d):
 def q45_perturbation_grid(spark, d):
     eq = F.col("sa") == F.col("sb")
     p = _pairs(spark, d, [1]).groupBy("lang").agg(F.count_if(eq).alias("same"), F.count_if(~eq).alias("other"))
-    g = p.select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("eval_id")).withColumn("t", 0.1 * (F.col("eval_id") + 1))
+    g = estimate.over_grid(p, {k: {"t": 0.1 * (k + 1)} for k in range(8)})
     same, other = rate_relations.equal_rates(4, F.col("t"))
     return g.select("eval_id", "lang", _r(F.col("same") * F.log(same) + F.col("other") * F.log(other), 4).alias("lnl"))
 
@@ -417,33 +409,108 @@ def q45_perturbation_grid(spark, d):
 @query(f"""with {TOK}, f as (select doc_id, lang, avg((st = 0)::int) - 0.25 g0, avg((st = 1)::int) - 0.25 g1, avg((st = 2)::int) - 0.25 g2 from tok group by all), l as (select lang, unnest([0, 1, 2]) i, unnest([g0, g1, g2]) v, doc_id from f)
  select a.lang, a.i, b.i j, round(avg(a.v * b.v), 6) moment from l a join l b using (doc_id) group by all""")
 def q46_godambe_moments(spark, d):
-    f = sites(spark, d).groupBy("doc_id", "lang").agg(*[(F.avg((F.col("st") == k).cast("int")) - 0.25).alias(f"g{k}") for k in range(3)])
-    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), (F.col(f"g{i}") * F.col(f"g{j}")).alias("v")) for i in range(3) for j in range(3)])
-    return f.select("lang", F.explode(cells).alias("c")).groupBy("lang", "c.i", "c.j").agg(_r(F.avg("c.v")).alias("moment"))
+    f = sites(spark, d).groupBy("doc_id", "lang").agg(F.array(*[F.avg((F.col("st") == k).cast("int")) - 0.25 for k in range(3)]).alias("g"))
+    return estimate.moments(f, "lang", k=3).withColumn("moment", _r(F.col("moment")))
 
 
 @query("""with l as (select lang run, unnest(['documents', 'chars', 'sources']) label, unnest([count(*), sum(n_chars), count(distinct source)]) v from documents group by lang)
  select label, max(v) filter (run = 'de') de, max(v) filter (run = 'en') en, max(v) filter (run = 'es') es, max(v) filter (run = 'fr') fr from l group by label""")
 def q47_summary_pivot(spark, d):
-    from .sources.tables import pivot_summaries
-
     s = table(spark, d, "documents").groupBy(F.col("lang").alias("run")).agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("chars"), F.countDistinct("source").alias("sources"))
-    return pivot_summaries(s.unpivot("run", ["documents", "chars", "sources"], "label", "value"), ["de", "en", "es", "fr"])
+    return tables.pivot_summaries(s.unpivot("run", ["documents", "chars", "sources"], "label", "value"), ["de", "en", "es", "fr"])
 
 
-@query()
-def q48_simulate_branch(spark, d):
-    from .operators import rates, simulate
-    from .operators.histories import configurations
+SIMULATED = {"init": 0.05, "p": 0.1, "sites": 60, "length": 0.2, "replicates": 40}
+EDGES = [("N0", "D1"), ("D1", "N1"), ("N0", "es"), ("N1", "N2"), ("N1", "fr"), ("N2", "de"), ("N2", "en")]
+BELOW = [f"{a}_{b}" for a, b in EDGES if a != "N0"]
+
 
-    tree, _, _ = bridge.family_patterns(spark, d)
-    pi = np.array([0.3, 0.2, 0.2, 0.3])
-    setting = simulate.Setting(tree, configurations(tree, {"D1": 0}), {e: 0.2 for e in tree.edges}, rates.hky(pi, KAPPA), pi, 60, init=0.05, p=0.1, seed=7)
-    return simulate.simulate(spark, setting, 40)[0]
+@query(f"""with e as (select unnest({[f"{a}_{b}" for a, b in EDGES]!r}) edge), k as (select unnest(['copy', 'mutation']) kind)
+ select edge, kind, round(case when kind = 'copy' then case when edge in {tuple(BELOW)!r} then 2 else 0 end * {SIMULATED["init"] * (SIMULATED["sites"] - 1 + 1 / SIMULATED["p"]) * SIMULATED["length"] * SIMULATED["replicates"]}
+  else case when edge in {tuple(BELOW)!r} then 2 else 1 end * {SIMULATED["sites"] * SIMULATED["length"] * SIMULATED["replicates"]} end, 6) expected, true near,
+  cast((select count(*) from documents where text is not null) as bigint) texts from e, k""")
+def q48_simulate_branch(spark, d):
+    """Simulated events on each edge beside what must be expected: near if within six standard errors. The letters' shares are
+    those of all documents."""
+    pi = {r["nt"]: r["freq"] for r in composition(spark, d).collect()}  # four rows
+    pi = np.array([pi[c] for c in "ACGT"])
+    tree = newick.splice(newick.parse(bridge.TREE), [("N0_N1", ["D1"])])
+    s = SIMULATED
+    setting = simulate.Setting(tree, histories.configurations(tree, {"D1": 0}), {e: s["length"] for e in tree.edges}, rates.hky(pi, KAPPA), pi, s["sites"], init=s["init"], p=s["p"], seed=7)
+    want = spark.createDataFrame([(f"{a}_{b}", k, v) for (a, b, k), v in simulate.expected_events(setting, s["replicates"]).items()], "edge string, kind string, expected double")
+    events = simulate.simulate(spark, setting, s["replicates"])[1]
+    got = want.join(events.groupBy("edge", "kind").agg(F.count(F.lit(1)).alias("n")), ["edge", "kind"], "left")
+    near = F.abs(F.coalesce("n", F.lit(0)) - F.col("expected")) <= 6 * F.sqrt("expected")
+    texts = table(spark, d, "documents").filter("text is not null").agg(F.count(F.lit(1)).alias("texts"))
+    return got.select("edge", "kind", _r(F.col("expected")).alias("expected"), near.alias("near")).crossJoin(F.broadcast(texts))  # one row
+
+
+@query(f"""with recursive {CHAIN}, v as (select user_id, site, e0 + {-2 * ETA / TRACT_P * LENGTH} a, e1 + ln(1 - exp({-2 * ETA / TRACT_P * LENGTH})) b, 0 fa, 0 fb from c where site = 0
+ union all select c.user_id, c.site, c.e0 + greatest(v.a + c.p00, v.b + c.p10), c.e1 + greatest(v.a + c.p01, v.b + c.p11), case when v.b + c.p10 > v.a + c.p00 then 1 else 0 end, case when v.b + c.p11 > v.a + c.p01 then 1 else 0 end
+ from v join c on c.user_id = v.user_id and c.site = v.site + 1),
+ w as (select user_id, site, case when b > a then 1 else 0 end state, case when b > a then fb else fa end prev from v where (user_id, site) in (select user_id, max(site) from c group by 1)
+ union all select v.user_id, v.site, w.prev, case when w.prev = 1 then v.fb else v.fa end from w join v on v.user_id = w.user_id and v.site = w.site - 1)
+ select user_id, cast(site as int) site, cast(state as int) state from w""")
+def q49_viterbi_path(spark, d):
+    return hmm.decode(_lattice(spark, d)).select("user_id", "site", "state")
+
+
+#: Two states at rates 1 each way; two tips below the root, at these lengths.
+T1, T2 = 0.3, 0.5
+PURINES = f"""{TOK}, xy as (select a.st in (0, 2) x, b.st in (0, 2) y, count(*) n from tok a join tok b on a.doc_id = b.doc_id and b.pos = a.pos + 1 group by all),
+ pt as (select 1 - x::int x, 1 - y::int y, cast(sum(n) as bigint) n from xy group by all),
+ s as (select range r from range(2)), e as (select unnest([0, 1]) edge, unnest([{T1}, {T2}]) t),
+ f as (select pt.*, r, 0.5 + case when r = x then 0.5 else -0.5 end * exp(-2 * {T1}) p1, 0.5 + case when r = y then 0.5 else -0.5 end * exp(-2 * {T2}) p2 from pt, s),
+ lik as (select x, y, n, sum(0.5 * p1 * p2) l from f group by all),
+ g as (select f.x, f.y, f.n, r, edge, t, case when edge = 0 then f.x else f.y end b, case when edge = 0 then p2 else p1 end other, l from f join lik on lik.x = f.x and lik.y = f.y, e)"""
+
+
+def _two_states(spark, d):
+    """Purine or pyrimidine of every two letters that stand side by side: patterns of two tips, and the scene of their tree."""
+    kind = lambda c: F.when(c.isin(0, 2), 0).otherwise(1)
+    both = _pairs(spark, d, [1]).select(F.lit(0).alias("site"), F.array(kind(F.col("sa")), kind(F.col("sb"))).alias("pattern"))
+    q = np.array([[-1.0, 1.0], [1.0, -1.0]])
+    scene = Scene([("R", "a"), ("R", "b")], np.array([T1, T2]), [0, 0], [q], np.array([0.5, 0.5]), (2,), [("a", 0), ("b", 0)], {"up": [np.array([[0.0, 1.0], [0.0, 0.0]])]}, {"zero": [np.array([1.0, 0.0])]})
+    return encode.compress(both, codon_position=False), {1: scene}
+
+
+def _end(k):
+    return F.get("pattern", F.lit(k)).alias("xy"[k])
+
+
+@query(f"with {PURINES} select x, y, n, round(ln(l), 6) lnl from lik")
+def q50_two_state_likelihood(spark, d):
+    patterns, scenes = _two_states(spark, d)
+    return engine.pattern_values(patterns, {0: scenes}).select(_end(0), _end(1), "n", _r(F.col("value")).alias("lnl"))
+
+
+@query(f"""with {PURINES} select x, y, edge, n,
+ round(sum(0.5 * other * case when r = b then t * exp(-t) * sinh(t) else t * exp(-t) * cosh(t) end) / l, 6) jumps,
+ round(sum(0.5 * other * (case when r = b then t * exp(-t) * sinh(t) else t * exp(-t) * cosh(t) end + case when r = b then 0 when r = 0 then exp(-t) * sinh(t) else -exp(-t) * sinh(t) end) / 2) / l, 6) up from g group by x, y, edge, n, l""")
+def q51_two_state_jumps(spark, d):
+    """Expected jumps, and those from the first state to the second: with r and b the ends, half of all and half of what the ends
+    differ by."""
+    patterns, scenes = _two_states(spark, d)
+    one = lambda w: engine.pattern_values(patterns, {0: scenes}, want="events", weights=w).select(_end(0), _end(1), "edge", "n", _r(F.col("value")).alias("jumps" if w == "all" else w))
+    return one("all").join(one("up"), ["x", "y", "edge", "n"])
+
+
+@query(f"""with {PURINES}, z as (select *, case when r = 0 then 1 else -1 end u, case when b = 0 then 1 else -1 end w from g)
+ select x, y, edge, n, round(sum(0.5 * other * 0.25 * (t + (u + w) * (1 - exp(-2 * t)) / 2 + u * w * t * exp(-2 * t)) / t) / l, 6) share from z group by x, y, edge, n, l""")
+def q52_two_state_dwell(spark, d):
+    patterns, scenes = _two_states(spark, d)
+    got = engine.pattern_values(patterns, {0: scenes}, want="dwell", weights="zero")
+    return got.select(_end(0), _end(1), "edge", "n", _r(F.col("value")).alias("share"))
+
+
+@query(f"""with {PURINES} select edge, round(sum(n * d), 3) slope from (select x, y, edge, n, sum(0.5 * other * case when r = b then -1 else 1 end * t * exp(-2 * t)) / l d from g group by x, y, edge, n, l) group by edge""")
+def q53_two_state_derivative(spark, d):
+    patterns, scenes = _two_states(spark, d)
+    return engine.totals(engine.pattern_values(patterns, {0: scenes}, want="derivative")).select("edge", F.round("value", 3).alias("slope"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Likelihood of every site pattern of the first documents of each source and language under substitution and copying."""
+    """Likelihood of every site pattern of the families that the documents make, under substitution and copying."""
     return q42_igc_pruning_kernel(spark, sf_dir)
 
 

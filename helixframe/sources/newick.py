@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"\s*([(),;]|[^(),;]+)")
 #: Kinds of node by name: duplication, loss and speciation nodes are a letter and a number, all else is a tip.
@@ -16,6 +17,14 @@ def node_kind(name: str) -> str:
     return KINDS.get(name[:1], "tip") if re.fullmatch(r"[DLN][0-9]+", name) else "tip"
 
 
+def node_kind_column(name: Column) -> Column:
+    """node_kind of a column of names."""
+    out = F.lit("tip")
+    for letter, kind in KINDS.items():
+        out = F.when(name.rlike(rf"\A{letter}[0-9]+\z"), kind).otherwise(out)
+    return out
+
+
 @dataclass
 class Tree:
     """Edges (parent, child) of a rooted tree; ``root`` has no parent."""
@@ -161,8 +170,6 @@ def read_tree(spark: SparkSession, path: str) -> Tree:
 
 def read_history(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
     """Lines of a branch and its events, split at white space."""
-    from pyspark.sql import functions as F
-
     rows = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("w")).filter("w[0] <> ''")
     return [(r["w"][0], r["w"][1:]) for r in rows.collect()]  # a list of branches, as small as the tree
 
@@ -173,5 +180,21 @@ def read_tips(spark: SparkSession, path: str) -> list[str]:
 
 def edge_relation(spark: SparkSession, tree: Tree) -> DataFrame:
     """edge_id, parent, child, kind of the child: edges in layout order."""
-    rows = [(k, p, c, node_kind(c)) for k, (p, c) in enumerate(tree.sorted_edges())]
-    return spark.createDataFrame(rows, "edge_id int, parent string, child string, kind string")
+    rows = [(k, p, c) for k, (p, c) in enumerate(tree.sorted_edges())]
+    return spark.createDataFrame(rows, "edge_id int, parent string, child string").withColumn("kind", node_kind_column(F.col("child")))
+
+
+def paths(edges: DataFrame, root: str, *, deepest: int = 1000) -> DataFrame:
+    """node, depth, path (names joined by /) of every node below the root of an edge relation (parent, child).
+
+    One join a level, until a level is empty; a relation with a cycle is an error at ``deepest`` levels.
+    """
+    edges = edges.select("parent", "child")
+    level = edges.filter(F.col("parent") == root).select(F.col("child").alias("node"), F.lit(1).alias("depth"), F.concat_ws("/", "parent", "child").alias("path"))
+    out = level
+    for depth in range(2, deepest + 1):
+        level = edges.join(level, F.col("parent") == F.col("node")).select(F.col("child").alias("node"), F.lit(depth).alias("depth"), F.concat_ws("/", "path", "child").alias("path"))
+        if level.isEmpty():
+            return out
+        out = out.unionByName(level)
+    raise ValueError(f"no end after {deepest} levels")

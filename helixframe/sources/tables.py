@@ -26,14 +26,37 @@ def read_fasta(spark: SparkSession, path: str, *, paralogs: list[str] | None = N
     return rows.select("name", F.substring("name", F.lit(1), F.length("name") - F.length(gene)).alias("species"), gene.alias("gene"), "seq")
 
 
+def alignment_lengths(seqs: DataFrame, *by: str) -> DataFrame:
+    """``by``, lengths (how many different ones), longest: one row for each alignment."""
+    return seqs.groupBy(*by).agg(F.countDistinct(F.length("seq")).alias("lengths"), F.max(F.length("seq")).alias("longest"))
+
+
 def check_alignment(seqs: DataFrame, *, coding: bool = False) -> int:
     """The common length of the sequences; raises if lengths differ, a name has no gene, or coding lengths are not in threes."""
-    r = seqs.agg(F.countDistinct(F.length("seq")).alias("n"), F.max(F.length("seq")).alias("len"), F.count_if(F.col("gene").isNull()).alias("odd")).first()
-    if r["n"] != 1 or r["odd"]:
-        raise ValueError(f"{r['n']} sequence lengths and {r['odd']} names without a gene")
-    if coding and r["len"] % 3:
+    r, odd = alignment_lengths(seqs).first(), seqs.filter(F.col("gene").isNull()).count()
+    if r["lengths"] != 1 or odd:
+        raise ValueError(f"{r['lengths']} sequence lengths and {odd} names without a gene")
+    if coding and r["longest"] % 3:
         raise ValueError("the length of a coding alignment must be a multiple of three")
-    return r["len"]
+    return r["longest"]
+
+
+def check_index(index: DataFrame, n_sites: int, *, coding: bool = False) -> None:
+    """Raises unless the index has a row for each site, at places that rise, and coding sites come in whole codons."""
+    r = index.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("nt_index").alias("places"), F.count_if(~F.col("codon_site").isin(1, 2, 3)).alias("odd")).first()
+    if r["n"] != n_sites or r["places"] != n_sites:
+        raise ValueError(f"{r['n']} rows at {r['places']} places for {n_sites} sites")
+    if coding and (r["odd"] or n_sites % 3):
+        raise ValueError("a coding index needs whole codons, with codon sites 1 to 3")
+
+
+def check_genes(seqs: DataFrame, gene_map: DataFrame, tips: list[str]) -> None:
+    """Raises if a gene of the map has no sequence, a sequence no group, or a species of the map is no tip of the tree."""
+    lacking = gene_map.join(seqs.select(F.col("name").alias("gene")), "gene", "left_anti").count()
+    unknown = seqs.join(gene_map.select(F.col("gene").alias("name")), "name", "left_anti").count()
+    strange = gene_map.filter(~F.get(F.split("gene", "__"), F.lit(0)).isin(*tips)).count()
+    if lacking or unknown or strange:
+        raise ValueError(f"{lacking} genes without a sequence, {unknown} sequences without a group, {strange} genes of species that are no tips")
 
 
 def write_fasta(seqs: DataFrame, path: str) -> None:
@@ -69,10 +92,11 @@ def make_index(spark: SparkSession, n: int, *, coding: bool = True) -> DataFrame
     return rows.select("site", (F.col("site") + 1).alias("nt_index"), (F.floor(F.col("site") / 3) + 1).cast("int").alias("codon"), (F.col("site") % 3 + 1).alias("codon_site"))
 
 
-def fill_index(index: DataFrame) -> DataFrame:
-    """index with the nt_index values missing between its first and last; codon and codon_site are -1 there."""
-    span = index.agg(F.min("nt_index").alias("a"), F.max("nt_index").alias("b")).select(F.explode(F.sequence("a", "b")).alias("nt_index"))
-    return span.join(index.drop("site"), "nt_index", "left").select("nt_index", F.coalesce("codon", F.lit(-1)).alias("codon"), F.coalesce("codon_site", F.lit(-1)).alias("codon_site"))
+def fill_index(index: DataFrame, *by: str, place: str = "nt_index", missing: int = -1) -> DataFrame:
+    """index with the places missing between the first and the last of each group; all other columns are -1 there."""
+    rest = [c for c in index.columns if c not in (*by, place, "site")]
+    span = index.groupBy(*by).agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a is not null").select(*by, F.explode(F.sequence("a", "b")).alias(place))
+    return span.join(index.drop("site"), [*by, place], "left").select(*by, place, *[F.coalesce(c, F.lit(missing)).alias(c) for c in rest])
 
 
 def read_sitewise(spark: SparkSession, path: str) -> DataFrame:

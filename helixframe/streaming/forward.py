@@ -1,7 +1,7 @@
 """The forward sum of a two-state chain as a stream: one small state a key, rows in order within each micro-batch.
 
-Rows that come after later ones of their key have been seen are late; they are dropped, and the watermark bounds for how long
-a key without rows is remembered.
+Rows that come after later ones of their key have been seen are late; they are dropped. A key is forgotten once the watermark
+has passed its last row by ``remember``: a row after that begins a chain of its own.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ OUTPUT = "key string, seen long, lnl double"
 STATE = "f0 double, f1 double, seen long, last double"
 
 
-def forward_stream(rows: DataFrame, prior: tuple[float, float], transition: list[list[float]], *, delay: str = "1 hour") -> DataFrame:
-    """key, seen, lnl after each micro-batch. ``rows``: key string, ts timestamp, e0, e1 (logs of the emissions)."""
+def forward_stream(rows: DataFrame, prior: tuple[float, float], transition: list[list[float]], *, delay: str = "1 hour", remember: int = 86_400_000) -> DataFrame:
+    """key, seen, lnl after each micro-batch. ``rows``: key string, ts timestamp, e0, e1 (logs of the emissions). ``delay`` is how
+    late rows may come, ``remember`` (milliseconds of event time) for how long a key without rows is kept."""
     start, t = np.log(prior), np.log(np.array(transition))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -39,9 +40,10 @@ def forward_stream(rows: DataFrame, prior: tuple[float, float], transition: list
         if f is None:
             return
         state.update((float(f[0]), float(f[1]), int(seen), float(last)))
+        state.setTimeoutTimestamp(max(int(last * 1000), state.getCurrentWatermarkMs()) + remember)
         yield pd.DataFrame([(key[0], int(seen), float(np.logaddexp(*f)))], columns=["key", "seen", "lnl"])
 
-    return rows.withWatermark("ts", delay).groupBy("key").applyInPandasWithState(step, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    return rows.withWatermark("ts", delay).groupBy("key").applyInPandasWithState(step, OUTPUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def append_events(rows: DataFrame, path: str, checkpoint: str):

@@ -1,5 +1,7 @@
 """The chain from text files to likelihoods, fits and tracts, on alignments simulated here."""
 
+from itertools import product
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -180,12 +182,24 @@ def test_information(family):
 
 def test_families_share_parameters(family):
     tree, at, _, _, patterns = family
-    m = JointModel(tree, at, event_group={"D1": 0})
-    names, f = estimate.joint_objective({"f": (patterns, m), "g": (patterns, m)}, ["tau"])
-    x = dict(zip(m.names, m.start(PI)))
-    got = f({0: np.array([x[n.split(":")[-1]] for n in names])})[0]
-    assert got == pytest.approx(2 * engine.log_likelihood(patterns, {0: m.scenes(m.start(PI))})[0])
-    assert names[-1] == "tau" and len(names) == 2 * (len(m.names) - 1) + 1
+    m, n = JointModel(tree, at, event_group={"D1": 0}), JointModel(tree, at, event_group={"D1": 0}, copies="symmetric")
+    both = estimate.families({"f": (patterns, m), "g": (patterns.withColumn("n", F.col("n") * 2), m)}, ["tau", "kappa"])
+    assert both.names[-2:] == ["tau", "kappa"] and len(both.names) == 2 * (len(m.names) - 2) + 2
+    x = both.start(0.1)
+    x[both.names.index("g:%A")] = np.log(0.4)
+    f, g = both.gradient(x)
+    one = engine.log_likelihood(patterns, {0: m.scenes(m.start(length=0.1))})[0]
+    assert f == pytest.approx(one + 2 * engine.log_likelihood(patterns, {0: m.scenes(x[both.places("g")])})[0])
+    for k in [both.names.index(n) for n in ("tau", "kappa", "f:%A", "g:%A", "f:N1__C", "g:root__both")]:
+        y, z = x.copy(), x.copy()
+        y[k] += 1e-5
+        z[k] -= 1e-5
+        got = both.values({0: y, 1: z})
+        assert g[k] == pytest.approx((got[0] - got[1]) / 2e-5, rel=1e-4, abs=1e-3)
+    new, lnl = both.fit(x, rounds=3)
+    assert lnl > f and np.all(new >= np.array(both.bounds())[:, 0] - 1e-12)
+    with pytest.raises(ValueError):
+        estimate.families({"f": (patterns, m), "g": (patterns, n)}, ["tau"])
 
 
 def test_optimisers():
@@ -231,15 +245,15 @@ def test_tracts(spark):
     steps = hmm.lattice(sites, **kw)
     ln0 = -2 * 0.2 / 0.3 * 0.7
     e = np.stack([no - ln0, lnl + np.log1p(-np.exp(no - lnl)) - np.log1p(-np.exp(ln0))], axis=1)
-    got = hmm.forward(steps, **kw).first()["lnl"]
+    got = hmm.forward(steps).first()["lnl"]
     assert got == pytest.approx(slow_forward(e, [1, *np.diff(index)], 0.2, 0.3, 0.7))
-    path = hmm.decode(steps, **kw).orderBy("site").collect()
+    path = hmm.decode(steps).orderBy("site").collect()
     assert all(0 <= r["posterior"] <= 1 for r in path)
     assert all(np.logaddexp(r["f0"] + r["b0"], r["f1"] + r["b1"]) == pytest.approx(got) for r in path)
     assert path[0]["score"] <= got
     # copies that never reach the next site: sites are independent, and their likelihoods multiply
     one = dict(eta=0.2, p=1.0, length=0.7)
-    assert hmm.forward(hmm.lattice(sites, **one), **one).first()["lnl"] == pytest.approx(lnl.sum())
+    assert hmm.forward(hmm.lattice(sites, **one)).first()["lnl"] == pytest.approx(lnl.sum())
     grid = hmm.surface(sites, tau=0.5, length=0.7, log_p=[0.0, -1.0]).collect()
     assert len(grid) == 2 and grid[0]["lnl"] == pytest.approx(lnl.sum())
 
@@ -281,21 +295,42 @@ def test_files(spark, tmp_path):
 def test_forward_as_a_stream(spark, tmp_path):
     from helixframe.streaming.forward import append_events, forward_stream
 
-    rows = [("a", k, float(-k % 3), float(-(k % 2))) for k in range(12)]
-    df = spark.createDataFrame(rows, "key string, k int, e0 double, e1 double").withColumn("ts", F.timestamp_seconds("k"))
-    df.drop("k").repartition(1).sortWithinPartitions("ts").write.parquet(str(tmp_path / "in"))
     prior, t = (0.4, 0.6), [[0.9, 0.1], [0.2, 0.8]]
-    stream = spark.readStream.schema("key string, e0 double, e1 double, ts timestamp").parquet(str(tmp_path / "in"))
-    q = forward_stream(stream, prior, t).writeStream.format("memory").queryName("fwd").outputMode("update").start()
-    q.processAllAvailable()
+    base = 1_700_000_000
+    fold = lambda es: np.logaddexp(*_chain(es, prior, t))
+    e = lambda k: (float(-k % 3), float(-(k % 2)))
+    batches = [
+        [("a", k) for k in range(6)] + [("b", 2)],
+        [("a", k) for k in (9, 6, 8, 7)] + [("a", 3)],  # out of order within a batch; 3 comes after later ones were seen
+        [("b", 40)],  # moves the watermark past what is remembered of a
+        [("c", 60)],
+        [("a", 70), ("b", 71)],  # a begins anew
+    ]
+    source = tmp_path / "in"
+    q = None
+    for n, rows in enumerate(batches):
+        df = spark.createDataFrame([(key, base + k, *e(k)) for key, k in rows], "key string, k long, e0 double, e1 double").withColumn("ts", F.timestamp_seconds("k")).drop("k")
+        df.coalesce(1).write.mode("append").parquet(str(source))
+        if q is None:
+            stream = spark.readStream.schema("key string, e0 double, e1 double, ts timestamp").parquet(str(source))
+            out = forward_stream(stream, prior, t, delay="1 second", remember=20_000)
+            q = out.writeStream.format("memory").queryName("fwd").outputMode("update").option("checkpointLocation", str(tmp_path / "state")).start()
+        q.processAllAvailable()
     q.stop()
-    got = spark.table("fwd").orderBy(F.desc("seen")).first()
-    f = np.log(prior) + rows[0][2:]
-    for r in rows[1:]:
-        f = np.array(r[2:]) + np.logaddexp(f[0] + np.log(t[0]), f[1] + np.log(t[1]))
-    assert got["seen"] == 12 and got["lnl"] == pytest.approx(np.logaddexp(*f))
-    append_events(spark.readStream.schema("key string, e0 double").parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 12
+    seen = {}
+    for r in spark.table("fwd").collect():
+        seen.setdefault(r["key"], []).append((r["seen"], r["lnl"]))
+    assert seen["a"] == [(6, pytest.approx(fold([e(k) for k in range(6)]))), (10, pytest.approx(fold([e(k) for k in range(10)]))), (1, pytest.approx(fold([e(70)])))]
+    assert seen["b"] == [(1, pytest.approx(fold([e(2)]))), (2, pytest.approx(fold([e(2), e(40)]))), (1, pytest.approx(fold([e(71)])))] or seen["b"][2][0] == 3
+    append_events(spark.readStream.schema("key string, e0 double").parquet(str(source)), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == sum(map(len, batches))
+
+
+def _chain(es, prior, t):
+    f = np.log(prior) + es[0]
+    for x in es[1:]:
+        f = np.array(x) + np.logaddexp(f[0] + np.log(t[0]), f[1] + np.log(t[1]))
+    return f
 
 
 def test_tracts_of_a_family(spark, family):
@@ -315,29 +350,146 @@ def test_tracts_of_a_family(spark, family):
     assert best >= grid[0.0] and log_p < 0  # the alignment was made with tracts of four
 
 
-def test_codon_counts_are_the_score(spark):
+def codon_pairs(spark, n=3, seed=1):
     tree = newick.parse("((A,B)N1,Out)N0")
     axes = [("A", 0), ("A", 1), ("B", 0), ("B", 1), ("Out", 0), ("Out", 1)]
-    x = np.random.default_rng(1).integers(0, 61, (3, 6))
+    x = np.random.default_rng(seed).integers(0, 61, (n, 6))
     x[:, 1] = x[:, 0]
+    x[0, 2] = -1
     x[:, 5] = x[:, 4]
-    for selection in ("omega", "homo"):
-        m = CodonModel(tree, axes, selection=selection)
-        v = dict(zip(m.names, m.start(PI, length=0.2)))
-        y = np.array([v[n] for n in m.names])
-        s = m.scenes(y)[1]
-        parts = {w: s.expected_events(x, w) for w in ("mutations", "copies", "copies_1_2", "copies_2_1")}
-        assert np.allclose(parts["copies"], parts["copies_1_2"] + parts["copies_2_1"], atol=1e-6)
-        # the score of tau on a log scale is copies made less copies to be expected while the copies differ
-        step, k = 1e-5, m.names.index("tau")
+    return tree, axes, x, spark.createDataFrame([(1, r.tolist(), 2) for r in x], "codon_position int, pattern array<int>, n long")
+
+
+@pytest.mark.parametrize("selection", ["omega", "homo"])
+def test_codon_events_and_dwell(spark, selection):
+    tree, axes, x, rows = codon_pairs(spark)
+    m = CodonModel(tree, axes, selection=selection)
+    y = m.start(PI, length=0.2)
+    s = m.scenes(y)[1]
+    parts = {w: s.expected_events(x, w) for w in ("all", "mutations", "copies", "copies_1_2", "copies_2_1")}
+    assert np.allclose(parts["copies"], parts["copies_1_2"] + parts["copies_2_1"])
+    assert np.allclose(parts["all"], parts["copies"] + parts["mutations"])
+    dwell = {w: s.dwell_fractions(x, w) for w in ("unlike", "alike", "exit")}
+    paired = np.array(s.paired)
+    assert np.allclose(dwell["unlike"] + dwell["alike"], 2) and np.allclose(dwell["unlike"][:, ~paired], 0)
+    # jumps less what is expected to leave is the derivative by the length's logarithm
+    score = s.edge_derivatives(x)
+    assert np.allclose(score, parts["all"] - dwell["exit"] * s.lengths, atol=1e-9)
+    for k, (a, b) in enumerate(m.edges):
+        at, h = m.names.index(f"{a}__{b}"), 1e-5
         up, down = y.copy(), y.copy()
-        up[k] += step
-        down[k] -= step
-        score = (m.scenes(up)[1].log_likelihoods(x) - m.scenes(down)[1].log_likelihoods(x)) / (2 * step)
-        assert np.all(score <= parts["copies"].sum(axis=1) + 1e-6) and np.all(parts["mutations"] >= -1e-6)
-    rows = spark.createDataFrame([(1, r.tolist(), 2) for r in x], "codon_position int, pattern array<int>, n long")
-    by_edge = engine.per_edge(rows, {1: s}, "events", "copies")
+        up[at] += h
+        down[at] -= h
+        want = (m.scenes(up)[1].log_likelihoods(x) - m.scenes(down)[1].log_likelihoods(x)) / (2 * h)
+        assert np.allclose(score[:, k], want, atol=1e-5)
+    by_edge = engine.per_edge(rows, m.plan(y), "events", "copies")
     assert np.allclose([by_edge[k] for k in range(len(m.edges))], 2 * parts["copies"].sum(axis=0))
+    tau = engine.branch_tau(by_edge, engine.per_edge(rows, m.plan(y), "dwell", "unlike"), s.lengths)
+    assert all((v > 0) == bool(paired[k]) for k, v in tau.items())
+    with pytest.raises(KeyError):
+        s.dwell_fractions(x, "copies")
+
+
+def simulated_codons(spark, n=250):
+    """Patterns of codons drawn from the model itself."""
+    tree = newick.splice(newick.parse("((A,B)N1,Out)N0"), [("N0_N1", ["D1"])])
+    confs = histories.configurations(tree, {"D1": 0})
+    q = rates.mg94(PI, 2.5, 0.4)
+    setting = simulate.Setting(tree, confs, {e: 0.25 for e in tree.edges}, q, rates.codon_frequencies(PI), n, init=0.8, p=1.0, seed=5)
+    seqs = simulate.simulate(spark, setting, 1)[0].collect()
+    by = {(r["node"], r["orlg"]): r["seq"] for r in seqs}
+    code = {c: k for k, c in enumerate(rates.CODON_LIST)}
+    names = [("A", 1), ("A", 2), ("B", 1), ("B", 2), ("Out", 0), ("Out", 0)]
+    cols = [[code[by[k][3 * i : 3 * i + 3]] for i in range(n)] for k in names]
+    rows = spark.createDataFrame([(1, list(p), 1) for p in zip(*cols)], "codon_position int, pattern array<int>, n long")
+    return newick.parse("((A,B)N1,Out)N0"), [("A", 0), ("A", 1), ("B", 0), ("B", 1), ("Out", 0), ("Out", 1)], rows.groupBy("codon_position", "pattern").agg(F.sum("n").alias("n")).cache()
+
+
+def test_codon_fit(spark):
+    tree, axes, patterns = simulated_codons(spark)
+    m = CodonModel(tree, axes)
+    x = m.start(PI, length=0.2)
+    f, g = estimate.gradient_with_lengths(patterns, m, x)
+    _, g2 = estimate.gradient(estimate.objective(patterns, m), x, m.free(), step=1e-4)
+    assert np.allclose(g, g2, atol=2e-3)
+    better = estimate.length_em(patterns, m, x, rounds=1)
+    assert engine.log_likelihood(patterns, {0: m.plan(better)})[0] > f
+    got, lnl = estimate.fit(patterns, m, better, rounds=12)
+    v = m.named(got)
+    assert lnl > f + 1 and 1.5 < v["kappa"] < 4.5 and 0.2 < v["omega"] < 0.7 and 0.2 < v["tau"] < 2.5
+
+
+def simulated_pairs(spark, sites=240):
+    tree = newick.splice(newick.parse("((A,B)N1,Out)N0"), [("N0_N1", ["D1"])])
+    confs = histories.configurations(tree, {"D1": 0})
+    setting = simulate.Setting(tree, confs, {e: 0.2 for e in tree.edges}, rates.hky(PI, 3.0), PI, sites, init=0.5, p=0.25, seed=9)
+    by = {(r["node"], r["orlg"]): r["seq"] for r in simulate.simulate(spark, setting, 1)[0].collect()}
+    at = [("A", 0), ("A", 1), ("B", 0), ("B", 1), ("Out", 0)]
+    cols = [by[k] for k in (("A", 1), ("A", 2), ("B", 1), ("B", 2), ("Out", 0))]
+    obs = spark.createDataFrame([(i, ["ACGT".index(c[i]) for c in cols]) for i in range(sites)], "site int, pattern array<int>")
+    pairs = encode.pair_patterns(obs, encode.site_pairs(tables.make_index(spark, sites, coding=False), spaces=[1, 4])).cache()
+    groups = [tuple(r) for r in pairs.select("space", "cs_i", "cs_j").distinct().collect()]
+    return PairSiteModel(tree, [(n, k) for n, q in at for k in (2 * q, 2 * q + 1)], groups=groups), pairs
+
+
+def test_pair_fit_and_tract_search(spark):
+    m, pairs = simulated_pairs(spark)
+    x = m.start(PI, length=0.15)
+    f, g = estimate.gradient_with_lengths(pairs, m, x)
+    _, g2 = estimate.gradient(estimate.objective(pairs, m), x, m.free(), step=1e-5)
+    assert np.allclose(g, g2, rtol=1e-4, atol=2e-3)
+    one, best = estimate.fit_tract_of_pairs(pairs, m, x, rounds=2, points=5)
+    a, b = m.named(x), m.named(one)
+    assert best > f and b["init_rate"] / b["tract_p"] == pytest.approx(a["init_rate"] / a["tract_p"])
+    two, most = estimate.fit_tract_of_pairs(pairs, m, x, dimensions=2, rounds=2, points=5)
+    assert most >= best - 1e-9 and m.named(two)["kappa"] == pytest.approx(a["kappa"])
+    got, lnl = estimate.fit(pairs, m, two, rounds=10)
+    v = m.named(got)
+    assert lnl > most and 1.5 < v["kappa"] < 6 and 0.03 < v["tract_p"] <= 1
+
+
+@pytest.mark.parametrize("scale", ["log", "Exp_Neg", "none"])
+def test_gradient_on_every_scale(family, scale):
+    tree, at, _, _, patterns = family
+    m = JointModel(tree, at, event_group={"D1": 0}, transformation=scale)
+    x = m.start(PI, length=0.2)
+    assert np.allclose(m.scaled(m.real(x)), x)
+    _, g = estimate.gradient_with_lengths(patterns, m, x, step=1e-5)
+    _, g2 = estimate.gradient(estimate.objective(patterns, m), x, m.free(), step=1e-6)
+    assert np.allclose(g, g2, rtol=1e-3, atol=2e-2)
+    lo, hi = np.array(m.bounds()).T
+    assert np.all(lo < hi) and np.all((x > lo) & (x < hi)) and m.at_bounds(x) == []
+    y = x.copy()
+    y[4] = lo[4]
+    assert m.at_bounds(y) == [m.names[4]]
+
+
+def test_clock_fit(family):
+    tree, at, _, _, patterns = family
+    m = JointModel(tree, at, event_group={"D1": 0}, root_split=False)
+    spine = ["N0", "D1", "N1", "N2"]
+    y, height, ratios, lnl = estimate.fit_clock(patterns, m, m.start(PI, length=0.1), spine, 0.5, [0.8, 0.7, 0.6], rounds=6)
+    v = m.named(y)
+    assert v["N0__Out"] == pytest.approx(height) and v["N2__A"] == pytest.approx(v["N2__B"]) and v["N1__C"] == pytest.approx(height * ratios[0] * ratios[1])
+    free = estimate.fit(patterns, m, y, rounds=4)[1]
+    assert free >= lnl > engine.log_likelihood(patterns, {0: m.plan(m.start(PI, length=0.1))})[0]
+
+
+def test_three_epochs(spark):
+    from helixframe.plans.models import three_epoch_model
+
+    axes = [(s, p) for s in ("A", "B") for p in range(3)]
+    m = three_epoch_model(newick.parse("(A,B)N0"), axes)
+    assert len([n for n in m.names if n.startswith("tau")]) == 8 and len(m.kinds) == 3
+    assert [len(histories.divide(c)["loc"]) for c in (m.confs["N0"], m.confs["D1"], m.confs["D2"])] == [1, 2, 3]
+    rows = spark.createDataFrame([(1, np.random.default_rng(2).integers(0, 4, 6).tolist(), 1) for _ in range(5)], "codon_position int, pattern array<int>, n long")
+    x = m.start(PI, length=0.2)
+    f, g = estimate.gradient_with_lengths(rows, m, x)
+    _, g2 = estimate.gradient(estimate.objective(rows, m), x, m.free(), step=1e-5)
+    assert np.isfinite(f) and np.allclose(g, g2, atol=1e-4)
+    changes = {(r["parent"], r["child"], r["orlg"], r["change"]) for r in histories.group_changes(spark, m.tree, m.confs).collect()}
+    assert {c[3] for c in changes if c[1] == "D2"} == {"gone", "born"} and len([c for c in changes if c[1] == "D2"]) == 3
+    assert m.run_name("f") == "joint_f_general" and "D2 (duplication)" in m.report(x)
 
 
 def test_sites_by_edges_and_distance_grid(spark, family):
@@ -371,3 +523,122 @@ def test_clock_gradient():
     h = 1e-6
     want = [(f(lengths_from_clock(t, ["N0", "N1"], 2 * np.exp(h), [0.25])) - f(at)) / h, (f(lengths_from_clock(t, ["N0", "N1"], 2.0, [0.25 * np.exp(h)])) - f(at)) / h]
     assert np.allclose(got, want, atol=1e-4)
+
+
+def test_best_paths_by_enumeration(spark):
+    rng = np.random.default_rng(7)
+    groups = {}
+    for g in range(12):
+        n = int(rng.integers(1, 8))
+        lnl = -np.round(rng.random(n) * 3, 1)
+        no = lnl - np.round(rng.random(n), 1) - 0.1
+        index = np.cumsum(rng.integers(1, 4, n))
+        groups[f"g{g}"] = (index, lnl, no)
+    rows = [(g, k, int(i[k]), float(a[k]), float(b[k])) for g, (i, a, b) in groups.items() for k in range(len(i))]
+    sites = spark.createDataFrame(rows, "gene string, site int, nt_index int, lnl double, lnl_no double").repartition(2)
+    kw = dict(eta=0.2, p=0.3, length=0.7)
+    steps = hmm.lattice(sites, **kw).cache()
+    got = {}
+    for r in hmm.decode(steps, most=10).orderBy("gene", "site").collect():
+        got.setdefault(r["gene"], []).append(r)
+    assert {g: len(v) for g, v in got.items()} == {g: len(i) for g, (i, _, _) in groups.items()}
+    folds = {r["gene"]: r for r in hmm.viterbi(steps).collect()}
+    for row in steps.collect():
+        s, first = row["steps"], [row["first"]["a"], row["first"]["b"]]
+        scores = {}
+        for path in product((0, 1), repeat=len(s)):
+            v = first[path[0]] + s[0][f"e{path[0]}"]
+            for k in range(1, len(s)):
+                v += s[k][f"p{path[k - 1]}{path[k]}"] + s[k][f"e{path[k]}"]
+            scores[path] = v
+        top = max(scores.values())
+        path = tuple(r["state"] for r in got[row["gene"]])
+        assert scores[path] == pytest.approx(top) and got[row["gene"]][0]["score"] == pytest.approx(top)
+        assert folds[row["gene"]]["score"] == pytest.approx(top) and folds[row["gene"]]["last_state"] == path[-1]
+        total = np.logaddexp.reduce(list(scores.values()))
+        for k, r in enumerate(got[row["gene"]]):
+            assert r["posterior"] == pytest.approx(np.exp(np.logaddexp.reduce([v for p, v in scores.items() if p[k]]) - total))
+    assert hmm.decode(steps.limit(0)).count() == 0
+    even = steps.withColumn("steps", F.transform("steps", lambda s: F.struct(s["site"].alias("site"), F.lit(0.0).alias("e0"), F.lit(0.0).alias("e1"), s["lnl"].alias("lnl"), *[F.lit(-0.5).alias(n) for n in ("p00", "p01", "p10", "p11")])))
+    even = even.withColumn("first", F.struct(F.lit(-0.7).alias("a"), F.lit(-0.7).alias("b")))
+    assert hmm.decode(even).filter("state <> 0").count() == 0 and hmm.viterbi(even).filter("last_state <> 0").count() == 0  # ties
+
+
+def test_relations_of_histories(spark):
+    rows = spark.createDataFrame([("r", "a"), ("a", "b"), ("a", "c"), ("c", "d"), ("x", "y")], "parent string, child string")
+    assert {tuple(r) for r in newick.paths(rows, "r").collect()} == {("a", 1, "r/a"), ("b", 2, "r/a/b"), ("c", 2, "r/a/c"), ("d", 3, "r/a/c/d")}
+    with pytest.raises(ValueError):
+        newick.paths(spark.createDataFrame([("r", "a"), ("a", "r")], "parent string, child string"), "r", deepest=4)
+    held = spark.createDataFrame([("m", 1), ("m", 2), ("m", 2), ("n", 1), ("n", 2), ("n", 3)], "node string, orlg int")
+    assert {tuple(r) for r in histories.accessible_pair_relation(held).collect()} == {(1, 2, 2), (1, 3, 1), (2, 3, 1)}
+    runs = histories.run_relation(spark.createDataFrame([("a", k) for k in (1, 2, 2, 4, 7, 8, 9)], "g string, pos int"), "g").orderBy("start")
+    assert [(r["start"], r["n"]) for r in runs.collect()] == [(1, 2), (4, 1), (7, 3)]
+    with pytest.raises(ValueError):
+        histories.configurations(newick.splice(newick.parse(TREE), [("N0_N1", ["D1"])]), {"D1": 0, "L9": 0})
+
+
+def test_pair_counts_at_every_distance(spark):
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("ACGT"), n)) for n in (0, 1, 2, 7, 40, 40, 131)]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "seq string")
+    want = {}
+    classes = {}
+    for t in texts:
+        for i in range(len(t)):
+            for j in range(i + 1, len(t)):
+                key = (j - i, "ACGT".index(t[i]), "ACGT".index(t[j]))
+                want[key] = want.get(key, 0) + 1
+                if i // 3 != j // 3:
+                    c = (i % 3 + 1, j % 3 + 1, j - i)
+                    classes[c] = classes.get(c, 0) + 1
+    assert {tuple(r)[:3]: r["n"] for r in encode.pair_state_counts(rows).collect()} == want
+    got = encode.codon_site_pairs(rows.select(F.length("seq").alias("n_sites")), same_codon=False)
+    assert {tuple(r)[:3]: r["n"] for r in got.collect()} == classes
+    index = tables.make_index(spark, 40).filter("site not in (3, 4, 20)")
+    at = {r["nt_index"] for r in index.collect()}
+    pairs = {(r["i"], r["j"]) for r in encode.site_pairs(index, width=8).collect()}
+    assert pairs == {(a - 1, b - 1) for a in at for b in at if a < b}
+    two = index.withColumn("gene", F.lit("x")).unionByName(index.filter("site < 9").withColumn("gene", F.lit("y")))
+    assert encode.site_pairs(two, by=["gene"], width=8).groupBy("gene").count().count() == 2
+
+
+def test_simulation_by_direction(spark):
+    tree = newick.splice(newick.parse("(A,Out)N0"), [("N0_A", ["D1"])])
+    confs = histories.configurations(tree, {"D1": 0})
+    one_way = simulate.Setting(tree, confs, {e: 1.0 for e in tree.edges}, rates.mg94(PI, 2.0, 0.5), rates.codon_frequencies(PI), 20, init={(1, 2): 0.3}, p={(1, 2): 0.5}, seed=3)
+    seqs, events = simulate.simulate(spark, one_way, 60)
+    assert events.filter("kind = 'copy' and not (orlg_from = 1 and orlg_to = 2)").count() == 0
+    assert events.filter("kind = 'copy' and (tract_length % 3 <> 0 or start_pos % 3 <> 0 or stop_pos % 3 <> 2)").count() == 0
+    assert events.filter("kind = 'mutation' and mut_pos % 3 <> 0").count() == 0 and seqs.filter("length(seq) <> 60").count() == 0
+    want = simulate.expected_events(one_way, 60)
+    got = {(r["edge"], r["kind"]): r["count"] for r in events.groupBy("edge", "kind").count().collect()}
+    for (a, b, kind), v in want.items():
+        assert abs(got.get((f"{a}_{b}", kind), 0) - v) <= 5 * np.sqrt(v)
+
+
+def test_input_checks(spark):
+    index = tables.make_index(spark, 9)
+    tables.check_index(index, 9, coding=True)
+    for bad in (lambda: tables.check_index(index, 10), lambda: tables.check_index(index.withColumn("codon_site", F.lit(4)), 9, coding=True)):
+        with pytest.raises(ValueError):
+            bad()
+    seqs = spark.createDataFrame([("A__x",)], "name string")
+    genes = spark.createDataFrame([("A__x", 1)], "gene string, orlg int")
+    tables.check_genes(seqs, genes, ["A"])
+    for s, g, t in ((seqs, genes, ["B"]), (seqs.limit(0), genes, ["A"]), (seqs, genes.limit(0), ["A"])):
+        with pytest.raises(ValueError):
+            tables.check_genes(s, g, t)
+
+
+def test_predicates():
+    conf = ((1, 1), (2, 1), (2, 1), (3, 0))
+    assert rates.is_configuration(conf) and not rates.is_configuration(((1, 1), (1, 0))) and not rates.is_configuration(((1, 2),))
+    assert rates.is_state_of((0, 1, 1, 2), conf) and not rates.is_state_of((0, 1, 2, 2), conf) and not rates.is_state_of((0, 1, 1, 4), conf)
+    assert rates.is_transition_of((0, 1, 1, 2), (3, 1, 1, 2), conf) and rates.is_transition_of((0, 1, 1, 2), (0, 3, 3, 2), conf)
+    assert not rates.is_transition_of((0, 1, 1, 2), (0, 1, 1, 3), conf) and not rates.is_transition_of((0, 1, 1, 2), (3, 2, 2, 2), conf)
+    all_ = rates.states(4)
+    pair = rates.pair_site(rates.hky(PI, 2.0), rates.hky(PI, 2.0), 2, 0.3, 0.4).rates
+    single = rates.pair_site_single(rates.hky(PI, 2.0), rates.hky(PI, 2.0))
+    ends = [(i, j) for i in range(0, 256, 7) for j in range(256)]
+    assert all((pair[i, j] > 0) == (i != j and rates.is_pair_transition(all_[i], all_[j])) for i, j in ends)
+    assert all((single[i, j] > 0) == rates.is_single_transition(all_[i], all_[j]) for i, j in ends)
