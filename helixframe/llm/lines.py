@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, dealt
+from .common import connected_components, cut, dealt, release, sieve, spare
 
 #: Letters whose counts are compared before a pair is verified; one edit changes two of the counts by one at most.
 LETTERS = "etanhiords"
@@ -23,7 +23,6 @@ MORE_LETTERS = "lcupmfgbwvykqz.,"
 #: Bits above the counts: the segment is the line's own; it is of the line's own length; never set.
 OWN, EVEN, NEVER = 1 << 60, 1 << 61, 1 << 62
 LOW = -(1 << 63)
-BITMAP = 1 << 22
 
 
 def occurrences(docs: DataFrame, id: str, text: str, min_chars: int) -> DataFrame:
@@ -140,32 +139,20 @@ def places(docs: DataFrame, *, id: str = "doc_id", text: str = "text", min_chars
     return occurrences(docs, id, text, min_chars).select("__id", "__h", "k", *_hashes(F.col("norm")))
 
 
-def bitmap(hashes: DataFrame, column: str):
-    """A test for hashes that lets all of ``column`` pass, and others by chance: BITMAP bits, whatever the number of rows."""
-    bits = hashes.select(F.pmod(column, F.lit(BITMAP)).alias("bit"))
-    words = bits.groupBy(F.floor(F.col("bit") / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("bit", F.lit(64)).cast("int"))).alias("v"))
-    known = dict(words.collect())
-    field = F.from_json(F.lit("[" + ",".join(str(known.get(k, 0)) for k in range(BITMAP // 64)) + "]"), "array<bigint>")
-
-    def test(h: Column) -> Column:
-        bit = F.pmod(h, F.lit(BITMAP))
-        return F.call_function("shiftright", F.get(field, F.floor(bit / 64).cast("int")), F.pmod(bit, F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
-
-    return test
-
-
 def links(docs: DataFrame, at: DataFrame, *, id: str = "doc_id", text: str = "text", edits: int = 2, min_chars: int = 10) -> DataFrame:
     """a1, a2, b1, b2: digests of every two distinct normalised lines within ``edits`` edits. ``at``: the places of docs."""
     pairs = cut(candidates(occurrences(docs, id, text, min_chars).select("norm"), edits))
-    # the texts of candidates are read again from one document for each, past bitmaps of the lines and of the documents
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
-    known = bitmap(ends, "h1")
-    ends = cut(at.filter(known(F.col("h1"))).join(dealt(ends), "h1").groupBy("h1", "h2").agg(F.min("__h").alias("__h")))
-    some = docs.filter(bitmap(ends, "__h")(F.xxhash64(id, text)))
-    texts = occurrences(some, id, text, min_chars).filter(known(F.xxhash64("norm"))).select("norm").distinct().select("norm", *_hashes(F.col("norm")))
+    # the texts of candidates are read again, from one document for each
+    ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct())
+    least = sieve(at, ends, "h1").groupBy("h1", "h2").agg(F.min("__h").alias("__h"))  # a very common line is one row from here on
+    least = cut(least.join(ends, "h1", "left_semi"))
+    some = sieve(docs.select(F.col(id).alias("i"), F.col(text).alias("t"), F.xxhash64(id, text).alias("__h")), least, "__h")
+    texts = sieve(occurrences(some, "i", "t", min_chars).select("norm", *_hashes(F.col("norm"))), ends, "h1").distinct()
     a, b = texts.select(F.col("norm").alias("na"), F.col("h1").alias("a"), F.col("h2").alias("a2")), texts.select(F.col("norm").alias("nb"), F.col("h1").alias("b"), F.col("h2").alias("b2"))
     near = pairs.join(a, "a").join(b, "b").filter(_near_letters(F.col("na"), F.col("nb"), edits)).filter(within(F.col("na"), F.col("nb"), edits))
-    return near.select(F.col("a").alias("a1"), "a2", F.col("b").alias("b1"), "b2")
+    out = cut(near.select(F.col("a").alias("a1"), "a2", F.col("b").alias("b1"), "b2"))
+    release(pairs, ends, least)
+    return out
 
 
 def repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", edits: int = 2, min_chars: int = 10) -> DataFrame:
@@ -176,56 +163,61 @@ def repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", edits: i
     one and are treated alike.
     """
     at = cut(places(docs, id=id, text=text, min_chars=min_chars))
-    near = cut(links(docs, at, id=id, text=text, edits=edits, min_chars=min_chars))
+    near = links(docs, at, id=id, text=text, edits=edits, min_chars=min_chars)
     name = lambda x, y: F.concat(F.lpad(F.hex(x), 16, "0"), F.lpad(F.hex(y), 16, "0"))
     classes = connected_components(near.select(name("a1", "a2").alias("a"), name("b1", "b2").alias("b")))
     low = lambda c, k: F.conv(F.substring(c, k, 16), 16, -10).cast("long")
     classes = classes.select(low("node", 1).alias("h1"), low("node", 17).alias("h2"), low("component", 1).alias("c1"), low("component", 17).alias("c2"))
-    place = F.struct("__id", "__h", "k")
     classes = cut(classes)
-    keys = at.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1").unionByName(classes.select("h1")).distinct()
-    keys = cut(keys)
-    # what is not repeated goes no further than a bitmap of what is
-    some = at.filter(bitmap(keys, "h1")(F.col("h1"))).join(dealt(keys), "h1").join(dealt(classes), ["h1", "h2"], "left")
+    place = F.struct("__id", "__h", "k")
+    keys = cut(at.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1").unionByName(classes.select("h1")).distinct())
+    # what is not repeated goes no further than a sieve of what is. A very common line is a hot key of the joins below: they stay
+    # joins of two shuffles, whose hot partitions are split
+    some = sieve(at, keys, "h1").join(classes.hint("merge"), ["h1", "h2"], "left")
     some = cut(some.select("__id", "__h", "k", F.coalesce("c1", "h1").alias("c1"), F.coalesce("c2", "h2").alias("c2")))
-    firsts = dealt(some.groupBy("c1", "c2").agg(F.min(place).alias("first")))
-    found = some.join(firsts, ["c1", "c2"]).filter(place != F.col("first"))
+    release(at, near, keys)
+    firsts = some.groupBy("c1", "c2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("c1", "c2", "first")
+    found = some.join(dealt(firsts).hint("merge"), ["c1", "c2"]).filter(place != F.col("first"))
     return found.select("__id", "__h", "k", F.col("first.__id").alias("first_id"), F.col("first.k").alias("first_line")).distinct()
 
 
 def dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", edits: int = 2, min_chars: int = 10, out: str = "removed") -> DataFrame:
     """docs without the lines that repeat an earlier one, with a column ``out``: array of (line, first_id, first_line).
 
-    All rows and other columns (but one named as ``out``) stay; a text of which every line goes is empty. Null and empty texts stay as they are, and
-    null ids count as the smallest id. Lines shorter than ``min_chars`` when normalised stay.
+    All rows and other columns (but one named as ``out``) stay, whatever their names; a text of which every line goes is empty.
+    Null and empty texts stay as they are, and null ids count as the smallest id. Lines shorter than ``min_chars`` when
+    normalised stay.
     """
-    gone = _gone(docs, id, text, edits, min_chars)
-    got = _keyed(docs, id, text).join(gone, ["__id", "__h"], "left")
+    i, h, gone = spare([*docs.columns, out], "id", "h", "gone")
+    got = _keyed(docs, id, text, i, h).join(_gone(docs, id, text, edits, min_chars, i, h, gone), [i, h], "left")
 
     def without(lines: Column) -> Column:
-        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.transform("__removed", lambda r: r["line"]))
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.transform(gone, lambda r: r["line"]))
         return F.array_join(F.transform(kept, lambda k: F.get(lines, k)), "\n")
 
-    new = F.when(F.col("__removed").isNull(), F.col(text)).otherwise(F.element_at(F.transform(F.array(F.split(text, "\n")), without), 1))
+    new = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.element_at(F.transform(F.array(F.split(text, "\n")), without), 1))
     columns = [new.alias(text) if c == text else F.col(c) for c in docs.columns if c != out]
-    return got.select(*columns, F.coalesce("__removed", F.array().cast("array<struct<line:int,first_id:bigint,first_line:int>>")).alias(out))
+    return got.select(*columns, F.coalesce(gone, F.array().cast("array<struct<line:int,first_id:bigint,first_line:int>>")).alias(out))
 
 
 def removed(docs: DataFrame, *, id: str = "doc_id", text: str = "text", edits: int = 2, min_chars: int = 10) -> DataFrame:
     """doc_id, n_lines, n_removed, removed of every row: what dedup removes, without the texts."""
-    rows = _keyed(docs, id, text).select(F.col(id).cast("long").alias("doc_id"), "__id", "__h", F.when(F.col(text).isNull(), 0).otherwise(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1).alias("n_lines"))
-    got = rows.join(_gone(docs, id, text, edits, min_chars), ["__id", "__h"], "left")
-    gone = F.coalesce("__removed", F.array().cast("array<struct<line:int,first_id:bigint,first_line:int>>"))
+    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1)
+    rows = _keyed(rows, "doc_id", "text", "i", "h").select("doc_id", "i", "h", n.alias("n_lines"))
+    got = rows.join(_gone(docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")), "doc_id", "text", edits, min_chars, "i", "h", "gone"), ["i", "h"], "left")
+    gone = F.coalesce("gone", F.array().cast("array<struct<line:int,first_id:bigint,first_line:int>>"))
     return got.select("doc_id", "n_lines", F.size(gone).alias("n_removed"), gone.alias("removed"))
 
 
-def _keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
-    return docs.withColumn("__id", F.coalesce(F.col(id).cast("long"), F.lit(LOW))).withColumn("__h", F.xxhash64(id, text))
+def _keyed(docs: DataFrame, id: str, text: str, i: str, h: str) -> DataFrame:
+    return docs.withColumn(i, F.coalesce(F.col(id).cast("long"), F.lit(LOW))).withColumn(h, F.xxhash64(id, text))
 
 
-def _gone(docs: DataFrame, id: str, text: str, edits: int, min_chars: int) -> DataFrame:
+def _gone(docs: DataFrame, id: str, text: str, edits: int, min_chars: int, i: str, h: str, out: str) -> DataFrame:
     found = repeats(docs, id=id, text=text, edits=edits, min_chars=min_chars)
-    return found.groupBy("__id", "__h").agg(F.array_sort(F.collect_list(F.struct(F.col("k").alias("line"), "first_id", "first_line"))).alias("__removed"))
+    lines = F.array_sort(F.collect_list(F.struct(F.col("k").alias("line"), "first_id", "first_line")))  # those of one text
+    return found.groupBy(F.col("__id").alias(i), F.col("__h").alias(h)).agg(lines.alias(out))
 
 
 def removed_text(removed: Column) -> Column:
