@@ -8,9 +8,11 @@ plan's size depends on the sequence size alone. Each piece then finds its place
 from __future__ import annotations
 
 import json
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -85,103 +87,206 @@ def pieces(docs: DataFrame, path: str, *, id: str = "doc_id", text: str = "text"
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_pattern(lengths: np.ndarray, prices: np.ndarray, size: int) -> dict[int, int]:
-    """Unbounded knapsack by dynamic programming: the multiset of lengths of greatest price that fits in size."""
-    order = np.argsort(-lengths)
-    ls, ps = lengths[order], prices[order]
-    value, take = np.zeros(size + 1), np.zeros(size + 1, dtype=np.int64)
-    for c in range(1, size + 1):
-        k = np.searchsorted(-ls, -c)  # from here on the lengths fit
-        value[c] = value[c - 1]
-        if k < len(ls):
-            v = value[c - ls[k:]] + ps[k:]
-            b = int(np.argmax(v))
-            if v[b] > value[c] + 1e-12:
-                value[c], take[c] = v[b], ls[k + b]
-    out: Counter[int] = Counter()
-    c = size
-    while c > 0:
-        if take[c]:
-            out[int(take[c])] += 1
-            c -= int(take[c])
-        else:
-            c -= 1
-    return dict(out)
-
-
-def solve(counts: dict[int, int], size: int, *, rounds: int = 1500, eta: float = 0.3, lean: float = 0.2) -> list[tuple[dict[int, int], float]]:
-    """A fractional solution of the configuration program: patterns and how often each is used.
-
-    Multiplicative weights: the price of a length starts a little over proportion to it (long pieces are the hard ones) and
-    falls exponentially with the share of its pieces that the patterns so far cover; each round adds the pattern that the
-    knapsack finds at these prices, until a length of it is covered. No length is covered beyond its count.
+Pattern = tuple[tuple[int, int], ...]  # lengths, greatest first, and how often each
+
+
+class Knapsack:
+    """Unbounded knapsacks of every capacity up to size at given prices, by dynamic programming."""
+
+    def __init__(self, lengths: np.ndarray, prices: np.ndarray, size: int):
+        order = np.argsort(-lengths)
+        ls, ps = lengths[order], prices[order]
+        self.size = size
+        self.value, self.take = np.zeros(size + 1), np.zeros(size + 1, dtype=np.int64)
+        first = np.searchsorted(-ls, -np.arange(size + 1)).tolist()  # from here on the lengths fit
+        for c in range(1, size + 1):
+            k = first[c]
+            self.value[c] = self.value[c - 1]
+            if k < len(ls):
+                v = self.value[c - ls[k:]] + ps[k:]
+                b = int(v.argmax())
+                if v[b] > self.value[c] + 1e-12:
+                    self.value[c], self.take[c] = v[b], ls[k + b]
+
+    def pattern(self, *given: int) -> Pattern:
+        """The lengths given, and those of greatest price in the room that they leave."""
+        out = Counter(given)
+        c = self.size - sum(given)
+        while c > 0:
+            if self.take[c]:
+                out[int(self.take[c])] += 1
+                c -= int(self.take[c])
+            else:
+                c -= 1
+        return tuple(sorted(out.items(), reverse=True))
+
+
+@dataclass
+class Program:
+    """A fractional solution of the configuration program: how often each pattern is used, so that every length is covered;
+    the prices at the end; and a number of sequences that no packing is below."""
+
+    uses: dict[Pattern, float]
+    prices: dict[int, float]
+    bound: float
+
+
+def solve(counts: dict[int, int], size: int, *, rounds: int = 600, eta: float = 0.5, calm: float = 100.0, slack: float = 0.01) -> Program:
+    """Multiplicative weights for the covering program (after Plotkin, Shmoys and Tardos, 1995, and Fleischer, 2000).
+
+    The weight of a length begins as its share of all tokens; its price is its weight over its count. A round prices patterns by
+    one dynamic program, which gives for every length the best pattern that holds it, and uses those within ``slack`` of the
+    best of all together, so much that no length is covered more than once; weights then fall by the factor exp(-eta x how much
+    the round covers), with ``eta`` itself falling over some ``calm`` rounds. The solution is the mean of the later half of the
+    rounds, when prices have settled. Prices over the best pattern's price
+    are a dual solution, so every round gives a lower bound; the greatest counts.
     """
     lengths = np.array(sorted(counts), dtype=np.int64)
     need = np.array([counts[k] for k in lengths.tolist()], dtype=np.float64)
-    worth = lengths * (1 + lean * lengths / size)
-    done = np.zeros(len(lengths))
     at = {k: i for i, k in enumerate(lengths.tolist())}
-    used = []
-    for _ in range(rounds):
-        open_ = need - done >= 1
-        if not open_.any():
-            break
-        prices = worth * np.exp(-eta * done / need)
-        p = best_pattern(lengths[open_], prices[open_], size)
-        step = min((need[at[k]] - done[at[k]]) / a for k, a in p.items())
-        for k, a in p.items():
-            done[at[k]] += a * step
-        used.append((p, step))
-    return used
-
-
-def best_fit(counts: dict[int, int], size: int) -> Counter[tuple]:
-    """Best-fit decreasing over a histogram: how often each pattern of (length, number) pairs is used."""
-    bins: dict[int, list[list[int]]] = {}
-    free = np.zeros(size + 1, dtype=np.int64)  # open bins by the room left
+    fall, kept = np.zeros(len(lengths)), np.zeros(len(lengths))
+    uses: Counter[Pattern] = Counter()
+    bound = 0.0
+    for r in range(rounds):
+        prices = lengths * np.exp(fall.min() - fall)
+        k = Knapsack(lengths, prices, size)
+        best = k.value[size]
+        bound = max(bound, float(prices @ need / best))
+        good = prices + k.value[size - lengths] >= (1 - slack) * best
+        found = {p: min(need[at[m]] / a for m, a in p) for p in {k.pattern(m) for m in lengths[good].tolist()}}
+        covered = np.zeros(len(lengths))
+        for p, n in found.items():
+            for m, a in p:
+                covered[at[m]] += a * n / need[at[m]]
+        share = 1 / covered.max()
+        fall += eta / (1 + r / calm) * share * covered
+        if 2 * r >= rounds:
+            kept += share * covered
+            for p, n in found.items():
+                uses[p] += share * n
+    for m in lengths[kept <= 0].tolist():  # never worth its room: covered by the best pattern that holds it
+        uses[k.pattern(m)] += need[at[m]] * max(kept.max(), 1.0)
+    least = float(kept[kept > 0].min())
+    return Program({p: n / least for p, n in uses.items()}, dict(zip(lengths.tolist(), (prices / best).tolist())), bound)
+
+
+def best_fit(counts: dict[int, int], size: int) -> Counter[Pattern]:
+    """Best-fit decreasing over a histogram: how often each pattern is used.
+
+    Sequences that hold the same are one entry with a number, and all pieces of a length are placed together: a sequence takes
+    pieces until no more fit before the next one does, as one by one.
+    """
+    open_: dict[int, Counter[Pattern]] = {}  # patterns by the room left
+
+    def put(p: Pattern, room: int, n: int) -> None:
+        if n:
+            open_.setdefault(room, Counter())[p] += n
+
     for length in sorted(counts, reverse=True):
-        for _ in range(counts[length]):
-            fits = np.flatnonzero(free[length:])
-            room = size if not len(fits) else int(fits[0]) + length
-            b = bins[room].pop() if len(fits) else []
-            free[room] -= bool(len(fits))
-            b.append(length)
-            bins.setdefault(room - length, []).append(b)
-            free[room - length] += 1
-    return Counter(tuple(sorted(Counter(b).items(), reverse=True)) for bs in bins.values() for b in bs)
-
-
-def plan(counts: dict[int, int], size: int, *, fill: float = 0.999) -> pd.DataFrame:
-    """Where the pieces of each length go, by rank: columns length, first, last, sequence, per, offset.
-
-    The patterns of the fractional solution that are at least ``fill`` full are rounded down; what they leave is packed by
-    best fit. The ranks first to last - 1 of a length
-    fill the sequences from ``sequence`` on, ``per`` in each, from ``offset`` on.
+        left = counts[length]
+        for room in sorted(r for r in open_ if r >= length):
+            if not left:
+                break
+            each = room // length
+            for p, n in list(open_[room].items()):
+                full = min(n, left // each)
+                some = left - full * each if full < n else 0  # one more sequence takes what is left
+                taken = full + bool(some)
+                if not taken:
+                    break
+                open_[room][p] -= taken
+                if not open_[room][p]:
+                    del open_[room][p]
+                put((*p, (length, each)), room - each * length, full)
+                if some:
+                    put((*p, (length, some)), room - some * length, 1)
+                left -= full * each + some
+            if not open_[room]:
+                del open_[room]
+        each = size // length
+        put(((length, each),), size - each * length, left // each)
+        if left % each:
+            put(((length, left % each),), size - left % each * length, 1)
+    out: Counter[Pattern] = Counter()
+    for ps in open_.values():
+        out.update(ps)
+    return out
+
+
+def rounded(program: Program, counts: dict[int, int], size: int) -> Counter[Pattern]:
+    """Whole uses of patterns that hold each length as often as it is counted.
+
+    First the program's patterns in the proportions that it uses them in, rounded down, where enough pieces are left; then, for these, the
+    best patterns at the program's prices of what is left, each as often as it fits; where those are no longer full, best fit
+    packs the rest, from whichever point that takes the fewest sequences.
+    """
+    left = {k: n for k, n in counts.items() if n}
+    out: Counter[Pattern] = Counter()
+
+    def use(p: Pattern, most: float) -> int:
+        n = min(int(most), *(left.get(k, 0) // a for k, a in p))
+        if n > 0:
+            out[p] += n
+            for k, a in p:
+                left[k] -= a * n
+                if not left[k]:
+                    del left[k]
+        return n
+
+    share = program.bound / sum(program.uses.values())  # lengths that lag behind raise all uses; what they lack comes after
+    for p, n in sorted(program.uses.items(), key=lambda u: (-u[1], u[0])):
+        use(p, n * share + 1e-9)
+    best: tuple[int, Counter[Pattern]] | None = None
+    lowest = size
+    while True:
+        room = size if not left else 0
+        if left:
+            lengths = np.array(sorted(left), dtype=np.int64)
+            p = Knapsack(lengths, np.array([program.prices[k] for k in lengths.tolist()]), size).pattern()
+            # as often of each length as is left of it
+            p = tuple((k, min(a, left[k])) for k, a in p)
+            room = sum(k * a for k, a in p)
+        if room < lowest or not left:  # fuller patterns have run out: a point to stop at
+            rest = best_fit(left, size)
+            total = sum(out.values()) + sum(rest.values())
+            if best is None or total < best[0]:
+                best = (total, out + rest)
+            lowest = room - size // 64
+        if not left or room < size // 2:
+            return best[1]
+        use(p, sum(left.values()))
+
+
+def plan(counts: dict[int, int], size: int) -> pd.DataFrame:
+    """Where the pieces of each length go, by rank: columns length, first, last, sequence, per, offset. ``attrs`` has the number
+    of sequences and the program's lower bound of it.
+
+    The program rounded, or best fit alone where that takes fewer sequences. Pieces as long as a sequence are one by
+    themselves. The ranks first to last - 1 of a length fill the sequences from ``sequence`` on, ``per`` in each, from
+    ``offset`` on. Work and memory hang on the number of different lengths, not on that of pieces.
     """
     left = {k: n for k, n in counts.items() if n > 0}
-    patterns: Counter[tuple] = Counter()
-    whole = {k: n for k, n in left.items() if k == size}
-    for k, n in whole.items():
-        patterns[((k, 1),)] += n
-        del left[k]
+    whole = left.pop(size, 0)
+    patterns: Counter[Pattern] = Counter()
+    bound = 0.0
     if left:
-        for p, x in solve(left, size):
-            n = min([int(x + 1e-9), *(left[k] // a for k, a in p.items())])
-            if n > 0 and sum(k * a for k, a in p.items()) >= fill * size:
-                patterns[tuple(sorted(p.items(), reverse=True))] += n
-                for k, a in p.items():
-                    left[k] -= a * n
-        patterns.update(best_fit({k: n for k, n in left.items() if n}, size))
+        program = solve(left, size)
+        bound = program.bound
+        patterns = min(rounded(program, left, size), best_fit(left, size), key=lambda ps: sum(ps.values()))
+    if whole:
+        patterns[((size, 1),)] += whole
     first: Counter[int] = Counter()
     rows, sequence = [], 0
-    for p, n in patterns.items():
+    for p, n in sorted(patterns.items(), reverse=True):
         offset = 0
         for k, a in p:
             rows.append((k, first[k], first[k] + a * n, sequence, a, offset))
             first[k] += a * n
             offset += a * k
         sequence += n
-    return pd.DataFrame(rows, columns=["length", "first", "last", "sequence", "per", "offset"]).astype("int64").sort_values(["length", "first"]).reset_index(drop=True)
+    out = pd.DataFrame(rows, columns=["length", "first", "last", "sequence", "per", "offset"]).astype("int64").sort_values(["length", "first"]).reset_index(drop=True)
+    out.attrs |= {"sequences": sequence, "bound": math.ceil(bound - 1e-6) + whole}
+    return out
 
 
 def ranked(rows: DataFrame, n: int, *, rows_per_bucket: int = 2_000) -> DataFrame:
