@@ -106,7 +106,7 @@ def test_best_fit_is_that_of_single_pieces(counts):
     assert dict(held) == counts
 
 
-@pytest.mark.parametrize("kind, most", [("uniform", 1.008), ("tokens", 1.003), ("middle", 1.02), ("over half", 1.03), ("thirds", 1.03), ("few", 1.01)])
+@pytest.mark.parametrize("kind, most", [("uniform", 1.008), ("tokens", 1.003), ("middle", 1.02), ("over half", 1.03), ("thirds", 1.05), ("few", 1.01)])
 def test_plan_against_bound_and_best_fit(kind, most):
     counts = histogram(kind)
     p = packing.plan(counts, 1024)
