@@ -25,7 +25,9 @@ SCRIPTS = (
     ("ethiopic", 0x1200, 0x137F), ("khmer", 0x1780, 0x17FF), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF),
 )
 NAMES = sorted({s for s, _, _ in SCRIPTS})
-FLOOR = -8.0
+#: Least log posterior of a language that a word can be of, and what stands for one that lacks the word's script: less than
+#: any path loses by two switches.
+FLOOR, BARRED = -8.0, -100.0
 
 
 def scripts_of(words: list[str]) -> np.ndarray:
@@ -52,17 +54,19 @@ class Model:
         return self.__dict__ | {"rows": {}, "scores": None}
 
     def word_scores(self, words: list[str]) -> np.ndarray:
-        """Log posterior of each language for each word, at least FLOOR; FLOOR too where the language lacks the script."""
+        """Log posterior of each language for each word, at least FLOOR, among those written in the word's script; BARRED for the
+        others. A word whose script no language has can be of any."""
         low = [w.lower() for w in words]
         n, at = trigrams(low, self.logs.shape[0])
         first = np.concatenate([[0], np.flatnonzero(np.diff(n)) + 1])
         e = np.add.reduceat(self.logs[at], first, axis=0)
         s = scripts_of(low)
         can = np.where((s >= 0)[:, None], self.written[s], True)
-        e = np.where(can | ~can.any(axis=1, keepdims=True), e, -np.inf)
+        can = can | ~can.any(axis=1, keepdims=True)
+        e = np.where(can, e, -np.inf)
         top = e.max(axis=1, keepdims=True)
         e = e - top - np.log(np.exp(e - top).sum(axis=1, keepdims=True))
-        return np.maximum(e, FLOOR).astype(np.float32)
+        return np.where(can, np.maximum(e, FLOOR), BARRED).astype(np.float32)
 
     def rows_of(self, words: list[str], most: int = 1_200_000) -> np.ndarray:
         """Rows of self.scores for the words; what is remembered of earlier words is bounded to ``most`` scores."""
@@ -91,7 +95,7 @@ class Model:
         # first and the last stretch together do not: a path of s switches has s - 1 stretches between these two. Sums
         # over stretches are differences of running sums.
         gain = e - np.take_along_axis(e, np.repeat(main, sizes)[:, None], axis=1)
-        run = np.cumsum(gain, axis=0) - np.repeat(np.arange(len(full)) * (2 * -FLOOR * (sizes.max() + 1)), sizes)[:, None]
+        run = np.cumsum(gain, axis=0) - np.repeat(np.arange(len(full)) * (2 * -BARRED * (sizes.max() + 1)), sizes)[:, None]
         best = np.maximum.reduceat(run - np.minimum.accumulate(run - gain, axis=0), starts, axis=0)
         before, after = (run - gain)[starts], run[starts + sizes - 1]
         head = (np.maximum.reduceat(run, starts, axis=0) - before).max(axis=1)

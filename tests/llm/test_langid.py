@@ -1,5 +1,6 @@
 import random
 import zlib
+from itertools import product
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -77,3 +78,30 @@ def test_two_stretches_with_one_switch():
         e = m.scores[m.rows_of(words)].astype(float)
         worth = lambda p: e[np.arange(len(p)), p].sum() - m.switch * (np.diff(p) != 0).sum()  # noqa: E731, B023
         assert abs(worth(path) - worth(m._viterbi(e))) < 1e-6
+
+
+def test_viterbi_by_enumeration():
+    rng = np.random.default_rng(5)
+    m = langid.Model(["a", "b", "c"], np.zeros((8, 3), np.float32), np.zeros((0, 3), bool))
+    for switch in (0.5, 2.0, 12.0):
+        m.switch = switch
+        for _ in range(40):
+            n = int(rng.integers(1, 8))
+            e = np.maximum(np.log(rng.dirichlet([0.3] * 3, n)), langid.FLOOR)
+            e[rng.random((n, 3)) < 0.1] = langid.BARRED
+            m.scores, m.rows_of = e.astype(np.float32), lambda words: np.array([int(w) for w in words])
+            e = m.scores.astype(float)
+            worth = lambda p: e[np.arange(n), p].sum() - switch * (np.diff(p) != 0).sum()  # noqa: E731, B023
+            best = max(worth(np.array(p)) for p in product(range(3), repeat=n))
+            for path in (m._viterbi(e), m.label([[str(k) for k in range(n)]])[0]):
+                assert abs(worth(path) - best) < 1e-6
+
+
+def test_scripts_narrow_the_candidates(documents):
+    rng = random.Random(2)
+    model = langid.fit(documents(corpus()))
+    t = text(rng, "en", 12) + " проскаить " + text(rng, "de", 12)
+    spans = langid.identify(documents([(1, t)]), model).first()["spans"]
+    assert [s["lang"] for s in spans] == ["en", "ru", "de"] and t[spans[1]["start"] : spans[1]["end"]] == "проскаить"
+    got = langid.identify(documents([(1, "λόγος"), (2, text(rng, "de", 9) + " λόγος " + text(rng, "de", 9))]), model).orderBy("doc_id").collect()
+    assert got[0]["lang_pred"] in model.langs and [s["lang"] for s in got[1]["spans"]] == ["de"]
