@@ -1,4 +1,8 @@
+import random
+
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from helixframe.llm import url_filter
@@ -48,3 +52,63 @@ def test_learns_and_is_defined_on_empty(spark, pages):
     assert got == [(1, "block"), (2, "allow"), (2, "allow")]
     assert url_filter.fit(rows.limit(0)) == ([0.0] * 1024, 0.0)
     assert url_filter.judge(pages.limit(0), model, URL_RULES).count() == 0
+
+
+def slow_features(host, path, dims, sizes):
+    out = []
+    for part, mark in ((host, "h"), (path, "p")):
+        t = f"^{part}$"
+        for n in sizes:
+            for k in range(len(t) - n + 1):
+                h = xxhash.xxh64_intdigest(t[k : k + n].encode(), xxhash.xxh64_intdigest(mark.encode(), 42))
+                out.append((h - (1 << 64) if h >> 63 else h) % dims)
+    return sorted(set(out))
+
+
+def slow_fit(rows, dims, sizes, rounds, rate, l2):
+    x, y = np.zeros((len(rows), dims)), np.array([v for _, v in rows], float)
+    for k, (u, _) in enumerate(rows):
+        f = slow_features(*expected(u)[:2], dims, sizes)
+        x[k, f] = 1 / np.sqrt(max(len(f), 1))
+    w, b = np.zeros(dims), 0.0
+    for _ in range(rounds):
+        d = 1 / (1 + np.exp(-(x @ w + b))) - y
+        g = x.T @ d / len(y)
+        used = (x != 0).any(axis=0)
+        w, b = w - rate * np.where(used, g + l2 * w, 0), b - rate * d.mean()
+    return w, b
+
+
+def sites(rng, n):
+    """Urls whose path tells, mostly, what they are."""
+    bad, good = ["casino", "win-big", "xxx", "free-cash"], ["news", "docs", "recipes", "library"]
+    out = []
+    for _ in range(n):
+        y = rng.random() < 0.4
+        out.append((f"https://{rng.choice(['a', 'bb', 'shop'])}{rng.randrange(99)}.org/{rng.choice(bad if y else good)}/{rng.choice(['x', 'y', rng.choice(bad + good)])}{rng.randrange(999)}", int(y)))
+    return sorted(set(out))
+
+
+def test_regression_against_brute_force_and_held_out(spark):
+    rows = sites(random.Random(3), 260)
+    known, held = rows[::2], rows[1::2]
+    kw = dict(dims=256, sizes=(3, 4), rounds=12, rate=6.0, l2=1e-3)
+    model = url_filter.fit(spark.createDataFrame(known, "url string, label int"), **kw)
+    w, b = slow_fit(known, **kw)
+    assert np.allclose(model[0], w, atol=1e-6) and model[1] == pytest.approx(b, abs=1e-6)
+    pages = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(held)], "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filter.judge(pages, model, sizes=(3, 4)).collect()}
+    for k, (u, _) in enumerate(held):
+        f = slow_features(*expected(u)[:2], 256, (3, 4))
+        assert got[k]["score"] == pytest.approx(1 / (1 + np.exp(-(w[f].sum() / np.sqrt(len(f)) + b))), abs=1e-6)
+    assert sum((got[k]["verdict"] == "block") == bool(y) for k, (_, y) in enumerate(held)) >= 0.9 * len(held)
+
+
+def test_rules_teach_what_they_do_not_decide(spark):
+    """Pages of the rules' kind that no rule fits are judged by what the rules say of the others: held out, over the rules' urls."""
+    urls = [f"http://www{k}.{name}.{end}/{lang}/{k}{rest}" for k in range(40) for name, end, lang, rest in (("example", "com", "en", ""), ("other", "net", "de", "?q"), ("site", "org", "es", "/a"))]
+    hits = [(u, expected(u)[3]) for u in urls]
+    known, held = [(u, int(v == "block")) for u, v in hits[::2] if v], [(u, v) for u, v in hits[1::2] if v]
+    model = url_filter.fit(spark.createDataFrame(known, "url string, label int"))
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame([(k, u) for k, (u, _) in enumerate(held)], "page_id long, url string"), model).collect()}
+    assert sum(got[k] == v for k, (_, v) in enumerate(held)) >= 0.8 * len(held)
