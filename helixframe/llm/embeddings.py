@@ -50,7 +50,7 @@ def lead(reps: DataFrame, threshold: float, max_leaders: int) -> DataFrame:
 
     The leaders are the at most ``max_leaders`` vectors of least hash; only they reach the driver.
     """
-    got = reps.orderBy(F.xxhash64("rep"), "rep").limit(max_leaders).select("rep", "label", "v").collect()
+    got = reps.orderBy("k1", "k2").limit(max_leaders).select("rep", "label", "v").collect()
     angle = math.acos(threshold)
     tight, loose = math.cos(angle / 2) + 1e-9, math.cos(min(math.pi, angle * 1.5)) - 1e-9
     groups: dict[tuple, list] = {}
@@ -155,11 +155,11 @@ def near_duplicates(vectors: DataFrame, *, id: str = "vec_id", vector: str = "em
     e = F.col("e")
     good = F.coalesce((F.size("e") > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists(e, lambda x: x != 0) & F.col("label").isNotNull(), F.lit(False))
     rows = vectors.select(F.col(id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("e"), F.col(label).cast("int").alias("label")).withColumn("good", good)
-    key = F.xxhash64("label", "e")
-    rows = cut(rows.select("vec_id", "label", "e", "good", key.alias("k")))
-    # equal vectors: a representative is numbered by two hashes, so that its number does not rest on ids, which may repeat
+    keys = [F.xxhash64("label", "e").alias("k1"), F.xxhash64(F.lit(7), "e", "label").alias("k2")]  # 128 bits that name a vector
+    rows = cut(rows.select("vec_id", "label", "e", "good", *keys))
+    # equal vectors are one: its number rests on no hash that two could share, and not on ids, which may repeat
     reps = rows.filter("good").groupBy("label", "e").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("times"))
-    reps = cut(reps.select(F.xxhash64("label", "e").alias("rep"), "label", F.col("e").alias("v"), "least", "times"))
+    reps = cut(reps.select(F.monotonically_increasing_id().alias("rep"), "label", F.col("e").alias("v"), "least", "times", *keys))
     led = cut(lead(reps, threshold, max_leaders))
     sizes = led.filter("own is not null").join(reps.select("rep", "times"), "rep").groupBy("own").agg(F.sum("times").alias("crowd"))
     singles = reps.join(led.filter("own is null").select("rep"), "rep", "left_semi")
@@ -171,11 +171,11 @@ def near_duplicates(vectors: DataFrame, *, id: str = "vec_id", vector: str = "em
     outside = ends.join(times, ends["b"] == times["rep"]).groupBy("a").agg(F.sum("times").alias("outside"))
     graph = links.unionByName(led.filter("own <> rep").select(F.col("own").alias("a"), F.col("rep").alias("b")))
     found = connected_components(graph).select(F.col("node").alias("rep"), "component")
-    full = reps.select("rep", "least", "times").join(led.select("rep", "own"), "rep").join(sizes, "own", "left").join(outside, F.col("rep") == F.col("a"), "left").join(found, "rep", "left")
-    full = full.select("rep", "least", (F.coalesce("crowd", "times") - 1 + F.coalesce("outside", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("node"))
+    full = reps.select("rep", "least", "times", "k1", "k2").join(led.select("rep", "own"), "rep").join(sizes, "own", "left").join(outside, F.col("rep") == F.col("a"), "left").join(found, "rep", "left")
+    full = full.select("rep", "least", "k1", "k2", (F.coalesce("crowd", "times") - 1 + F.coalesce("outside", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("node"))
     full = cut(full)
-    named = full.join(full.groupBy("node").agg(F.min("least").alias("component_id")), "node").select(F.col("rep").alias("k"), "n_links", "component_id")
-    out = rows.select("vec_id", "good", "k").join(named, "k", "left")
+    named = full.join(full.groupBy("node").agg(F.min("least").alias("component_id")), "node").select("k1", "k2", "n_links", "component_id")
+    out = rows.select("vec_id", "good", "k1", "k2").join(named, ["k1", "k2"], "left")
     component = F.when(F.col("good"), F.col("component_id")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.when(F.col("good"), F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
