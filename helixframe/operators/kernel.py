@@ -6,7 +6,8 @@ are rows.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import dataclass, field, fields
 
 import numpy as np
 
@@ -75,6 +76,22 @@ class Scene:
         return [made[k, t] for k, t in zip(self.process, self.lengths)]
 
 
+def to_json(scene: Scene | CodonPairScene) -> str:
+    """The scene as JSON: matrices as lists of rows, so that a run can be kept and made again without its model."""
+    plain = lambda v: v.tolist() if isinstance(v, np.ndarray) else [plain(x) for x in v] if isinstance(v, list | tuple) else {k: plain(x) for k, x in v.items()} if isinstance(v, dict) else v
+    return json.dumps({"kind": type(scene).__name__} | {f.name: plain(getattr(scene, f.name)) for f in fields(scene)})
+
+
+def from_json(text: str) -> Scene | CodonPairScene:
+    """What to_json wrote."""
+    raw = json.loads(text)
+    pairs = {k: [tuple(x) for x in raw[k]] for k in ("edges", "axes")}
+    if raw.pop("kind") == "Scene":
+        sets = {k: {n: [np.array(m) for m in ms] for n, ms in raw[k].items()} for k in ("rewards", "dwell")}
+        return Scene(**raw | pairs | sets | {"lengths": np.array(raw["lengths"]), "q": [np.array(m) for m in raw["q"]], "prior": np.array(raw["prior"]), "shape": tuple(raw["shape"])})
+    return CodonPairScene(**raw | pairs | {k: np.array(raw[k]) for k in ("lengths", "q", "t", "pi")})
+
+
 def observed(scene: Scene, patterns: np.ndarray) -> dict[str, np.ndarray]:
     """For each node with data the compatible joint states of each pattern, as ones; -1 leaves a position open."""
     n = len(patterns)

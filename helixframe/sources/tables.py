@@ -114,6 +114,18 @@ def write_pairwise(rows: DataFrame, path: str) -> None:
     rows.select("space", "i", "j", "lnl").sort("space", "i", "j").write.mode("overwrite").option("header", True).csv(path, sep="\t")
 
 
+def write_moments(rows: DataFrame, path: str, column: str) -> None:
+    """An array column, such as the gradients or Hessians of pattern_moments, as text: a row each, numbers with blanks between
+    them, repeated as often as its n says."""
+    line = F.array_join(F.transform(column, lambda x: F.format_string("%.18e", x)), " ")
+    rows.select(line.alias("value"), F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k")).select("value").write.mode("overwrite").text(path)
+
+
+def read_moments(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """What write_moments wrote, a row each."""
+    return spark.read.text(path).select(F.transform(F.split("value", " "), lambda x: x.cast("double")).alias(column))
+
+
 def read_summary(spark: SparkSession, path: str) -> DataFrame:
     """label, value of a summary: one number a line, and a last line ``# labels``."""
     lines = [r["value"] for r in spark.read.text(path).collect()]  # some dozen numbers

@@ -292,6 +292,23 @@ def test_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "log")).count() == 4
 
 
+def test_scenes_and_moments_as_text(spark, family, tmp_path):
+    from helixframe.operators import kernel
+
+    tree, at, _, _, patterns = family
+    m = JointModel(tree, at, event_group={"D1": 0})
+    s = m.scenes(m.start(PI, length=0.1))[1]
+    x = np.stack([r["pattern"] for r in patterns.limit(5).collect()])
+    again = kernel.from_json(kernel.to_json(s))
+    assert np.array_equal(again.log_likelihoods(x), s.log_likelihoods(x)) and np.array_equal(again.expected_events(x, "copies"), s.expected_events(x, "copies"))
+    _, axes, codes, _ = codon_pairs(spark)
+    c = CodonModel(newick.parse("((A,B)N1,Out)N0"), axes).scenes(CodonModel(newick.parse("((A,B)N1,Out)N0"), axes).start(PI, length=0.1))[1]
+    assert np.array_equal(kernel.from_json(kernel.to_json(c)).log_likelihoods(codes), c.log_likelihoods(codes))
+    rows = spark.createDataFrame([(2, [0.1, -1e-9]), (1, [3.0, 4.0])], "n long, g array<double>")
+    tables.write_moments(rows, str(tmp_path / "g"), "g")
+    assert sorted(r["g"] for r in tables.read_moments(spark, str(tmp_path / "g"), "g").collect()) == [[0.1, -1e-9], [0.1, -1e-9], [3.0, 4.0]]
+
+
 def test_forward_as_a_stream(spark, tmp_path):
     from helixframe.streaming.forward import append_events, forward_stream
 
