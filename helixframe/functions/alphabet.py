@@ -5,8 +5,11 @@ from __future__ import annotations
 from functools import reduce
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: Nucleotide order, codon order and the standard genetic code in that order.
 NUCLEOTIDES = "ACGT"
@@ -49,11 +52,20 @@ def amino_acid(codon: Column) -> Column:
     return F.element_at(table, F.upper(codon))
 
 
+def triples(seq: Column) -> Column:
+    """The codons of a sequence, whatever its length; what is left at the end is dropped. One walk along the sequence: taking
+    substrings by place would begin at its start each time."""
+    return F.regexp_extract_all(seq, F.lit("(?s).{3}"), 0)
+
+
 def codons(seq: Column) -> Column:
     """The codons of a sequence; null if its length is not a multiple of three."""
-    n = F.length(seq)
-    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(n / 3).cast("int") - 1, F.lit(0))), lambda i: F.substring(seq, i * 3 + 1, F.lit(3)))
-    return F.when(n % 3 != 0, F.lit(None)).when(n == 0, F.array().cast("array<string>")).otherwise(cut)
+    return F.when(F.length(seq) % 3 == 0, triples(seq))
+
+
+def neighbours(seq: Column) -> Column:
+    """Every two symbols that stand side by side, as strings of two."""
+    return F.regexp_extract_all(seq, F.lit("(?s)(?=(..))"), 1)
 
 
 def pair_code(a: Column, b: Column, base: int = 4) -> Column:
@@ -74,19 +86,22 @@ def is_transition_column(a: Column, b: Column) -> Column:
     return (a != b) & (F.abs(a - b) == 2)
 
 
-def compared(a: Column, b: Column) -> Column:
-    """struct(sites, differences, transitions) of two strings, over the places that both have.
+@F.pandas_udf(StructType([StructField(n, LongType()) for n in ("sites", "differences", "transitions")]))
+def compared(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """struct(sites, differences, transitions) of two strings of letters, over the places that both have.
 
-    Places are compared by translating: all that matters of a place is its pair of symbols.
+    Bytes are compared in whole arrays, a string at a time: as expressions on arrays of symbols the same takes ten times as long.
     """
-    at = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.when((x != "") & (y != ""), F.concat(x, y)))
-
-    def counts(z: Column) -> Column:
-        size = lambda f: F.size(F.filter(z, f)).cast("long")
-        both = size(lambda p: p.isNotNull())
-        return F.struct(both.alias("sites"), (both - size(lambda p: F.substring(p, 1, 1) == F.substring(p, 2, 1))).alias("differences"), size(lambda p: p.isin("AG", "GA", "CT", "TC")).alias("transitions"))
-
-    return F.element_at(F.transform(F.array(at), counts), 1)
+    out = np.zeros((len(a), 3), np.int64)
+    for k, (x, y) in enumerate(zip(a, b)):
+        if x and y:
+            x, y = np.frombuffer(x.encode(), np.uint8), np.frombuffer(y.encode(), np.uint8)
+            n = min(len(x), len(y))
+            x, y = x[:n], y[:n]
+            # of the letters' codes A and G differ by 6, C and T by 17, and no other two of the four by these
+            far = np.abs(x.astype(np.int16) - y)
+            out[k] = n, np.count_nonzero(far), np.count_nonzero((far == 6) | (far == 17))
+    return pd.DataFrame(out, columns=["sites", "differences", "transitions"])
 
 
 def log_sum_exp(values: list[Column]) -> Column:

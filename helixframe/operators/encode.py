@@ -90,11 +90,11 @@ def observations(sites: DataFrame, axes_: DataFrame) -> DataFrame:
     return filled.select("site", F.transform(F.sequence(F.lit(0), F.lit(max(n - 1, 0))), lambda k: F.coalesce(F.element_at("m", k), F.lit(MISSING))).alias("pattern"))
 
 
-def compress(obs: DataFrame, *by: str, codon_position: bool = True) -> DataFrame:
+def compress(obs: DataFrame, *by: str, codon_position: bool = True, n: str | None = None) -> DataFrame:
     """codon_position (1 to 3, or 1), pattern, n: how often each pattern occurs, for each value of the columns ``by``. Sites of
-    one pattern are alike given the process."""
+    one pattern are alike given the process. A column ``n`` of obs says how many sites a row stands for."""
     position = (F.pmod("site", F.lit(3)) + 1).cast("int") if codon_position else F.lit(1)
-    return obs.groupBy(*by, position.alias("codon_position"), "pattern").agg(F.count(F.lit(1)).alias("n"))
+    return obs.groupBy(*by, position.alias("codon_position"), "pattern").agg((F.count(F.lit(1)) if n is None else F.sum(n)).alias("n"))
 
 
 def complete_outgroup(sites: DataFrame, single: str, *, first: str, second: str) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.alphabet import nucleotide_state
+from ..functions.alphabet import neighbours, nucleotide_state
 from ..sources.newick import parse, splice
 
 TREE = "(((en,de)N2,fr)N1,es)N0"
@@ -15,6 +20,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder for files that a query writes and reads again, in the folder that the cluster shares; it goes at the end."""
+    sc = spark.sparkContext
+    top = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if top is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("a cluster needs a shared folder in spark.checkpoint.dir")
+        top = tempfile.gettempdir()
+    folder = f"{top}/scratch-{uuid.uuid4().hex}"
+    try:
+        yield folder
+    finally:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, read now and written to the checkpoint folder, so that the files it was read from can go."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir())
+    return df.checkpoint(eager=True)
+
+
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, seq: the letters A, C, G, T of each document."""
     letters = F.upper(F.regexp_replace("text", "[^ACGTacgt]", ""))
@@ -27,10 +58,10 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "lang", "source", "pos", nucleotide_state(F.col("symbol")).alias("st"))
 
 
-def state_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, lang, st: the states of each document's letters in one row, for what stays within a document."""
-    symbols = F.filter(F.split("seq", ""), lambda c: c != "")
-    return sequences(spark, sf_dir).select("doc_id", "lang", F.transform(symbols, lambda c: nucleotide_state(c)).alias("st"))
+def neighbour_pairs(spark: SparkSession, sf_dir: str, *by: str) -> DataFrame:
+    """``by``, sa, sb, n: how often two letters stand side by side in a document, by their states."""
+    pairs = sequences(spark, sf_dir).select(*by, F.explode(neighbours(F.col("seq"))).alias("pair")).groupBy(*by, "pair").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.select(*by, nucleotide_state(F.substring("pair", 1, 1)).alias("sa"), nucleotide_state(F.substring("pair", 2, 1)).alias("sb"), "n")
 
 
 def composition(spark: SparkSession, sf_dir: str) -> DataFrame:

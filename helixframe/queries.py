@@ -26,17 +26,28 @@ TOK = SEQ + ", sym as (select doc_id, lang, source, unnest(range(length(seq))) p
 COMP = TOK + ", comp as (select substr('ACGT', st + 1, 1) nt, st, count(*) n, count(*) * 1.0 / sum(count(*)) over () freq from tok group by st)"
 HKY = COMP + f""", raw as (select a.st x, b.st y, a.freq px, b.freq * case when abs(a.st - b.st) = 2 then {KAPPA} else 1.0 end r from comp a, comp b where a.st <> b.st),
  hky as (select x, y, r / (select sum(px * r) from raw) q from raw)"""
-CHAIN = f"""c0 as (select user_id, event_type, row_number() over (partition by user_id order by ts, event_id) - 1 site from events),
+LSE = "(greatest({a}, {b}) + ln(exp({a} - greatest({a}, {b})) + exp({b} - greatest({a}, {b}))))"
+
+
+def chain_sql(eta: float, p: float, length: float) -> str:
+    ln0 = -2 * eta / p * length
+    return f"""c0 as (select user_id, event_type, row_number() over (partition by user_id order by ts, event_id) - 1 site from events),
  c1 as (select user_id, site, site + site // 5 nt_index, -1.0 - strpos('sepvc', substr(event_type, 1, 1)) * 0.25 lnl, strpos('sepvc', substr(event_type, 1, 1)) k from c0),
  c2 as (select user_id, site, lnl, lnl - 0.02 * k * k lnl_no, coalesce(nt_index - lag(nt_index) over (partition by user_id order by site), 1) gap from c1),
- c3 as (select *, lnl_no + {2 * ETA / TRACT_P * LENGTH} e0, lnl + ln(1 - exp(lnl_no - lnl)) - ln(1 - exp({-2 * ETA / TRACT_P * LENGTH})) e1,
-  exp({-2 * LENGTH * ETA / TRACT_P} * (1 - pow({1 - TRACT_P}, gap))) eel, exp({-2 * LENGTH * ETA / TRACT_P}) etl from c2),
+ c3 as (select *, lnl_no + {-ln0} e0, lnl + ln(1 - exp(lnl_no - lnl)) - ln(1 - exp({ln0})) e1,
+  exp({ln0} * (1 - pow({1 - p}, gap))) eel, exp({ln0}) etl from c2),
  c as (select user_id, site, lnl, e0, e1, ln(eel) p00, ln(1 - eel) p01, ln(etl * (1 - eel) / (1 - etl)) p10, ln(1 - etl * (1 - eel) / (1 - etl)) p11 from c3)"""
-LSE = "(greatest({a}, {b}) + ln(exp({a} - greatest({a}, {b})) + exp({b} - greatest({a}, {b}))))"
-FORWARD = f"""f as (select user_id, site, e0 + {-2 * ETA / TRACT_P * LENGTH} a, e1 + ln(1 - exp({-2 * ETA / TRACT_P * LENGTH})) b from c where site = 0
+
+
+def forward_sql(eta: float, p: float, length: float) -> str:
+    ln0 = -2 * eta / p * length
+    return f"""f as (select user_id, site, e0 + {ln0} a, e1 + ln(1 - exp({ln0})) b from c where site = 0
  union all select c.user_id, c.site, c.e0 + {LSE.format(a='(f.a + c.p00)', b='(f.b + c.p10)')}, c.e1 + {LSE.format(a='(f.a + c.p01)', b='(f.b + c.p11)')}
  from f join c on c.user_id = f.user_id and c.site = f.site + 1)"""
 
+
+CHAIN, FORWARD = chain_sql(ETA, TRACT_P, LENGTH), forward_sql(ETA, TRACT_P, LENGTH)
+
 _registered: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 
@@ -82,9 +93,9 @@ def q05_codon_position_counts(spark, d):
 
 @query(f"with {TOK} select 4 * a.st + b.st code, a.st a, b.st b, count(*) n from tok a join tok b on a.doc_id = b.doc_id and b.pos = a.pos + 1 group by all")
 def q06_pair_encode_decode(spark, d):
-    code = _pairs(spark, d, [1]).select(alphabet.pair_code(F.col("sa"), F.col("sb")).alias("code"))
+    code = bridge.neighbour_pairs(spark, d).select(alphabet.pair_code(F.col("sa"), F.col("sb")).alias("code"), "n")
     a, b = alphabet.pair_decode(F.col("code"))
-    return code.select("code", a.alias("a"), b.alias("b")).groupBy("code", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return code.select("code", a.alias("a"), b.alias("b"), "n")
 
 
 @query(f"with {SEQ} select source, count(distinct length(seq)) lengths, max(length(seq)) longest from seq group by source")
@@ -116,10 +127,10 @@ def q10_node_kind_predicates(spark, d):
 
 @query(f"with {TOK}, w as (select lang, pos // 3 k, doc_id, string_agg(cast(st as varchar), ',' order by pos) pattern, count(*) c from tok group by all) select lang, pattern, count(*) n from w where c = 3 group by all")
 def q11_site_pattern_compression(spark, d):
-    st = bridge.state_arrays(spark, d).withColumn("n", F.floor(F.size("st") / 3).cast("int")).filter("n > 0")
-    w = st.select("lang", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.slice("st", k * 3 + 1, F.lit(3)))).alias("a"))
-    obs = w.select("lang", F.array_join(F.transform("a", lambda x: x.cast("string")), ",").alias("pattern"))
-    return encode.compress(obs, "lang", codon_position=False).select("lang", "pattern", "n")
+    obs = sequences(spark, d).select("lang", F.explode(alphabet.triples(F.col("seq"))).alias("pattern"))
+    rows = encode.compress(obs, "lang", codon_position=False)
+    states = [alphabet.nucleotide_state(F.substring("pattern", k, 1)).cast("string") for k in (1, 2, 3)]
+    return rows.select("lang", F.concat_ws(",", *states).alias("pattern"), "n")
 
 
 @query("select lang, quality, toxic, count(*) n, sum(n_chars) chars from documents join labels using (doc_id) group by all")
@@ -148,18 +159,6 @@ def q15_outgroup_coalesce(spark, d):
     return rows.select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"))
 
 
-def _pairs(spark, d, spaces):
-    """doc_id, lang, space, i, j, sa, sb: pairs of sites of one document that are these distances apart.
-
-    Both sites lie in one row, so the pairs are made there, without a join or a shuffle.
-    """
-    rows = bridge.state_arrays(spark, d).select("doc_id", "lang", "st", F.explode(F.array(*map(F.lit, spaces))).alias("space"))
-    n = F.greatest(F.size("st") - F.col("space"), F.lit(0))
-    both = F.zip_with(F.slice("st", F.lit(1), n), F.slice("st", F.col("space") + 1, n), lambda x, y: F.struct(x.alias("sa"), y.alias("sb")))
-    rows = rows.select("doc_id", "lang", "space", F.posexplode(both).alias("i", "p"))
-    return rows.select("doc_id", "lang", "space", "i", (F.col("i") + F.col("space")).alias("j"), "p.sa", "p.sb")
-
-
 @query(f"""with {SEQ}, l as (select length(seq) n, count(*) m from seq group by all), p as (select n, m, unnest(range(1, n)) s from l), c as (select *, unnest([0, 1, 2]) c from p)
  select cast(c + 1 as int) cs_i, cast((c + s) % 3 + 1 as int) cs_j, cast(s as int) as space, cast(sum(m * len(range(c, n - s, 3))) as bigint) n from c where c + s >= 3 and c < n - s group by all""")
 def q16_site_pairs_theta(spark, d):
@@ -400,7 +399,8 @@ def q44_dwell_fraction(spark, d):
  select eval_id, lang, round(same * ln(0.25 + 0.75 * exp(-t)) + other * ln(0.25 - 0.25 * exp(-t)), 4) lnl from p, g""")
 def q45_perturbation_grid(spark, d):
     eq = F.col("sa") == F.col("sb")
-    p = _pairs(spark, d, [1]).groupBy("lang").agg(F.count_if(eq).alias("same"), F.count_if(~eq).alias("other"))
+    count = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    p = bridge.neighbour_pairs(spark, d, "lang").groupBy("lang").agg(count(eq).alias("same"), count(~eq).alias("other"))
     g = estimate.over_grid(p, {k: {"t": 0.1 * (k + 1)} for k in range(8)})
     same, other = rate_relations.equal_rates(4, F.col("t"))
     return g.select("eval_id", "lang", _r(F.col("same") * F.log(same) + F.col("other") * F.log(other), 4).alias("lnl"))
@@ -468,10 +468,10 @@ PURINES = f"""{TOK}, xy as (select a.st in (0, 2) x, b.st in (0, 2) y, count(*)
 def _two_states(spark, d):
     """Purine or pyrimidine of every two letters that stand side by side: patterns of two tips, and the scene of their tree."""
     kind = lambda c: F.when(c.isin(0, 2), 0).otherwise(1)
-    both = _pairs(spark, d, [1]).select(F.lit(0).alias("site"), F.array(kind(F.col("sa")), kind(F.col("sb"))).alias("pattern"))
+    both = bridge.neighbour_pairs(spark, d).select(F.lit(0).alias("site"), F.array(kind(F.col("sa")), kind(F.col("sb"))).alias("pattern"), "n")
     q = np.array([[-1.0, 1.0], [1.0, -1.0]])
     scene = Scene([("R", "a"), ("R", "b")], np.array([T1, T2]), [0, 0], [q], np.array([0.5, 0.5]), (2,), [("a", 0), ("b", 0)], {"up": [np.array([[0.0, 1.0], [0.0, 0.0]])]}, {"zero": [np.array([1.0, 0.0])]})
-    return encode.compress(both, codon_position=False), {1: scene}
+    return encode.compress(both, codon_position=False, n="n"), {1: scene}
 
 
 def _end(k):
@@ -509,6 +509,169 @@ def q53_two_state_derivative(spark, d):
     return engine.totals(engine.pattern_values(patterns, {0: scenes}, want="derivative")).select("edge", F.round("value", 3).alias("slope"))
 
 
+PATTERNS = """g as (select source, lang, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) seq, row_number() over (partition by source, lang order by doc_id) k from documents where lang in ('de', 'en', 'es', 'fr')),
+ t as (select source, k, lang, unnest(range(length(seq))) pos, unnest(string_split(seq, '')) sym from g where seq <> ''),
+ w as (select source, k, pos, max(case when lang = 'de' then strpos('ACGT', sym) - 1 end) de, max(case when lang = 'en' then strpos('ACGT', sym) - 1 end) en, max(case when lang = 'es' then strpos('ACGT', sym) - 1 end) es, max(case when lang = 'fr' then strpos('ACGT', sym) - 1 end) fr from t group by all)"""
+
+
+@query(f"with {PATTERNS} select coalesce(de, -1) || ',' || coalesce(en, -1) || ',' || coalesce(es, -1) || ',' || coalesce(fr, -1) pattern, count(*) n from w group by all")
+def q54_family_patterns(spark, d):
+    return bridge.family_patterns(spark, d)[2].select(F.array_join("pattern", ",").alias("pattern"), "n")
+
+
+@query(f"with {SEQ} select 'd' || doc_id || '__' || lang as name, 'd' || doc_id species, lang gene, length(seq) n, sum(length(seq)) over () total from seq where seq <> ''")
+def q55_fasta_scan(spark, d):
+    """Sequences written as FASTA files and read again."""
+    rows = sequences(spark, d).filter("seq <> ''").select(F.concat(F.lit("d"), "doc_id", F.lit("__"), "lang").alias("name"), "seq")
+    with bridge.scratch(spark) as folder:
+        tables.write_fasta(rows, folder)
+        got = bridge.kept(tables.read_fasta(spark, folder).select("name", "species", "gene", F.length("seq").cast("long").alias("n")))
+    total = got.agg(F.sum("n").alias("total"))
+    return got.crossJoin(F.broadcast(total))  # one row
+
+
+@query("select n_regionkey orlg, string_agg('g' || n_nationkey || '__x', ',' order by 'g' || n_nationkey || '__x') genes from nation group by n_regionkey")
+def q56_gene_groups(spark, d):
+    """A gene map written as text and read again, and the genes of each group."""
+    rows = table(spark, d, "nation").select(F.concat(F.lit("g"), "n_nationkey", F.lit("__x\t"), "n_regionkey"))
+    with bridge.scratch(spark) as folder:
+        rows.write.mode("overwrite").text(folder)
+        got = bridge.kept(tables.read_gene_map(spark, folder))
+    return tables.genes_by_group(got).select("orlg", F.array_join("genes", ",").alias("genes"))
+
+
+@query("select cast(row_number() over (order by c_custkey * 3 + c_nationkey % 3) - 1 as int) site, cast(c_custkey * 3 + c_nationkey % 3 as int) nt_index, cast(c_custkey as int) codon, cast(c_nationkey % 3 + 1 as int) codon_site from customer")
+def q57_sequence_index(spark, d):
+    """A sequence index written as text and read again."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey") % 3
+    rows = table(spark, d, "customer").select(F.concat_ws("\t", (k * 3 + n).cast("string"), k.cast("string"), (n + 1).cast("string")))
+    with bridge.scratch(spark) as folder:
+        rows.write.mode("overwrite").text(folder)
+        return bridge.kept(tables.read_index(spark, folder).select("site", "nt_index", "codon", "codon_site"))
+
+
+@query("select cast(o_orderkey as int) site, round(-o_totalprice / 1000, 6) lnl from orders")
+def q58_sitewise_files(spark, d):
+    """Sitewise values written as text and read again."""
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").cast("int").alias("site"), _r(-F.col("o_totalprice") / 1000).alias("lnl"))
+    with bridge.scratch(spark) as folder:
+        tables.write_sitewise(rows, folder)
+        return bridge.kept(tables.read_sitewise(spark, folder)).withColumn("lnl", _r(F.col("lnl")))
+
+
+@query("""with e as (select 'N0' p, 'N' || (r_regionkey + 1) c from region union all select 'N' || (n_regionkey + 1), case when n_nationkey % 5 = 0 then 'D' || n_nationkey else 'tip' || n_nationkey end from nation)
+ select cast(row_number() over (order by p, c) - 1 as int) edge_id, p parent, c child, case when regexp_full_match(c, 'D[0-9]+') then 'duplication' when regexp_full_match(c, 'N[0-9]+') then 'speciation' else 'tip' end kind from e""")
+def q59_newick_edges(spark, d):
+    """A tree of regions and nations as Newick text, parsed into its edges. The text is as long as the two small tables."""
+    n = F.col("n_nationkey")
+    name = F.when(n % 5 == 0, F.concat(F.lit("D"), n.cast("string"))).otherwise(F.concat(F.lit("tip"), n.cast("string")))
+    below = table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list(name)), ",").alias("tips"))
+    nodes = [f"({r['tips']})N{r['n_regionkey'] + 1}" for r in below.collect()]  # a row a region
+    return newick.edge_relation(spark, newick.parse("(" + ", ".join(nodes) + ")N0;"))
+
+
+@query("select n_nationkey site, n_nationkey * 2 nt_index, -n_nationkey / 7.0 lnl, -n_nationkey / 7.0 - n_regionkey lnl_no from nation")
+def q60_tract_sites(spark, d):
+    n = table(spark, d, "nation")
+    one, two = n.select(F.col("n_nationkey").alias("site"), (-F.col("n_nationkey") / 7.0).alias("lnl")), n.select(F.col("n_nationkey").alias("site"), (-F.col("n_nationkey") / 7.0 - F.col("n_regionkey")).alias("lnl"))
+    index = n.select(F.col("n_nationkey").alias("site"), (F.col("n_nationkey") * 2).alias("nt_index"), F.lit(1).alias("codon_site"))
+    return hmm.tract_sites(one, two, index)
+
+
+SURFACE = [(-1.0, 0.36787944117144233), (-0.5, 0.6065306597126334)]
+TAU_LINE = ETA / TRACT_P
+
+
+def _surface_sql(log_p: float, p: float, name: str) -> str:
+    inner = f"with recursive {chain_sql(TAU_LINE * p, p, LENGTH)}, {forward_sql(TAU_LINE * p, p, LENGTH)} select user_id, {LSE.format(a='a', b='b')} lnl from f where (user_id, site) in (select user_id, max(site) from c group by 1)"
+    return f"select {log_p} log_p, user_id, round(lnl, 6) lnl from ({inner}) {name}"
+
+
+@query(" union all ".join(_surface_sql(lp, p, f"s{k}") for k, (lp, p) in enumerate(SURFACE)))
+def q61_tract_surface(spark, d):
+    got = hmm.surface(chains(spark, d), tau=TAU_LINE, length=LENGTH, log_p=[lp for lp, _ in SURFACE], group="user_id")
+    return got.select("log_p", "user_id", _r(F.col("lnl")).alias("lnl"))
+
+
+def _shares(spark, d) -> np.ndarray:
+    by = {r["nt"]: r["freq"] for r in composition(spark, d).collect()}  # four rows
+    return np.array([by[c] for c in "ACGT"])
+
+
+def _relation(spark, rows, schema):
+    return spark.createDataFrame(rows, schema).coalesce(1)
+
+
+@query(_registered["q36_two_paralog_hky_igc"][1])
+def q62_joint_process_matrix(spark, d):
+    """The process of two copies as a matrix over all states, and its rates that are not zero."""
+    p = rates.joint(((1, 1), (2, 1)), rates.hky(_shares(spark, d), KAPPA), {(1, 2): TAU, (2, 1): TAU})
+    got = _relation(spark, rates.relation(p), "s int, t int, rate double, share double")
+    return got.select("s", "t", _r(F.col("rate")).alias("rate"), _r(F.col("share")).alias("share"))
+
+
+@query(_registered["q39_pair_site_rates"][1])
+def q63_pair_site_matrix(spark, d):
+    q = rates.hky(_shares(spark, d), KAPPA)
+    got = _relation(spark, rates.relation(rates.pair_site(q, q, SPACE, INIT, PAIR_P)), "s int, t int, rate double, share double")
+    return got.select("s", "t", _r(F.col("rate")).alias("rate"))
+
+
+@query(_registered["q37_mg94_rates"][1])
+def q64_codon_matrix(spark, d):
+    q = rates.mg94(_shares(spark, d), KAPPA, OMEGA)
+    rows = [(rates.CODON_LIST[i], rates.CODON_LIST[j], float(q[i, j])) for i, j in zip(*np.nonzero(q))]
+    return _relation(spark, rows, "a string, b string, q double").withColumn("q", _r(F.col("q")))
+
+
+@query(f"""with {HKY}, z as (select cast(range as int) z from range(4))
+ select x * 64 + z * 16 + x * 4 + z s, y * 64 + z * 16 + y * 4 + z t, round(q, 6) rate from hky, z union all select z * 64 + x * 16 + z * 4 + x, z * 64 + y * 16 + z * 4 + y, round(q, 6) from hky, z""")
+def q65_single_lineage_pairs(spark, d):
+    """Before the duplication both copies change together."""
+    q = rates.hky(_shares(spark, d), KAPPA)
+    m = rates.pair_site_single(q, q)
+    return _relation(spark, [(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m))], "s int, t int, rate double").withColumn("rate", _r(F.col("rate")))
+
+
+@query(f"with {COMP} select st * 21 s, round(freq, 6) prior from comp")
+def q66_root_prior(spark, d):
+    """The root's distribution lies on the states whose three positions agree."""
+    prior = rates.root_prior(((1, 1), (2, 1), (3, 1)), _shares(spark, d))
+    return _relation(spark, [(int(s), float(prior[s])) for s in np.flatnonzero(prior)], "s int, prior double").withColumn("prior", _r(F.col("prior")))
+
+
+@query(f"""with {HKY}, z as (select cast(range as int) z from range(4)) select x * 4 + z s, y * 4 + z t, round(q, 6) rate from hky, z union all select z * 4 + x, z * 4 + y, round(q, 6) from hky, z
+ union all select cast(range as int), 16, {2 * TAU} from range(16)""")
+def q67_absorbing_process(spark, d):
+    """Two copies that change alone until one copies the other."""
+    m = rates.no_copy_absorbing(rates.hky(_shares(spark, d), KAPPA), TAU)
+    return _relation(spark, [(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m)) if i != j], "s int, t int, rate double").withColumn("rate", _r(F.col("rate")))
+
+
+PARTS = f"""o as (select cast(p_partkey as int) site, cast(p_size % 2 as int) x, cast(p_partkey % 2 as int) y from part),
+ s as (select range r from range(2)), e as (select unnest([0, 1]) edge, unnest([{T1}, {T2}]) t),
+ f as (select site, x, y, r, 0.5 + case when r = x then 0.5 else -0.5 end * exp(-2 * {T1}) p1, 0.5 + case when r = y then 0.5 else -0.5 end * exp(-2 * {T2}) p2 from o, s),
+ lik as (select site, sum(0.5 * p1 * p2) l from f group by all)"""
+
+
+def _two_state_sites(spark, d):
+    obs = table(spark, d, "part").select(F.col("p_partkey").cast("int").alias("site"), F.array((F.col("p_size") % 2).cast("int"), (F.col("p_partkey") % 2).cast("int")).alias("pattern"))
+    return obs, encode.compress(obs, codon_position=False)
+
+
+@query(f"with {PARTS} select site, round(ln(l), 6) lnl from lik")
+def q68_sitewise_likelihood(spark, d):
+    obs, patterns = _two_state_sites(spark, d)
+    return engine.sitewise(obs, patterns, _two_states(spark, d)[1]).withColumn("lnl", _r(F.col("lnl")))
+
+
+@query(f"""with {PARTS}, g as (select f.site, r, edge, t, case when edge = 0 then x else y end b, case when edge = 0 then p2 else p1 end other, l from f join lik using (site), e)
+ select site, edge, round(sum(0.5 * other * case when r = b then t * exp(-t) * sinh(t) else t * exp(-t) * cosh(t) end) / l, 6) jumps from g group by site, edge, l""")
+def q69_sitewise_events(spark, d):
+    obs, patterns = _two_state_sites(spark, d)
+    return engine.sitewise_edges(obs, patterns, _two_states(spark, d)[1], "events", "all").select("site", "edge", _r(F.col("value")).alias("jumps"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likelihood of every site pattern of the families that the documents make, under substitution and copying."""
     return q42_igc_pruning_kernel(spark, sf_dir)
