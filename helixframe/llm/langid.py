@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, release
 from .words import chunks, trigrams
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -122,11 +123,11 @@ class Model:
         return path
 
 
-def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", dims: int = 1 << 15, smooth: float = 0.05, least_share: float = 0.01) -> Model:
+def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", dims: int = 1 << 15, smooth: float = 0.05, least_share: float = 0.01, max_langs: int = 1000) -> Model:
     """Counts the trigrams and scripts of all rows whose text and lang are not null.
 
-    What reaches the driver is one number for each language and bucket (dims of them). Without such rows the model knows no
-    language, and every text is ``und``.
+    What reaches the driver, and is sent to the tasks, is one number for each language and bucket (dims of them); more than
+    ``max_langs`` different languages are an error. Without such rows the model knows no language, and every text is ``und``.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +157,11 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", dims: int =
             yield flush()
 
     rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter("text is not null and lang is not null")
-    got = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    sums_ = cut(rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    if (n := sums_.select("lang").distinct().count()) > max_langs:
+        raise ValueError(f"{n} languages; at most {max_langs} can be told apart")
+    got = sums_.toArrow().to_pandas()
+    release(sums_)
     langs = sorted(got["lang"].unique())
     counts = np.zeros((len(langs), dims + len(NAMES) + 1))
     if langs:

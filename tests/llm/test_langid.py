@@ -3,6 +3,7 @@ import zlib
 from itertools import product
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from helixframe.llm import langid
@@ -54,6 +55,8 @@ def test_undetermined_and_edges(documents):
     pred = sorted((str(r["doc_id"]), r["lang_pred"], r["score"] > 0) for r in got)
     assert pred[:5] == [("1", "und", False), ("2", "und", False), ("3", "und", False), ("4", "en", True), ("4", "en", True)]
     assert langid.identify(documents([]), model).count() == 0
+    with pytest.raises(ValueError):
+        langid.fit(documents(corpus()), max_langs=2)
     blank = langid.fit(documents([(1, "x", None), (2, None, "en")]).withColumn("lang", F.lit(None).cast("string")))
     assert langid.identify(documents([(1, "some words")]), blank).first()["lang_pred"] == "und"
 
