@@ -46,8 +46,9 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences, as passages lie within lines; runs of 25 words and more, so that phrases that any text may hold stay."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return substrings.dedup(docs).withColumn("spans", substrings.spans_text(F.col("spans")))
+    return substrings.dedup(docs, unit="sentence", min_words=25).withColumn("spans", substrings.spans_text(F.col("spans")))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

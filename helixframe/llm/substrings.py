@@ -1,47 +1,59 @@
-"""Substring dedup: lines are cut into sentences, these units are normalised and their digests grouped over all documents; a
-run of units that all stand earlier elsewhere is removed, and its original offsets are kept."""
+"""Substring dedup: texts are cut into units (lines, paragraphs or sentences), these are normalised and their digests grouped
+over all documents; a unit that stands earlier elsewhere is removed, and its original offsets are kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dealt
+from .common import cut, dealt, release, sieve, spare
 
-#: A unit runs through its end mark and line feeds, with the blanks behind; the units of a text make up the whole text.
-UNIT = r"[^.!?\n]*[.!?\n]+[ \t]*|[^.!?\n]+"
+#: A sentence runs through its end mark and line feeds, with the blanks behind.
+SENTENCE = r"[^.!?\n]*[.!?\n]+[ \t]*|[^.!?\n]+"
+#: Where units of these kinds begin. Of every kind, the units of a text make up the whole text.
+STARTS = {"line": r"(?<=\n)", "paragraph": r"(?<=\n[ \t\r]{0,40}\n)(?![ \t\r]*\n)"}
 LOW = -(1 << 63)
 
 
-def units(docs: DataFrame, id: str, text: str) -> DataFrame:
+def _units(text: Column, unit: str) -> Column:
+    if unit == "sentence":
+        return F.regexp_extract_all(text, F.lit(SENTENCE), 0)
+    return F.split(text, STARTS[unit])
+
+
+def units(docs: DataFrame, id: str, text: str, unit: str) -> DataFrame:
     """__id, __h (which tell a row), k (place of the unit), n (its code points), words, d1, d2 (128 bits of digest)."""
-    u = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(LOW)).alias("__id"), F.xxhash64(id, text).alias("__h"), F.posexplode(F.regexp_extract_all(F.col(text), F.lit(UNIT), 0)).alias("k", "u"))
+    u = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(LOW)).alias("__id"), F.xxhash64(id, text).alias("__h"), F.posexplode(_units(F.col(text), unit)).alias("k", "u"))
     u = u.withColumn("norm", F.trim(F.regexp_replace(F.lower("u"), r"[ \t\n\r]+", " ")))
     words = F.when(F.col("norm") == "", 0).otherwise(F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit(""))) + 1)
     return u.select("__id", "__h", "k", F.length("u").alias("n"), words.alias("words"), F.xxhash64("norm").alias("d1"), F.xxhash64(F.lit(7), "norm").alias("d2"))
 
 
-def repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", min_words: int = 25) -> DataFrame:
+def repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", unit: str = "line", min_words: int = 1) -> DataFrame:
     """__id, __h, first, last: the runs of units (first to last) to remove from each row.
 
     A unit is a repeat if the same normalised unit stands earlier: in a document of smaller id (rows of one id: by a hash
-    of the text), or before in the same one. Runs of fewer than ``min_words`` words stay. Rows equal in id and text count
-    as one and are treated alike.
+    of the text), or before in the same one. Units without a word, and runs of repeats of fewer than ``min_words`` words in
+    all, stay. Rows equal in id and text count as one and are treated alike.
     """
     one = docs.select(F.col(id), F.col(text)).filter(F.col(text).isNotNull())
-    u = units(one, id, text).filter("words > 0")
-    firsts = u.groupBy("d1", "d2").agg(F.min(F.struct("__id", "__h", "k")).alias("f"), F.max(F.struct("__id", "__h", "k")).alias("l")).filter("f <> l")
-    found = u.join(dealt(firsts.select("d1", "d2", "f")), ["d1", "d2"]).filter(F.struct("__id", "__h", "k") != F.col("f"))
+    u = units(one, id, text, unit).filter("words > 0")
+    place = F.struct("__id", "__h", "k")
+    firsts = cut(u.groupBy("d1", "d2").agg(F.min(place).alias("f"), F.max(place).alias("l")).filter("f <> l").select("d1", "d2", "f"))
+    # a very common unit is a hot key: the join stays one of two shuffles, whose hot partitions are split
+    found = sieve(u, firsts, "d1").join(firsts.hint("merge"), ["d1", "d2"]).filter(place != F.col("f"))
     found = found.select("__id", "__h", "k", "words").distinct()  # rows equal in id and text
     w = Window.partitionBy("__id", "__h").orderBy("k")
     found = found.withColumn("island", F.col("k") - F.row_number().over(w))
     runs = found.groupBy("__id", "__h", "island").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.sum("words").alias("words"))
-    return runs.filter(F.col("words") >= min_words).select("__id", "__h", "first", "last")
+    runs = cut(runs.filter(F.col("words") >= min_words).select("__id", "__h", "first", "last"))
+    release(firsts)
+    return runs
 
 
-def _without(text: Column, runs: Column) -> Column:
+def _without(text: Column, runs: Column, unit: str) -> Column:
     """struct(text, spans): text without the units of the runs, and the spans these had."""
-    all_ = F.regexp_extract_all(text, F.lit(UNIT), 0)
+    all_ = _units(text, unit)
 
     def cut(us: Column) -> Column:
         def step(s: Column, r: Column) -> Column:
@@ -61,18 +73,22 @@ def _size(us: Column) -> Column:
     return F.aggregate(us, F.lit(0), lambda s, u: s + F.length(u))
 
 
-def dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", min_words: int = 25, out: str = "spans") -> DataFrame:
-    """docs with repeated runs removed from ``text``, and a column ``out``: array of (start, end) removed, in code points of
-    the original text.
+def dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", unit: str = "line", min_words: int = 1, out: str = "spans") -> DataFrame:
+    """docs with repeated units (``line``, ``paragraph`` or ``sentence``) removed from ``text``, and a column ``out``: array of
+    (start, end) removed, in code points of the original text.
 
-    All rows and other columns (but one named as ``out``) stay. Null texts stay null, and null ids count as the smallest id.
+    All rows and other columns (but one named as ``out``) stay, whatever their names. Null texts stay null, and null ids count
+    as the smallest id.
     """
-    runs = repeats(docs, id=id, text=text, min_words=min_words).groupBy("__id", "__h").agg(F.collect_list(F.struct("first", "last")).alias("__runs"))
-    keyed = docs.withColumn("__id", F.coalesce(F.col(id).cast("long"), F.lit(LOW))).withColumn("__h", F.xxhash64(id, text))
-    got = keyed.join(runs, ["__id", "__h"], "left").withColumn("__cut", F.when(F.col("__runs").isNotNull(), _without(F.col(text), F.col("__runs"))))
+    if unit not in ("sentence", *STARTS):
+        raise ValueError(f"units are lines, paragraphs or sentences, not {unit}")
+    i, h, runs, new = spare([*docs.columns, out], "id", "h", "runs", "new")
+    gone = repeats(docs, id=id, text=text, unit=unit, min_words=min_words).groupBy(F.col("__id").alias(i), F.col("__h").alias(h)).agg(F.collect_list(F.struct("first", "last")).alias(runs))
+    keyed = docs.withColumn(i, F.coalesce(F.col(id).cast("long"), F.lit(LOW))).withColumn(h, F.xxhash64(id, text))
+    got = keyed.join(gone, [i, h], "left").withColumn(new, F.when(F.col(runs).isNotNull(), _without(F.col(text), F.col(runs), unit)))
     none = F.array().cast("array<struct<start:int,end:int>>")
-    columns = [F.coalesce("__cut.text", F.col(text)).alias(text) if c == text else F.col(c) for c in docs.columns if c != out]
-    return got.select(*columns, F.coalesce("__cut.spans", none).alias(out))
+    columns = [F.coalesce(F.col(f"{new}.text"), F.col(text)).alias(text) if c == text else F.col(c) for c in docs.columns if c != out]
+    return got.select(*columns, F.coalesce(F.col(f"{new}.spans"), none).alias(out))
 
 
 def spans_text(spans: Column) -> Column:

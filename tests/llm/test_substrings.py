@@ -3,18 +3,33 @@ import re
 
 import duckdb
 import pandas as pd
+import pytest
 
 from helixframe.llm import substrings
 
 
-def slow(rows, min_words=25):
+CUT = {"sentence": lambda t: re.findall(substrings.SENTENCE, t), "line": lambda t: re.findall(r"[^\n]*\n|[^\n]+", t), "paragraph": lambda t: paragraphs(t)}
+
+
+def paragraphs(t):
+    """Lines up to the last of the blank lines behind them; blank lines at the beginning are one by themselves."""
+    out, blank = [""], False
+    for x in re.findall(r"[^\n]*\n|[^\n]+", t):
+        if x.strip(" \t\r\n") and blank:
+            out.append("")
+        out[-1] += x
+        blank = not x.strip(" \t\r\n") and x.endswith("\n") and (blank or "\n" in out[-1][: -len(x)])
+    return [u for u in out if u]
+
+
+def slow(rows, min_words=25, unit="sentence"):
     seen, out = {}, []
     for d, t in sorted(rows, key=lambda r: r[0]):
         if t is None:
             out.append((d, None, []))
             continue
         kept, spans, run, at = [], [], [], 0
-        us = re.findall(substrings.UNIT, t)
+        us = CUT[unit](t)
         norm = [re.sub(r"[ \t\n\r]+", " ", u.lower()).strip(" ") for u in us]
 
         def close():
@@ -54,7 +69,7 @@ def corpus():
 
 def test_against_brute_force(documents):
     rows = corpus()
-    got = substrings.dedup(documents(rows, "spans,k,u"), out="gone")
+    got = substrings.dedup(documents(rows, "spans,k,u"), unit="sentence", min_words=25, out="gone")
     assert got.columns[-4:] == ["spans", "k", "u", "gone"]
     have = sorted((r["doc_id"], r["text"], [tuple(s) for s in r["gone"]]) for r in got.collect())
     assert have == slow(rows)
@@ -73,6 +88,23 @@ def test_oracle_agrees(documents):
 def test_repeated_rows_and_null_ids(documents):
     long = " ".join(f"word{k}" for k in range(30)) + "."
     rows = [(1, long), (1, long), (2, "Before. " + long.upper()), (None, "Unlike.")]
-    got = sorted((str(r["doc_id"]), r["text"]) for r in substrings.dedup(documents(rows)).collect())
+    got = sorted((str(r["doc_id"]), r["text"]) for r in substrings.dedup(documents(rows), unit="sentence", min_words=25).collect())
     assert got == [("1", long), ("1", long), ("2", "Before. "), ("None", "Unlike.")]
     assert substrings.dedup(documents([])).count() == 0
+
+
+@pytest.mark.parametrize("unit", ["line", "paragraph"])
+@pytest.mark.parametrize("least", [1, 6])
+def test_lines_and_paragraphs(documents, unit, least):
+    rng = random.Random(8)
+    line = lambda: " ".join(rng.choice("abcde") for _ in range(rng.randint(0, 3))) + rng.choice(["\n", "\n", " \n\n", "\n \n\n", ""])
+    rows = [(d, "".join(line() for _ in range(rng.randint(0, 14)))) for d in range(60)] + [(70, None), (71, "\n"), (72, "A B\n\na  b"), (73, "a b")]
+    got = substrings.dedup(documents(rows, "__id,__h,__runs,__new,__cut"), unit=unit, min_words=least)
+    have = sorted((r["doc_id"], r["text"], [tuple(s) for s in r["spans"]]) for r in got.collect())
+    assert have == slow(rows, least, unit)
+    assert got.columns[-6:-1] == ["__id", "__h", "__runs", "__new", "__cut"] and got.filter("__id <> 'kept' or __runs <> 'kept'").count() == 0
+
+
+def test_unknown_unit(documents):
+    with pytest.raises(ValueError):
+        substrings.dedup(documents([]), unit="word")
