@@ -91,3 +91,24 @@ def test_repeated_rows_and_null_ids(documents):
     got = sorted((str(r["doc_id"]), r["text"]) for r in lines.dedup(documents(rows)).collect())
     assert got == [("1", "one line of text here"), ("1", "one line of text here"), ("2", ""), ("None", "another line of text")]
     assert lines.dedup(documents([])).count() == 0
+
+
+def test_columns_of_any_name(documents):
+    rows = corpus()
+    names = ["__id", "__h", "__gone", "__removed", "__ID", "h1"]
+    names = [n for n in names if n != "__ID"]
+    got = lines.dedup(documents(rows, ",".join(names)), out="__cut")
+    assert got.columns[-6:] == [*names, "__cut"] and got.filter(" or ".join(f"{n} <> 'kept'" for n in names)).count() == 0
+    assert got.filter("size(__cut) > 0").count() == len({d for d, _ in expected(rows)})
+
+
+def test_common_line_and_common_segment(documents):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    common, middle = "all rights are reserved here", word(14)
+    rows = []
+    for d in range(240):
+        own = [word(30) for _ in range(rng.randint(0, 2))] + [f"{word(13)}{middle}{word(13)}"]
+        rows.append((d, "\n".join(own + [common] * (d % 3 == 0))))
+    got = {(r["doc_id"], x["line"]): (x["first_id"], x["first_line"]) for r in lines.removed(documents(rows)).collect() for x in r["removed"]}
+    assert got == expected(rows) and len(got) >= 79
