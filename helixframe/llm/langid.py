@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release
+from .common import cut, freed, release
 from .words import chunks, trigrams
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -69,6 +69,10 @@ class Model:
         e = e - top - np.log(np.exp(e - top).sum(axis=1, keepdims=True))
         return np.where(can, np.maximum(e, FLOOR), BARRED).astype(np.float32)
 
+    def forget(self) -> None:
+        """Drops what is remembered of words: the model itself stays with a worker after its task."""
+        self.rows, self.scores = {}, None
+
     def rows_of(self, words: list[str], most: int = 1_200_000) -> np.ndarray:
         """Rows of self.scores for the words; what is remembered of earlier words is bounded to ``most`` scores."""
         if len(self.rows) * len(self.langs) > most:
@@ -157,7 +161,7 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", dims: int =
             yield flush()
 
     rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter("text is not null and lang is not null")
-    sums_ = cut(rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    sums_ = cut(rows.mapInArrow(freed(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
     if (n := sums_.select("lang").distinct().count()) > max_langs:
         raise ValueError(f"{n} languages; at most {max_langs} can be told apart")
     got = sums_.toArrow().to_pandas()
@@ -185,7 +189,7 @@ def identify(docs: DataFrame, model: Model, *, id: str = "doc_id", text: str = "
         m = shared.value
         for b in batches:
             pred, score, spans = [], [], []
-            for texts in chunks(t.as_py() or "" for t in b.column(1)):
+            for texts in chunks((t.as_py() or "" for t in b.column(1)), 500_000):
                 docs = [[w for w in WORD.findall(t) if w[0].isalpha() or any(map(str.isalpha, w))] for t in texts] if m.langs else [[] for _ in texts]
                 for t, words, path in zip(texts, docs, m.label(docs)):
                     if not words:
@@ -196,9 +200,10 @@ def identify(docs: DataFrame, model: Model, *, id: str = "doc_id", text: str = "
                     cuts = np.flatnonzero(np.diff(path)) + 1
                     spans.append(list(_spans(t, words, cuts, path, m.langs)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, spans_type)], names=["doc_id", "lang_pred", "score", "spans"])
+        m.forget()
 
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
+    return rows.mapInArrow(freed(run), "doc_id long, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
 
 
 def keep(docs: DataFrame, model: Model, *, text: str = "text", least_share: float = 0.5) -> DataFrame:
@@ -210,12 +215,13 @@ def keep(docs: DataFrame, model: Model, *, text: str = "text", least_share: floa
         m = shared.value
         for b in batches:
             mask: list[bool] = []
-            for texts in chunks(t.as_py() or "" for t in b.column(at)):
+            for texts in chunks((t.as_py() or "" for t in b.column(at)), 500_000):
                 docs = [[w for w in WORD.findall(t) if w[0].isalpha() or any(map(str.isalpha, w))] for t in texts]
                 mask.extend(bool(words) and (not m.langs or np.bincount(path).max() >= least_share * len(words)) for words, path in zip(docs, m.label(docs) if m.langs else docs))
             yield b.filter(pa.array(mask, pa.bool_()))
+        m.forget()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freed(run), docs.schema)
 
 
 def _spans(text: str, words: list[str], cuts: np.ndarray, path: np.ndarray, langs: list[str]) -> Iterator[dict]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, freed
 
 #: Fixed value: the word pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -84,7 +84,7 @@ def pieces(docs: DataFrame, path: str, *, id: str = "doc_id", text: str = "text"
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(freed(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 Pattern = tuple[tuple[int, int], ...]  # lengths, greatest first, and how often each
@@ -318,4 +318,4 @@ def pack(docs: DataFrame, path: str, *, id: str = "doc_id", text: str = "text",
             nth, within = np.divmod(rank - first[at], per[at])
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence[at] + nth), pa.array(offset[at] + within * length)], names=[*b.schema.names[:5], "sequence_id", "offset"])
 
-    return ranked(rows, sum(counts.values())).mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked(rows, sum(counts.values())).mapInArrow(freed(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -11,11 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import cut, dealt
+from .common import cut, dealt, freed, release, sieve, spare
 
 #: A word holds no white space and no punctuation; in scripts without blanks each character is one.
 MARKS = r"!-/:-@\[-`{-~\u00a1\u00ab\u00bb\u00bf\u2000-\u206f\u3000-\u303f\uff01-\uff0f\uff1a-\uff20"
@@ -69,12 +69,12 @@ def _mapped(rows: DataFrame, schema: str, each) -> DataFrame:
                 of = pa.array(np.repeat(np.arange(b.num_rows), [len(g[0]) for g in got]))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), *(pa.array(np.concatenate(g)) for g in zip(*got))], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(freed(run), schema)
 
 
 def repeats(keyed: DataFrame, width: int = 50) -> DataFrame:
     """a, b, first, last: ranges of words (last not included) of each row (a, b, text) that are windows of a row of smaller (a, b),
-    or before in the same one. What overlaps its own first occurrence begins behind that. Ranges may overlap."""
+    or before in the same one. What overlaps its own first occurrence begins behind that."""
 
     def name_rows(text):
         h = _words(text)[1]
@@ -90,14 +90,24 @@ def repeats(keyed: DataFrame, width: int = 50) -> DataFrame:
 
     # windows of one text share names mostly by lying next to each other: only equal ones count as repeats (again)
     names = cut(_mapped(keyed, "a long, b long, name long, again boolean", name_rows))
-    shared = names.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).filter("n > 1 or again").select("name")
-    mine = names.join(dealt(shared), "name").groupBy("a", "b").agg(F.collect_list("name").alias("names"))
-    windows = cut(_mapped(keyed.join(mine, ["a", "b"]).select("a", "b", "text", "names"), "a long, b long, at int, d1 long, d2 long", window_rows))
+    shared = cut(names.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).filter("n > 1 or again").select("name"))
+    mine = cut(sieve(names, shared, "name").join(dealt(shared).hint("merge"), "name").groupBy("a", "b").agg(F.collect_list("name").alias("names")))
+    release(names, shared)
+    texts = sieve(keyed, mine, "b").join(mine, ["a", "b"]).select("a", "b", "text", "names")
+    windows = cut(_mapped(texts, "a long, b long, at int, d1 long, d2 long", window_rows))
+    release(mine)
     me = F.struct("a", "b", "at")
     firsts = windows.groupBy("d1", "d2").agg(F.min(me).alias("f"), F.max(me).alias("l")).filter("f < l").select("d1", "d2", "f")
-    found = windows.join(dealt(firsts), ["d1", "d2"]).filter(me != F.col("f"))
+    found = windows.join(dealt(firsts).hint("merge"), ["d1", "d2"]).filter(me != F.col("f"))
     own = F.when((F.col("f.a") == F.col("a")) & (F.col("f.b") == F.col("b")), F.col("f.at") + width).otherwise(0)
-    return found.select("a", "b", F.greatest("at", own).alias("first"), (F.col("at") + width).alias("last")).filter("first < last")
+    found = found.select("a", "b", F.greatest("at", own).alias("first"), (F.col("at") + width).alias("last")).filter("first < last")
+    # windows side by side are one range: what is left of them is a few rows a text
+    w = Window.partitionBy("a", "b").orderBy("first", "last")
+    before = F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    found = found.distinct().withColumn("starts", F.when(F.col("first") <= before, 0).otherwise(1)).withColumn("range", F.sum("starts").over(w))
+    out = cut(found.groupBy("a", "b", "range").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("range"))
+    release(windows)
+    return out
 
 
 def _ranges_to_spans(text: str, ranges: list[dict]) -> list[dict]:
@@ -119,10 +129,11 @@ def dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: int
     null, and null ids count as the smallest.
     """
     docs = docs.drop(out)
-    keyed = docs.withColumn("__id", F.coalesce(F.col(id).cast("long"), F.lit(LOW))).withColumn("__h", F.xxhash64(id, text))
-    rows = keyed.filter(F.col(text).isNotNull()).select(F.col("__id").alias("a"), F.col("__h").alias("b"), F.col(text).alias("text"))
-    ranges = repeats(rows, width).groupBy("a", "b").agg(F.collect_set(F.struct("first", "last")).alias("__ranges"))
-    got = keyed.join(ranges.select(F.col("a").alias("__id"), F.col("b").alias("__h"), "__ranges"), ["__id", "__h"], "left")
+    i, h, held = spare([*docs.columns, out], "id", "h", "ranges")
+    keyed = docs.withColumn(i, F.coalesce(F.col(id).cast("long"), F.lit(LOW))).withColumn(h, F.xxhash64(id, text))
+    rows = keyed.filter(F.col(text).isNotNull()).select(F.col(i).alias("a"), F.col(h).alias("b"), F.col(text).alias("text"))
+    ranges = repeats(rows, width).groupBy("a", "b").agg(F.collect_list(F.struct("first", "last")).alias(held))
+    got = keyed.join(ranges.select(F.col("a").alias(i), F.col("b").alias(h), held), [i, h], "left")
     names = [*docs.columns, out]
     at = names.index(text)
 
@@ -139,4 +150,4 @@ def dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: int
             yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, kind)], names=names)
 
     schema = StructType([*(StructField(f.name, StringType()) if f.name == text else f for f in docs.schema.fields), StructField(out, ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])))])
-    return got.select(*docs.columns, "__ranges").mapInArrow(run, schema)
+    return got.select(*docs.columns, held).mapInArrow(freed(run), schema)

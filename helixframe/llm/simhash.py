@@ -14,10 +14,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, dealt
+from . import shingles
+from .common import connected_components, cut, dealt, freed, least_of_each
+from .shingles import shingle_hashes
 
 #: Fixed value: generator polynomial of the binary Golay code, degree 11.
 GOLAY = 0b101011100011
@@ -26,23 +28,16 @@ BITS, CHECK, RADIUS = 23, 11, 3
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """64 bits, signed; zero without words. Words end at blank, tab, line feed, vertical tab, form feed or return."""
-    import xxhash
-
-    words = (text or "").encode().lower().split()  # bytes: A-Z only, and ASCII white space only
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    n = max(1, len(words) - shingle + 1)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate([[0], ends[:-1]])[:n].tolist()
-    stops = (ends[-n:] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, stops)), np.uint64, n)
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
+def fingerprint_of(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, dtype=np.int64)
-    for k in range(0, n, 1 << 14):
+    for k in range(0, len(h), 1 << 14):
         part = h[k : k + (1 << 14)]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.int64)[0])
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.int64)[0])
 
 
 def fingerprints(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
@@ -53,7 +48,7 @@ def fingerprints(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shi
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], type=pa.int64()), b.column(2)], names=["doc_id", "fp", "h"])
 
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(id, text).alias("h"))
-    return rows.mapInArrow(run, "doc_id long, fp long, h long")
+    return rows.mapInArrow(freed(run), "doc_id long, fp long, h long")
 
 
 @lru_cache(maxsize=2)
@@ -136,12 +131,12 @@ def links(fps: DataFrame, threshold: int = 2, *, crowd: int = 64) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(x[r])], names=["anchor", "f"])
 
     nodes = fps.select("fp")
-    homes = cut(nodes.mapInArrow(at_home, "anchor int, f long"))
+    homes = cut(nodes.mapInArrow(freed(at_home), "anchor int, f long"))
     crowds = homes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > (crowd if threshold == 2 else 1 << 62)).select("anchor", F.lit(True).alias("crowded"))
     calm = homes.join(crowds, "anchor", "left_anti").select("anchor", "f", F.lit(False).alias("crowded"))
     at = calm.unionByName(crowds.select("anchor", F.lit(None).cast("long").alias("f"), "crowded"))
     near = (F.col("f") < F.col("g")) & (F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= threshold)
-    met = nodes.mapInArrow(spread, "anchor int, g long").alias("r").join(at.alias("h"), (F.col("r.anchor") == F.col("h.anchor")) & (F.col("crowded") | near)).select("f", "g")
+    met = nodes.mapInArrow(freed(spread), "anchor int, g long").alias("r").join(at.alias("h"), (F.col("r.anchor") == F.col("h.anchor")) & (F.col("crowded") | near)).select("f", "g")
     met = cut(met)
     pairs = met.filter("f is not null").select(F.col("f").alias("a"), F.col("g").alias("b"))
     dense = met.filter("f is null").select("g").distinct()
@@ -172,23 +167,35 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     return rows.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text", threshold: int = 2) -> DataFrame:
+def similar(docs: DataFrame, rows: DataFrame, similarity: float, threshold: int, *, id: str, text: str, shingle: int) -> DataFrame:
+    """fp, node: the component of each distinct set of shingles by links of at least this Jaccard similarity, exactly.
+
+    Fingerprints within the threshold at a common anchor are candidates. Bits alone cannot tell the rest (at a similarity of
+    0.8 some ten of 64 differ): the prefix filter of ``shingles`` has all of them, and each candidate is verified by its whole
+    text.
+    """
+    nodes = shingles.nodes(docs, rows, similarity, id=id, text=text, shingle=shingle)
+    prints = cut(nodes.groupBy("bits").agg(F.min("node").alias("least")))
+    same = nodes.join(dealt(prints), "bits").filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    met = links(prints.select(F.col("bits").alias("fp")), threshold)
+    a, b = prints.select(F.col("bits").alias("a"), F.col("least").alias("x")), prints.select(F.col("bits").alias("b"), F.col("least").alias("y"))
+    near = cut(same.unionByName(met.join(a, "a").join(b, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct())
+    found = connected_components(shingles.links(docs, nodes, near, similarity, id=id, text=text, shingle=shingle))
+    by = nodes.select("fp", "node").join(found.select("node", "component"), "node", "left").select("fp", F.coalesce("component", "node").alias("node"))
+    wordless = rows.filter("n = 0").select("fp").distinct().select("fp", F.lit(-1).cast("long").alias("node"))  # one set: that of none
+    return by.unionByName(wordless)
+
+
+def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shingle: int = 3, threshold: int = 2, similarity: float | None = None) -> DataFrame:
     """The rows of docs that stay when one document of each component is kept: that of the smallest id, all columns as they are.
 
-    Of several rows with that id, the one of the least text hash stays, and one of several equal rows. A component whose
-    ids are all null keeps one row of these.
+    Texts are linked by fingerprints within ``threshold`` bits or, with ``similarity``, by sets of shingles of that Jaccard
+    similarity and more. Texts without words are alike. Of several rows with one id, the one of the least text hash stays,
+    and one of several equal rows. A component whose ids are all null keeps one row of these. Columns of any name pass through.
     """
-    rows = cut(fingerprints(docs, id=id, text=text))
-    return least_of_each(docs, rows, classes(rows, threshold), id=id, text=text)
-
-
-def least_of_each(docs: DataFrame, rows: DataFrame, found: DataFrame, *, id: str, text: str) -> DataFrame:
-    """keep_one by rows (doc_id, fp, h) and the component (node) of each fp."""
-    low = F.lit(-(1 << 63))
-    # the least (id, hash) of each component, nulls last; both steps are combined before their shuffles
-    by_print = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("k"))
-    kept = by_print.join(found, "fp").groupBy("node").agg(F.min("k").alias("k")).select(F.coalesce("k.doc_id", low).alias("__k_id"), F.col("k.h").alias("__k_h"))
-    keyed = docs.withColumn("__id", F.coalesce(F.col(id).cast("long"), low)).withColumn("__h", F.xxhash64(id, text))
-    got = keyed.join(cut(kept), (F.col("__id") == F.col("__k_id")) & (F.col("__h") == F.col("__k_h")))
-    once = got.withColumn("__nth", F.row_number().over(Window.partitionBy("__id", "__h").orderBy(F.lit(1)))).filter("__nth = 1")
-    return once.select(*docs.columns)
+    if similarity is None:
+        rows = cut(fingerprints(docs, id=id, text=text, shingle=shingle))
+        return least_of_each(docs, rows, classes(rows, threshold), id=id, text=text)
+    rows = cut(shingles.prefixes(docs, similarity, fingerprint_of, id=id, text=text, shingle=shingle))
+    found = similar(docs, rows, similarity, threshold, id=id, text=text, shingle=shingle)
+    return least_of_each(docs, rows, found, id=id, text=text)

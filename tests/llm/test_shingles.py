@@ -1,7 +1,8 @@
 import random
 
 import corpus_pipeline
-from helixframe.llm import shingles
+import pytest
+from helixframe.llm import shingles, simhash
 
 
 def grams(t):
@@ -45,10 +46,12 @@ def corpus():
     return [(k, " ".join(w)) for k, w in enumerate(rows)]
 
 
-def test_against_brute_force(documents):
+@pytest.mark.parametrize("frequent", [5, 1000])
+def test_against_brute_force(documents, monkeypatch, frequent):
+    monkeypatch.setattr(shingles, "FREQUENT", frequent)
     rows = corpus()
     want = kept(rows)
-    assert sorted(r["doc_id"] for r in shingles.keep_one(documents(rows, "fp,n,p")).collect()) == want
+    assert sorted(r["doc_id"] for r in simhash.keep_one(documents(rows, "fp,n,p,__id,__h,__nth"), shingle=5, similarity=0.8).collect()) == want
     assert 40 < len(want) < len(rows) - 20
 
 
