@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import langid, lines, packing, passages, shingles, substrings
-from helixframe.llm.common import cut, table
+from helixframe.llm import langid, lines, packing, passages, simhash, substrings
+from helixframe.llm.common import cut, spare, table
 from helixframe.llm.queries import tokenizer_path
 
 
@@ -20,13 +20,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes lines within two edits of an earlier one; documents of which nothing is left go."""
-    got = lines.dedup(docs, out="__removed_lines")
-    return got.filter((F.size("__removed_lines") == 0) | F.col("text").rlike(r"\S")).select(*docs.columns)
+    (gone,) = spare(docs.columns, "lines")
+    got = lines.dedup(docs, out=gone)
+    return got.filter((F.size(gone) == 0) | F.col("text").rlike(r"\S")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least id of each component of texts whose sets of 5-word shingles have similarity 0.8 or more."""
-    return shingles.keep_one(docs)
+    return simhash.keep_one(docs, shingle=5, similarity=0.8)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +35,10 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Passages of 50 words go wherever they begin and end, then runs of whole sentences of 25 words.
     """
-    got = cut(passages.dedup(docs, out="__removed_passages"))
-    got = substrings.dedup(got, out="__removed_spans")
-    return got.filter((F.size("__removed_passages") + F.size("__removed_spans") == 0) | F.col("text").rlike(r"\S")).select(*docs.columns)
+    some, more = spare(docs.columns, "passages", "spans")
+    got = cut(passages.dedup(docs, out=some))
+    got = substrings.dedup(got, unit="sentence", min_words=25, out=more)
+    return got.filter((F.size(some) + F.size(more) == 0) | F.col("text").rlike(r"\S")).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
