@@ -23,6 +23,8 @@ MORE_LETTERS = "lcupmfgbwvykqz.,"
 #: Bits above the counts: the segment is the line's own; it is of the line's own length; never set.
 OWN, EVEN, NEVER = 1 << 60, 1 << 61, 1 << 62
 LOW = -(1 << 63)
+#: One document in so many is looked at for hot segments.
+SAMPLE = 64
 
 
 def occurrences(docs: DataFrame, id: str, text: str, min_chars: int) -> DataFrame:
@@ -73,27 +75,85 @@ def _keys(rows: DataFrame, combinations: list[tuple[int, int, int]], parts: int)
     return rows.withColumn("key", F.xxhash64("len", "c.i", F.substring("norm", F.col("start"), F.col("size"))))
 
 
-def candidates(lines: DataFrame, edits: int = 2) -> DataFrame:
-    """a, b: h1 of distinct lines (column norm) that share a segment as lines within ``edits`` edits must, and nearly the same letters."""
-    parts = edits + 1
-    rows = _letter_counts(lines.select("norm").distinct()).select("norm", "counts", F.length("norm").alias("n"), _hashes(F.col("norm"))[0])
-    probes = []
+def _probes(edits: int) -> list[tuple[int, int, int]]:
+    """(less, i, shift): a line may hold segment i of one shorter by less that many places on: at most i - 1 edits are to the left
+    of the segment, and at most edits + 1 - i to its right."""
+    out = []
     for less in range(edits + 1):
-        for i in range(1, parts + 1):
-            # at most i - 1 edits to the left of the segment, and parts - i to its right
-            lo, hi = max(-(i - 1), less - (parts - i)), min(i - 1, less + (parts - i))
-            probes += [(less, i, shift) for shift in range(lo, hi + 1)]
-    # a line's own segments are among its probes, so one relation stands on both sides and is made and shuffled once; the
-    # condition names both sides, for a filter on one of them would make the two differ
-    even = F.col("c.d") == 0
-    flags = F.when(even & (F.col("c.t") == 0), F.lit(OWN)).otherwise(F.lit(0)).bitwiseOR(F.when(even, F.lit(EVEN)).otherwise(F.lit(0)))
-    keyed = _keys(rows, probes, parts).select("key", F.col("h1").alias("h"), F.col("counts").bitwiseOR(flags.cast("long")).alias("counts"))
+        for i in range(1, edits + 2):
+            after = edits + 1 - i
+            lo, hi = max(-(i - 1), less - after), min(i - 1, less + after)
+            out += [(less, i, shift) for shift in range(lo, hi + 1)]
+    return out
+
+
+def _meet(keyed: DataFrame, edits: int) -> DataFrame:
+    """a, b: h1 of two lines with a common key, which is one of a's own segments, and nearly the same letters.
+
+    A line's own segments are among its probes, so one relation stands on both sides and is made and shuffled once; the
+    condition names both sides, for a filter on one of them would make the two differ.
+    """
     x, y = keyed.alias("x"), keyed.alias("y")
     ca, cb, a, b = F.col("x.counts"), F.col("y.counts"), F.col("x.h"), F.col("y.h")
     owns = ca.bitwiseAND(F.lit(OWN)) > cb.bitwiseAND(F.lit(NEVER))
     once = (cb.bitwiseAND(F.lit(EVEN)) == 0) | (a < b)
     meet = (F.col("x.key") == F.col("y.key")) & (a != b) & owns & once & _near_counts(ca, cb, edits)
-    return x.join(y, meet).select(a.alias("a"), b.alias("b")).distinct()
+    return x.join(y, meet).select(a.alias("a"), b.alias("b"))
+
+
+def _flagged(own: Column) -> Column:
+    """The counts with what a row is: an own segment, one of a line of the same length."""
+    flags = F.when(own, F.lit(OWN)).otherwise(F.lit(0)).bitwiseOR(F.when(F.col("c.d") == 0, F.lit(EVEN)).otherwise(F.lit(0)))
+    return F.col("counts").bitwiseOR(flags.cast("long")).alias("counts")
+
+
+def _finer(keyed: DataFrame) -> DataFrame:
+    """key, h, counts: rows of two edits and three segments once more for each part of the rest of the line that may be unchanged.
+
+    Where the middle segment is unchanged, of the text before it either the first half or the other half is, at its end of that
+    text, or there are two edits in it and the text behind the segment is the same. Where the first or the last segment is, of
+    the rest one third is: the first or the last, in its place, or the middle one, moved by the edit before it.
+    """
+    before, size = F.col("start") - F.col("c.t") - 1, F.col("size")  # how long the rest is in the line that owns the segment
+    after = F.col("len") - before - size
+    rest, begin = F.when(F.col("c.i") == 1, after).otherwise(before), F.when(F.col("c.i") == 1, F.col("start") + size).otherwise(F.lit(1))
+    end = F.when(F.col("c.i") == 1, F.col("n")).otherwise(F.col("start") - 1)  # the rest here
+    third, half = F.floor(rest / 3).cast("int"), F.floor(before / 2).cast("int")
+    part = lambda k, at, length, moved=0: F.struct(F.lit(k).alias("k"), at.cast("int").alias("at"), length.cast("int").alias("length"), F.lit(moved).alias("moved"))
+    middle = [part(1, F.lit(1), half), part(2, F.col("start") - (before - half), before - half), part(3, F.when(F.col("n") - F.col("start") - size + 1 == after, F.col("start") + size).otherwise(F.lit(0)), after)]
+    outer = [part(4, begin, third), part(5, end - third + 1, third), *[part(6, begin + third + m, rest - 2 * third, m) for m in (-1, 0, 1)]]
+    rows = keyed.withColumn("p", F.explode(F.when(F.col("c.i") == 2, F.array(*middle)).otherwise(F.array(*outer))))
+    inside = F.when(F.col("p.k") <= 2, F.col("start") - 1).when(F.col("p.k") == 3, F.col("n")).otherwise(end)  # the part ends here at most
+    least = F.when(F.col("p.k") >= 4, begin).otherwise(F.lit(1))
+    rows = rows.filter((F.col("p.at") >= least) & (F.col("p.at") + F.col("p.length") - 1 <= inside))
+    own = (F.col("c.d") == 0) & (F.col("c.t") == 0) & (F.col("p.moved") == 0)
+    return rows.select(F.xxhash64("key", "p.k", F.substring("norm", F.col("p.at"), F.col("p.length"))).alias("key"), F.col("h1").alias("h"), _flagged(own))
+
+
+def hot_segments(some: DataFrame, edits: int, most: float) -> DataFrame:
+    """key of each segment that more than ``most`` of some distinct lines (column norm) own."""
+    parts = edits + 1
+    rows = some.select("norm").distinct().withColumn("n", F.length("norm"))
+    owned = _keys(rows, [(0, i, 0) for i in range(1, parts + 1)], parts)
+    return owned.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("key")
+
+
+def candidates(lines: DataFrame, edits: int = 2, hot: DataFrame | None = None) -> DataFrame:
+    """a, b: h1 of distinct lines (column norm) that share a segment as lines within ``edits`` edits must, and nearly the same letters.
+
+    A segment that very many lines own would bring all of them together: those in ``hot`` (with two edits) do so only where a
+    part of the rest is unchanged as well, as some part must be.
+    """
+    parts = edits + 1
+    rows = _letter_counts(lines.select("norm").distinct()).select("norm", "counts", F.length("norm").alias("n"), _hashes(F.col("norm"))[0])
+    keyed = _keys(rows, _probes(edits), parts)
+    plain = lambda k: k.select("key", F.col("h1").alias("h"), _flagged((F.col("c.d") == 0) & (F.col("c.t") == 0)))
+    n = 0 if hot is None or edits != 2 else hot.count()
+    if not n:
+        return _meet(plain(keyed), edits).distinct()
+    hot = F.broadcast(hot) if n <= 1 << 20 else hot  # 16 MB at most
+    much = _meet(_finer(keyed.join(hot, "key", "left_semi")), edits)
+    return _meet(plain(keyed.join(hot, "key", "left_anti")), edits).unionByName(much).distinct()
 
 
 def within(a: Column, b: Column, edits: int) -> Column:
@@ -139,15 +199,20 @@ def places(docs: DataFrame, *, id: str = "doc_id", text: str = "text", min_chars
     return occurrences(docs, id, text, min_chars).select("__id", "__h", "k", *_hashes(F.col("norm")))
 
 
-def links(docs: DataFrame, at: DataFrame, *, id: str = "doc_id", text: str = "text", edits: int = 2, min_chars: int = 10) -> DataFrame:
-    """a1, a2, b1, b2: digests of every two distinct normalised lines within ``edits`` edits. ``at``: the places of docs."""
-    pairs = cut(candidates(occurrences(docs, id, text, min_chars).select("norm"), edits))
+def links(docs: DataFrame, at: DataFrame, *, id: str = "doc_id", text: str = "text", edits: int = 2, min_chars: int = 10, hot: int | None = None) -> DataFrame:
+    """a1, a2, b1, b2: digests of every two distinct normalised lines within ``edits`` edits. ``at``: the places of docs;
+    ``hot``: as in dedup."""
+    rows = docs.select(F.col(id).alias("i"), F.col(text).alias("t"), F.xxhash64(id, text).alias("__h"))
+    shared = None
+    if hot is not None:  # found in every SAMPLE-th text; that decides only how lines meet, not which
+        some = occurrences(rows.filter(F.pmod("__h", F.lit(SAMPLE)) == 0), "i", "t", min_chars)
+        shared = cut(hot_segments(some, edits, hot / SAMPLE))
+    pairs = cut(candidates(occurrences(docs, id, text, min_chars).select("norm"), edits, shared))
     # the texts of candidates are read again, from one document for each
     ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct())
     least = sieve(at, ends, "h1").groupBy("h1", "h2").agg(F.min("__h").alias("__h"))  # a very common line is one row from here on
     least = cut(least.join(ends, "h1", "left_semi"))
-    some = sieve(docs.select(F.col(id).alias("i"), F.col(text).alias("t"), F.xxhash64(id, text).alias("__h")), least, "__h")
-    texts = sieve(occurrences(some, "i", "t", min_chars).select("norm", *_hashes(F.col("norm"))), ends, "h1").distinct()
+    texts = sieve(occurrences(sieve(rows, least, "__h"), "i", "t", min_chars).select("norm", *_hashes(F.col("norm"))), ends, "h1").distinct()
     a, b = texts.select(F.col("norm").alias("na"), F.col("h1").alias("a"), F.col("h2").alias("a2")), texts.select(F.col("norm").alias("nb"), F.col("h1").alias("b"), F.col("h2").alias("b2"))
     near = pairs.join(a, "a").join(b, "b").filter(_near_letters(F.col("na"), F.col("nb"), edits)).filter(within(F.col("na"), F.col("nb"), edits))
     out = cut(near.select(F.col("a").alias("a1"), "a2", F.col("b").alias("b1"), "b2"))
@@ -155,7 +220,7 @@ def links(docs: DataFrame, at: DataFrame, *, id: str = "doc_id", text: str = "te
     return out
 
 
-def repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", edits: int = 2, min_chars: int = 10) -> DataFrame:
+def repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", edits: int = 2, min_chars: int = 10, hot: int | None = None) -> DataFrame:
     """__id, __h, k, first_id, first_line: each line to remove and the line of its class that stays.
 
     Two lines are of one class if their normalised texts (trimmed, lower case) are equal or joined by links. Of a class the
@@ -163,7 +228,7 @@ def repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", edits: i
     one and are treated alike.
     """
     at = cut(places(docs, id=id, text=text, min_chars=min_chars))
-    near = links(docs, at, id=id, text=text, edits=edits, min_chars=min_chars)
+    near = links(docs, at, id=id, text=text, edits=edits, min_chars=min_chars, hot=hot)
     name = lambda x, y: F.concat(F.lpad(F.hex(x), 16, "0"), F.lpad(F.hex(y), 16, "0"))
     classes = connected_components(near.select(name("a1", "a2").alias("a"), name("b1", "b2").alias("b")))
     low = lambda c, k: F.conv(F.substring(c, k, 16), 16, -10).cast("long")
@@ -181,15 +246,18 @@ def repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", edits: i
     return found.select("__id", "__h", "k", F.col("first.__id").alias("first_id"), F.col("first.k").alias("first_line")).distinct()
 
 
-def dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", edits: int = 2, min_chars: int = 10, out: str = "removed") -> DataFrame:
+def dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", edits: int = 2, min_chars: int = 10, hot: int | None = None, out: str = "removed") -> DataFrame:
     """docs without the lines that repeat an earlier one, with a column ``out``: array of (line, first_id, first_line).
 
     All rows and other columns (but one named as ``out``) stay, whatever their names; a text of which every line goes is empty.
     Null and empty texts stay as they are, and null ids count as the smallest id. Lines shorter than ``min_chars`` when
     normalised stay.
+
+    With ``hot``, lines that share a segment with more than so many others are brought together only where more of them is
+    unchanged: the same result, for a scan more of the texts, where templates make very many lines alike in part.
     """
     i, h, gone = spare([*docs.columns, out], "id", "h", "gone")
-    got = _keyed(docs, id, text, i, h).join(_gone(docs, id, text, edits, min_chars, i, h, gone), [i, h], "left")
+    got = _keyed(docs, id, text, i, h).join(_gone(docs, id, text, edits, min_chars, hot, i, h, gone), [i, h], "left")
 
     def without(lines: Column) -> Column:
         kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.transform(gone, lambda r: r["line"]))
@@ -200,12 +268,12 @@ def dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", edits: int
     return got.select(*columns, F.coalesce(gone, F.array().cast("array<struct<line:int,first_id:bigint,first_line:int>>")).alias(out))
 
 
-def removed(docs: DataFrame, *, id: str = "doc_id", text: str = "text", edits: int = 2, min_chars: int = 10) -> DataFrame:
+def removed(docs: DataFrame, *, id: str = "doc_id", text: str = "text", edits: int = 2, min_chars: int = 10, hot: int | None = None) -> DataFrame:
     """doc_id, n_lines, n_removed, removed of every row: what dedup removes, without the texts."""
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1)
     rows = _keyed(rows, "doc_id", "text", "i", "h").select("doc_id", "i", "h", n.alias("n_lines"))
-    got = rows.join(_gone(docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")), "doc_id", "text", edits, min_chars, "i", "h", "gone"), ["i", "h"], "left")
+    got = rows.join(_gone(docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")), "doc_id", "text", edits, min_chars, hot, "i", "h", "gone"), ["i", "h"], "left")
     gone = F.coalesce("gone", F.array().cast("array<struct<line:int,first_id:bigint,first_line:int>>"))
     return got.select("doc_id", "n_lines", F.size(gone).alias("n_removed"), gone.alias("removed"))
 
@@ -214,8 +282,8 @@ def _keyed(docs: DataFrame, id: str, text: str, i: str, h: str) -> DataFrame:
     return docs.withColumn(i, F.coalesce(F.col(id).cast("long"), F.lit(LOW))).withColumn(h, F.xxhash64(id, text))
 
 
-def _gone(docs: DataFrame, id: str, text: str, edits: int, min_chars: int, i: str, h: str, out: str) -> DataFrame:
-    found = repeats(docs, id=id, text=text, edits=edits, min_chars=min_chars)
+def _gone(docs: DataFrame, id: str, text: str, edits: int, min_chars: int, hot: int | None, i: str, h: str, out: str) -> DataFrame:
+    found = repeats(docs, id=id, text=text, edits=edits, min_chars=min_chars, hot=hot)
     lines = F.array_sort(F.collect_list(F.struct(F.col("k").alias("line"), "first_id", "first_line")))  # those of one text
     return found.groupBy(F.col("__id").alias(i), F.col("__h").alias(h)).agg(lines.alias(out))
 

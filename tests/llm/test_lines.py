@@ -72,9 +72,11 @@ def corpus():
     return rows + [(90, None), (91, ""), (92, "\n\n"), (93, "short"), (94, "short"), (95, ("very long line " * 3000))]
 
 
-def test_against_brute_force(documents):
+@pytest.mark.parametrize("hot", [0, 3, None])
+def test_against_brute_force(documents, monkeypatch, hot):
+    monkeypatch.setattr(lines, "SAMPLE", 1)
     rows = corpus()
-    got = {(r["doc_id"], x["line"]): (x["first_id"], x["first_line"]) for r in lines.removed(documents(rows)).collect() for x in r["removed"]}
+    got = {(r["doc_id"], x["line"]): (x["first_id"], x["first_line"]) for r in lines.removed(documents(rows), hot=hot).collect() for x in r["removed"]}
     assert got == expected(rows)
 
 
@@ -112,3 +114,19 @@ def test_common_line_and_common_segment(documents):
         rows.append((d, "\n".join(own + [common] * (d % 3 == 0))))
     got = {(r["doc_id"], x["line"]): (x["first_id"], x["first_line"]) for r in lines.removed(documents(rows)).collect() for x in r["removed"]}
     assert got == expected(rows) and len(got) >= 79
+
+
+@pytest.mark.parametrize("hot", [0, 1000])
+def test_no_pair_of_a_hot_segment_is_lost(spark, hot):
+    """Every two short strings of few letters within two edits meet, whichever segment they share."""
+    rng = random.Random(11)
+    texts = set()
+    while len(texts) < 260:
+        base = "".join(rng.choice("ab") for _ in range(rng.randint(10, 17)))
+        texts |= {base, *(t for t in (edit(rng, base, rng.choice([1, 2, 2])) for _ in range(3)) if len(t) >= 10)}
+    texts = sorted(texts)
+    rows = spark.createDataFrame([(t,) for t in texts], "norm string")
+    name = {r["h1"]: r["norm"] for r in rows.select("norm", lines._hashes(F.col("norm"))[0]).collect()}
+    got = {tuple(sorted((name[r["a"]], name[r["b"]]))) for r in lines.candidates(rows, 2, lines.hot_segments(rows, 2, hot)).collect()}
+    want = {(a, b) for i, b in enumerate(texts) for a in texts[:i] if abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2}
+    assert len(want) > 300 and want <= got
