@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, embeddings, fingerprints, langid, lines, packing, pieces, simhash, substrings, toxicity, url_filter
+from . import collocations, embeddings, fingerprints, langid, lines, packing, pieces, simhash, substrings, toxicity, url_filter, warc
 from .common import table
 
 def tokenizer_path(name: str) -> str:
@@ -76,6 +76,10 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("removed", lines.removed_text(F.col("removed")))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
 
@@ -92,9 +96,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_langid": op9_langid,
         "op10_lines": op10_lines,
+        "op11_warc": op11_warc,
         "op13_collocations": op13_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embeddings": embeddings.oracle(), "op5_substrings": substrings.oracle(), "op10_lines": lines.oracle(), "op13_collocations": collocations.oracle()}
+    return {"op3_embeddings": embeddings.oracle(), "op5_substrings": substrings.oracle(), "op10_lines": lines.oracle(), "op11_warc": warc.oracle(), "op13_collocations": collocations.oracle()}
