@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, embeddings, fingerprints, langid, lines, packing, pieces, simhash, substrings, toxicity, url_filter, warc
+from . import collocations, conversations, embeddings, fingerprints, langid, lines, packing, pieces, simhash, substrings, toxicity, url_filter, warc
 from .common import table
 
 def tokenizer_path(name: str) -> str:
@@ -80,6 +80,10 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
 
@@ -97,9 +101,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_langid": op9_langid,
         "op10_lines": op10_lines,
         "op11_warc": op11_warc,
+        "op12_conversations": op12_conversations,
         "op13_collocations": op13_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embeddings": embeddings.oracle(), "op5_substrings": substrings.oracle(), "op10_lines": lines.oracle(), "op11_warc": warc.oracle(), "op13_collocations": collocations.oracle()}
+    return {"op3_embeddings": embeddings.oracle(), "op5_substrings": substrings.oracle(), "op10_lines": lines.oracle(), "op11_warc": warc.oracle(), "op12_conversations": conversations.oracle(), "op13_collocations": collocations.oracle()}
