@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import neighbours, nucleotide_state
+from ..functions.lineage import cut
 from ..sources.newick import parse, splice
 
 TREE = "(((en,de)N2,fr)N1,es)N0"
@@ -39,11 +40,7 @@ def scratch(spark: SparkSession) -> Iterator[str]:
 
 def kept(df: DataFrame) -> DataFrame:
     """df, read now and written to the checkpoint folder, so that the files it was read from can go."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir())
-    return df.checkpoint(eager=True)
+    return cut(df)
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:

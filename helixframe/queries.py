@@ -12,9 +12,9 @@ from .functions import alphabet
 from .operators import encode, engine, estimate, histories, hmm, rate_relations, rates, simulate
 from .operators.kernel import Scene
 from .plans import bridge, models
-from .plans.bridge import chains, composition, sequences, sites, table
+from .plans.bridge import chains, composition, kept, sequences, sites, table
 from .plans.models import JointModel
-from .sources import newick, tables
+from .sources import forest, newick, tables
 
 ETA, TRACT_P, LENGTH = 0.05, 0.3, 0.8
 KAPPA, OMEGA, TAU = 2.5, 0.4, 1.5
@@ -195,7 +195,7 @@ def q21_root_to_tip_paths(spark, d):
     r = table(spark, d, "region").select(F.lit("root").alias("parent"), F.concat(F.lit("r"), "r_regionkey").alias("child"))
     n = table(spark, d, "nation").select(F.concat(F.lit("r"), "n_regionkey").alias("parent"), F.concat(F.lit("n"), "n_nationkey").alias("child"))
     t = table(spark, d, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("parent"), F.concat(F.lit("c"), "c_custkey").alias("child"))
-    return newick.paths(r.unionByName(n).unionByName(t), "root").filter("depth = 3")
+    return forest.paths(r.unionByName(n).unionByName(t), "root").filter("depth = 3")
 
 
 @query("with k as (select r_regionkey, cast(dense_rank() over (order by r_name) as int) process from region) select n_nationkey, n_name, process from nation join k on n_regionkey = r_regionkey")
@@ -562,12 +562,26 @@ def q58_sitewise_files(spark, d):
 @query("""with e as (select 'N0' p, 'N' || (r_regionkey + 1) c from region union all select 'N' || (n_regionkey + 1), case when n_nationkey % 5 = 0 then 'D' || n_nationkey else 'tip' || n_nationkey end from nation)
  select cast(row_number() over (order by p, c) - 1 as int) edge_id, p parent, c child, case when regexp_full_match(c, 'D[0-9]+') then 'duplication' when regexp_full_match(c, 'N[0-9]+') then 'speciation' else 'tip' end kind from e""")
 def q59_newick_edges(spark, d):
-    """A tree of regions and nations as Newick text, parsed into its edges. The text is as long as the two small tables."""
+    """A tree of regions and nations as Newick text, which is as long as the two small tables, and its edges."""
     n = F.col("n_nationkey")
     name = F.when(n % 5 == 0, F.concat(F.lit("D"), n.cast("string"))).otherwise(F.concat(F.lit("tip"), n.cast("string")))
     below = table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list(name)), ",").alias("tips"))
-    nodes = [f"({r['tips']})N{r['n_regionkey'] + 1}" for r in below.collect()]  # a row a region
-    return newick.edge_relation(spark, newick.parse("(" + ", ".join(nodes) + ")N0;"))
+    inner = F.concat(F.lit("("), "tips", F.lit(")N"), F.col("n_regionkey") + 1)
+    text = below.agg(F.concat(F.lit("("), F.array_join(F.collect_list(inner), ", "), F.lit(")N0;")).alias("text"))
+    return forest.laid_out(forest.edges(text.select(F.lit(0).alias("tree"), "text")), "tree").select("edge_id", "parent", "child", "kind")
+
+
+@query("""with o as (select o_custkey tree, 'o' || o_orderkey child, 'N' || (o_orderkey % 3 + 1) parent, o_totalprice length from orders),
+ e as (select tree, parent, child, 'tip' kind, length from o union all select distinct tree, 'N0', parent, 'speciation', null from o)
+ select tree, parent, child, kind, length, case when parent = 'N0' then 1 else 2 end depth, cast(row_number() over (partition by tree order by parent, child) - 1 as int) edge_id from e""")
+def q70_newick_forest(spark, d):
+    """The orders of every customer as a tree of their own: Newick texts with branch lengths, to edges in layout order and depths."""
+    o = table(spark, d, "orders").withColumn("inner", F.concat(F.lit("N"), F.col("o_orderkey") % 3 + 1))
+    tips = o.groupBy("o_custkey", "inner").agg(F.array_join(F.collect_list(F.concat(F.lit("o"), "o_orderkey", F.lit(":"), "o_totalprice")), ", ").alias("tips"))
+    texts = tips.groupBy(F.col("o_custkey").alias("tree")).agg(F.concat(F.lit("("), F.array_join(F.collect_list(F.concat(F.lit("("), "tips", F.lit(")"), "inner")), ","), F.lit(")N0;")).alias("text"))
+    found = kept(forest.edges(texts))
+    depths = forest.paths(found, by=["tree"]).select("tree", F.col("node").alias("child"), "depth")
+    return forest.laid_out(found.join(depths, ["tree", "child"]), "tree").select("tree", "parent", "child", "kind", "length", "depth", "edge_id")
 
 
 @query("select n_nationkey site, n_nationkey * 2 nt_index, -n_nationkey / 7.0 lnl, -n_nationkey / 7.0 - n_regionkey lnl_no from nation")

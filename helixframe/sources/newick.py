@@ -182,19 +182,3 @@ def edge_relation(spark: SparkSession, tree: Tree) -> DataFrame:
     """edge_id, parent, child, kind of the child: edges in layout order."""
     rows = [(k, p, c) for k, (p, c) in enumerate(tree.sorted_edges())]
     return spark.createDataFrame(rows, "edge_id int, parent string, child string").withColumn("kind", node_kind_column(F.col("child")))
-
-
-def paths(edges: DataFrame, root: str, *, deepest: int = 1000) -> DataFrame:
-    """node, depth, path (names joined by /) of every node below the root of an edge relation (parent, child).
-
-    One join a level, until a level is empty; a relation with a cycle is an error at ``deepest`` levels.
-    """
-    edges = edges.select("parent", "child")
-    level = edges.filter(F.col("parent") == root).select(F.col("child").alias("node"), F.lit(1).alias("depth"), F.concat_ws("/", "parent", "child").alias("path"))
-    out = level
-    for depth in range(2, deepest + 1):
-        level = edges.join(level, F.col("parent") == F.col("node")).select(F.col("child").alias("node"), F.lit(depth).alias("depth"), F.concat_ws("/", "path", "child").alias("path"))
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
-    raise ValueError(f"no end after {deepest} levels")

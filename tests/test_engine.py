@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from helixframe.operators import encode, engine, estimate, histories, hmm, rates, simulate
 from helixframe.plans.models import CodonModel, JointModel, PairSiteModel, lengths_from_clock, logit_tract
-from helixframe.sources import newick, tables
+from helixframe.sources import forest, newick, tables
 
 TREE = "(((A,B)N2,C)N1,Out)N0"
 GENES = [(f"{s}__{g}", o) for s in "ABC" for g, o in (("x", 1), ("y", 2))] + [("Out__x", 0)]
@@ -583,9 +583,9 @@ def test_best_paths_by_enumeration(spark):
 
 def test_relations_of_histories(spark):
     rows = spark.createDataFrame([("r", "a"), ("a", "b"), ("a", "c"), ("c", "d"), ("x", "y")], "parent string, child string")
-    assert {tuple(r) for r in newick.paths(rows, "r").collect()} == {("a", 1, "r/a"), ("b", 2, "r/a/b"), ("c", 2, "r/a/c"), ("d", 3, "r/a/c/d")}
+    assert {tuple(r) for r in forest.paths(rows, "r").collect()} == {("a", 1, "r/a"), ("b", 2, "r/a/b"), ("c", 2, "r/a/c"), ("d", 3, "r/a/c/d")}
     with pytest.raises(ValueError):
-        newick.paths(spark.createDataFrame([("r", "a"), ("a", "r")], "parent string, child string"), "r", deepest=4)
+        forest.paths(spark.createDataFrame([("r", "a"), ("a", "r")], "parent string, child string"), "r", deepest=4)
     held = spark.createDataFrame([("m", 1), ("m", 2), ("m", 2), ("n", 1), ("n", 2), ("n", 3)], "node string, orlg int")
     assert {tuple(r) for r in histories.accessible_pair_relation(held).collect()} == {(1, 2, 2), (1, 3, 1), (2, 3, 1)}
     runs = histories.run_relation(spark.createDataFrame([("a", k) for k in (1, 2, 2, 4, 7, 8, 9)], "g string, pos int"), "g").orderBy("start")
