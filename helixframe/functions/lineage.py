@@ -1,4 +1,4 @@
-"""Results written to the folder of checkpoints that the cluster shares, and their removal."""
+"""Results written to the folder of checkpoints that the cluster shares, their removal, and relations of a few given rows."""
 
 from __future__ import annotations
 
@@ -6,7 +6,10 @@ import os
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -29,3 +32,11 @@ def release(*frames: DataFrame) -> None:
         if plan.getClass().getSimpleName() == "LogicalRDD" and (file := plan.rdd().getCheckpointFile()).isDefined():
             path = sc._jvm.org.apache.hadoop.fs.Path(file.get())
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as a relation that plans know to be small: parts of a model, whose size the data do not change."""
+    kinds = StructType.fromDDL(schema)
+    columns = zip(*rows) if rows else [[] for _ in kinds]
+    arrow = to_arrow_schema(kinds)
+    return spark.createDataFrame(pa.table([pa.array(list(c), f.type) for c, f in zip(columns, arrow)], schema=arrow), kinds).coalesce(1)

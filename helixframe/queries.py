@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import alphabet
-from .operators import encode, engine, estimate, histories, hmm, rate_relations, rates, simulate
-from .operators.kernel import Scene
+from .functions.lineage import local
+from .operators import encode, engine, estimate, histories, hmm, likelihood, rate_relations, rates, simulate
 from .plans import bridge, models
 from .plans.bridge import chains, composition, kept, sequences, sites, table
 from .plans.models import JointModel
@@ -466,12 +466,25 @@ PURINES = f"""{TOK}, xy as (select a.st in (0, 2) x, b.st in (0, 2) y, count(*)
 
 
 def _two_states(spark, d):
-    """Purine or pyrimidine of every two letters that stand side by side: patterns of two tips, and the scene of their tree."""
+    """Purine or pyrimidine of every two letters that stand side by side: patterns of two tips."""
     kind = lambda c: F.when(c.isin(0, 2), 0).otherwise(1)
     both = bridge.neighbour_pairs(spark, d).select(F.lit(0).alias("site"), F.array(kind(F.col("sa")), kind(F.col("sb"))).alias("pattern"), "n")
-    q = np.array([[-1.0, 1.0], [1.0, -1.0]])
-    scene = Scene([("R", "a"), ("R", "b")], np.array([T1, T2]), [0, 0], [q], np.array([0.5, 0.5]), (2,), [("a", 0), ("b", 0)], {"up": [np.array([[0.0, 1.0], [0.0, 0.0]])]}, {"zero": [np.array([1.0, 0.0])]})
-    return encode.compress(both, codon_position=False, n="n"), {1: scene}
+    return kept(encode.compress(both, codon_position=False, n="n"))
+
+
+def _two_state_tree(spark, patterns):
+    """The rates, and the messages of patterns on the tree of two tips."""
+    rates_ = local(spark, [(0, 0, 1, 1.0), (0, 1, 0, 1.0)], "process int, s int, t int, rate double")
+    edges = local(spark, [("R", "a", 0, T1), ("R", "b", 0, T2)], "parent string, child string, process int, length double")
+    prior = local(spark, [(0, 0.5), (1, 0.5)], "s int, p double")
+    axes = local(spark, [(0, "a", 0), (1, "b", 0)], "axis int, node string, pos int")
+    digits = local(spark, [(0, 0, 0), (1, 0, 1)], "s int, pos int, value int")
+    data = likelihood.observations(patterns, axes, digits, edges)
+    return rates_, likelihood.prune(data, edges, likelihood.transitions(rates_, edges, prior), prior)
+
+
+def _edge():
+    return F.when(F.col("child") == "a", 0).otherwise(1).alias("edge")
 
 
 def _end(k):
@@ -480,8 +493,9 @@ def _end(k):
 
 @query(f"with {PURINES} select x, y, n, round(ln(l), 6) lnl from lik")
 def q50_two_state_likelihood(spark, d):
-    patterns, scenes = _two_states(spark, d)
-    return engine.pattern_values(patterns, {0: scenes}).select(_end(0), _end(1), "n", _r(F.col("value")).alias("lnl"))
+    patterns = _two_states(spark, d)
+    tree = _two_state_tree(spark, patterns)[1]
+    return patterns.join(tree.lnl, "pattern").select(_end(0), _end(1), "n", _r(F.col("lnl")).alias("lnl"))
 
 
 @query(f"""with {PURINES} select x, y, edge, n,
@@ -490,23 +504,30 @@ def q50_two_state_likelihood(spark, d):
 def q51_two_state_jumps(spark, d):
     """Expected jumps, and those from the first state to the second: with r and b the ends, half of all and half of what the ends
     differ by."""
-    patterns, scenes = _two_states(spark, d)
-    one = lambda w: engine.pattern_values(patterns, {0: scenes}, want="events", weights=w).select(_end(0), _end(1), "edge", "n", _r(F.col("value")).alias("jumps" if w == "all" else w))
-    return one("all").join(one("up"), ["x", "y", "edge", "n"])
+    patterns = _two_states(spark, d)
+    rates_, tree = _two_state_tree(spark, patterns)
+    above = likelihood.outside(tree)
+    every, up = (likelihood.expected(tree, above, likelihood.integrals(rates_, tree.edges, tree.prior, likelihood.jumps(r))) for r in (rates_, rates_.filter("s = 0")))
+    both = every.withColumnRenamed("value", "jumps").join(up.withColumnRenamed("value", "up"), ["pattern", "child"])
+    return patterns.join(both, "pattern").select(_end(0), _end(1), _edge(), "n", _r(F.col("jumps")).alias("jumps"), _r(F.col("up")).alias("up"))
 
 
 @query(f"""with {PURINES}, z as (select *, case when r = 0 then 1 else -1 end u, case when b = 0 then 1 else -1 end w from g)
  select x, y, edge, n, round(sum(0.5 * other * 0.25 * (t + (u + w) * (1 - exp(-2 * t)) / 2 + u * w * t * exp(-2 * t)) / t) / l, 6) share from z group by x, y, edge, n, l""")
 def q52_two_state_dwell(spark, d):
-    patterns, scenes = _two_states(spark, d)
-    got = engine.pattern_values(patterns, {0: scenes}, want="dwell", weights="zero")
-    return got.select(_end(0), _end(1), "edge", "n", _r(F.col("value")).alias("share"))
+    patterns = _two_states(spark, d)
+    rates_, tree = _two_state_tree(spark, patterns)
+    zero = local(spark, [(0, 0, 0, 1.0)], "process int, s int, t int, w double")
+    got = likelihood.expected(tree, likelihood.outside(tree), likelihood.integrals(rates_, tree.edges, tree.prior, zero))
+    return patterns.join(got, "pattern").join(tree.edges.select("child", "length"), "child").select(_end(0), _end(1), _edge(), "n", _r(F.col("value") / F.col("length")).alias("share"))
 
 
 @query(f"""with {PURINES} select edge, round(sum(n * d), 3) slope from (select x, y, edge, n, sum(0.5 * other * case when r = b then -1 else 1 end * t * exp(-2 * t)) / l d from g group by x, y, edge, n, l) group by edge""")
 def q53_two_state_derivative(spark, d):
-    patterns, scenes = _two_states(spark, d)
-    return engine.totals(engine.pattern_values(patterns, {0: scenes}, want="derivative")).select("edge", F.round("value", 3).alias("slope"))
+    patterns = _two_states(spark, d)
+    rates_, tree = _two_state_tree(spark, patterns)
+    got = likelihood.expected(tree, likelihood.outside(tree), likelihood.slopes(rates_, tree.edges, tree.trans))
+    return patterns.join(got, "pattern").groupBy(_edge()).agg(F.round(F.sum(F.col("n") * F.col("value")), 3).alias("slope"))
 
 
 PATTERNS = """g as (select source, lang, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) seq, row_number() over (partition by source, lang order by doc_id) k from documents where lang in ('de', 'en', 'es', 'fr')),
@@ -670,20 +691,88 @@ PARTS = f"""o as (select cast(p_partkey as int) site, cast(p_size % 2 as int) x,
 
 def _two_state_sites(spark, d):
     obs = table(spark, d, "part").select(F.col("p_partkey").cast("int").alias("site"), F.array((F.col("p_size") % 2).cast("int"), (F.col("p_partkey") % 2).cast("int")).alias("pattern"))
-    return obs, encode.compress(obs, codon_position=False)
+    return obs, kept(encode.compress(obs, codon_position=False))
 
 
 @query(f"with {PARTS} select site, round(ln(l), 6) lnl from lik")
 def q68_sitewise_likelihood(spark, d):
     obs, patterns = _two_state_sites(spark, d)
-    return engine.sitewise(obs, patterns, _two_states(spark, d)[1]).withColumn("lnl", _r(F.col("lnl")))
+    tree = _two_state_tree(spark, patterns)[1]
+    return obs.join(tree.lnl, "pattern").select("site", _r(F.col("lnl")).alias("lnl"))
 
 
 @query(f"""with {PARTS}, g as (select f.site, r, edge, t, case when edge = 0 then x else y end b, case when edge = 0 then p2 else p1 end other, l from f join lik using (site), e)
  select site, edge, round(sum(0.5 * other * case when r = b then t * exp(-t) * sinh(t) else t * exp(-t) * cosh(t) end) / l, 6) jumps from g group by site, edge, l""")
 def q69_sitewise_events(spark, d):
     obs, patterns = _two_state_sites(spark, d)
-    return engine.sitewise_edges(obs, patterns, _two_states(spark, d)[1], "events", "all").select("site", "edge", _r(F.col("value")).alias("jumps"))
+    rates_, tree = _two_state_tree(spark, patterns)
+    got = likelihood.expected(tree, likelihood.outside(tree), likelihood.integrals(rates_, tree.edges, tree.prior, likelihood.jumps(rates_)))
+    return obs.join(got, "pattern").select("site", _edge(), _r(F.col("value")).alias("jumps"))
+
+
+#: A tree of depth three, with lengths, for families of documents.
+SPECIES = [("N0", "N1", 0.2), ("N1", "N2", 0.15), ("N2", "en", 0.1), ("N2", "de", 0.3), ("N1", "fr", 0.25), ("N0", "es", 0.4)]
+_CASE = lambda c: f"case {c} " + " ".join(f"when '{e[1]}' then {e[2]}" for e in SPECIES) + " end"
+#: With equal substitution rates into a letter from all others, exp(q t) has a closed form; w enumerates all nodes of each pattern.
+FAMILIES = f"""{COMP}, {PATTERNS}, m as (select 1 / sum(freq * (1 - freq)) mu from comp), pat as (select coalesce(de, -1) de, coalesce(en, -1) en, coalesce(es, -1) es, coalesce(fr, -1) fr, count(*) n from w group by all),
+ k as (select st, freq from comp), leaf as (select range - 1 seen, unnest(case when range = 0 then [0, 1, 2, 3] else [range - 1] end) st from range(5)),
+ chance as (select e.child, e.t, a.st a, b.st b, b.freq pb, mu, b.freq + exp(-mu * e.t) * ((a.st = b.st)::int - b.freq) p from (select unnest({[e[1] for e in SPECIES]!r}) child, unnest({[e[2] for e in SPECIES]!r}) t) e, k a, k b, m),
+ up2 as (select x.a s2, de.seen de, en.seen en, de.st lde, en.st len, x.p * y.p v from chance x join leaf de on de.st = x.b and x.child = 'de' join chance y on y.child = 'en' and y.a = x.a join leaf en on en.st = y.b),
+ up1 as (select z.a s1, up2.*, f.seen fr, f.st lfr, up2.v * z.p * y.p v1 from chance z join up2 on z.child = 'N2' and z.b = up2.s2 join chance y on y.child = 'fr' and y.a = z.a join leaf f on f.st = y.b),
+ way as (select r.a s0, up1.*, e.seen es, e.st les, k.freq * up1.v1 * r.p * y.p lik from chance r join up1 on r.child = 'N1' and r.b = up1.s1 join chance y on y.child = 'es' and y.a = r.a join leaf e on e.st = y.b join k on k.st = r.a),
+ lik as (select pat.de, pat.en, pat.es, pat.fr, n, sum(lik) l from pat join way using (de, en, es, fr) group by all)"""
+
+
+def _families(spark, d):
+    """Patterns of the families of documents, and their messages on the tree under equal rates into each letter."""
+    pi = kept(composition(spark, d))
+    q = rate_relations.hky(pi, 1.0).select(F.lit(0).alias("process"), F.col("x").alias("s"), F.col("y").alias("t"), F.col("q").alias("rate"))
+    rates_ = kept(q)
+    edges = local(spark, [(a, b, 0, t) for a, b, t in SPECIES], "parent string, child string, process int, length double")
+    prior = pi.select((F.instr(F.lit("ACGT"), F.col("nt")) - 1).alias("s"), F.col("freq").alias("p"))
+    axes = local(spark, [(k, n, 0) for k, n in enumerate(["de", "en", "es", "fr"])], "axis int, node string, pos int")
+    digits = local(spark, [(k, 0, k) for k in range(4)], "s int, pos int, value int")
+    patterns = kept(bridge.family_patterns(spark, d)[2].groupBy("pattern").agg(F.sum("n").alias("n")))
+    tree = likelihood.prune(likelihood.observations(patterns, axes, digits, edges), edges, likelihood.transitions(rates_, edges, prior), prior)
+    return patterns, rates_, tree
+
+
+@query(f"with {FAMILIES} select de || ',' || en || ',' || es || ',' || fr pattern, n, round(ln(l), 6) lnl from lik")
+def q71_tree_likelihood(spark, d):
+    """Likelihoods by joins on a tree of depth three; the rates come from the letters of all documents."""
+    patterns, _, tree = _families(spark, d)
+    return patterns.join(tree.lnl, "pattern").select(F.array_join("pattern", ",").alias("pattern"), "n", _r(F.col("lnl")).alias("lnl"))
+
+
+def _between(d_a: str, d_b: str, c: str) -> str:
+    """The integral of exp(q u) diag(d) exp(q (t - u)) from a to b; c is the mean of d."""
+    f = "exp(-mu * t)"
+    return f"(t * {c} * pb + (1 - {f}) / mu * (pb * {d_b} + {d_a} * pb - 2 * {c} * pb) + t * {f} * ({d_a} * (a = b)::int - {d_a} * pb - pb * {d_b} + {c} * pb))"
+
+
+_EDGE_ENDS = " union all ".join(f"select '{c}' child, {a} a, {b} b, lik, de, en, es, fr from way" for c, a, b in (("N1", "s0", "s1"), ("N2", "s1", "s2"), ("de", "s2", "lde"), ("en", "s2", "len"), ("fr", "s1", "lfr"), ("es", "s0", "les")))
+
+
+@query(f"""with {FAMILIES}, x as ({_EDGE_ENDS}), y as (select pat.n / lik.l * x.lik weight, pat.n, x.child, x.a, x.b from x join pat using (de, en, es, fr) join lik using (de, en, es, fr)),
+ ends as (select child, a, b, sum(weight) weight from y group by all), h as (select weight, chance.*, (select freq from k where st = a) pa, (select sum(freq * mu * (1 - freq)) from k) c, (select freq from k where st = 0) p0 from ends join chance using (child, a, b)),
+ total as (select sum(n) n from pat)
+ select child, round(sum(weight * (t * -mu * exp(-mu * t) * ((a = b)::int - pb) + {_between("mu * (1 - pa)", "mu * (1 - pb)", "c")}) / p) / (select n from total), 6) jumps,
+  round(sum(weight * {_between("(a = 0)::int", "(b = 0)::int", "p0")} / p / t) / (select n from total), 6) share,
+  round(sum(weight * t * -mu * exp(-mu * t) * ((a = b)::int - pb) / p) / (select n from total), 6) slope from h group by child""")
+def q72_edge_expectations(spark, d):
+    """By edge, means over all sites: expected jumps, the share of time in the first letter, and the slope of the log likelihood."""
+    patterns, rates_, tree = _families(spark, d)
+    above = likelihood.outside(tree)
+    first = local(spark, [(0, 0, 0, 1.0)], "process int, s int, t int, w double")
+    inner = {"jumps": likelihood.integrals(rates_, tree.edges, tree.prior, likelihood.jumps(rates_)), "share": likelihood.integrals(rates_, tree.edges, tree.prior, first), "slope": likelihood.slopes(rates_, tree.edges, tree.trans)}
+    rows = None
+    for name, i in inner.items():
+        got = likelihood.expected(tree, above, i).withColumn("what", F.lit(name))
+        rows = got if rows is None else rows.unionByName(got)
+    total = patterns.agg(F.sum("n").alias("total"))
+    mean = patterns.join(rows, "pattern").groupBy("child").pivot("what", list(inner)).agg(F.sum(F.col("n") * F.col("value")))
+    mean = mean.join(tree.edges.select("child", "length"), "child").crossJoin(F.broadcast(total))  # one row
+    return mean.select("child", _r(F.col("jumps") / F.col("total")).alias("jumps"), _r(F.col("share") / F.col("length") / F.col("total")).alias("share"), _r(F.col("slope") / F.col("total")).alias("slope"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
