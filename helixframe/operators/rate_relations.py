@@ -124,3 +124,31 @@ def prune_level(children: DataFrame, k: int, *, parent: str, length: str, messag
     up = children.select(parent, F.transform(states, along).alias("u"))
     sums = up.groupBy(parent).agg(*[F.sum(F.get("u", F.lit(s))).alias(f"s{s}") for s in range(k)])
     return sums.select(parent, F.array(*[F.col(f"s{s}") for s in range(k)]).alias("m"))
+
+
+def codon_pair(pi: DataFrame, kappa: float, omega: float, tau_synonymous: float, tau_other: float, homo_omega: float | None = None, scale: float = 1.0) -> DataFrame:
+    """process, s, t, rate, share: the changes of two codon copies (process 1), and before a duplication (process 0), where both move.
+
+    A state is 61 times the first codon's number plus the second's. A copy takes on the other's codon at ``tau_synonymous`` where
+    both stand for one amino acid, else at ``tau_other``: besides a change of one letter, or alone. ``share`` is what part of a rate
+    is due to copies. With ``homo_omega`` changes to the amino acid of the other copy are selected by it instead of omega, and
+    rates stand in the units that ``scale`` makes of the unselected ones. Rows are made from the 526 changes of one letter and the
+    pairs of codons; no state is compared with another.
+    """
+    spark = pi.sparkSession
+    c = codon_table(spark)
+    other = F.broadcast(c.select(F.col("state").alias("z"), F.col("aa").alias("aa_z")))  # 61 rows
+    named = lambda x: F.broadcast(c.select(F.col("codon").alias(x), F.col("state").alias(f"s_{x}"), F.col("aa").alias(f"aa_{x}")))
+    q = mg94(pi, kappa, omega).join(named("a"), "a").join(named("b"), "b").select(F.col("s_a").alias("x"), F.col("s_b").alias("y"), "aa_a", "aa_b", "q")
+    before = q.select(F.lit(0).alias("process"), (F.col("x") * 62).alias("s"), (F.col("y") * 62).alias("t"), F.col("q").alias("rate"), F.lit(0.0).alias("copied"))
+    point = F.col("q")
+    if homo_omega is not None:
+        point = scale * F.col("q") * F.when((F.col("aa_a") != F.col("aa_b")) & (F.col("aa_b") == F.col("aa_z")), homo_omega / omega).otherwise(1.0)
+    one = q.crossJoin(other).select("x", "y", "z", point.alias("rate"), F.lit(0.0).alias("copied"))
+    tau = F.when(F.col("aa") == F.col("aa_z"), tau_synonymous).otherwise(tau_other)
+    copies = c.crossJoin(other).filter("state <> z").select(F.col("state").alias("x"), F.col("z").alias("y"), "z", tau.alias("rate"), tau.alias("copied"))
+    changes = one.unionByName(copies)
+    first = changes.select((F.col("x") * 61 + F.col("z")).alias("s"), (F.col("y") * 61 + F.col("z")).alias("t"), "rate", "copied")
+    second = changes.select((F.col("z") * 61 + F.col("x")).alias("s"), (F.col("z") * 61 + F.col("y")).alias("t"), "rate", "copied")
+    pair = first.unionByName(second).groupBy("s", "t").agg(F.sum("rate").alias("rate"), F.sum("copied").alias("copied"))
+    return before.unionByName(pair.select(F.lit(1).alias("process"), "s", "t", "rate", "copied")).select("process", "s", "t", "rate", (F.col("copied") / F.col("rate")).alias("share"))

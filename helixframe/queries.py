@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import alphabet
 from .functions.lineage import local
-from .operators import encode, engine, estimate, histories, hmm, likelihood, rate_relations, rates, simulate
+from .operators import encode, engine, estimate, histories, hmm, likelihood, rate_relations, rates, simulate, stencils, waits
 from .plans import bridge, models
 from .plans.bridge import chains, composition, kept, sequences, sites, table
 from .plans.models import JointModel
@@ -775,6 +775,73 @@ def q72_edge_expectations(spark, d):
     return mean.select("child", _r(F.col("jumps") / F.col("total")).alias("jumps"), _r(F.col("share") / F.col("length") / F.col("total")).alias("share"), _r(F.col("slope") / F.col("total")).alias("slope"))
 
 
+COPIED = {"synonymous": 1.5, "other": 0.6}
+
+
+@query(f"""with {MG94}, i as (select cast(unnest(range(61)) as int) st, unnest({alphabet.SENSE_CODONS!r}) codon, unnest({[alphabet.AMINO_ACID[c] for c in alphabet.SENSE_CODONS]!r}) aa),
+ ch as (select x.st x, y.st y, q from mg join i x on x.codon = a join i y on y.codon = b), tau as (select x.st x, z.st z, case when x.aa = z.aa then {COPIED["synonymous"]} else {COPIED["other"]} end v from i x, i z where x.st <> z.st),
+ al as (select x, y, z.st z, q rate, 0.0 copied from ch, i z union all select x, z, z, v, v from tau), pr as (select x * 61 + z s, y * 61 + z t, rate, copied from al union all select z * 61 + x, z * 61 + y, rate, copied from al)
+ select 0 process, x * 62 s, y * 62 t, round(q, 6) rate, 0.0::double share from ch union all select 1, s, t, round(sum(rate), 6), round(sum(copied) / sum(rate), 6) from pr group by s, t""")
+def q73_codon_pair_rates(spark, d):
+    """The 70,966 rates of two codon copies: 526 before the duplication, 70,440 after it."""
+    got = rate_relations.codon_pair(composition(spark, d), KAPPA, OMEGA, COPIED["synonymous"], COPIED["other"])
+    return got.select("process", "s", "t", _r(F.col("rate")).alias("rate"), _r(F.col("share")).alias("share"))
+
+
+WEIGHTS, STEP = (0.4, -0.7), 1e-3
+
+
+@query(f"""with {TOK}, p as (select a.lang, sum((a.st = b.st)::int) n0, sum((abs(a.st - b.st) = 2)::int) n1, sum((abs(a.st - b.st) in (1, 3))::int) n2, count(*)::double n from tok a join tok b on a.doc_id = b.doc_id and b.pos = a.pos + 1 group by all),
+ e as (select exp({WEIGHTS[0]}) / (1 + exp({WEIGHTS[0]}) + exp({WEIGHTS[1]})) q0, exp({WEIGHTS[1]}) / (1 + exp({WEIGHTS[0]}) + exp({WEIGHTS[1]})) q1),
+ m as (select lang, (n1 * (1 - q0) * (1 - q0) + (n0 + n2) * q0 * q0) / n j00, (n0 * q0 * q1 - n1 * (1 - q0) * q1 - n2 * q0 * (1 - q1)) / n j01, (n2 * (1 - q1) * (1 - q1) + (n0 + n1) * q1 * q1) / n j11,
+  q0 * (1 - q0) h00, -q0 * q1 h01, q1 * (1 - q1) h11 from p, e), g as (select *, j00 * j11 - j01 * j01 det from m)
+ select lang, i, j, round(case when i + j = 0 then j00 when i + j = 1 then j01 else j11 end, 5) moment, round(-case when i + j = 0 then h00 when i + j = 1 then h01 else h11 end, 5) hessian,
+  round(case when i + j = 0 then (h00 * h00 * j11 - 2 * h00 * h01 * j01 + h01 * h01 * j00) when i + j = 1 then (h00 * h01 * j11 - h00 * h11 * j01 - h01 * h01 * j01 + h01 * h11 * j00) else (h01 * h01 * j11 - 2 * h01 * h11 * j01 + h11 * h11 * j00) end / det, 4) godambe
+ from g, (select cast(range // 2 as int) i, cast(range % 2 as int) j from range(4))""")
+def q74_godambe_information(spark, d):
+    """Two letters side by side are equal, a transition or a transversion, with weights 1, exp(a), exp(b): derivatives by a and b from
+    a stencil, and the information that they have, by language."""
+    params = local(spark, list(enumerate(WEIGHTS)), "i int, x double")
+    terms = stencils.terms(params, STEP)
+    at = stencils.points(params, terms).groupBy("point").pivot("i", [0, 1]).agg(F.first("x"))
+    kinds = local(spark, [("same",), ("transition",), ("transversion",)], "kind string")
+    a, b = F.col("0"), F.col("1")
+    lnl = F.when(F.col("kind") == "transition", a).when(F.col("kind") == "transversion", b).otherwise(0.0) - F.log(1 + F.exp(a) + F.exp(b))
+    got = stencils.derivatives(at.crossJoin(kinds).select("point", "kind", lnl.alias("value")), terms, "kind")
+    kind = F.when(F.col("sa") == F.col("sb"), "same").when(F.abs(F.col("sa") - F.col("sb")) == 2, "transition").otherwise("transversion")
+    n = bridge.neighbour_pairs(spark, d, "lang").groupBy("lang", kind.alias("kind")).agg(F.sum("n").alias("n"))
+    means = stencils.means(got, n, "kind", "lang")
+    both = means.join(stencils.godambe(means, "lang"), ["lang", "i", "j"])
+    return both.select("lang", "i", "j", F.round("moment", 5).alias("moment"), F.round("hessian", 5).alias("hessian"), F.round("value", 4).alias("godambe"))
+
+
+SPANS = [("b0", 0, 20_000), ("b1", 20_000, 50_000), ("b2", 60_000, 100_000)]
+
+
+@query(f"""with w as (select user_id, event_id, cast(round(value * 100) as bigint) wait, ts from events), c as (select *, sum(wait) over (partition by user_id order by ts, event_id rows unbounded preceding) as total from w),
+ b as (select unnest({[b for b, _, _ in SPANS]!r}) branch, unnest({[x for _, x, _ in SPANS]!r}) begin_, unnest({[y for _, _, y in SPANS]!r}) until_)
+ select user_id, event_id, cast(total as bigint) as "at", branch, cast(total - begin_ as bigint) as since from c join b on total >= begin_ and total < until_""")
+def q75_waiting_times(spark, d):
+    """Users' events as waiting times, until they leave the branches."""
+    e = table(spark, d, "events").select("user_id", "event_id", "ts", F.round(F.col("value") * 100).cast("long").alias("wait"))
+    timed = waits.moments(e, "user_id", ["ts", "event_id"], "wait", F.to_date("ts")).select("user_id", "event_id", "at")
+    spans = F.inline(F.array(*[F.struct(F.lit(b).alias("branch"), F.lit(x).cast("long").alias("begin"), F.lit(y).cast("long").alias("until")) for b, x, y in SPANS]))
+    branches = table(spark, d, "events").select("user_id").distinct().select("user_id", spans)
+    return waits.on_branches(timed, branches, "user_id")
+
+
+@query("""with l as (select source run, unnest(['documents', 'chars', 'longest']) label, unnest([count(*), sum(n_chars), max(n_chars)])::double v from documents group by source)
+ select run, label, v value, avg(v) over (partition by label) mean from l""")
+def q76_summary_files(spark, d):
+    """A summary file for every source, written and read again in one scan, beside the mean over all."""
+    s = table(spark, d, "documents").groupBy(F.col("source").alias("run")).agg(F.count(F.lit(1)).cast("double").alias("documents"), F.sum("n_chars").cast("double").alias("chars"), F.max("n_chars").cast("double").alias("longest"))
+    rows = s.select("run", F.posexplode(F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).alias("value")) for c in ("documents", "chars", "longest")])).alias("place", "x")).select("run", "place", "x.*")
+    with bridge.scratch(spark) as folder:
+        tables.write_summaries(rows, folder)
+        got = kept(tables.summaries(spark, folder).select("run", "label", "value"))
+    return got.join(got.groupBy("label").agg(F.avg("value").alias("mean")), "label").select("run", "label", "value", "mean")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likelihood of every site pattern of the families that the documents make, under substitution and copying."""
     return q42_igc_pruning_kernel(spark, sf_dir)

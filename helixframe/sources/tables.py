@@ -126,29 +126,55 @@ def read_moments(spark: SparkSession, path: str, column: str) -> DataFrame:
     return spark.read.text(path).select(F.transform(F.split("value", " "), lambda x: x.cast("double")).alias(column))
 
 
+def _summary_rows(texts: DataFrame) -> DataFrame:
+    """place, label, value of texts, a whole file each: numbers and labels are matched by their place."""
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
+    numbers = F.filter(lines, lambda x: ~x.startswith("#"))
+    labels = F.filter(F.split(F.regexp_replace(F.element_at(F.filter(lines, lambda x: x.startswith("#")), -1), r"\A#\s*", ""), r"\s+"), lambda x: x != "")
+    rest = [c for c in texts.columns if c != "value"]
+    rows = texts.select(*rest, F.posexplode(F.arrays_zip(labels.alias("label"), numbers.alias("number"))).alias("place", "x"))
+    return rows.filter("x.label is not null and x.number is not null").select(*rest, "place", F.col("x.label").alias("label"), F.col("x.number").cast("double").alias("value"))
+
+
 def read_summary(spark: SparkSession, path: str) -> DataFrame:
     """label, value of a summary: one number a line, and a last line ``# labels``."""
-    lines = [r["value"] for r in spark.read.text(path).collect()]  # some dozen numbers
-    labels = lines[-1].lstrip("# ").split()
-    return spark.createDataFrame([(k, float(v)) for k, v in zip(labels, lines)], "label string, value double")
+    return _summary_rows(spark.read.text(path, wholetext=True)).select("label", "value")
 
 
 def write_summary(summary: DataFrame, path: str) -> None:
-    """The numbers, then their labels; parts are as small as a model."""
+    """The numbers, then their labels, as one file wherever Spark's file systems reach; parts are as small as a model."""
     rows = summary.select("label", "value").collect()
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w") as f:
-        f.writelines(f"{r['value']:.18e}\n" for r in rows)
-        f.write("# " + " ".join(r["label"] for r in rows) + "\n")
+    text = "".join(f"{r['value']:.18e}\n" for r in rows) + "# " + " ".join(r["label"] for r in rows) + "\n"
+    sc = summary.sparkSession.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(sc._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def write_summaries(rows: DataFrame, path: str) -> None:
+    """Summaries (run, place, label, value) of any number of runs as a file each, below ``run=...`` in a folder.
+
+    A run's numbers, as many as its model has, make up one text; texts are dealt out by run.
+    """
+    number = F.transform("x", lambda r: F.format_string("%.18e", r["value"]))
+    texts = rows.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("place", "label", "value"))).alias("x"))
+    text = F.concat(F.array_join(number, "\n"), F.lit("\n# "), F.array_join(F.transform("x", lambda r: r["label"]), " "))
+    texts.select(text.alias("value"), "run").repartition("run").write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy("run").text(path)
+
+
+def summaries(spark: SparkSession, path: str) -> DataFrame:
+    """run, place, label, value of all files that write_summaries wrote into a folder, in one scan."""
+    return _summary_rows(spark.read.option("basePath", path).schema("value string, run string").text(path, wholetext=True)).select("run", "place", "label", "value")
 
 
 def read_summaries(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """label and one column of values for each run: a pivot of the runs' summaries."""
-    rows = None
-    for run, path in paths.items():
-        one = read_summary(spark, path).withColumn("run", F.lit(run))
-        rows = one if rows is None else rows.unionByName(one)
-    return pivot_summaries(rows, list(paths))
+    """label and one column of values for each run: a pivot of the runs' summaries, read in one scan and told apart by their files."""
+    texts = spark.read.text(sorted(set(paths.values())), wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    tail = lambda p: "/" + p.split("://")[-1].lstrip("/")
+    of = F.explode(F.array(*[F.struct(F.lit(run).alias("run"), F.lit(tail(path)).alias("path")) for run, path in paths.items()]))
+    named = texts.select("*", of.alias("r")).filter(F.url_decode("file").endswith(F.col("r.path")) | F.url_decode("file").contains(F.concat(F.col("r.path"), F.lit("/")))).select("value", F.col("r.run").alias("run"))
+    return pivot_summaries(_summary_rows(named).select("run", "label", "value"), list(paths))
 
 
 def pivot_summaries(rows: DataFrame, runs: list[str] | None = None) -> DataFrame:
