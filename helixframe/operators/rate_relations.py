@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -152,3 +153,45 @@ def codon_pair(pi: DataFrame, kappa: float, omega: float, tau_synonymous: float,
     second = changes.select((F.col("z") * 61 + F.col("x")).alias("s"), (F.col("z") * 61 + F.col("y")).alias("t"), "rate", "copied")
     pair = first.unionByName(second).groupBy("s", "t").agg(F.sum("rate").alias("rate"), F.sum("copied").alias("copied"))
     return before.unionByName(pair.select(F.lit(1).alias("process"), "s", "t", "rate", "copied")).select("process", "s", "t", "rate", (F.col("copied") / F.col("rate")).alias("share"))
+
+
+def joint(pi: DataFrame, kappa: float, groups: Sequence[int], tau: dict[tuple[int, int], float]) -> DataFrame:
+    """s, t, rate, share: changes of a joint state whose positions belong to ``groups``; those of one group change together.
+
+    A group takes on what another (donor, recipient) holds at the rate that ``tau`` has for them. States in which
+    positions of a group differ are none. ``share`` is what part of a rate is due to copies.
+    """
+    spark = pi.sparkSession
+    m = len(groups)
+    weight = [4 ** (m - 1 - k) for k in range(m)]
+    digits = spark.range(0, 4**m, numPartitions=1).select(F.col("id").cast("int").alias("s")).withColumn("d", F.array(*[F.pmod(F.floor(F.col("s") / w), F.lit(4)).cast("int") for w in weight]))
+    alive = sorted(set(groups))
+    first = {g: list(groups).index(g) for g in alive}
+    for k, g in enumerate(groups):
+        digits = digits.filter(F.get("d", F.lit(k)) == F.get("d", F.lit(first[g])))
+    which = F.explode(F.array(*[F.struct(F.lit(g).alias("g"), F.lit(first[g]).alias("at"), F.lit(sum(w for w, h in zip(weight, groups) if h == g)).alias("w")) for g in alive]))
+    rows = digits.select("s", "d", which.alias("e")).withColumn("x", F.get("d", F.col("e.at"))).join(F.broadcast(hky(pi, kappa)), "x")  # twelve rates
+    copied = reduce(lambda a, b: a + b, [F.when((F.col("e.g") == r) & (F.get("d", F.lit(first[g])) == F.col("y")), float(v)).otherwise(0.0) for (g, r), v in tau.items() if g in first and r in first], F.lit(0.0))
+    rate = F.col("q") + copied
+    return rows.select("s", (F.col("s") + (F.col("y") - F.col("x")) * F.col("e.w")).cast("int").alias("t"), rate.alias("rate"), (copied / rate).alias("share"))
+
+
+def root_prior(pi: DataFrame, positions: int) -> DataFrame:
+    """s, prior: the root's distribution, on the joint states whose positions agree."""
+    repeat = sum(4**k for k in range(positions))
+    return pi.select(((F.instr(F.lit("".join(NUCLEOTIDES)), F.col("nt")) - 1) * repeat).cast("int").alias("s"), F.col("freq").alias("prior"))
+
+
+def pair_site_single(pi: DataFrame, kappa: float) -> DataFrame:
+    """s, t, rate: before the duplication both copies change together, at one of two positions at a time."""
+    other = F.broadcast(pi.sparkSession.range(0, 4, numPartitions=1).select(F.col("id").cast("int").alias("z")))
+    q = hky(pi, kappa).crossJoin(other)
+    first = q.select((F.col("x") * 68 + F.col("z") * 17).alias("s"), (F.col("y") * 68 + F.col("z") * 17).alias("t"), F.col("q").alias("rate"))
+    return first.unionByName(q.select((F.col("z") * 68 + F.col("x") * 17).alias("s"), (F.col("z") * 68 + F.col("y") * 17).alias("t"), F.col("q").alias("rate")))
+
+
+def absorbing(pi: DataFrame, kappa: float, tau: float) -> DataFrame:
+    """s, t, rate: two copies that change alone (16 states) until one copies the other (state 16)."""
+    spark = pi.sparkSession
+    alone = two_paralogs(pi, kappa, 0.0).select("s", "t", "rate")
+    return alone.unionByName(spark.range(0, 16, numPartitions=1).select(F.col("id").cast("int").alias("s"), F.lit(16).alias("t"), F.lit(2.0 * tau).alias("rate")))

@@ -628,59 +628,41 @@ def q61_tract_surface(spark, d):
     return got.select("log_p", "user_id", _r(F.col("lnl")).alias("lnl"))
 
 
-def _shares(spark, d) -> np.ndarray:
-    by = {r["nt"]: r["freq"] for r in composition(spark, d).collect()}  # four rows
-    return np.array([by[c] for c in "ACGT"])
-
-
-def _relation(spark, rows, schema):
-    return spark.createDataFrame(rows, schema).coalesce(1)
-
-
 @query(_registered["q36_two_paralog_hky_igc"][1])
 def q62_joint_process_matrix(spark, d):
-    """The process of two copies as a matrix over all states, and its rates that are not zero."""
-    p = rates.joint(((1, 1), (2, 1)), rates.hky(_shares(spark, d), KAPPA), {(1, 2): TAU, (2, 1): TAU})
-    got = _relation(spark, rates.relation(p), "s int, t int, rate double, share double")
+    """The process of two copies by the relation for any configuration."""
+    got = rate_relations.joint(composition(spark, d), KAPPA, (1, 2), {(1, 2): TAU, (2, 1): TAU})
     return got.select("s", "t", _r(F.col("rate")).alias("rate"), _r(F.col("share")).alias("share"))
 
 
 @query(_registered["q39_pair_site_rates"][1])
 def q63_pair_site_matrix(spark, d):
-    q = rates.hky(_shares(spark, d), KAPPA)
-    got = _relation(spark, rates.relation(rates.pair_site(q, q, SPACE, INIT, PAIR_P)), "s int, t int, rate double, share double")
-    return got.select("s", "t", _r(F.col("rate")).alias("rate"))
+    return rate_relations.pair_site(composition(spark, d), KAPPA, SPACE, INIT, PAIR_P).select("s", "t", _r(F.col("rate")).alias("rate"))
 
 
 @query(_registered["q37_mg94_rates"][1])
 def q64_codon_matrix(spark, d):
-    q = rates.mg94(_shares(spark, d), KAPPA, OMEGA)
-    rows = [(rates.CODON_LIST[i], rates.CODON_LIST[j], float(q[i, j])) for i, j in zip(*np.nonzero(q))]
-    return _relation(spark, rows, "a string, b string, q double").withColumn("q", _r(F.col("q")))
+    return rate_relations.mg94(composition(spark, d), KAPPA, OMEGA).select("a", "b", _r(F.col("q")).alias("q"))
 
 
 @query(f"""with {HKY}, z as (select cast(range as int) z from range(4))
  select x * 64 + z * 16 + x * 4 + z s, y * 64 + z * 16 + y * 4 + z t, round(q, 6) rate from hky, z union all select z * 64 + x * 16 + z * 4 + x, z * 64 + y * 16 + z * 4 + y, round(q, 6) from hky, z""")
 def q65_single_lineage_pairs(spark, d):
     """Before the duplication both copies change together."""
-    q = rates.hky(_shares(spark, d), KAPPA)
-    m = rates.pair_site_single(q, q)
-    return _relation(spark, [(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m))], "s int, t int, rate double").withColumn("rate", _r(F.col("rate")))
+    return rate_relations.pair_site_single(composition(spark, d), KAPPA).select("s", "t", _r(F.col("rate")).alias("rate"))
 
 
 @query(f"with {COMP} select st * 21 s, round(freq, 6) prior from comp")
 def q66_root_prior(spark, d):
     """The root's distribution lies on the states whose three positions agree."""
-    prior = rates.root_prior(((1, 1), (2, 1), (3, 1)), _shares(spark, d))
-    return _relation(spark, [(int(s), float(prior[s])) for s in np.flatnonzero(prior)], "s int, prior double").withColumn("prior", _r(F.col("prior")))
+    return rate_relations.root_prior(composition(spark, d), 3).select("s", _r(F.col("prior")).alias("prior"))
 
 
 @query(f"""with {HKY}, z as (select cast(range as int) z from range(4)) select x * 4 + z s, y * 4 + z t, round(q, 6) rate from hky, z union all select z * 4 + x, z * 4 + y, round(q, 6) from hky, z
  union all select cast(range as int), 16, {2 * TAU} from range(16)""")
 def q67_absorbing_process(spark, d):
     """Two copies that change alone until one copies the other."""
-    m = rates.no_copy_absorbing(rates.hky(_shares(spark, d), KAPPA), TAU)
-    return _relation(spark, [(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m)) if i != j], "s int, t int, rate double").withColumn("rate", _r(F.col("rate")))
+    return rate_relations.absorbing(composition(spark, d), KAPPA, TAU).select("s", "t", _r(F.col("rate")).alias("rate"))
 
 
 PARTS = f"""o as (select cast(p_partkey as int) site, cast(p_size % 2 as int) x, cast(p_partkey % 2 as int) y from part),
@@ -842,6 +824,26 @@ def q76_summary_files(spark, d):
     return got.join(got.groupBy("label").agg(F.avg("value").alias("mean")), "label").select("run", "label", "value", "mean")
 
 
+@query("""with c as (select o_custkey tree, count(distinct o_orderstatus = 'F') filter (o_orderkey % 2 = 0) a, count(distinct o_orderstatus) filter (o_orderkey % 2 = 1) b from orders group by 1)
+ select tree, 1 + greatest(a, b) positions, 1 + a as one, 1 + b as two from c""")
+def q77_configuration_search(spark, d):
+    """Two lineages of every customer, with as many duplications as the even orders are finished or not, and the odd ones have kinds of status: the
+    positions that the smallest joint state needs, and the groups at both tips. The second lineage shares out positions that the first has made."""
+    o = table(spark, d, "orders")
+    kinds = lambda odd, of: F.countDistinct(F.when(F.pmod("o_orderkey", F.lit(2)) == odd, of)).cast("int")
+    n = o.groupBy(F.col("o_custkey").alias("tree")).agg(kinds(0, F.col("o_orderstatus") == "F").alias("a"), kinds(1, F.col("o_orderstatus")).alias("b"))
+    step = lambda at, node, parent, kind, place: F.struct(at.cast("int").alias("step"), node.alias("node"), parent.alias("parent"), F.lit(kind).alias("kind"), F.lit(place).cast("int").alias("at"))
+    name = lambda k: F.concat(F.lit("D"), k.cast("string"))
+    above = lambda k, first: F.when(k == first, "N0").otherwise(name(k - 1))
+    line = lambda first, count, shift: F.when(count > 0, F.transform(F.sequence(first, first + count - 1), lambda k: step(k + shift, name(k), above(k, first), "duplication", 0))).otherwise(F.array().cast("array<struct<step:int,node:string,parent:string,kind:string,at:int>>"))
+    a, b = F.col("a"), F.col("b")
+    ends = [step(F.lit(0), F.lit("N0"), F.lit(None).cast("string"), "speciation", None), step(a + 1, F.lit("a"), above(a + 1, F.lit(1)), "tip", None), step(a + b + 2, F.lit("b"), above(a + b + 1, a + 1), "tip", None)]
+    steps = n.select("tree", F.explode(F.concat(F.array(*ends), line(F.lit(1), a, 0), line(a + 1, b, 1))).alias("e")).select("tree", "e.*")
+    got = histories.search(steps)
+    groups = lambda tip: F.countDistinct(F.when(F.col("node") == tip, F.col("orlg")))
+    return got.groupBy("tree").agg(F.countDistinct("pos").alias("positions"), groups("a").alias("one"), groups("b").alias("two"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likelihood of every site pattern of the families that the documents make, under substitution and copying."""
     return q42_igc_pruning_kernel(spark, sf_dir)
