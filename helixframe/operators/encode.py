@@ -69,17 +69,20 @@ def interleave(parts: Sequence[DataFrame], site: str = "site") -> DataFrame:
     return out
 
 
-def axes(gene_map: DataFrame, confs: DataFrame) -> DataFrame:
-    """axis, name, node, pos: the data of each position of each tip, in order of name, node and position.
+def axes(gene_map: DataFrame, confs: DataFrame, *by: str) -> DataFrame:
+    """``by``, axis, name, node, pos: the data of each position of each tip, in order of name, node and position.
 
     A gene gives one axis for each position its group holds in its species' configuration; positions of lost groups give an
-    axis named ``distinct``, which is never observed. Species without a configuration are left out.
+    axis named ``distinct``, which is never observed. Species without a configuration are left out. With columns ``by``, such as
+    a family, axes are numbered for each of their values, of any number.
     """
     sp = F.get(F.split("gene", "__"), F.lit(0))
-    held = with_groups(gene_map.select(F.col("gene").alias("name"), sp.alias("node"), "orlg"), confs.filter("alive = 1"), ["node", "orlg"]).select("name", "node", "pos")
-    lost = in_tree(confs.filter("alive = 0"), gene_map.select(sp.alias("tip")), species="node").select(F.lit("distinct").alias("name"), "node", "pos")
+    genes = gene_map.select(*by, F.col("gene").alias("name"), sp.alias("node"), "orlg")
+    held = with_groups(genes, confs.filter("alive = 1"), [*by, "node", "orlg"]).select(*by, "name", "node", "pos")
+    lost = confs.filter("alive = 0").join(genes.select(*by, "node"), [*by, "node"], "left_semi").select(*by, F.lit("distinct").alias("name"), "node", "pos")
     rows = held.unionByName(lost)
-    return rows.withColumn("axis", F.row_number().over(Window.orderBy("name", "node", "pos")) - 1).select("axis", "name", "node", "pos")  # as many rows as the tree has tips
+    order = Window.partitionBy(*by).orderBy("name", "node", "pos")  # as many rows as a tree has tips
+    return rows.withColumn("axis", F.row_number().over(order) - 1).select(*by, "axis", "name", "node", "pos")
 
 
 def observations(sites: DataFrame, axes_: DataFrame) -> DataFrame:

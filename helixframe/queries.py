@@ -844,6 +844,37 @@ def q77_configuration_search(spark, d):
     return got.groupBy("tree").agg(F.countDistinct("pos").alias("positions"), groups("a").alias("one"), groups("b").alias("two"))
 
 
+@query("""with g as (select o_custkey family, 't' || (o_orderkey % 5) || '__o' || o_orderkey as name, 't' || (o_orderkey % 5) as node, o_orderkey % 3 as orlg from orders),
+ c as (select distinct family, 't' || k as node, pos, (pos + k) % 3 as orlg, (family + pos + k) % 4 <> 0 as alive from g, (select unnest(range(5)) k), (select unnest(range(3)) pos)),
+ r as (select g.family, name, g.node, pos from g join c on c.family = g.family and c.node = g.node and c.orlg = g.orlg and alive
+  union all select family, 'distinct', node, pos from c where not alive and exists (select 1 from g where g.family = c.family and g.node = c.node))
+ select family, cast(row_number() over (partition by family order by name, node, pos) - 1 as int) as axis, name, node, cast(pos as int) as pos from r""")
+def q78_observation_axes(spark, d):
+    """Every customer's orders as the genes of a family, with a configuration of three positions for each of five species."""
+    o = table(spark, d, "orders")
+    species = lambda k: F.concat(F.lit("t"), k.cast("string"))
+    genes = o.select(F.col("o_custkey").alias("family"), F.concat(species(F.col("o_orderkey") % 5), F.lit("__o"), "o_orderkey").alias("gene"), (F.col("o_orderkey") % 3).cast("int").alias("orlg"))
+    places = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(p).alias("pos")) for k in range(5) for p in range(3)]))
+    confs = genes.select("family").distinct().select("family", places.alias("e")).select("family", species(F.col("e.k")).alias("node"), "e.pos", ((F.col("e.pos") + F.col("e.k")) % 3).alias("orlg"), F.when((F.col("family") + F.col("e.pos") + F.col("e.k")) % 4 != 0, 1).otherwise(0).alias("alive"))
+    return encode.axes(genes, confs, "family")
+
+
+CLASSES = list(range(1, 51))
+
+
+@query(f"""with {PARTS}, g as (select f.site, r, edge, t, case when edge = 0 then x else y end b, case when edge = 0 then p2 else p1 end other, l from f join lik using (site), e),
+ j as (select site, edge, sum(0.5 * other * case when r = b then t * exp(-t) * sinh(t) else t * exp(-t) * cosh(t) end) / l jumps from g group by site, edge, l)
+ select edge, {", ".join(f'round(avg(jumps) filter (p_size = {k}), 6) as "{k}"' for k in CLASSES)} from j join part on p_partkey = site group by edge""")
+def q79_posterior_matrix(spark, d):
+    """Mean expected jumps as a matrix: a row an edge, a column a size of parts."""
+    obs, patterns = _two_state_sites(spark, d)
+    rates_, tree = _two_state_tree(spark, patterns)
+    got = likelihood.expected(tree, likelihood.outside(tree), likelihood.integrals(rates_, tree.edges, tree.prior, likelihood.jumps(rates_)))
+    sizes = table(spark, d, "part").select(F.col("p_partkey").cast("int").alias("part"), F.col("p_size").alias("size"))
+    rows = obs.join(got, "pattern").join(sizes, F.col("site") == F.col("part")).groupBy(_edge(), F.col("size").alias("site")).agg(_r(F.avg("value")).alias("value"))
+    return engine.posterior_matrix(rows, CLASSES)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likelihood of every site pattern of the families that the documents make, under substitution and copying."""
     return q42_igc_pruning_kernel(spark, sf_dir)
