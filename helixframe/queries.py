@@ -15,6 +15,7 @@ from .plans import bridge, models
 from .plans.bridge import chains, composition, kept, sequences, sites, table
 from .plans.models import JointModel
 from .sources import forest, newick, tables
+from .streaming.forward import log_stream
 
 ETA, TRACT_P, LENGTH = 0.05, 0.3, 0.8
 KAPPA, OMEGA, TAU = 2.5, 0.4, 1.5
@@ -875,6 +876,19 @@ def q79_posterior_matrix(spark, d):
     return engine.posterior_matrix(rows, CLASSES)
 
 
+@query("""select user_id, event_type, cast(count(*) as bigint) as n, cast(sum(cast(round(value * 100) as bigint)) as bigint) as cents, min(event_id) as first, max(event_id) as last from events group by user_id, event_type""")
+def q80_event_log(spark, d):
+    """Events streamed into a log, then streamed again by a query without memory of that: each batch replaces itself."""
+    schema = table(spark, d, "events").schema
+    with bridge.scratch(spark) as folder:
+        for attempt in range(2):
+            events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/events.parquet*")  # a stream takes folders and patterns
+            log_stream(events, f"{folder}/log", f"{folder}/attempt-{attempt}").awaitTermination()
+        log = spark.read.parquet(f"{folder}/log")
+        cents = F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents")
+        return kept(log.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), cents, F.min("event_id").alias("first"), F.max("event_id").alias("last")))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likelihood of every site pattern of the families that the documents make, under substitution and copying."""
     return q42_igc_pruning_kernel(spark, sf_dir)

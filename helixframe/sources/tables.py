@@ -197,6 +197,10 @@ def load_x(path: str) -> np.ndarray | None:
     return np.atleast_1d(np.loadtxt(path)) if os.path.exists(path) else None
 
 
-def append_log(rows: DataFrame, path: str) -> None:
-    """Appends events or iterations to a Parquet log."""
-    rows.write.mode("append").parquet(path)
+def append_log(rows: DataFrame, path: str, batch: int | str | None = None) -> None:
+    """Appends events or iterations to a Parquet log. With the id of a ``batch`` its rows take the place of those that an earlier attempt
+    at the batch has left, so that a repeated batch counts once; the log then has a column ``batch``."""
+    if batch is None:
+        rows.write.mode("append").parquet(path)
+    else:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")

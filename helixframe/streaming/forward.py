@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.tables import append_log
+
 OUTPUT = "key string, seen long, lnl double"
 STATE = "f0 double, f1 double, seen long, last double"
 
@@ -49,3 +51,12 @@ def forward_stream(rows: DataFrame, prior: tuple[float, float], transition: list
 def append_events(rows: DataFrame, path: str, checkpoint: str):
     """A stream of events appended to a Parquet log, each once."""
     return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def log_stream(rows: DataFrame, path: str, checkpoint: str):
+    """A stream of events written to a log by batch: a batch that is tried again, also by a query that lost its checkpoint, replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        append_log(batch, path, number)
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -108,3 +108,33 @@ def test_summary_files(spark, tmp_path):
     assert wide.columns == ["label", "first", "second"] and wide.count() == 3 and wide.filter("first is null or second is null").count() == 0
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         tables.read_summaries(spark, {"none": str(tmp_path / "none")})
+
+
+def test_a_repeated_batch_counts_once(spark, tmp_path):
+    rows = spark.range(10).withColumn("v", F.col("id") * 2)
+    path = str(tmp_path / "log")
+    tables.append_log(rows, path, 0)
+    tables.append_log(rows.filter("id < 4"), path, 1)
+    tables.append_log(rows, path, 0)
+    assert [(r["batch"], r["count"]) for r in spark.read.parquet(path).groupBy("batch").count().orderBy("batch").collect()] == [(0, 10), (1, 4)]
+
+
+def test_streamed_batches_replace_themselves(spark, tmp_path):
+    from helixframe.streaming.forward import log_stream
+
+    for k in range(3):
+        spark.range(k * 10, k * 10 + 10).coalesce(1).write.parquet(str(tmp_path / "in" / f"part{k}"))
+    for attempt in range(2):
+        stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+        log_stream(stream, str(tmp_path / "log"), str(tmp_path / f"cp{attempt}")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "log"))
+    assert got.count() == got.select("id").distinct().count() == 30
+
+
+def test_axes_by_family(spark):
+    from helixframe.operators import encode
+
+    genes = spark.createDataFrame([(1, "a__x", 1), (1, "a__y", 2), (2, "a__x", 1), (2, "z__x", 1)], "family int, gene string, orlg int")
+    confs = spark.createDataFrame([(f, "a", p, o, alive) for f, p, o, alive in ((1, 0, 1, 1), (1, 1, 2, 1), (2, 0, 1, 1), (2, 1, 1, 1), (2, 2, 3, 0))], "family int, node string, pos int, orlg int, alive int")
+    got = sorted(map(tuple, encode.axes(genes, confs, "family").collect()))
+    assert got == [(1, 0, "a__x", "a", 0), (1, 1, "a__y", "a", 1), (2, 0, "a__x", "a", 0), (2, 1, "a__x", "a", 1), (2, 2, "distinct", "a", 2)]
