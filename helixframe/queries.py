@@ -889,6 +889,16 @@ def q80_event_log(spark, d):
         return kept(log.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), cents, F.min("event_id").alias("first"), F.max("event_id").alias("last")))
 
 
+@query(f"""with {SEQ}, a as (select source, seq, lang || '__' || (doc_id % 50) as name, case when doc_id % 50 < 40 then lang end as gene from seq),
+ w as (select source, length(seq) n, max(length(seq)) over (partition by source) top, gene, row_number() over (partition by source, name) nth from a),
+ c as (select source, unnest(['lengths', 'genes', 'names', 'threes']) as problem, unnest([count(*) filter (n <> top), count(*) filter (gene is null), count(*) filter (nth > 1), count(*) filter (n % 3 <> 0)]) as n from w group by source)
+ select * from c where n > 0""")
+def q81_alignment_violations(spark, d):
+    """All that keeps the documents of each source from being an alignment of codons."""
+    seqs = sequences(spark, d).select("source", F.coalesce("seq", F.lit("")).alias("seq"), F.concat("lang", F.lit("__"), (F.col("doc_id") % 50).cast("string")).alias("name"), F.when(F.col("doc_id") % 50 < 40, F.col("lang")).alias("gene"))
+    return tables.alignment_violations(seqs, "source", coding=True)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likelihood of every site pattern of the families that the documents make, under substitution and copying."""
     return q42_igc_pruning_kernel(spark, sf_dir)

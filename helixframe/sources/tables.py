@@ -41,6 +41,25 @@ def check_alignment(seqs: DataFrame, *, coding: bool = False) -> int:
     return r["longest"]
 
 
+def alignment_violations(seqs: DataFrame, *by: str, coding: bool = False) -> DataFrame:
+    """``by``, problem, n: all that is wrong with alignments, where ``check_alignment`` raises: sequences not as long as the longest of
+    theirs (``lengths``), names without a gene (``genes``) or used before (``names``), and when coding lengths not in threes (``threes``).
+
+    Sequences are counted by length before they meet, so that an alignment of very many is no large group.
+    """
+    size = F.coalesce(F.length("seq"), F.lit(0))
+    kinds = seqs.groupBy(*by, size.alias("length")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("gene").isNull()).alias("genes"))
+    longest = F.max(F.struct("length")).alias("top")
+    tops = kinds.groupBy(*by).agg(longest, F.sum("n").alias("all"), F.sum("genes").alias("genes"), F.sum(F.when(F.lit(coding) & (F.col("length") % 3 != 0), F.col("n")).otherwise(0)).alias("threes"))
+    same = kinds.select(*by, F.struct("length").alias("top"), "n")
+    on = [*by, "top"]
+    lengths = tops.join(same, on).withColumn("lengths", F.col("all") - F.col("n")).drop("n", "top", "all")
+    twice = seqs.groupBy(*by, "name").count().filter("count > 1").groupBy(*by).agg(F.sum(F.col("count") - 1).alias("names"))
+    both = lengths.join(twice, list(by), "left") if by else lengths.crossJoin(twice)  # one row
+    wide = both.withColumn("names", F.coalesce("names", F.lit(0)))
+    return wide.unpivot(list(by), ["lengths", "genes", "names", "threes"], "problem", "n").filter("n > 0")
+
+
 def check_index(index: DataFrame, n_sites: int, *, coding: bool = False) -> None:
     """Raises unless the index has a row for each site, at places that rise, and coding sites come in whole codons."""
     r = index.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("nt_index").alias("places"), F.count_if(~F.col("codon_site").isin(1, 2, 3)).alias("odd")).first()

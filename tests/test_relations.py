@@ -138,3 +138,12 @@ def test_axes_by_family(spark):
     confs = spark.createDataFrame([(f, "a", p, o, alive) for f, p, o, alive in ((1, 0, 1, 1), (1, 1, 2, 1), (2, 0, 1, 1), (2, 1, 1, 1), (2, 2, 3, 0))], "family int, node string, pos int, orlg int, alive int")
     got = sorted(map(tuple, encode.axes(genes, confs, "family").collect()))
     assert got == [(1, 0, "a__x", "a", 0), (1, 1, "a__y", "a", 1), (2, 0, "a__x", "a", 0), (2, 1, "a__x", "a", 1), (2, 2, "distinct", "a", 2)]
+
+
+def test_alignment_violations(spark):
+    rows = [("f", "a__x", "x", "ACGT"), ("f", "b__x", "x", "ACG"), ("f", "b__x", None, "ACGA"), ("g", "a__y", "y", "ACG"), ("h", "n", None, None), ("h", "m", "x", "AAA")]
+    df = spark.createDataFrame(rows, "family string, name string, gene string, seq string")
+    found = lambda d: sorted(tuple(r) for r in d.collect())
+    assert found(tables.alignment_violations(df, "family", coding=True)) == [("f", "genes", 1), ("f", "lengths", 1), ("f", "names", 1), ("f", "threes", 2), ("h", "genes", 1), ("h", "lengths", 1)]
+    assert found(tables.alignment_violations(df.filter("family = 'f'"))) == [("genes", 1), ("lengths", 1), ("names", 1)]
+    assert found(tables.alignment_violations(df.filter("family = 'g'"), coding=True)) == []
