@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import alphabet
 from .functions.lineage import local
-from .operators import encode, engine, estimate, histories, hmm, likelihood, rate_relations, rates, simulate, stencils, waits
+from .operators import encode, engine, estimate, histories, hmm, likelihood, rate_relations, rates, shared, simulate, stencils, waits
 from .plans import bridge, models
 from .plans.bridge import chains, composition, kept, sequences, sites, table
 from .plans.models import JointModel
@@ -899,6 +899,26 @@ def q81_alignment_violations(spark, d):
     return tables.alignment_violations(seqs, "source", coding=True)
 
 
+@query(f"""with {TOK}, p as (select a.source, sum((abs(a.st - b.st) = 2)::int) n1, sum((abs(a.st - b.st) in (1, 3))::int) n2, count(*)::double n from tok a join tok b on a.doc_id = b.doc_id and b.pos = a.pos + 1 group by all),
+ e as (select exp({WEIGHTS[0]}) / (1 + exp({WEIGHTS[0]}) + exp({WEIGHTS[1]})) q0, exp({WEIGHTS[1]}) / (1 + exp({WEIGHTS[0]}) + exp({WEIGHTS[1]})) q1)
+ select 'a' place, round(sum((n1 - n * q0) / n), 5) as value, count(*) families from p, e union all select source || ':b', round((n2 - n * q1) / n, 5), 1 from p, e""")
+def q82_shared_parameters(spark, d):
+    """Sources as families: the weight of transitions is shared, that of transversions each one's own; means of their derivatives, in one vector."""
+    params = local(spark, list(enumerate(WEIGHTS)), "i int, x double")
+    terms = stencils.terms(params, STEP)
+    at = stencils.points(params, terms).groupBy("point").pivot("i", [0, 1]).agg(F.first("x"))
+    apart = F.abs(F.col("sa") - F.col("sb"))
+    n = bridge.neighbour_pairs(spark, d, "source").groupBy("source").agg(F.sum("n").alias("n"), F.sum(F.when(apart == 2, F.col("n")).otherwise(0)).alias("n1"), F.sum(F.when(apart.isin(1, 3), F.col("n")).otherwise(0)).alias("n2"))
+    a, b = F.col("0"), F.col("1")
+    mean = (F.col("n1") * a + F.col("n2") * b) / F.col("n") - F.log(1 + F.exp(a) + F.exp(b))
+    n = kept(n)
+    values = n.crossJoin(F.broadcast(at)).select("point", "source", mean.alias("value"))  # the points of two parameters
+    name = F.when(F.col("i") == 0, "a").otherwise("b").alias("name")
+    got = stencils.derivatives(values, terms, "source").filter("j is null").select(F.col("source").alias("family"), name, "value")
+    names = n.select(F.col("source").alias("family"), F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(k == "a").alias("shared")) for k in "ab"])).alias("e")).select("family", "e.*")
+    return shared.gradient(got, names).select("place", F.round("value", 5).alias("value"), "families")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likelihood of every site pattern of the families that the documents make, under substitution and copying."""
     return q42_igc_pruning_kernel(spark, sf_dir)

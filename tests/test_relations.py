@@ -147,3 +147,13 @@ def test_alignment_violations(spark):
     assert found(tables.alignment_violations(df, "family", coding=True)) == [("f", "genes", 1), ("f", "lengths", 1), ("f", "names", 1), ("f", "threes", 2), ("h", "genes", 1), ("h", "lengths", 1)]
     assert found(tables.alignment_violations(df.filter("family = 'f'"))) == [("genes", 1), ("lengths", 1), ("names", 1)]
     assert found(tables.alignment_violations(df.filter("family = 'g'"), coding=True)) == []
+
+
+def test_shared_parameters(spark):
+    from helixframe.operators import shared
+
+    names = spark.createDataFrame([(f, n, n == "tau") for f in ("x", "y", "z", "w") for n in ("tau", "len")], "family string, name string, shared boolean")
+    values = [("x", "tau", 1.0), ("x", "len", 2.0), ("y", "tau", 0.5), ("y", "len", -1.0), ("z", "tau", 9.0), ("z", "len", float("nan")), ("w", "tau", 4.0)]
+    df = spark.createDataFrame(values, "family string, name string, value double")
+    assert sorted(map(tuple, shared.gradient(df, names).collect())) == [("tau", 1.5, 2), ("x:len", 2.0, 1), ("y:len", -1.0, 1)]
+    assert sorted(map(tuple, shared.failures(df, names).collect())) == [("w", "len"), ("z", "len")]
