@@ -18,6 +18,8 @@ from .common import connected_components, cut, dealt, release, sieve, spare
 #: Letters whose counts are compared before a pair is verified; one edit changes two of the counts by one at most.
 LETTERS = "etanhiords"
 WIDTH = 6  # bits of a count
+#: Of lines over twice as long, the letters of so many characters at each end are counted.
+END = 96
 #: More letters, whose counts are compared once the texts of a pair are at hand.
 MORE_LETTERS = "lcupmfgbwvykqz.,"
 #: Bits above the counts: the segment is the line's own; it is of the line's own length; never set.
@@ -38,16 +40,23 @@ def _hashes(norm: Column) -> tuple[Column, Column]:
 
 
 def _letter_counts(rows: DataFrame) -> DataFrame:
-    """rows with ``counts`` of the letters in norm. Each letter is taken out of what the ones before have left, a column at a
-    time: as one expression the shorter strings would be made again for each that follows."""
-    left = "norm"
+    """rows with ``counts`` of the letters in norm, of a long line in its two ends. Each letter is taken out of what the ones before have left, a column at a
+    time: as one expression the shorter strings would be made again for each that follows.
+
+    Ends are as near as whole lines: a substitution changes two of an end's counts by one, an insertion or deletion in an end one,
+    and one more by what it moves over the end's inner border; an edit between the ends changes none. Where only one
+    of two lines has its middle left out, that is not longer than the insertions are many.
+    """
+    ends = F.concat(F.substring("norm", 1, END), F.substring("norm", -END, END))
+    rows = rows.withColumn("ends", F.when(F.length("norm") > 2 * END, ends).otherwise(F.col("norm")))
+    left = "ends"
     for k, c in enumerate(LETTERS):
         rows = rows.withColumn(f"left{k}", F.replace(F.col(left), F.lit(c), F.lit("")))
         left = f"left{k}"
-    sizes = [F.octet_length(c) for c in ("norm", *[f"left{k}" for k in range(len(LETTERS))])]
+    sizes = [F.octet_length(c) for c in ("ends", *[f"left{k}" for k in range(len(LETTERS))])]
     counts = [F.least(x - y, F.lit((1 << WIDTH) - 1)).cast("long") for x, y in zip(sizes, sizes[1:])]
     packed = reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(c, WIDTH * k) for k, c in enumerate(counts)])
-    return rows.withColumn("counts", packed).drop(*[f"left{k}" for k in range(len(LETTERS))])
+    return rows.withColumn("counts", packed).drop("ends", *[f"left{k}" for k in range(len(LETTERS))])
 
 
 def _near_counts(a: Column, b: Column, edits: int) -> Column:
@@ -65,14 +74,16 @@ def _keys(rows: DataFrame, combinations: list[tuple[int, int, int]], parts: int)
     """rows once for each (less, i, shift): key is that of segment i of a line shorter by less, read shift places on.
 
     The combinations are exploded, so that one small expression serves all of them. The last of the parts are longer by one.
+    Segments are read from four bytes a character, where a place is found without a walk from the line's beginning.
     """
+    rows = rows.withColumn("wide", F.encode("norm", "UTF-32"))
     c = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(t).alias("t")) for d, i, t in combinations])).alias("c")
     rows = rows.select("*", c).withColumn("len", F.col("n") - F.col("c.d"))
     rows = rows.withColumn("more", F.pmod("len", F.lit(parts))).withColumn("base", F.expr(f"(len - more) div {parts}").cast("int"))
     start = (F.col("c.i") - 1) * F.col("base") + F.greatest(F.col("c.i") - 1 - (parts - F.col("more")), F.lit(0)) + 1 + F.col("c.t")
     size = F.col("base") + F.when(F.col("c.i") > parts - F.col("more"), 1).otherwise(0)
     rows = rows.withColumn("start", start).withColumn("size", size).filter("start >= 1 and start + size - 1 <= n")
-    return rows.withColumn("key", F.xxhash64("len", "c.i", F.substring("norm", F.col("start"), F.col("size"))))
+    return rows.withColumn("key", F.xxhash64("len", "c.i", F.substring("wide", 4 * F.col("start") - 3, 4 * F.col("size")))).drop("wide")
 
 
 def _probes(edits: int) -> list[tuple[int, int, int]]:
