@@ -130,17 +130,3 @@ def test_no_pair_of_a_hot_segment_is_lost(spark, hot):
     got = {tuple(sorted((name[r["a"]], name[r["b"]]))) for r in lines.candidates(rows, 2, lines.hot_segments(rows, 2, hot)).collect()}
     want = {(a, b) for i, b in enumerate(texts) for a in texts[:i] if abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2}
     assert len(want) > 300 and want <= got
-
-
-def test_ends_of_long_lines_are_as_near_as_the_lines(spark, monkeypatch):
-    """Lines within two edits have near counts, whatever is cut from their middles and wherever the edits are."""
-    monkeypatch.setattr(lines, "END", 6)
-    rng = random.Random(13)
-    pairs = []
-    for _ in range(1500):
-        a = "".join(rng.choice("etanhx") for _ in range(rng.randint(9, 20)))
-        pairs.append((a, edit(rng, a, 2)))
-    rows = spark.createDataFrame(pairs, "p string, q string")
-    counts = [lines._letter_counts(rows.withColumn("norm", F.col(c))).withColumnRenamed("counts", f"c{c}").drop("norm") for c in "pq"]
-    both = counts[0].join(counts[1], ["p", "q"])
-    assert both.filter(~lines._near_counts(F.col("cp"), F.col("cq"), 2)).count() == 0 < both.count()
