@@ -9,7 +9,7 @@ of rates with itself. Sums over patterns are left to the caller.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -106,6 +106,25 @@ def integrals(rates: DataFrame, edges: DataFrame, prior: DataFrame, weights: Dat
     return x.join(F.broadcast(kinds.select("child", "k")), "k").select("child", F.col("s.s").alias("a"), F.col("t.s").alias("b"), F.col("v").alias("p"))
 
 
+def transitions_with(rates: DataFrame, edges: DataFrame, prior: DataFrame, **weights: DataFrame) -> DataFrame:
+    """child, a, b, p, and for each of ``weights`` the integral that it has in ``integrals``, all from one exponential.
+
+    Its states stand once for the chances and once more for each weight; the first are what all others come from.
+    """
+    kinds = _kinds(edges)
+    each = F.broadcast(_one(kinds.select("k", "process", "length")).distinct())
+    copies = F.array(*[F.lit(k) for k in range(len(weights) + 1)])
+    of = lambda copy, c: F.struct(copy.alias("copy"), F.col(c).alias("s"))
+    a = generator(rates).withColumn("copy", F.explode(copies)).select("process", of(F.col("copy"), "s").alias("s"), of(F.col("copy"), "t").alias("t"), F.col("rate").alias("v"))
+    for k, w in enumerate(weights.values(), 1):
+        a = a.unionByName(w.select("process", of(F.lit(0), "s").alias("s"), of(F.lit(k), "t").alias("t"), F.col("w").cast("double").alias("v")))
+    states = _states(rates, prior).withColumn("copy", F.explode(copies)).select(of(F.col("copy"), "s").alias("s"))
+    x = exponential(a.join(each, "process").select("k", "s", "t", (F.col("v") * F.col("length")).alias("v")), states.crossJoin(each.select("k"))).filter("s.copy = 0")
+    each_v = [F.sum(F.when(F.col("t.copy") == k, F.col("v")).otherwise(0.0)).alias(n) for k, n in enumerate(["p", *weights])]
+    wide = x.groupBy("k", F.col("s.s").alias("a"), F.col("t.s").alias("b")).agg(*each_v)
+    return cut(wide.join(F.broadcast(kinds.select("child", "k")), "k").select("child", "a", "b", "p", *weights))
+
+
 def slopes(rates: DataFrame, edges: DataFrame, trans: DataFrame) -> DataFrame:
     """child, a, b, p: length times the derivative of the chances by the length, q exp(q length)."""
     q = generator(rates).join(F.broadcast(edges.select("child", "process", "length")), "process").select("child", F.col("s").alias("a"), F.col("t").alias("via"), (F.col("rate") * F.col("length")).alias("r"))
@@ -129,7 +148,7 @@ def observations(patterns: DataFrame, axes: DataFrame, digits: DataFrame, edges:
 @dataclass
 class Pruned:
     """below (pattern, node, s, v): what is under each node, of largest value 1; up (pattern, parent, child, s, v): the same at the
-    upper end of each edge; lnl (pattern, lnl)."""
+    upper end of each edge; lnl (pattern, lnl). ``made`` are the results that stand in the checkpoint folder."""
 
     edges: DataFrame
     trans: DataFrame
@@ -141,9 +160,12 @@ class Pruned:
     depth: int
     root: str
     observed: frozenset[str]
+    made: list[DataFrame] = field(default_factory=list)
 
     def release(self) -> None:
-        release(self.trans, self.data, self.below, self.up)
+        """Removes all messages, those of ``outside`` too, and the chances; nothing made from them can be read again."""
+        release(self.trans, *self.made)
+        self.made.clear()
 
 
 def _scaled(rows: DataFrame, *by: str) -> DataFrame:
@@ -158,8 +180,16 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
 
 
-def prune(data: DataFrame, edges: DataFrame, trans: DataFrame, prior: DataFrame) -> Pruned:
-    """Messages up the tree, a level of it at a time from the deepest on, and the likelihood of every pattern (-inf if impossible)."""
+def dealt(data: DataFrame) -> DataFrame:
+    """data, dealt out by patterns and written once."""
+    return cut(data.select("pattern", "node", "s").repartition("pattern"))
+
+
+def prune(data: DataFrame, edges: DataFrame, trans: DataFrame, prior: DataFrame, *, ready: bool = False) -> Pruned:
+    """Messages up the tree, a level of it at a time from the deepest on, and the likelihood of every pattern (-inf if impossible).
+
+    ``ready`` says that data are ``dealt`` and stay the caller's.
+    """
     spark = data.sparkSession
     rows = edges.select("parent", "child", "process", "length").limit(MOST_EDGES + 1).collect()
     if len(rows) > MOST_EDGES:
@@ -169,7 +199,8 @@ def prune(data: DataFrame, edges: DataFrame, trans: DataFrame, prior: DataFrame)
     top = max(depth.values())
     edges = local(spark, [(*r, depth[r["child"]]) for r in rows], "parent string, child string, process int, length double, depth int")
     # at a node as many messages meet as it has edges, and one more with data
-    data = cut(data.select("pattern", "node", "s").repartition("pattern"))
+    data = data if ready else dealt(data)
+    made = [] if ready else [data]
     has = {r["node"] for r in data.select("node").distinct().collect()}  # nodes of the tree
     expected = local(spark, [(n, k, len(tree.children(n)) + (n in has)) for n, k in depth.items()], "node string, depth int, meet int")
     own = data.join(F.broadcast(expected), "node").select("pattern", "node", "s", F.lit(1.0).alias("v"), F.lit(0.0).alias("scale"), "depth", "meet")
@@ -182,17 +213,19 @@ def prune(data: DataFrame, edges: DataFrame, trans: DataFrame, prior: DataFrame)
             here = here.unionByName(waiting.join(F.broadcast(expected.select("node", "meet")), "node").select("pattern", "node", "s", "v", "scale", "meet"))
         met = here.groupBy("pattern", "node", "s").agg(F.product("v").alias("v"), F.sum("scale").alias("scale"), F.count(F.lit(1)).alias("n"), F.first("meet").alias("meet")).filter("n = meet")
         now = cut(_scaled(met.select("pattern", "node", "s", "v", "scale"), "pattern", "node"))
+        made.append(now)
         below = now if below is None else below.unionByName(now)
         if d:
             rows = now.join(along, ["node", "s"]).groupBy("pattern", "parent", F.col("node").alias("child"), F.col("a").alias("s")).agg(F.sum(F.col("v") * F.col("p")).alias("v"), F.first("scale").alias("scale"))
             ups = cut(rows)
+            made.append(ups)
             up = ups if up is None else up.unionByName(ups)
             waiting = ups.select("pattern", F.col("parent").alias("node"), "s", "v", "scale")
         else:
             seen = now.join(F.broadcast(prior), "s").groupBy("pattern").agg((F.log(F.sum(F.col("v") * F.col("p"))) + F.first("scale")).alias("lnl"))
     every = data.select("pattern").distinct()
     lnl = every.join(seen, "pattern", "left").select("pattern", F.coalesce("lnl", F.lit(-math.inf)).alias("lnl"))
-    return Pruned(edges, trans, prior, data, below.drop("scale"), None if up is None else up.drop("scale"), lnl, top, tree.root, frozenset(has))
+    return Pruned(edges, trans, prior, data, below.drop("scale"), None if up is None else up.drop("scale"), lnl, top, tree.root, frozenset(has), made)
 
 
 def outside(tree: Pruned) -> DataFrame:
@@ -214,9 +247,11 @@ def outside(tree: Pruned) -> DataFrame:
         one = F.lit(1.0)
         others = F.coalesce(F.product("u").over(w.rowsBetween(Window.unboundedPreceding, -1)), one) * F.coalesce(F.product("u").over(w.rowsBetween(1, Window.unboundedFollowing)), one)
         above = cut(_scaled(each.select("pattern", "child", "s", (F.col("v") * others).alias("v")), "pattern", "child"))
+        tree.made.append(above)
         got = above if got is None else got.unionByName(above)
         if d < tree.depth:
             outer = cut(above.join(along, ["child", "s"]).groupBy("pattern", F.col("child").alias("node"), F.col("b").alias("s")).agg(F.sum(F.col("v") * F.col("p")).alias("v")))
+            tree.made.append(outer)
     return got
 
 
@@ -226,14 +261,25 @@ def expected(tree: Pruned, above: DataFrame, inner: DataFrame) -> DataFrame:
     With ``integrals`` of the rates of jumps it is their expected number, of states the expected time in them, and with
     ``slopes`` the derivative of the log likelihood by the logarithm of the length. A pattern that cannot be has no value.
     """
-    named = lambda df, c: df.select("child", F.col("a").alias("s"), "b", F.col("p").alias(c))
+    named = lambda df, c: df.select("child", "a", "b", F.col("p").alias(c))
     zero = F.lit(0.0)
-    both = named(tree.trans, "p").withColumn("i", zero).unionByName(named(inner, "i").withColumn("p", zero)).groupBy("child", "s", "b").agg(F.sum("p").alias("p"), F.sum("i").alias("i"))
-    ends = above.join(_small(cut(both)), ["child", "s"]).groupBy("pattern", "child", F.col("b").alias("s")).agg(F.sum(F.col("v") * F.col("p")).alias("p"), F.sum(F.col("v") * F.col("i")).alias("i"))
-    got = ends.join(tree.below.select("pattern", F.col("node").alias("child"), "s", "v"), ["pattern", "child", "s"]).groupBy("pattern", "child").agg(F.sum(F.col("p") * F.col("v")).alias("p"), F.sum(F.col("i") * F.col("v")).alias("i"))
-    return got.filter("p > 0").select("pattern", "child", (F.col("i") / F.col("p")).alias("value"))
+    both = named(tree.trans, "p").withColumn("value", zero).unionByName(named(inner, "value").withColumn("p", zero)).groupBy("child", "a", "b").agg(F.sum("p").alias("p"), F.sum("value").alias("value"))
+    return expected_each(tree, above, cut(both), "value")
+
+
+def expected_each(tree: Pruned, above: DataFrame, inner: DataFrame, *names: str) -> DataFrame:
+    """As ``expected``, of several columns of ``inner`` (child, a, b, p, names) at once, as ``transitions_with`` has them."""
+    v = F.col("v")
+    ends = above.join(_small(inner.withColumnRenamed("a", "s")), ["child", "s"]).groupBy("pattern", "child", F.col("b").alias("s")).agg(*[F.sum(v * F.col(n)).alias(n) for n in ("p", *names)])
+    got = ends.join(tree.below.select("pattern", F.col("node").alias("child"), "s", "v"), ["pattern", "child", "s"]).groupBy("pattern", "child").agg(*[F.sum(F.col(n) * v).alias(n) for n in ("p", *names)])
+    return got.filter("p > 0").select("pattern", "child", *[(F.col(n) / F.col("p")).alias(n) for n in names])
 
 
 def jumps(rates: DataFrame, reward: Column | None = None) -> DataFrame:
     """process, s, t, w: weights of all jumps, each rate times its reward."""
     return rates.select("process", "s", "t", (F.col("rate") * (F.lit(1.0) if reward is None else reward)).alias("w"))
+
+
+def exits(rates: DataFrame) -> DataFrame:
+    """process, s, t, w: weights of time spent in states, each the rate at which the state is left."""
+    return rates.filter("s <> t").groupBy("process", "s").agg(F.sum("rate").alias("w")).select("process", "s", F.col("s").alias("t"), "w")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import alphabet
 from .functions.lineage import local
-from .operators import encode, engine, estimate, histories, hmm, likelihood, rate_relations, rates, shared, simulate, stencils, waits
+from .operators import encode, engine, estimate, histories, hmm, lengths, likelihood, rate_relations, rates, shared, simulate, stencils, waits
 from .plans import bridge, models
 from .plans.bridge import chains, composition, kept, sequences, sites, table
 from .plans.models import JointModel
@@ -919,6 +919,38 @@ def q82_shared_parameters(spark, d):
     return shared.gradient(got, names).select("place", F.round("value", 5).alias("value"), "families")
 
 
+def _em(x: str) -> str:
+    """Chance of the ends of an edge and jumps between them, if d says that the ends differ."""
+    return f"{{d}} * exp(-t{x}) * sinh(t{x}) + (1 - {{d}}) * exp(-t{x}) * cosh(t{x})"
+
+
+def _em_jumps(x: str) -> str:
+    return f"sum(n * (l1 * (d{x} * t{x} / tanh(t{x}) + (1 - d{x}) * t{x} * tanh(t{x})) + l2 * ((1 - d{x}) * t{x} / tanh(t{x}) + d{x} * t{x} * tanh(t{x}))) / (l1 + l2)) / sum(n)"
+
+
+ROUNDS = 3
+
+
+@query(f"""with recursive b as (select (l_linenumber + (l_discount > 0.095)::int) % 2 a, (l_linenumber + (l_tax > 0.075)::int) % 2 b, (l_linenumber + (l_quantity > 42.5)::int) % 2 c from lineitem),
+ pat as (select (a <> m)::int da, (b <> m)::int db, (c <> m)::int dc, count(*) n from (select *, (a + b + c >= 2)::int m from b) group by all),
+ em as (select 0 k, 0.0::double lnl, 0.1::double ta, 0.2::double tb, 0.3::double tc union all
+  select k + 1, sum(n * ln(0.5 * (l1 + l2))), {", ".join(_em_jumps(x) for x in "abc")} from (select *, {" * ".join("(" + _em(x).format(d="d" + x) + ")" for x in "abc")} l1, {" * ".join("(" + _em(x).format(d=f"(1 - d{x})") + ")" for x in "abc")} l2 from em, pat where k < {ROUNDS}) group by k)
+ select unnest(['a', 'b', 'c']) child, round(unnest([ta, tb, tc]), 6) length, round(lnl, 3) lnl from em where k = {ROUNDS}""")
+def q83_length_em(spark, d):
+    """Three tips with a letter of two kinds each, whose ancestor is not seen: lengths after some rounds, and the likelihood before the last."""
+    bit = lambda c: ((F.col("l_linenumber") + c.cast("int")) % 2).cast("int")
+    tips = F.array(bit(F.col("l_discount") > 0.095), bit(F.col("l_tax") > 0.075), bit(F.col("l_quantity") > 42.5))
+    patterns = kept(table(spark, d, "lineitem").groupBy(tips.alias("pattern")).agg(F.count(F.lit(1)).alias("n")))
+    rates_ = local(spark, [(0, 0, 1, 1.0), (0, 1, 0, 1.0)], "process int, s int, t int, rate double")
+    edges = local(spark, [("R", "a", 0, 0.1), ("R", "b", 0, 0.2), ("R", "c", 0, 0.3)], "parent string, child string, process int, length double")
+    prior = local(spark, [(0, 0.5), (1, 0.5)], "s int, p double")
+    axes = local(spark, [(k, n, 0) for k, n in enumerate("abc")], "axis int, node string, pos int")
+    digits = local(spark, [(0, 0, 0), (1, 0, 1)], "s int, pos int, value int")
+    got, history = lengths.fit(likelihood.observations(patterns, axes, digits, edges), patterns, edges, rates_, prior, rounds=ROUNDS)
+    last = history.agg(F.max_by("lnl", "round").alias("lnl"))  # one row
+    return got.crossJoin(F.broadcast(last)).select("child", _r(F.col("length")).alias("length"), _r(F.col("lnl"), 3).alias("lnl"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likelihood of every site pattern of the families that the documents make, under substitution and copying."""
     return q42_igc_pruning_kernel(spark, sf_dir)
