@@ -15,7 +15,7 @@ from .plans import bridge, models
 from .plans.bridge import chains, composition, kept, sequences, sites, table
 from .plans.models import JointModel
 from .sources import forest, newick, tables
-from .streaming.forward import log_stream
+from .streaming.forward import forward_stream, log_stream
 
 ETA, TRACT_P, LENGTH = 0.05, 0.3, 0.8
 KAPPA, OMEGA, TAU = 2.5, 0.4, 1.5
@@ -951,6 +951,25 @@ def q83_length_em(spark, d):
     return got.crossJoin(F.broadcast(last)).select("child", _r(F.col("length")).alias("length"), _r(F.col("lnl"), 3).alias("lnl"))
 
 
+CHANCES = ((0.6, 0.4), ((0.9, 0.1), (0.2, 0.8)))
+
+
+@query(f"""with recursive c as (select user_id, row_number() over (partition by user_id order by ts, event_id) - 1 site, -0.25 * strpos('sepvc', substr(event_type, 1, 1)) e0, -1.0 + 0.1 * strpos('sepvc', substr(event_type, 1, 1)) e1,
+  {", ".join(f"ln({CHANCES[1][i][j]}) p{i}{j}" for i in (0, 1) for j in (0, 1))} from events),
+ f as (select user_id, site, (e0 + ln({CHANCES[0][0]}))::double a, (e1 + ln({CHANCES[0][1]}))::double b from c where site = 0
+  union all select c.user_id, c.site, c.e0 + {LSE.format(a='(f.a + c.p00)', b='(f.b + c.p10)')}, c.e1 + {LSE.format(a='(f.a + c.p01)', b='(f.b + c.p11)')} from f join c on c.user_id = f.user_id and c.site = f.site + 1)
+ select user_id, site + 1 seen, round({LSE.format(a='a', b='b')}, 6) lnl from f where (user_id, site) in (select user_id, max(site) from c group by 1)""")
+def q84_forward_stream(spark, d):
+    """The forward sum of every user's events as a stream: the last state that each user's chain came to."""
+    kind = F.instr(F.lit("sepvc"), F.substring("event_type", 1, 1))
+    with bridge.scratch(spark) as folder:
+        events = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")  # all files at once: they need not follow each other in time
+        rows = events.select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "event_id", (kind * -0.25).alias("e0"), (kind * 0.1 - 1.0).alias("e1"))
+        log_stream(forward_stream(rows, *CHANCES, remember=400 * 86_400_000, order=["event_id"]), f"{folder}/log", f"{folder}/state", mode="update").awaitTermination()
+        log = spark.read.schema("key string, seen long, lnl double").parquet(f"{folder}/log")
+        return kept(log.groupBy(F.col("key").cast("long").alias("user_id")).agg(F.max("seen").alias("seen"), _r(F.max_by("lnl", "seen")).alias("lnl")))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likelihood of every site pattern of the families that the documents make, under substitution and copying."""
     return q42_igc_pruning_kernel(spark, sf_dir)

@@ -343,6 +343,24 @@ def test_forward_as_a_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == sum(map(len, batches))
 
 
+def test_forward_of_many_rows_and_ties(spark, tmp_path):
+    from helixframe.streaming.forward import forward_stream
+
+    prior, t = (0.4, 0.6), [[0.9, 0.1], [0.2, 0.8]]
+    rng = np.random.default_rng(5)
+    sizes = {"one": 1, "two": 2, "odd": 33, "even": 64}
+    es = {k: rng.normal(size=(n, 2)).tolist() for k, n in sizes.items()}
+    rows = [(k, 1_700_000_000 + i // 4, i, *map(float, e)) for k, v in es.items() for i, e in enumerate(v)]
+    source = tmp_path / "in"
+    df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "key string, k long, nth int, e0 double, e1 double")
+    df.select("key", F.timestamp_seconds("k").alias("ts"), "nth", "e0", "e1").coalesce(1).write.parquet(str(source))
+    stream = spark.readStream.schema("key string, ts timestamp, nth int, e0 double, e1 double").parquet(str(source))
+    out = forward_stream(stream, prior, t, order=["nth"]).writeStream.format("memory").queryName("ties").outputMode("update")
+    out.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = {r["key"]: (r["seen"], r["lnl"]) for r in spark.table("ties").collect()}
+    assert got == {k: (n, pytest.approx(float(np.logaddexp(*_chain(es[k], prior, t))))) for k, n in sizes.items()}
+
+
 def _chain(es, prior, t):
     f = np.log(prior) + es[0]
     for x in es[1:]:
