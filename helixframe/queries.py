@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import alphabet
+from .functions import alphabet, states
 from .functions.lineage import local
 from .operators import encode, engine, estimate, histories, hmm, lengths, likelihood, rate_relations, rates, shared, simulate, stencils, waits
 from .plans import bridge, models
@@ -970,6 +970,31 @@ def q84_forward_stream(spark, d):
         return kept(log.groupBy(F.col("key").cast("long").alias("user_id")).agg(F.max("seen").alias("seen"), _r(F.max_by("lnl", "seen")).alias("lnl")))
 
 
+PLACES = ([(1, 1), (1, 1), (2, 1), (2, 0)], [(0, 1), (0, 1), (0, 1), (1, 0)], [(0, 1), (1, 1), (1, 1), (2, 0)])
+
+
+@query(f"""with {SEQ}, w as (select lang, cast(doc_id % 3 as int) kind, seq, unnest(range(1, length(seq) - 4)) i from seq),
+ c as (select lang, kind, {", ".join(f"substr(seq, i{f' + {k}' if k else ''}, 1) a{k}" for k in range(6))} from w),
+ s as (select *, kind <> 0 valid, case kind when 0 then a0 = a1 when 1 then a0 = a1 and a1 = a2 else a1 = a2 end sa, case kind when 0 then a2 = a3 when 1 then a2 = a3 and a3 = a4 else a3 = a4 end sb,
+  (a0 <> a2)::int d0, (a1 <> a3)::int d1, (a2 <> a4)::int d2, (a3 <> a5)::int d3 from c)
+ select lang, kind, valid, count(*) n, count(*) filter (sa) states, count(*) filter (sa and sb and d3 = 0 and case kind when 0 then d0 + d2 when 1 then d0 else d0 + d1 end = 1) changes,
+  count(*) filter (d0 + d1 + d2 + d3 = 1 or (d0 = 1 and d1 = 1 and d2 = 0 and d3 = 0) or (d0 = 0 and d1 = 0 and d2 = 1 and d3 = 1 and a4 = a0 and a5 = a1)) pairs from s group by all""")
+def q85_state_changes(spark, d):
+    """Letters of documents as states of four places, each beside that two letters on: how many are states, and are one change apart,
+    in the configuration of their document and as pairs of sites."""
+    confs = F.array(*[F.array(*[F.struct(F.lit(o).alias("orlg"), F.lit(a).alias("alive")) for o, a in c]) for c in PLACES])
+    codes = F.transform(F.filter(F.split("seq", ""), lambda c: c != ""), lambda c: alphabet.nucleotide_state(c))
+    rows = sequences(spark, d).select("lang", (F.col("doc_id") % 3).cast("int").alias("kind"), codes.alias("codes"))
+    windows = F.arrays_zip(*[F.slice("codes", k + 1, F.greatest(F.size("codes") - 5, F.lit(0))).alias(f"a{k}") for k in range(6)])
+    w = rows.select("lang", "kind", F.explode(windows).alias("w"))
+    w = w.select("lang", "kind", F.array(*[F.col(f"w.a{k}") for k in range(4)]).alias("a"), F.array(*[F.col(f"w.a{k}") for k in range(2, 6)]).alias("b"))
+    # equal windows of one kind are alike, and there are at most 3 x 4^6 of them in a language
+    w = w.groupBy("lang", "kind", "a", "b").agg(F.count(F.lit(1)).alias("n")).withColumn("c", F.get(confs, F.col("kind")))
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
+    of = lambda ok: F.sum(F.when(ok, F.col("n")).otherwise(0))
+    return w.groupBy("lang", "kind", states.is_configuration(c).alias("valid")).agg(F.sum("n").alias("n"), of(states.is_state_of(a, c)).alias("states"), of(states.is_change_of(a, b, c)).alias("changes"), of(states.is_pair_change(a, b)).alias("pairs"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likelihood of every site pattern of the families that the documents make, under substitution and copying."""
     return q42_igc_pruning_kernel(spark, sf_dir)
