@@ -589,7 +589,7 @@ def q59_newick_edges(spark, d):
     name = F.when(n % 5 == 0, F.concat(F.lit("D"), n.cast("string"))).otherwise(F.concat(F.lit("tip"), n.cast("string")))
     below = table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list(name)), ",").alias("tips"))
     inner = F.concat(F.lit("("), "tips", F.lit(")N"), F.col("n_regionkey") + 1)
-    text = below.agg(F.concat(F.lit("("), F.array_join(F.collect_list(inner), ", "), F.lit(")N0;")).alias("text"))
+    text = below.agg(F.concat(F.lit("("), F.array_join(F.array_sort(F.collect_list(inner)), ", "), F.lit(")N0;")).alias("text"))
     return forest.laid_out(forest.edges(text.select(F.lit(0).alias("tree"), "text")), "tree").select("edge_id", "parent", "child", "kind")
 
 
@@ -599,8 +599,8 @@ def q59_newick_edges(spark, d):
 def q70_newick_forest(spark, d):
     """The orders of every customer as a tree of their own: Newick texts with branch lengths, to edges in layout order and depths."""
     o = table(spark, d, "orders").withColumn("inner", F.concat(F.lit("N"), F.col("o_orderkey") % 3 + 1))
-    tips = o.groupBy("o_custkey", "inner").agg(F.array_join(F.collect_list(F.concat(F.lit("o"), "o_orderkey", F.lit(":"), "o_totalprice")), ", ").alias("tips"))
-    texts = tips.groupBy(F.col("o_custkey").alias("tree")).agg(F.concat(F.lit("("), F.array_join(F.collect_list(F.concat(F.lit("("), "tips", F.lit(")"), "inner")), ","), F.lit(")N0;")).alias("text"))
+    tips = o.groupBy("o_custkey", "inner").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("o"), "o_orderkey", F.lit(":"), "o_totalprice"))), ", ").alias("tips"))
+    texts = tips.groupBy(F.col("o_custkey").alias("tree")).agg(F.concat(F.lit("("), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("("), "tips", F.lit(")"), "inner"))), ","), F.lit(")N0;")).alias("text"))
     found = kept(forest.edges(texts))
     depths = forest.paths(found, by=["tree"]).select("tree", F.col("node").alias("child"), "depth")
     return forest.laid_out(found.join(depths, ["tree", "child"]), "tree").select("tree", "parent", "child", "kind", "length", "depth", "edge_id")

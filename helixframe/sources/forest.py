@@ -48,8 +48,13 @@ def edges(texts: DataFrame, *, id: str = "tree", text: str = "text") -> DataFram
     A null text has no edges, and neither has a tree of one node.
     """
     n = nodes(tokens(texts, id=id, text=text))
-    above = n.filter("closed is not null").select("tree", F.col("closed").alias("group"), F.col("node").alias("parent"))
-    return n.join(above, ["tree", "group"]).select("tree", "parent", F.col("node").alias("child"), node_kind_column(F.col("node")).alias("kind"), "length")
+    # each label stands by the brackets that it is in and by those that it closes, so the texts are made once: texts whose parts
+    # come in any order, as a list of a shuffle does, would have other places in each of two sides of a join
+    at = F.explode(F.array(F.struct(F.col("group").alias("at"), F.lit(False).alias("closes")), F.struct(F.col("closed").alias("at"), F.lit(True).alias("closes")))).alias("e")
+    n = n.select("tree", "node", "length", at).select("tree", "node", "length", "e.*").filter("at is not null")
+    parent = F.max(F.when(F.col("closes"), F.col("node"))).over(Window.partitionBy("tree", "at"))
+    n = n.withColumn("parent", parent).filter("not closes and parent is not null")
+    return n.select("tree", "parent", F.col("node").alias("child"), node_kind_column(F.col("node")).alias("kind"), "length")
 
 
 def laid_out(edges_: DataFrame, *by: str) -> DataFrame:

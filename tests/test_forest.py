@@ -62,3 +62,22 @@ def test_a_long_chain_takes_few_rounds(spark):
     rows = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(300)], "parent string, child string")
     got = {r["node"]: r["depth"] for r in forest.paths(rows, "n0").collect()}
     assert got == {f"n{k}": k for k in range(1, 301)}
+
+
+def test_texts_of_parts_in_any_order(spark):
+    """A text may come out otherwise each time it is made, as one of a shuffled list does."""
+
+    @F.udf("string")
+    def text(k):
+        inner = ["(a)N1", "(b,c)N2", "(d,e,f)N3"]
+        random.SystemRandom().shuffle(inner)
+        return f"({','.join(inner)})R;"
+
+    rows = spark.range(50).select(F.col("id").alias("tree"), text.asNondeterministic()("id").alias("text"))
+    spark.conf.set("spark.sql.exchange.reuse", "false")  # a reused shuffle hides it where all blocks come in one order
+    try:
+        got = sorted((r["tree"], r["parent"], r["child"]) for r in forest.edges(rows).collect())
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    want = ["N1a", "N2b", "N2c", "N3d", "N3e", "N3f", "RN1", "RN2", "RN3"]
+    assert got == [(k, e[:-1] if e[0] == "N" else "R", e[-1] if e[0] == "N" else e[1:]) for k in range(50) for e in want]
