@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import cut, release
 from ..sources.newick import Tree, node_kind
 
 #: A configuration: for each position its ortholog group and whether that is alive (1) or lost (0).
@@ -162,27 +162,31 @@ def smallest(rows: DataFrame, by: str, value: str, *order: str) -> DataFrame:
 CONF = "array<struct<orlg:int,alive:int>>"
 
 
-def search(steps: DataFrame, *, by: str = "tree", most_steps: int = 1000) -> DataFrame:
-    """``by``, node, pos, orlg, alive: what ``configurations`` finds, for any number of histories at once.
+def searched(steps: DataFrame, *, by: str = "tree", most_steps: int = 1000) -> DataFrame:
+    """``by``, node, conf (an array of orlg, alive): what ``configurations`` finds, for any number of histories at once.
 
     ``steps`` has by, step (0, 1, ...: nodes depth first), node, parent (null at the root), kind and at (place of a duplication or
-    loss among the groups alive above). A history so far is a row with the configurations of its nodes; a step is a join,
-    which makes a row for every way to share out the positions of a duplicated group: subsets by bit masks, smaller ones first.
-    Of a history's rows that with the fewest positions stays, then the first. Histories with a step that cannot be, such as a place
+    loss among the groups alive above). Equal histories are searched once, and their result is joined to each. A history so far
+    is a row with the steps ahead and the configurations of its nodes; a step makes a row for every way to share out the positions
+    of a duplicated group: subsets by bit masks, smaller ones first. Of a history's rows that with the fewest positions stays, then the first. Histories with a step that cannot be, such as a place
     that no group has, are in no result.
     """
-    steps = cut(steps.select(by, "step", "node", "parent", "kind", F.col("at").cast("int").alias("at")))
-    top = steps.agg(F.max("step")).first()[0]
+    row = F.struct("step", "node", "parent", "kind", F.col("at").cast("int").alias("at"))
+    whole = steps.filter(F.col(by).isNotNull() & (F.col("step") >= 0)).groupBy(by).agg(F.array_sort(F.collect_set(row)).alias("history"))
+    whole = cut(whole)
+    ends = {r[0] for r in whole.select(F.element_at("history", -1)["step"]).distinct().collect()}  # numbers of steps
+    top = max(ends, default=None)
     if top is None or top > most_steps:
         if top is None:
-            return steps.select(by, "node", F.lit(0).alias("pos"), F.lit(0).alias("orlg"), F.lit(0).alias("alive")).limit(0)
+            return whole.select(by, F.lit("").alias("node"), F.array().cast(CONF).alias("conf")).limit(0)
         raise ValueError(f"a history of more than {most_steps} steps")
-    last = steps.groupBy(by).agg(F.max("step").alias("last"))
     one = F.array(F.struct(F.lit(0).alias("orlg"), F.lit(1).alias("alive")))
-    held = steps.select(by).distinct().select(by, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(f"array<{CONF}>")).alias("confs"), F.lit(1).alias("next"), F.array().cast("array<int>").alias("path"))
-    done = None
+    nothing = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(f"array<{CONF}>"))
+    held = whole.select("history").distinct().select("history", F.col("history").alias("ahead"), nothing.alias("confs"), F.lit(1).alias("next"), F.array().cast("array<int>").alias("path"))
+    made = done = None
     for k in range(top + 1):
-        s = held.join(steps.filter(F.col("step") == k).drop("step"), by)
+        s = held.select("history", F.filter("ahead", lambda x: x["step"] > k).alias("ahead"), "confs", "next", "path", F.explode(F.filter("ahead", lambda x: x["step"] == k)).alias("now"))
+        s = s.select("history", "ahead", "confs", "next", "path", "now.node", "now.parent", "now.kind", "now.at")
         above = F.when(F.col("parent").isNull(), one).otherwise(F.try_element_at("confs", F.col("parent")))
         s = s.withColumn("above", above).filter("above is not null")
         groups = F.array_distinct(F.transform(F.filter("above", lambda x: x["alive"] == 1), lambda x: x["orlg"]))
@@ -197,22 +201,30 @@ def search(steps: DataFrame, *, by: str = "tree", most_steps: int = 1000) -> Dat
         ways = F.when(m > 1, F.array_sort(masks)).otherwise(F.array(F.struct(F.lit(0).alias("size"), F.array().cast("array<int>").alias("first"))))
         s = s.select("*", F.posexplode(ways).alias("way", "part"))
         p = F.get("places", F.lit(0))
-        whole = F.col("above")
+        was = F.col("above")
         pair = F.array(*[F.struct((F.col("next") + i).alias("orlg"), F.lit(1).alias("alive")) for i in (0, 1)])
-        grown = F.concat(F.slice(whole, 1, p), pair, F.slice(whole, p + 2, F.size(whole)))
-        given = F.transform(whole, lambda x, i: F.when(F.array_contains("places", i), F.struct(F.when(F.array_contains("part.first", i), F.col("next")).otherwise(F.col("next") + 1).alias("orlg"), x["alive"].alias("alive"))).otherwise(x))
-        lost = F.transform(whole, lambda x: F.struct(x["orlg"].alias("orlg"), F.when(x["orlg"] == F.col("orlg"), 0).otherwise(x["alive"]).alias("alive")))
-        now = F.when(F.col("kind") == "loss", lost).when((F.col("kind") == "duplication") & (m == 1), grown).when(F.col("kind") == "duplication", given).otherwise(whole)
+        grown = F.concat(F.slice(was, 1, p), pair, F.slice(was, p + 2, F.size(was)))
+        given = F.transform(was, lambda x, i: F.when(F.array_contains("places", i), F.struct(F.when(F.array_contains("part.first", i), F.col("next")).otherwise(F.col("next") + 1).alias("orlg"), x["alive"].alias("alive"))).otherwise(x))
+        lost = F.transform(was, lambda x: F.struct(x["orlg"].alias("orlg"), F.when(x["orlg"] == F.col("orlg"), 0).otherwise(x["alive"]).alias("alive")))
+        now = F.when(F.col("kind") == "loss", lost).when((F.col("kind") == "duplication") & (m == 1), grown).when(F.col("kind") == "duplication", given).otherwise(was)
         # a group of one position gets another, and so does every configuration so far
         wider = F.transform_values("confs", lambda _, c: F.concat(F.slice(c, 1, p + 1), F.slice(c, p + 1, 1), F.slice(c, p + 2, F.size(c))))
-        before = F.when((F.col("kind") == "duplication") & (m == 1), wider).otherwise(F.col("confs"))
-        s = s.select(by, F.map_concat(before, F.map_from_arrays(F.array("node"), F.array(now))).alias("confs"), (F.col("next") + F.when(F.col("kind") == "duplication", 2).otherwise(0)).alias("next"), F.concat("path", F.array("way")).alias("path"))
-        held = cut(s)
-        ended = held.join(last.filter(F.col("last") == k).select(by), by, "left_semi")
-        size = F.size(F.element_at(F.map_values("confs"), 1))
-        best = ended.groupBy(by).agg(F.min_by("confs", F.struct(size, "path")).alias("confs"))
-        done = best if done is None else done.unionByName(best)
-    got = done.select(by, F.explode("confs").alias("node", "conf"))
+        known = F.when((F.col("kind") == "duplication") & (m == 1), wider).otherwise(F.col("confs"))
+        s = s.select("history", "ahead", F.map_concat(known, F.map_from_arrays(F.array("node"), F.array(now))).alias("confs"), (F.col("next") + F.when(F.col("kind") == "duplication", 2).otherwise(0)).alias("next"), F.concat("path", F.array("way")).alias("path"))
+        made, before = cut(s), made
+        if before is not None:
+            release(before)
+        held = made.filter(F.size("ahead") > 0)
+        if k in ends:
+            size = F.size(F.element_at(F.map_values("confs"), 1))
+            best = cut(made.filter(F.size("ahead") == 0).groupBy("history").agg(F.min_by("confs", F.struct(size, "path")).alias("confs")))
+            done = best if done is None else done.unionByName(best)
+    return whole.join(done, "history").select(by, F.explode("confs").alias("node", "conf"))
+
+
+def search(steps: DataFrame, *, by: str = "tree", most_steps: int = 1000) -> DataFrame:
+    """``by``, node, pos, orlg, alive: ``searched``, a row for each position."""
+    got = searched(steps, by=by, most_steps=most_steps)
     return got.select(by, "node", F.posexplode("conf").alias("pos", "x")).select(by, "node", "pos", F.col("x.orlg").alias("orlg"), F.col("x.alive").alias("alive"))
 
 

@@ -840,9 +840,9 @@ def q77_configuration_search(spark, d):
     a, b = F.col("a"), F.col("b")
     ends = [step(F.lit(0), F.lit("N0"), F.lit(None).cast("string"), "speciation", None), step(a + 1, F.lit("a"), above(a + 1, F.lit(1)), "tip", None), step(a + b + 2, F.lit("b"), above(a + b + 1, a + 1), "tip", None)]
     steps = n.select("tree", F.explode(F.concat(F.array(*ends), line(F.lit(1), a, 0), line(a + 1, b, 1))).alias("e")).select("tree", "e.*")
-    got = histories.search(steps)
-    groups = lambda tip: F.countDistinct(F.when(F.col("node") == tip, F.col("orlg")))
-    return got.groupBy("tree").agg(F.countDistinct("pos").alias("positions"), groups("a").alias("one"), groups("b").alias("two"))
+    got = histories.searched(steps)
+    groups = lambda tip: F.max(F.when(F.col("node") == tip, F.size(F.array_distinct(F.transform("conf", lambda x: x["orlg"]))))).cast("long")
+    return got.groupBy("tree").agg(F.max(F.size("conf")).cast("long").alias("positions"), groups("a").alias("one"), groups("b").alias("two"))
 
 
 @query("""with g as (select o_custkey family, 't' || (o_orderkey % 5) || '__o' || o_orderkey as name, 't' || (o_orderkey % 5) as node, o_orderkey % 3 as orlg from orders),

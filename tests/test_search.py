@@ -1,6 +1,7 @@
 import random
 
-from helixframe.operators.histories import configurations, search, steps_of
+from helixframe.operators import histories
+from helixframe.operators.histories import configurations, search, searched, steps_of
 from helixframe.sources.newick import parse, splice
 
 STEPS = "tree int, step int, node string, parent string, kind string, at int"
@@ -37,3 +38,15 @@ def test_agrees_with_the_recursion(spark):
 
 def test_no_histories(spark):
     assert search(spark.createDataFrame([], STEPS)).collect() == []
+
+
+def test_equal_histories_are_searched_once(spark, monkeypatch):
+    tree, at = parse("(((a,b)N2,c)N1,d)N0"), {"D1": 0, "D2": 1, "D3": 0}
+    one, two = splice(tree, [("N0_N1", ["D1", "D2"]), ("N1_c", ["D3"])]), splice(tree, [("N0_d", ["D1"])])
+    rows = spark.createDataFrame([(k, *r) for k in range(40) for r in (steps_of(two, {"D1": 0}) if k % 5 == 0 else steps_of(one, at))], STEPS)
+    most = []
+    plain = histories.cut
+    monkeypatch.setattr(histories, "cut", lambda df: (out := plain(df), most.append(out.count() if "path" in out.columns else 0))[0])
+    got = {(r["tree"], r["node"]): tuple(tuple(x) for x in r["conf"]) for r in searched(rows).collect()}
+    assert max(most) <= 4  # rows of a step: two histories, with every way so far
+    assert got == {(k, n): c for k in range(40) for n, c in (configurations(two, {"D1": 0}) if k % 5 == 0 else configurations(one, at)).items()}
