@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import cut, freed, release
 
 #: Bytes of text whose equal suffixes are counted together, and documents at least from which the ranges are taken.
-CHUNK, SAMPLE = 12_000_000, 4096
+CHUNK, SAMPLE = 5_000_000, 4096
 MARK = 0xFF  # no byte of UTF-8: stands between pieces
 
 
@@ -270,11 +270,13 @@ def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", max
         return F.array_join(F.slice(words, start, length), " ")
 
     cuts = found.select("lang", "phrase", "a", "k", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("at"))
-    cuts = cuts.select("lang", "phrase", "a", "at", part(F.lit(1), F.col("at")).alias("left"), part(F.col("at") + 1, F.col("k") - F.col("at")).alias("right"))
-    # a common word is part of very many phrases: the joins are of two shuffles, whose hot partitions are split
-    of = all_.filter("k >= 1")
-    cuts = cuts.join(of.select("lang", F.col("phrase").alias("left"), F.col("f").alias("l")).hint("merge"), ["lang", "left"])
-    cuts = cuts.join(of.select("lang", F.col("phrase").alias("right"), F.col("f").alias("r")).hint("merge"), ["lang", "right"])
+    # a common word is part of very many phrases: the join, of both parts at once, is of two shuffles, whose hot partitions are split
+    both = F.explode(F.array(F.struct(F.lit(True).alias("first"), part(F.lit(1), F.col("at")).alias("part")), F.struct(F.lit(False).alias("first"), part(F.col("at") + 1, F.col("k") - F.col("at")).alias("part")))).alias("e")
+    cuts = cuts.select("lang", "phrase", "a", "at", both).select("lang", "phrase", "a", "at", "e.*")
+    of = all_.filter("k >= 1").select("lang", F.col("phrase").alias("part"), "f")
+    cuts = cuts.join(of.hint("merge"), ["lang", "part"]).drop("part").repartition("lang", "phrase")
+    of_first = lambda first: F.max(F.when(F.col("first") == first, F.col("f")))
+    cuts = cuts.groupBy("lang", "phrase", "a", "at").agg(of_first(True).alias("l"), of_first(False).alias("r"))
     ratio = F.lit(2_000_000).cast("decimal(7,0)") * F.col("a").cast("decimal(19,0)")
     score = F.call_function("div", ratio, F.col("l").cast("decimal(19,0)") + F.col("r").cast("decimal(19,0)"))
     best = cuts.groupBy("lang", "phrase").agg(F.min(F.struct(score.alias("score"), "at", "a", "l", "r")).alias("x"))

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import duckdb
@@ -110,3 +111,16 @@ def test_straddling_prefixes():
             for r in p.take().to_pylist():
                 got[r["phrase"], r["k"]] += r["f"]
         assert got == want
+
+
+def test_a_chunk_takes_little_memory():
+    rng = random.Random(1)
+    words = ["".join(rng.choices("etaonirsh", k=rng.randint(2, 8))) for _ in range(5000)]
+    texts = [" ".join(rng.choices(words, k=collocations.CHUNK // 600)).encode() for _ in range(100)]
+    tracemalloc.start()
+    try:
+        n = sum(int(counts.sum()) for _, counts in collocations._suffixes(b"en", texts, 4))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == sum(len(t.split()) for t in texts) and peak < 120e6
